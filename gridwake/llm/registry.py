@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridwake.llm import near_dedup, quality_rules
+from gridwake.llm import decontamination, near_dedup, quality_rules
 
-_MODULES = (quality_rules, near_dedup)
+_MODULES = (quality_rules, near_dedup, decontamination)
 
 
 def queries() -> dict:

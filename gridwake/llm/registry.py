@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridwake.llm import decontamination, near_dedup, quality_rules
+from gridwake.llm import decontamination, near_dedup, quality_rules, token_counts
 
-_MODULES = (quality_rules, near_dedup, decontamination)
+_MODULES = (quality_rules, token_counts, decontamination, near_dedup)
 
 
 def queries() -> dict:

@@ -27,6 +27,8 @@ from gridwake.llm.pair_merging import PairTable, merge_all
 SPACE = "▁"
 #: Pre-tokens of more characters than this are cut where no piece can join.
 LONG = 64
+#: Texts of this many bytes share one table of distinct pre-tokens.
+PART = 4 << 20
 
 
 class Pieces:
@@ -122,7 +124,7 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
-        for part in tb.slices(batches, "text"):
+        for part in tb.slices(batches, "text", PART):
             n_bytes = pc.fill_null(pc.binary_length(part["text"]), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([part["id"], n_bytes, pa.array(text_counts(model, part["text"]))], names=["id", "n_bytes", "n_tokens"])
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridwake.llm import bpe_codec, decontamination, near_dedup, pii_pseudonyms, quality_rules, rans_output, secret_scan, token_counts
+from gridwake.llm import bpe_codec, decontamination, near_dedup, pii_pseudonyms, quality_rules, rans_output, secret_scan, token_counts, warc_files
 
-_MODULES = (quality_rules, secret_scan, rans_output, token_counts, decontamination, pii_pseudonyms, bpe_codec, near_dedup)
+_MODULES = (quality_rules, secret_scan, rans_output, warc_files, token_counts, decontamination, pii_pseudonyms, bpe_codec, near_dedup)
 
 
 def queries() -> dict:

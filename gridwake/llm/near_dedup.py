@@ -4,9 +4,9 @@ A document's set holds its distinct word shingles, as 64-bit hashes. Equal sets
 SuperMinHash signature: element by element, a random permutation of the slots deals ranks j + u, and a document stops
 as soon as every slot holds a rank below j + 1, which for all but short texts is after one or two rounds. Bands of
 rows make buckets. In a bucket every node is compared with one pivot, on full sets. Further pairs of a bucket are
-compared only where they can still be linked: 1 - Jaccard is a metric, so two nodes whose distances from their common
-pivot differ by more than the threshold's distance are no link, and two that are both linked to the pivot are
-connected already. No bucket is capped. Links go to connected components by alternating large-star and small-star
+compared only where they can still matter: 1 - Jaccard is a metric, so two nodes whose distances from their common
+pivot differ by more than the threshold's distance are no link, and two that links to pivots connect already need no
+link of their own. No bucket is capped. Links go to connected components by alternating large-star and small-star
 steps on tables in the shared folder.
 
 With 32 bands of 4 rows a pair at similarity 0.75 shares no bucket with probability 5e-6.
@@ -211,26 +211,31 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sets = materialize(sets.unionByName(_wanted_sets(texts.where("id IS NULL").withColumn("id", F.lit(0).cast("long")), wanted.where("id IS NULL").withColumn("id", F.lit(0).cast("long")), words_each)), "candidate_sets")
 
     fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    sizes = wanted.select(F.col("fp").alias("pivot"), F.col("n").alias("m"))
     first = member.where("fp <> pivot").select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct()
     first = materialize(_verified(first, sets), "first_pairs")
     linked = F.expr(f"100 * shared >= {percent} * total")
 
-    # Distances from the pivot, for the pairs of a bucket that the pivot doesn't decide.
+    links = first.where(linked).select("a", "b")
+    label = materialize(components(links), "labels")
+
+    # Distances from the pivot, for the pairs of a bucket that the pivot doesn't decide: pairs of nodes that no path
+    # of links connects so far. A bucket whose nodes are all connected asks for nothing.
     away = first.select(F.col("a").alias("fp"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("total")).alias("far"), (~linked).alias("loose"))
-    loose = materialize(member.where("fp <> pivot").join(away, ["fp", "pivot"]).select("bucket", "fp", "n", "far", "loose"), "distances")
+    away = away.join(label.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    far = materialize(member.where("fp <> pivot").join(away, ["fp", "pivot"]).select("bucket", "fp", "n", "far", "loose", "root"), "distances")
+    torn = far.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("loose").alias("z")).where("z AND x <> y").select("bucket")
+    far = materialize(far.join(torn, "bucket", "left_semi"), "torn_buckets")
     reach = 1 - percent / 100 + 1e-9
-    lone = loose.where("loose").select("bucket", F.col("fp").alias("a"), F.col("n"), F.col("far").alias("far_a"), F.lit(True).alias("loose_a"))
-    rest = loose.select("bucket", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("far").alias("far_b"), "loose")
-    second = lone.join(rest, "bucket").where((F.abs(F.col("far_a") - F.col("far_b")) <= reach) & fits & (F.col("a") != F.col("b")) & (~F.col("loose") | (F.col("a") < F.col("b"))))
+    lone = far.where("loose").select("bucket", F.col("fp").alias("a"), F.col("n"), F.col("far").alias("far_a"), F.col("root").alias("root_a"))
+    rest = far.select("bucket", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("far").alias("far_b"), "loose", F.col("root").alias("root_b"))
+    second = lone.join(rest, "bucket").where((F.col("root_a") != F.col("root_b")) & (F.abs(F.col("far_a") - F.col("far_b")) <= reach) & fits & (~F.col("loose") | (F.col("a") < F.col("b"))))
     second = materialize(second.select("a", "b").distinct(), "second_pairs")
-    links = first.where(linked).select("a", "b")
     if second.limit(1).count():
         links = links.union(_verified(second, sets).where(linked).select("a", "b"))
+        label = components(links)
 
-    roots = components(links)
     ids = nodes.select(F.col("fp").alias("node"), "id")
-    named = materialize(roots.join(wanted.select(F.col("fp").alias("node"), "id"), "node"), "roots")
+    named = materialize(label.join(wanted.select(F.col("fp").alias("node"), "id"), "node"), "roots")
     names = named.groupBy("root").agg(F.min("id").alias("component"))
     grouped = named.join(names, "root").select(F.col("node").alias("fp"), "component")
     alone = ids.join(grouped.select(F.col("fp").alias("node")), "node", "left_anti").select(F.col("node").alias("fp"), F.col("id").alias("component"))

@@ -4,9 +4,9 @@ A document's set holds its distinct word shingles, as 64-bit hashes. Equal sets
 SuperMinHash signature: element by element, a random permutation of the slots deals ranks j + u, and a document stops
 as soon as every slot holds a rank below j + 1, which for all but short texts is after one or two rounds. Bands of
 rows make buckets. In a bucket every node is compared with one pivot, on full sets. Further pairs of a bucket are
-compared only where they can still matter: 1 - Jaccard is a metric, so two nodes whose distances from their common
-pivot differ by more than the threshold's distance are no link, and two that links to pivots connect already need no
-link of their own. No bucket is capped. Links go to connected components by alternating large-star and small-star
+compared only where they can still matter: two nodes that links to pivots connect already need no link of their own,
+and of the others two can be linked only if they share one of their rarest shingles, early enough for the shared rest to
+suffice (prefix and positional filter of exact set joins, which lose nothing). No bucket is capped. Links go to connected components by alternating large-star and small-star
 steps on tables in the shared folder.
 
 With 32 bands of 4 rows a pair at similarity 0.75 shares no bucket with probability 5e-6.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwake.llm import textbuf as tb
@@ -163,6 +163,47 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.mapInArrow(run, "a binary, b binary, shared bigint, total bigint")
 
 
+def _exact_candidates(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes (fp, n, root) with different roots that can reach the similarity.
+
+    Shingles are ranked by how many nodes have them, rare ones first. Sets of n and m share at least
+    t = p (n + m) / (100 + p) shingles if they are linked, so they share one among the first n - p n / 100 + 1, and if
+    the first shared one has the ranks i and j, 1 + min(n - i, m - j) >= t. Shingles of one node only are counted but
+    not sent on. A shingle's most frequent root is met from the side of its other roots, so that the members of a large
+    group are not paired with one another.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch["n"].to_numpy()
+            tokens = np.frombuffer(b"".join(batch["shingles"].to_pylist()), np.int64)
+            first = lambda c: np.repeat(np.frombuffer(b"".join(x[:8] for x in batch[c].to_pylist()), np.int64), n)
+            for k in range(0, len(tokens), 1 << 19):
+                cut = slice(k, k + (1 << 19))
+                yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (tokens, first("fp"), np.repeat(n, n), first("root"))], names=["token", "node", "n", "root"])
+
+    rows = sets.join(nodes, "fp").select("fp", "n", "root", "shingles").mapInArrow(run, "token bigint, node bigint, n bigint, root bigint")
+    rows = materialize(rows, "open_shingles")
+    known = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.mode("root").alias("major"), F.min("root").alias("x"), F.max("root").alias("y"))
+    known = known.where("df > 1").select("token", "df", "major", (F.col("x") != F.col("y")).alias("mixed"))
+    own = Window.partitionBy("node")
+    ranked = rows.join(known, "token").withColumn("k", F.count(F.lit(1)).over(own)).withColumn("i", F.row_number().over(own.orderBy("df", "token")))
+    ranked = ranked.withColumn("i", F.col("n") - F.col("k") + F.col("i"))
+    prefix = materialize(ranked.where(f"mixed AND i <= n - ceil({percent} * n / 100) + 1").select("token", "node", "n", "root", "i", "major"), "prefixes")
+    x = prefix.where("root <> major").select("token", F.col("node").alias("a"), "n", F.col("root").alias("root_a"), "i")
+    y = prefix.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"), F.col("i").alias("j"), "major")
+    met = x.join(y, "token").where((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("major")) | (F.col("a") < F.col("b"))) & F.expr(f"({100 + percent}) * (1 + least(n - i, m - j)) >= {percent} * (n + m)"))
+    names = nodes.mapInArrow(_keys, "fp binary, key bigint")
+    pairs = met.select("a", "b").distinct()
+    pairs = pairs.join(names.select(F.col("fp").alias("fa"), F.col("key").alias("a")), "a").join(names.select(F.col("fp").alias("fb"), F.col("key").alias("b")), "b")
+    return pairs.select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch["fp"], pa.array(np.frombuffer(b"".join(x[:8] for x in batch["fp"].to_pylist()), np.int64))], names=["fp", "key"])
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for the nodes of links (a, b); root is the smallest node of the component.
 
@@ -210,7 +251,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if wanted.where("id IS NULL").count():
         sets = materialize(sets.unionByName(_wanted_sets(texts.where("id IS NULL").withColumn("id", F.lit(0).cast("long")), wanted.where("id IS NULL").withColumn("id", F.lit(0).cast("long")), words_each)), "candidate_sets")
 
-    fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     first = member.where("fp <> pivot").select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct()
     first = materialize(_verified(first, sets), "first_pairs")
     linked = F.expr(f"100 * shared >= {percent} * total")
@@ -218,18 +258,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = first.where(linked).select("a", "b")
     label = materialize(components(links), "labels")
 
-    # Distances from the pivot, for the pairs of a bucket that the pivot doesn't decide: pairs of nodes that no path
-    # of links connects so far. A bucket whose nodes are all connected asks for nothing.
-    away = first.select(F.col("a").alias("fp"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("total")).alias("far"), (~linked).alias("loose"))
-    away = away.join(label.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    far = materialize(member.where("fp <> pivot").join(away, ["fp", "pivot"]).select("bucket", "fp", "n", "far", "loose", "root"), "distances")
-    torn = far.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("loose").alias("z")).where("z AND x <> y").select("bucket")
-    far = materialize(far.join(torn, "bucket", "left_semi"), "torn_buckets")
-    reach = 1 - percent / 100 + 1e-9
-    lone = far.where("loose").select("bucket", F.col("fp").alias("a"), F.col("n"), F.col("far").alias("far_a"), F.col("root").alias("root_a"))
-    rest = far.select("bucket", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("far").alias("far_b"), "loose", F.col("root").alias("root_b"))
-    second = lone.join(rest, "bucket").where((F.col("root_a") != F.col("root_b")) & (F.abs(F.col("far_a") - F.col("far_b")) <= reach) & fits & (~F.col("loose") | (F.col("a") < F.col("b"))))
-    second = materialize(second.select("a", "b").distinct(), "second_pairs")
+    # Nodes that share a bucket but are not connected so far; a bucket whose nodes are all connected asks for nothing.
+    place = member.join(label.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    torn = place.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("size")).where("x <> y AND size > 2").select("bucket")
+    open_ = materialize(place.join(torn, "bucket", "left_semi").select("fp", "n", "root").distinct(), "open_nodes")
+    second = materialize(_exact_candidates(open_, sets, percent), "second_pairs")
     if second.limit(1).count():
         links = links.union(_verified(second, sets).where(linked).select("a", "b"))
         label = components(links)

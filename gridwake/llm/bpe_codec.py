@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridwake.llm import textbuf as tb
 from gridwake.llm.pair_merging import NONE, PairTable, merge_all
@@ -343,20 +344,33 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
-    """(id, ids, decoded): the token ids of each text, and if asked for, the text that they decode to."""
+def encode_column(docs: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
+    """docs with the token ids of the text in the column out, which takes the place of a column of that name."""
+    at = docs.columns.index(text_col)
+    rest = [k for k, c in enumerate(docs.columns) if c.lower() != out.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for part in tb.slices(batches, "text", PART):
-            ids, n = vocab.encode(part["text"])
-            ends = np.concatenate([[0], np.cumsum(n)])
-            texts = [vocab.decode(ids[a:b]) if decoded else None for a, b in zip(ends[:-1], ends[1:])]
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part["id"], lists, pa.array(texts, pa.string())], names=["id", "ids", "decoded"])
+        for part in tb.slices(batches, text_col, PART):
+            ids, n = vocab.encode(part.column(at))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in rest), lists], names=[*(part.schema.names[k] for k in rest), out])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, decoded string")
+    return docs.mapInArrow(run, T.StructType([docs.schema.fields[k] for k in rest] + [T.StructField(out, T.ArrayType(T.IntegerType()))]))
+
+
+def decode_column(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
+    """docs with the text that the ids decode to in the column out; null ids decode to null."""
+    at = docs.columns.index(ids_col)
+    rest = [k for k, c in enumerate(docs.columns) if c.lower() != out.lower()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
+        for part in batches:
+            texts = [None if x.as_py() is None else vocab.decode(np.array(x.as_py(), np.int64)) for x in part.column(at)]
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in rest), pa.array(texts, pa.string())], names=[*(part.schema.names[k] for k in rest), out])
+
+    return docs.mapInArrow(run, T.StructType([docs.schema.fields[k] for k in rest] + [T.StructField(out, T.StringType())]))
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from gridwake.plans import grid_queries
+from gridwake.plans.grid_queries import flagship
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+_MODULES = (grid_queries,)
+__all__ = ["flagship", "oracle_sql", "queries"]
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: text for m in _MODULES for name, text in m.SQL.items()}

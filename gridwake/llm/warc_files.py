@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwake.plans.materialize import materialize, new_path
+from gridwake.plans.materialize import join_checked, materialize, new_path
 
 #: Fixed values of the format.
 MAGIC = b"WARC/1.1\r\n"
@@ -57,7 +57,8 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     own = base.select("*", base32_sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").cast("long").alias("size"))
     # Payloads that stand more than once; partial aggregation meets hot payloads before the shuffle.
     again = own.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("order").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1 AND response IS NOT NULL").select("digest", "response")
-    met = own.join(again, "digest", "left")
+    # As a rule few payloads repeat, and then no page has to travel.
+    met = join_checked(own, materialize(again, "repeated_payloads"), "digest", max_rows=200_000)
     revisit = F.coalesce(~F.col("order").eqNullSafe(F.col("response")) & F.col("response").isNotNull(), F.lit(False))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))

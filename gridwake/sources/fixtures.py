@@ -1,4 +1,4 @@
-"""Sensor tables derived from the star-schema tables: deterministic, in whole millimetres."""
+"""Sensor tables derived from the star-schema tables: deterministic, in whole millimetres; times are UTC sessions' times."""
 
 from __future__ import annotations
 
@@ -46,10 +46,10 @@ pts AS (SELECT frame_id, ring, x, y, -1390 + (l_linenumber * 7 + l_partkey) % 40
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stream_id, seq, azimuth, ts_ms): azimuth blocks of one stream for each user of events."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return ev.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.expr("(CAST(round(value * 100) AS BIGINT) * 7) % 36000").alias("azimuth"), F.unix_millis("ts").alias("ts_ms"))
+    return ev.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.expr("(CAST(round(value * 100) AS BIGINT) * 7) % 36000").alias("azimuth"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
 
 
-BLOCKS_SQL = """blocks AS (SELECT user_id AS stream_id, event_id AS seq, (CAST(round(value * 100) AS BIGINT) * 7) % 36000 AS azimuth, epoch_ms(ts) AS ts_ms FROM events)"""
+BLOCKS_SQL = """blocks AS (SELECT user_id AS stream_id, event_id AS seq, (CAST(round(value * 100) AS BIGINT) * 7) % 36000 AS azimuth, epoch_us(ts) // 1000 AS ts_ms FROM events)"""
 
 
 def packet_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,10 +62,10 @@ def packet_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(stream_id, ts_ms, x, y, heading_deg) from the view events; positions in metres."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'view'")
-    return ev.selectExpr("user_id % 8 AS stream_id", "unix_millis(ts) AS ts_ms", "event_id", "CAST(user_id % 100 AS DOUBLE) AS x", "CAST(event_id % 50 AS DOUBLE) AS y", "CAST(event_id * 37 % 360 AS DOUBLE) AS heading_deg")
+    return ev.selectExpr("user_id % 8 AS stream_id", "unix_millis(CAST(ts AS TIMESTAMP)) AS ts_ms", "event_id", "CAST(user_id % 100 AS DOUBLE) AS x", "CAST(event_id % 50 AS DOUBLE) AS y", "CAST(event_id * 37 % 360 AS DOUBLE) AS heading_deg")
 
 
-POSES_SQL = """poses AS (SELECT user_id % 8 AS stream_id, epoch_ms(ts) AS ts_ms, event_id, (user_id % 100)::DOUBLE AS x, (event_id % 50)::DOUBLE AS y, (event_id * 37 % 360)::DOUBLE AS heading_deg FROM events WHERE event_type = 'view')"""
+POSES_SQL = """poses AS (SELECT user_id % 8 AS stream_id, epoch_us(ts) // 1000 AS ts_ms, event_id, (user_id % 100)::DOUBLE AS x, (event_id % 50)::DOUBLE AS y, (event_id * 37 % 360)::DOUBLE AS heading_deg FROM events WHERE event_type = 'view')"""
 
 
 def road_map(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:

@@ -169,23 +169,26 @@ def _exact_candidates(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFr
     Shingles are ranked by how many nodes have them, rare ones first. Sets of n and m share at least
     t = p (n + m) / (100 + p) shingles if they are linked, so they share one among the first n - p n / 100 + 1, and if
     the first shared one has the ranks i and j, 1 + min(n - i, m - j) >= t. Shingles of one node only are counted but
-    not sent on. A shingle's most frequent root is met from the side of its other roots, so that the members of a large
-    group are not paired with one another.
+    not sent on. A shingle's largest root is met from the side of its other roots, so that the members of a large group
+    are not paired with one another; for that, roots travel as numbers that begin with their size (40 bits of the rest
+    tell roots of a size apart).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch["n"].to_numpy()
             tokens = np.frombuffer(b"".join(batch["shingles"].to_pylist()), np.int64)
-            first = lambda c: np.repeat(np.frombuffer(b"".join(x[:8] for x in batch[c].to_pylist()), np.int64), n)
+            first = lambda c: np.frombuffer(b"".join(x[:8] for x in batch[c].to_pylist()), np.int64)
+            root = np.minimum(batch["size"].to_numpy(), (1 << 23) - 1) << 40 | first("root") & ((1 << 40) - 1)
+            columns = [tokens, *(np.repeat(x, n) for x in (first("fp"), n, root))]
             for k in range(0, len(tokens), 1 << 19):
-                cut = slice(k, k + (1 << 19))
-                yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (tokens, first("fp"), np.repeat(n, n), first("root"))], names=["token", "node", "n", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 19)]) for x in columns], names=["token", "node", "n", "root"])
 
-    rows = sets.join(nodes, "fp").select("fp", "n", "root", "shingles").mapInArrow(run, "token bigint, node bigint, n bigint, root bigint")
+    sized = nodes.join(nodes.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
+    rows = sets.join(sized, "fp").select("fp", "n", "root", "size", "shingles").mapInArrow(run, "token bigint, node bigint, n bigint, root bigint")
     rows = materialize(rows, "open_shingles")
-    known = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.mode("root").alias("major"), F.min("root").alias("x"), F.max("root").alias("y"))
-    known = known.where("df > 1").select("token", "df", "major", (F.col("x") != F.col("y")).alias("mixed"))
+    known = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("root").alias("major"), F.min("root").alias("least"))
+    known = known.where("df > 1").select("token", "df", "major", (F.col("least") != F.col("major")).alias("mixed"))
     own = Window.partitionBy("node")
     ranked = rows.join(known, "token").withColumn("k", F.count(F.lit(1)).over(own)).withColumn("i", F.row_number().over(own.orderBy("df", "token")))
     ranked = ranked.withColumn("i", F.col("n") - F.col("k") + F.col("i"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwake.llm import textbuf as tb
-from gridwake.llm.bpe_codec import PART, default_path, vocabulary
+from gridwake.llm.bpe_codec import default_path, vocabulary
 from gridwake.plans.materialize import materialize, new_path
 
 U = np.uint64
@@ -36,6 +36,8 @@ SCALE = 20
 LANES = 256
 BLOCK = 1 << 17
 LOW = U(1 << 31)
+#: Bytes of text in a frame.
+PART = 2 << 20
 END = 2
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwake.config import GridConfig
+from gridwake.plans.materialize import materialize
 
 KEY = ["frame_id", "row", "col"]
 _OFFSETS = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c]
@@ -108,8 +109,6 @@ def grow_ground(cells: DataFrame, cfg: GridConfig = GridConfig()) -> DataFrame:
 
 def grow_ground_rounds(cells: DataFrame, cfg: GridConfig = GridConfig(), max_rounds: int = 10_000) -> DataFrame:
     """G6 by joins: the frontier meets the edges until no new cell is found. For grids too large for a group."""
-    from gridwake.plans.materialize import materialize
-
     s, h = thresholds(cfg)
     into = cells.where(F.col("slope") <= s).select(*KEY, "min_z", h.alias("limit"))
     edges = neighbours(cells, ["min_z", "row", "col"]).join(into, KEY).where(F.abs(F.col("n_min_z") - F.col("min_z")) <= F.col("limit"))
@@ -199,8 +198,12 @@ def reclassify(points: DataFrame, cells: DataFrame, cfg: GridConfig = GridConfig
     return out.withColumn("is_obstacle", F.col("ref").isNull() | (F.col("z") > F.col("ref") + cfg.layer)).drop("ref")
 
 
+def ground(points: DataFrame, cfg: GridConfig = GridConfig()) -> DataFrame:
+    """Cells with slope and is_ground. Cells are few against points and have many readers, so they are written once."""
+    cells = materialize(build(points, cfg), "cells")
+    return materialize(grow_ground(materialize(slope(cells, cfg), "slopes"), cfg), "ground")
+
+
 def detect(points: DataFrame, cfg: GridConfig = GridConfig()) -> DataFrame:
     """Points to cells with all columns of the steps above."""
-    cells = build(points, cfg)
-    cells = grow_ground(slope(cells, cfg), cfg)
-    return candidates(layers(points, ground_reference(cells, cfg), cfg), cfg)
+    return candidates(layers(points, ground_reference(ground(points, cfg), cfg), cfg), cfg)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridwake.config import GridConfig
 from gridwake.operators import clusters as C
 from gridwake.operators import grid as G
+from gridwake.plans.materialize import materialize
 from gridwake.sources import fixtures
 from gridwake.sources.fixtures import POINTS_SQL
 
@@ -25,15 +26,15 @@ def _cells(spark, sf):
 
 
 def _ground(spark, sf):
-    return G.grow_ground(G.slope(_cells(spark, sf), CFG), CFG)
+    return G.ground(_points(spark, sf), CFG)
 
 
 def _detected(spark, sf):
-    return G.detect(_points(spark, sf), CFG)
+    return materialize(G.detect(_points(spark, sf), CFG), "detected")
 
 
 def _clustered(spark, sf):
-    return C.connect(_detected(spark, sf), CFG)
+    return materialize(C.connect(_detected(spark, sf), CFG), "clustered")
 
 
 def g01(spark: SparkSession, sf: str) -> DataFrame:

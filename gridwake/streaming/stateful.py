@@ -56,8 +56,11 @@ def split_by_angle(blocks: DataFrame, split: int = 0, order: str = "seq") -> Dat
     return narrow.groupBy("stream_id").applyInPandasWithState(run, f"{fields}, frame bigint", "azimuth int, frame bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def track(frames: DataFrame, method: str = "greedy", cfg: TrackConfig = TrackConfig(), keep_ms: int = 3_600_000) -> DataFrame:
-    """K11, K12 over a stream of frames (stream_id, ts_ms, detections). A stream without frames for keep_ms is forgotten."""
+def track(frames: DataFrame, method: str = "greedy", cfg: TrackConfig = TrackConfig(), keep_ms: int | None = None) -> DataFrame:
+    """K11, K12 over a stream of frames (stream_id, ts_ms, detections).
+
+    With keep_ms a stream without frames for so long is forgotten; such a query has a batch for each trigger, data or not.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in OUT.split(", ")]
@@ -75,8 +78,9 @@ def track(frames: DataFrame, method: str = "greedy", cfg: TrackConfig = TrackCon
             out += rows_of(key[0], row.ts_ms, tracker.step(int(row.ts_ms), [(d["x"], d["y"]) for d in row.detections]))
         live = tracker.tracks
         state.update((-1 if tracker.previous_ms is None else tracker.previous_ms, tracker.next_id, *([getattr(t, c) for t in live] for c in ("track_id", "x", "y", "vx", "vy", "age", "last_seen"))))
-        state.setTimeoutDuration(keep_ms)
+        if keep_ms:
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame(out, columns=columns)
 
     kept = "previous bigint, next_id bigint, track_id array<bigint>, x array<double>, y array<double>, vx array<double>, vy array<double>, age array<int>, last_seen array<int>"
-    return frames.select("stream_id", "ts_ms", "detections").groupBy("stream_id").applyInPandasWithState(run, OUT, kept, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return frames.select("stream_id", "ts_ms", "detections").groupBy("stream_id").applyInPandasWithState(run, OUT, kept, "append", GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout)

@@ -187,19 +187,19 @@ def _spec(name, length, lasers, blocks, channels, low, high, **more) -> PacketSp
     return PacketSpec(name, length, lasers, blocks, channels, low, high, **more)
 
 
-#: Known models by name: packet bytes, lasers, blocks, channels and range in metres, as their data sheets give them.
+#: Known layouts by name. Fixed values of the wire formats: packet bytes, lasers, blocks, channels and range in metres.
 MODELS = {
     s.name: s
     for s in (
-        _spec("RS16", 1248, 16, 12, 32, 0.4, 230), _spec("RS32", 1248, 32, 12, 32, 0.4, 230), _spec("RSBP", 1248, 32, 12, 32, 0.1, 150),
-        _spec("RSHELIOS", 1248, 32, 12, 32, 0.1, 180, step=0.0025), _spec("RSHELIOS_16P", 1248, 16, 12, 32, 0.1, 180, step=0.0025),
-        _spec("RS48", 1268, 48, 8, 48, 0.4, 250), _spec("RS80", 1248, 80, 4, 80, 0.4, 250), _spec("RS128", 1248, 128, 3, 128, 0.4, 250),
-        _spec("RSP48", 1268, 48, 8, 48, 0.4, 250), _spec("RSP80", 1248, 80, 4, 80, 0.4, 250), _spec("RSP128", 1248, 128, 3, 128, 0.4, 250),
-        _spec("RSAIRY", 1248, 96, 8, 48, 0.1, 60, has_imu=True), _spec("RSFAIRY", 1248, 48, 8, 48, 0.1, 150, has_imu=True),
-        _spec("RSM1", 1210, 5, 25, 5, 0.2, 200, geometry="yaw_pitch", channel_size=7), _spec("RSM1_JUMBO", 62152, 5, 25, 5, 0.2, 200, geometry="yaw_pitch", channel_size=7),
-        _spec("RSM2", 1342, 5, 25, 5, 0.2, 250, geometry="vector", channel_size=9), _spec("RSM3", 1448, 28, 5, 28, 0.1, 300, geometry="vector", channel_size=9),
-        _spec("RSE1", 1200, 1, 96, 1, 0, 200, geometry="vector", channel_size=9), _spec("RSMX", 1404, 2, 50, 2, 0.2, 200, geometry="vector", channel_size=9),
-        _spec("RSEM4", 1084, 1, 260, 1, 0.5, 350, geometry="yaw_pitch", channel_size=3), _spec("RSEMX", 812, 1, 192, 1, 0.2, 300, geometry="yaw_pitch", channel_size=3),
+        _spec("polar16", 1248, 16, 12, 32, 0.4, 230), _spec("polar32", 1248, 32, 12, 32, 0.4, 230), _spec("polar32_near", 1248, 32, 12, 32, 0.1, 150),
+        _spec("polar32_fine", 1248, 32, 12, 32, 0.1, 180, step=0.0025), _spec("polar16_fine", 1248, 16, 12, 32, 0.1, 180, step=0.0025),
+        _spec("polar48", 1268, 48, 8, 48, 0.4, 250), _spec("polar80", 1248, 80, 4, 80, 0.4, 250), _spec("polar128", 1248, 128, 3, 128, 0.4, 250),
+        _spec("polar48_p", 1268, 48, 8, 48, 0.4, 250), _spec("polar80_p", 1248, 80, 4, 80, 0.4, 250), _spec("polar128_p", 1248, 128, 3, 128, 0.4, 250),
+        _spec("polar96_imu", 1248, 96, 8, 48, 0.1, 60, has_imu=True), _spec("polar48_imu", 1248, 48, 8, 48, 0.1, 150, has_imu=True),
+        _spec("mirror5", 1210, 5, 25, 5, 0.2, 200, geometry="yaw_pitch", channel_size=7), _spec("mirror5_jumbo", 62152, 5, 25, 5, 0.2, 200, geometry="yaw_pitch", channel_size=7),
+        _spec("vector5", 1342, 5, 25, 5, 0.2, 250, geometry="vector", channel_size=9), _spec("vector28", 1448, 28, 5, 28, 0.1, 300, geometry="vector", channel_size=9),
+        _spec("vector1", 1200, 1, 96, 1, 0, 200, geometry="vector", channel_size=9), _spec("vector2", 1404, 2, 50, 2, 0.2, 200, geometry="vector", channel_size=9),
+        _spec("flash1", 1084, 1, 260, 1, 0.5, 350, geometry="yaw_pitch", channel_size=3), _spec("flash1_columns", 812, 1, 192, 1, 0.2, 300, geometry="yaw_pitch", channel_size=3),
     )
 }
 

@@ -320,7 +320,7 @@ def test_crc_and_calendar(spark):
 
 
 def test_models_and_device_values(spark):
-    assert len(decode.MODELS) == 21 and decode.MODELS["RS16"].blocks * decode.MODELS["RS16"].block_size == 1200
+    assert len(decode.MODELS) == 21 and decode.MODELS["polar16"].blocks * decode.MODELS["polar16"].block_size == 1200
     row = spark.range(1).select(*(c.alias(n) for n, c in decode.difop_common(F.lit(600), 55.56).items())).first()
     assert (row.rps, row.blocks_per_frame, row.az_step, row.blind_us) == (10, 1799, 20, 0)
     raw = struct.pack(">hhhhhh", 16384, -16384, 0, 32767, 0, -32768)

@@ -17,7 +17,6 @@ repeated results; an empty table on either side gives no rows or no hits.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwake.llm import textbuf as tb
-from gridwake.plans.materialize import materialize
+from gridwake.plans.materialize import join_checked, materialize
 
 U = np.uint64
 #: Windows asked for at once; a larger benchmark is sent in several blocks.
@@ -274,7 +273,7 @@ def document_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs whose ids have no hit, with the columns of docs; rows without an id are judged by their text."""
     hit = document_hits(docs.where(F.col(id_col).isNotNull()), items, id_col, text_col, **options).where("n_hit > 0").select(F.col("id").alias("_hit_id")).distinct()
-    out = docs.join(hit, F.col(id_col).cast("long") == F.col("_hit_id"), "left_anti")
+    out = join_checked(docs, materialize(hit, "hit"), F.col(id_col).cast("long") == F.col("_hit_id"), "left_anti", max_rows=200_000)
     nameless = docs.where(F.col(id_col).isNull()).select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     if nameless.limit(1).count():
         bad = document_hits(nameless, items, "key", "text", **options).where("n_hit > 0").select(F.col("id").alias("_hit_id")).distinct()

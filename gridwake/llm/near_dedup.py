@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwake.llm import textbuf as tb
-from gridwake.plans.materialize import materialize
+from gridwake.plans.materialize import join_checked, materialize
 
 U = np.uint64
 
@@ -283,7 +283,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """The rows of docs whose id is the smallest of their group, with the columns of docs; rows without an id stay."""
     gone = near_groups(docs, id_col, text_col, **options).where("component <> id").select(F.col("id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left_anti")
+    return join_checked(docs, materialize(gone, "gone"), F.col(id_col).cast("long") == F.col("_gone_id"), "left_anti", max_rows=200_000)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

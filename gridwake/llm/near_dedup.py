@@ -171,7 +171,9 @@ def _exact_candidates(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFr
     the first shared one has the ranks i and j, 1 + min(n - i, m - j) >= t. Shingles of one node only are counted but
     not sent on. A shingle's largest root is met from the side of its other roots, so that the members of a large group
     are not paired with one another; for that, roots travel as numbers that begin with their size (40 bits of the rest
-    tell roots of a size apart).
+    tell roots of a size apart). Shingles that only one root has can't be shared by a pair, so they rank before all
+    others. Last, 256 parities of the hashes bound the overlap from above: sets that differ in h parities differ in h
+    shingles at least.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,20 +190,37 @@ def _exact_candidates(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFr
     rows = sets.join(sized, "fp").select("fp", "n", "root", "size", "shingles").mapInArrow(run, "token bigint, node bigint, n bigint, root bigint")
     rows = materialize(rows, "open_shingles")
     known = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("root").alias("major"), F.min("root").alias("least"))
-    known = known.where("df > 1").select("token", "df", "major", (F.col("least") != F.col("major")).alias("mixed"))
+    known = known.where("least <> major").select("token", "df", "major")
     own = Window.partitionBy("node")
     ranked = rows.join(known, "token").withColumn("k", F.count(F.lit(1)).over(own)).withColumn("i", F.row_number().over(own.orderBy("df", "token")))
     ranked = ranked.withColumn("i", F.col("n") - F.col("k") + F.col("i"))
-    prefix = materialize(ranked.where(f"mixed AND i <= n - ceil({percent} * n / 100) + 1").select("token", "node", "n", "root", "i", "major"), "prefixes")
-    x = prefix.where("root <> major").select("token", F.col("node").alias("a"), "n", F.col("root").alias("root_a"), "i")
-    y = prefix.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"), F.col("i").alias("j"), "major")
-    met = x.join(y, "token").where((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("major")) | (F.col("a") < F.col("b"))) & F.expr(f"({100 + percent}) * (1 + least(n - i, m - j)) >= {percent} * (n + m)"))
+    prefix = ranked.where(f"i <= n - ceil({percent} * n / 100) + 1").select("token", "node", "n", "root", "i", "major")
+    parity = sets.join(nodes.select("fp"), "fp", "left_semi").mapInArrow(_parities, "node bigint, h array<bigint>")
+    prefix = materialize(prefix.join(materialize(parity, "parities"), "node"), "prefixes")
+    x = prefix.where("root <> major").select("token", F.col("node").alias("a"), "n", F.col("root").alias("root_a"), "i", F.col("h").alias("g"))
+    y = prefix.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"), F.col("i").alias("j"), "major", "h")
+    differ = sum((F.bit_count(F.col("g")[w].bitwiseXOR(F.col("h")[w])) for w in range(4)), F.lit(0))
+    fits = F.expr(f"({100 + percent}) * (1 + least(n - i, m - j)) >= {percent} * (n + m)") & ((100 + percent) * (F.col("n") + F.col("m") - differ) >= 2 * percent * (F.col("n") + F.col("m")))
+    met = x.join(y, "token").where((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("major")) | (F.col("a") < F.col("b"))) & fits)
     names = nodes.mapInArrow(_keys, "fp binary, key bigint")
     pairs = met.select("a", "b").distinct()
     pairs = pairs.join(names.select(F.col("fp").alias("fa"), F.col("key").alias("a")), "a").join(names.select(F.col("fp").alias("fb"), F.col("key").alias("b")), "b")
     return pairs.select(F.col("fa").alias("a"), F.col("fb").alias("b"))
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 1024):
+            part = batch.slice(k, 1024)
+            raw = part["shingles"].to_pylist()
+            owner = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
+            bits = np.bincount(owner * 256 + (np.frombuffer(b"".join(raw), np.uint64) & U(255)).astype(np.int64), minlength=256 * len(raw)) % 2
+            words = np.packbits(bits.astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64)
+            node = np.frombuffer(b"".join(x[:8] for x in part["fp"].to_pylist()), np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1, dtype=np.int32) * 4), pa.array(words.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.array(node), lists], names=["node", "h"])
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch["fp"], pa.array(np.frombuffer(b"".join(x[:8] for x in batch["fp"].to_pylist()), np.int64))], names=["fp", "key"])

@@ -39,7 +39,7 @@ _CLASS[[0xC3, *range(0x80, 0xC0)]] = 1
 _LATIN = np.zeros(256, bool)
 _LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
 #: Texts of this many bytes share one table of distinct words.
-PART = 4 << 20
+PART = 2 << 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -111,6 +111,8 @@ class Vocabulary:
         self.numbers = [str(k) for k in range(self.size)]
         self.known = np.zeros(0, np.int64)  # pairs that have been checked, and what was found
         self.holds = np.zeros(0, bool)
+        del model, vocab, spec, texts, merges
+        tb.release()
 
     def border_holds(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """Whether merging the texts of a and b together keeps the border between them, up to merges before limit."""

@@ -31,6 +31,8 @@ from gridwake.plans.materialize import join_checked, materialize
 U = np.uint64
 #: Windows asked for at once; a larger benchmark is sent in several blocks.
 BLOCK = 1_000_000
+#: Bytes of text in a shard.
+SHARD = 2 << 20
 #: Candidate starts that a shard tests at once.
 CANDIDATES = 1 << 20
 _INDEX = "ids array<bigint>, words array<int>, terms binary, lists binary, positions binary"
@@ -56,7 +58,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The positional index of all tokens, a row for each shard of some MB of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tb.slices(batches, "text"):
+        for part in tb.slices(batches, "text", SHARD):
             words, n = words_of(part["text"])
             order = np.argsort(words, kind="stable")
             ranked = words[order]

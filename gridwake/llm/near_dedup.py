@@ -114,7 +114,7 @@ def _set_table(docs: DataFrame, words_each: int, bands: int, rows: int) -> DataF
     """(id, fp, n, bands): fp identifies the set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tb.slices(batches, "text", tb.SLICE // 2):
+        for part in tb.slices(batches, "text", tb.SLICE):
             sets, off = shingle_sets(*tb.utf8(part["text"]), words_each)
             n = np.diff(off)
             raw = sets.tobytes()
@@ -130,7 +130,7 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFra
     """(fp, shingles) of the texts whose id is in wanted (fp, id), read again from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tb.slices(batches, "text", tb.SLICE // 2):
+        for part in tb.slices(batches, "text", tb.SLICE):
             sets, off = shingle_sets(*tb.utf8(part["text"]), words_each)
             raw = sets.tobytes()
             cut = [raw[8 * a : 8 * b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]

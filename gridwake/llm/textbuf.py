@@ -6,6 +6,7 @@ bytes of longer characters always belong to words. Words, lines and n-grams are
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Bytes of text handled at once in a task; one longer text is still handled whole.
-SLICE = 2 << 20
+SLICE = 1 << 20
 _STEP = U(0x9E3779B97F4A7C15)
 _BASE = U(0xD1342543DE82EF95)
 
@@ -46,6 +47,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
+def release() -> None:
+    """Hand freed memory back to the system: a worker lives on after its task, beside the tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Parts of the batches with at most about `limit` bytes of text, so that memory is bounded by text and not by rows."""
     for batch in batches:
@@ -56,6 +64,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE) ->
             to = max(k + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(k, to - k)
             k = to
+        del batch
+    release()
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,8 @@
 """A corpus pipeline of operators in gridwake.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents; the last one returns
-the encoded texts. The driver, or run(), writes each result as Parquet and reads it again for the next stage.
+the encoded texts. The driver, or run(), writes each result as Parquet and reads it again for the next stage. Stages keep
+their Arrow batches small, since a session that runs them all has a full heap beside the batches.
 """
 
 from __future__ import annotations
@@ -9,32 +10,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridwake.llm import bpe_codec, decontamination, near_dedup, quality_rules, secret_scan
+from gridwake.llm import bpe_codec, decontamination, near_dedup, quality_rules, secret_scan, textbuf
 from gridwake.plans.materialize import materialize
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and the verdicts of their hosts reject go."""
+    textbuf.small_batches(spark)
     return quality_rules.keep_good(docs)
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
+    textbuf.small_batches(spark)
     return near_dedup.keep_one(docs)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
+    textbuf.small_batches(spark)
     return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; all documents stay, and n_chars follows the text."""
+    textbuf.small_batches(spark)
     return secret_scan.without_secrets(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids): the token ids of each document."""
+    textbuf.small_batches(spark)
     coded = bpe_codec.encode_column(docs, bpe_codec.default_path(), "text", "ids")
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

@@ -12,10 +12,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 U = np.uint64
 #: Bytes of text handled at once in a task; one longer text is still handled whole.
 SLICE = 1 << 20
+#: Bytes of rows that a batch may hold on its way to a task's Python; Spark's own limit is 64 MB.
+BATCH = 4 << 20
 _STEP = U(0x9E3779B97F4A7C15)
 _BASE = U(0xD1342543DE82EF95)
 
@@ -47,6 +50,18 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
+def small_batches(spark: SparkSession, most: int = BATCH) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch to `most`, if it is higher.
+
+    Batches lie outside the heap, and their buffers double as they grow, so each task can hold several times the limit
+    beside a heap that is full already. Rows are not affected: one that is longer travels alone.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name).rstrip("b"))
+    if now <= 0 or now > most:
+        spark.conf.set(name, most)
+
+
 def release() -> None:
     """Hand freed memory back to the system: a worker lives on after its task, beside the tasks of other stages."""
     pa.default_memory_pool().release_unused()

@@ -23,14 +23,18 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/gridwake-{uuid.uuid4().hex}/{tag}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back.
+#: Write options for rows of some MB that are compressed already: a page is closed by its size and not after 100 rows.
+LARGE_ROWS = {"compression": "none", "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
+
+
+def materialize(df: DataFrame, tag: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write df once as Parquet in the shared folder, with options of the Parquet writer if given, and read it back.
 
     Later jobs start from the files, so a lost executor costs a reread and not a recomputation,
     and a table with several readers is computed once.
     """
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridwake.llm import textbuf as tb
-from gridwake.plans.materialize import join_checked, materialize
+from gridwake.plans.materialize import LARGE_ROWS, join_checked, materialize
 
 U = np.uint64
 #: Windows asked for at once; a larger benchmark is sent in several blocks.
@@ -220,7 +220,7 @@ def document_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     A word is hit if any match covers it. `index` can be given if it has been built before.
     """
     spark = docs.sparkSession
-    index = materialize(build_index(docs, id_col, text_col), "index") if index is None else index
+    index = materialize(build_index(docs, id_col, text_col), "index", LARGE_ROWS) if index is None else index
     windows = materialize(item_windows(items, item_col, item_text_col, size), "windows")
     blocks = matches(index, windows, slop)
     schema = "id bigint, n_words bigint, n_hit bigint, items array<string>"

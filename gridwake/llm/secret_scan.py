@@ -1,7 +1,7 @@
 """Operator 2: secrets by known forms and by dictionary-primed novelty.
 
-Three known forms are found by their patterns. Beyond them, a string in a sensitive context (a word such as "key" or
-"credential" shortly before it) is a candidate. It is compressed with zstandard, primed with a dictionary of identifiers
+Three known forms are found by their patterns. Beyond them, a string of 8 or more characters in a sensitive context (a
+name with a word such as "key" or "credential" before it) is a candidate, or the part of it that no known form covers. It is compressed with zstandard, primed with a dictionary of identifiers
 and of the text around it; what it costs on top of an empty input are its marginal bytes. Names, paths and repeated
 strings cost little; a string that costs nearly its own entropy is new to its surroundings and reported.
 
@@ -12,7 +12,9 @@ are code points, the end exclusive.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,8 +32,19 @@ KINDS = (
 )
 NOVEL = "novel"
 _NAMES = (*(k[0] for k in KINDS), NOVEL)
-#: Words that make a context sensitive, and candidates behind them on the same line.
-_CONTEXT = re.compile(r"""(?:credential|passphrase|private|auth|bearer|access|signing|session|cookie|\bkey|\bpwd|\bpass)[A-Za-z_]{0,16}["']?\x20*(?:[:=]|\bis\b)?\x20*["']?([A-Za-z0-9+/_=-]{20,})""", re.IGNORECASE | re.ASCII)
+#: Strings that can be a secret, and names that hold a sensitive word: key, pass and pwd count at the start of a part of a name
+#: (API_KEY, encryptionKey) and, before an operator, anywhere (sshkey=). Patterns are tried where one of the stems stands.
+_STEMS = "credential pass private auth bearer access signing session cookie secret token api key pwd".split()
+_STRING = "[A-Za-z0-9+/_.=-]{8,}"
+_BEHIND = r"""["'`\])}>]{0,2}(?:\x20[a-z0-9]{1,12}){0,2}[ \t]*"""
+_BEFORE = r"""[ \t]*["'`(\[{<]{0,2}(?:(?:basic|bearer|digest|token)\x20+)?"""
+_LONG = "credential|passphrase|passwd|password|private|auth|bearer|access|signing|session|cookie|secret|token|api_?key"
+_CONTEXTS = (
+    re.compile(rf"""(?:{_LONG}|(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:key|pass|pwd))[a-z0-9_-]{{0,32}}(?:{_BEHIND}(?:=>|:=|->|==|[:=]|\b(?:is|was)\b)|["'`\])}}>]{{1,2}}|[ \t]){_BEFORE}({_STRING})""", re.IGNORECASE | re.ASCII),
+    re.compile(rf"""(?:key|pass|pwd){_BEHIND}(?:=>|:=|->|==|[:=]){_BEFORE}({_STRING})""", re.IGNORECASE | re.ASCII),
+    # Longer strings that follow a word without a break.
+    re.compile(r"(?:credential|passphrase|private|auth|bearer|access|signing|session|cookie|\bkey|\bpwd|\bpass)[A-Za-z_]{0,16}([A-Za-z0-9+/_.=-]{20,})", re.IGNORECASE | re.ASCII),
+)
 #: Identifiers that code is made of; the dictionary of the novelty test begins with them.
 IDENTIFIERS = (
     "abstract access account action address admin algorithm allow api app application args array assert async auth author "
@@ -56,6 +69,20 @@ IDENTIFIERS = (
 ).replace(" ", "_").encode()
 
 
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+def _letter_bits(names: str) -> dict[str, float]:
+    """Bits of each letter behind another one, and of each first letter of a part of a name, in names; unseen ones cost most."""
+    pairs = Counter(a + b for w in _PART.findall(names) for a, b in zip(" " + w.lower(), w.lower()))
+    firsts = Counter(p[0] for p in pairs.elements())
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return {a + b: -math.log2((pairs[a + b] + 0.3) / (firsts[a] + 0.3 * 26)) for a in " " + letters for b in letters}
+
+
+_BITS = _letter_bits(IDENTIFIERS.decode())
+
+
 class Novelty:
     """Marginal bytes of strings over a dictionary."""
 
@@ -67,10 +94,15 @@ class Novelty:
         pack = zstandard.ZstdCompressor(level=3, dict_data=primed, write_checksum=False, write_content_size=False).compress
         return len(pack(candidate.encode())) - len(pack(b""))
 
+    def letter_cost(self, own: str) -> float:
+        """Bytes of a string without digits, by the letters of identifiers; a break between its parts costs two bits."""
+        parts = _PART.findall(own)
+        return (sum(_BITS[a + b] for w in parts for a, b in zip(" " + w.lower(), w.lower())) + 2 * (len(parts) - 1)) / 8
+
     def is_new(self, text: str, start: int, end: int) -> bool:
-        """Whether text[start:end] is mixed of letters and digits and costs nearly its length."""
+        """Whether text[start:end] costs nearly its length. Words no dictionary holds are told from letters at random by their letters."""
         own = text[start:end]
-        if not (any(c.isdigit() for c in own) and any(c.isalpha() for c in own)):
+        if not any(c.isdigit() for c in own) and self.letter_cost(own) < self.rate * len(own):
             return False
         near = text[max(0, start - self.around) : start] + text[end : end + self.around]
         return self.cost(own, near) >= self.rate * len(own)
@@ -84,15 +116,42 @@ def known_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Distinct (start, end) of the strings in a sensitive context, without a sentence's stop."""
+    low = text.replace("İ", "i").lower()  # the one letter that grows
+    found = set()
+    for stem in _STEMS:
+        at = low.find(stem)
+        while at >= 0:
+            for m in filter(None, (p.match(text, at) for p in _CONTEXTS)):
+                a, b = m.start(1), m.start(1) + len(m[1].rstrip("."))
+                if b - a >= 8:
+                    found.add((a, b))
+            at = low.find(stem, at + 1)
+    return sorted(found)
+
+
+def _uncovered(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The stretches of start to end that no span covers."""
+    out = []
+    for s, _, e in sorted(spans):
+        if s < end and start < e:
+            if s > start:
+                out.append((start, s))
+            start = max(start, e)
+    return out + [(start, end)] if start < end else out
+
+
 def scan(text: str, novelty: Novelty | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(spans of the fixed forms, all spans), each as (start, kind, end) in order."""
     base = known_spans(text)
     novelty = novelty or Novelty()
-    more = []
-    for m in _CONTEXT.finditer(text):
-        a, b = m.span(1)
-        if not any(s < b and a < e for s, _, e in base) and novelty.is_new(text, a, b):
-            more.append((a, len(KINDS), b))
+    more: list[tuple[int, int, int]] = []
+    for a, b in candidates(text):
+        rest = _uncovered(a, b, base + more)
+        # What stands in one string with a known form belongs to it.
+        if rest and (any(s < b and a < e for s, _, e in base) or novelty.is_new(text, a, b)):
+            more += [(x, len(KINDS), y) for x, y in rest]
     return base, sorted(base + more) if more else base
 
 

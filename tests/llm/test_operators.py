@@ -193,6 +193,18 @@ def test_secret_spans_and_redaction(docs, none):
     assert secret_scan.find_secrets(none).count() == 0
 
 
+def test_secrets_behind_names_and_short_ones():
+    for head, value in (
+        ('SECRET_KEY = "', "q9ZxT7LmPw3R"), ("encryption_key=", "aB3dE5gH9k"), ("encryptionKey := ", "Zk39fjw02k"), ("DB_PASS=", "h7Gk29sLq"), ("client_secret => ", "x8Yt2Lm9Qw"),
+        ("the token is ", "kJhGfDsAqWeRt"), ("pwd: ", "48291736"), ("private_key -> ", "qzxvkjwpt"), ("Authorization: Bearer ", "eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJSMeK"),
+    ):
+        assert secret_scan.scan(f"é {head}{value}. ")[1] == [(2 + len(head), 3, 2 + len(head) + len(value))], head
+    part = "key: " + "0f" * 16 + ".zQ8rT5wLm2"
+    assert secret_scan.redacted(part, secret_scan.scan(part)[1]) == "key: [secret][secret]"
+    for plain in ("the password is incorrect and the access control was enabled", "monkey bananas12", "session = configuration", "private information"):
+        assert not secret_scan.scan(plain)[1], plain
+
+
 @pytest.fixture(scope="module")
 def codec():
     return bpe_codec.vocabulary(bpe_codec.default_path())

@@ -4,8 +4,8 @@ Writing: records with equal payloads (by SHA-1) meet once; the smallest id is th
 refer to it and store no payload. Records are lines of Spark's text writer whose line separator is the empty line that
 ends a WARC record, so the archives are plain, valid WARC files in whatever store Spark writes to.
 
-Reading: a task takes a file and emits for each place where a record could begin, that is for each magic, where it would
-end by its own header. A payload can hold a magic, even a whole record, so candidates are no records yet. The offsets of
+Reading: a task takes a file and emits for each place where a record could begin, that is for each magic at the start or
+behind an empty line, where it would end by its own header. A payload can hold a magic, even a whole record, so candidates are no records yet. The offsets of
 a file then go to one small group that follows them from the file's start by pointer jumping: in round k every candidate
 knows the candidate 2**k records ahead, so the chain is known after log2(n) rounds. Candidates off the chain are dropped.
 
@@ -36,7 +36,6 @@ MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 FILE_BYTES = 8 << 20
-_HEADER_LIMIT = 1 << 16
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -81,13 +80,13 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
 def write_warc(pages: DataFrame, folder: str, **columns) -> None:
     """Write a record for each page to WARC files of about FILE_BYTES in folder."""
-    html = columns.get("html_col", "html")
-    size = F.coalesce(F.octet_length(html), F.lit(0)).cast("long") + 600
+    size = sum((F.coalesce(F.octet_length(columns.get(f"{c}_col", c)), F.lit(0)).cast("long") for c in ("html", "url")), F.lit(600))
     mean = pages.agg(F.avg(size)).first()[0] or 600
     per_file = max(1, int(FILE_BYTES / mean))
     records(pages, **columns).select("record").write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(folder)
 
 
+_NEXT = END.encode() + MAGIC
 _CONTENT = re.compile(rb"\r\nContent-Length: (\d{1,18})\r\n")
 
 
@@ -97,10 +96,10 @@ def _field(head: bytes, name: bytes) -> str | None:
 
 
 def _candidates(content: bytes) -> Iterator[tuple]:
-    """(offset, next offset, type, id, refers to, payload bytes, digest said, digest of the stored payload) for each magic."""
-    at = content.find(MAGIC)
-    while at >= 0:
-        close = content.find(b"\r\n\r\n", at, at + _HEADER_LIMIT)
+    """(offset, next offset, type, id, refers to, payload bytes, digest said, digest of the stored payload) for each magic at the start or behind an empty line."""
+    at = 0 if content.startswith(MAGIC) else content.find(_NEXT) + 4
+    while at != 3:
+        close = content.find(b"\r\n\r\n", at)  # headers are of any length, and those of two magics share no byte
         head = content[at : close + 2] if close >= 0 else b""
         length = _CONTENT.search(head)
         body = close + 4
@@ -114,7 +113,7 @@ def _candidates(content: bytes) -> Iterator[tuple]:
             size = len(stored) if kind != "revisit" else int(full[1]) if full else None
             digest = said if kind == "revisit" else base64.b32encode(hashlib.sha1(stored).digest()).decode()
             yield at, end + 4, kind, _field(head, b"WARC-Record-ID"), _field(head, b"WARC-Refers-To"), size, said, digest
-        at = content.find(MAGIC, at + 1)
+        at = content.find(_NEXT, at) + 4
 
 
 def chain(offset: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -135,7 +134,7 @@ def chain(offset: np.ndarray, after: np.ndarray) -> np.ndarray:
     return reached[:n]
 
 
-_CANDIDATE = "file string, start bigint, after bigint, kind string, record_id string, refers_to string, payload_bytes bigint, digest_said string, digest string"
+_CANDIDATE = "file string, start bigint, after bigint, kind string, record_id string, refers_to string, payload_bytes bigint, digest_said string, digest string, file_bytes bigint"
 
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,7 +145,10 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                rows = [(path.as_py(), *c) for c in _candidates(content.as_buffer().to_pybytes())]
+                stored = content.as_buffer().to_pybytes()
+                rows = [(path.as_py(), *c, len(stored)) for c in _candidates(stored)]
+                if stored and not rows:
+                    raise ValueError(f"{path}: no record begins in {len(stored)} bytes")
                 columns = zip(*rows) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
@@ -154,15 +156,20 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of the archives in folder: the candidates that the chain of their file reaches."""
+    """The records of the archives in folder: the candidates that the chain of their file reaches. A chain that does not end with its file is an error."""
     found = materialize(candidates(spark, folder), "candidates")
 
     def follow(group: pa.Table) -> pa.Table:
         group = group.sort_by("start")
-        return group.filter(pa.array(chain(group["start"].to_numpy(), group["after"].to_numpy()))).select(["file", "start"])
-
-    on_chain = found.select("file", "start", "after").groupBy("file").applyInArrow(follow, "file string, start bigint")
-    return found.join(on_chain, ["file", "start"], "left_semi")
+        after = group["after"].to_numpy()
+        reached = chain(group["start"].to_numpy(), after)
+        end, size = after[reached].max(initial=0), group["file_bytes"][0].as_py()
+        if end != size:
+            raise ValueError(f"{group['file'][0]}: the records end at byte {end} of {size}")
+        return group.filter(pa.array(reached)).select(["file", "start"])
+
+    on_chain = found.select("file", "start", "after", "file_bytes").groupBy("file").applyInArrow(follow, "file string, start bigint")
+    return found.join(on_chain, ["file", "start"], "left_semi").drop("file_bytes")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -303,6 +303,19 @@ def test_warc_round_trip(spark):
     assert all(r["digest"] == r["digest_said"] for r in records.collect())
 
 
+def test_warc_long_urls_and_broken_chains(spark):
+    rows = [(1, "data:" + "x" * 200_000, "a"), (2, "u", "b"), (3, " " * 70_000, None), (4, "u/WARC/1.1", "c\r\n\r\nWARC/1.1\r\n"), (5, "v", "d")]
+    folder = new_path(spark, "warc")
+    warc_files.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+    got = warc_files.read_warc(spark, folder).select("record_id", "payload_bytes").collect()
+    assert sorted(map(tuple, got)) == [(f"<urn:page:{i}>", len(h or "")) for i, _, h in rows]
+    for k, content in enumerate(("WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\nrest", "x", "WARC/1.1\r\n")):
+        broken = new_path(spark, f"broken{k}")
+        spark.createDataFrame([(content,)], "record string").write.option("lineSep", "\r\n").text(broken)
+        with pytest.raises(Exception, match="records end at byte|no record begins"):
+            warc_files.read_warc(spark, broken).count()
+
+
 def test_chain_drops_what_the_start_does_not_reach():
     offset, after = np.array([0, 10, 15, 30, 35]), np.array([10, 30, 35, 50, 60])
     assert warc_files.chain(offset, after).tolist() == [True, True, False, True, False]

@@ -101,6 +101,11 @@ def t09(spark, sf):
 
 @query("t10_statistical_outliers", f"WITH {NEAR}, k AS (SELECT *, row_number() OVER (PARTITION BY frame_id, point_id ORDER BY d2, other) AS r FROM near), m AS (SELECT frame_id, point_id, avg(sqrt(d2)) AS d FROM k WHERE r <= 2 GROUP BY 1, 2 HAVING count(*) = 2), l AS (SELECT frame_id, avg(d) + stddev_samp(d) AS lim FROM m GROUP BY 1) SELECT frame_id, point_id FROM m JOIN l USING (frame_id) WHERE d <= lim")
 def t10(spark, sf):
+    return T.statistical_outliers_within(_numbered(spark, sf), 60, 2, 1.0).select("frame_id", "point_id")
+
+
+@query("t10_statistical_outliers_all", f"WITH {NUM}, p AS (SELECT a.frame_id, a.point_id, min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), 2) AS near FROM num a JOIN num b ON a.frame_id = b.frame_id AND a.point_id <> b.point_id GROUP BY 1, 2), m AS (SELECT frame_id, point_id, (sqrt(near[1]) + sqrt(near[2])) / 2 AS d FROM p), l AS (SELECT frame_id, avg(d) + stddev_samp(d) AS lim FROM m GROUP BY 1) SELECT frame_id, point_id FROM m JOIN l USING (frame_id) WHERE d <= lim")
+def t10_all(spark, sf):
     return T.statistical_outliers(_numbered(spark, sf), 60, 2, 1.0).select("frame_id", "point_id")
 
 

@@ -380,6 +380,14 @@ def test_planes_and_morphology(spark):
     assert [r.z for r in tall] == [900.0]
 
 
+def test_outliers_are_judged_by_the_nearest_at_any_distance(spark):
+    line = [(1, k, 1000.0 * k, 0.0, 0.0) for k in range(20)] + [(1, 99, 90_000.0, 0.0, 0.0), (2, 1, 5.0, 5.0, 5.0), (3, 1, 0.0, 0.0, 0.0), (3, 2, 500.0, 0.0, 0.0), (1, 98, float("nan"), 0.0, 0.0)]
+    df = spark.createDataFrame(line, "frame_id long, point_id long, x double, y double, z double")
+    for edge in (60.0, 5000.0):
+        kept = sorted((r.frame_id, r.point_id) for r in transform.statistical_outliers(df, edge, 2, 1.0).collect())
+        assert kept == [(1, k) for k in range(20)] + [(2, 1), (3, 1), (3, 2)]
+
+
 def test_transforms(spark):
     m = geo.compose([[1, 0, 0, 1], [0, 1, 0, 2], [0, 0, 1, 3]], 90, 10, 20)
     df = transform.rigid(spark.createDataFrame([(1.0, 0.0, 4.0)], "x double, y double, z double"), m).first()

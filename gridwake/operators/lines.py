@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwake.functions import geometry as geo
+from gridwake.plans.materialize import materialize
 
 
 def raster(points: DataFrame, scale: float, off_x: int, off_y: int) -> DataFrame:
@@ -135,38 +136,96 @@ def sliding_average(lines: DataFrame, every: int) -> DataFrame:
     return out.select("side", "run", F.coalesce("x0", F.lit(0.0)).alias("x0"), F.coalesce("x1", F.lit(0.0)).alias("x1"))
 
 
+_BLOCK = 20_000
+
+
 def plane_ransac(points: DataFrame, threshold: float, rounds: int = 800, seed: int = 7) -> DataFrame:
-    """(frame_id, a, b, c, d, inliers): the best of `rounds` planes through three of a frame's points, drawn with a fixed seed.
+    """(frame_id, a, b, c, d, inliers): the best of `rounds` planes through three of a frame's points, drawn with a fixed seed and fitted to its inliers.
 
-    The planes are drawn from a bounded sample of the frame (the 30 points of the smallest hashes); the inliers are counted over all points.
+    Points of finite coordinates are drawn from a frame's distinct ones: the 3 * rounds of the smallest hashes are a random sample
+    of them, and its rows in turn are the rounds; a smaller frame, and rounds whose points lie on a line, draw anew from the sample.
+    Inliers are counted over all points, in blocks of a frame's distinct ones, and again for the fitted plane. A frame without a
+    plane (fewer than three distinct points, or all on a line) has nulls and no inliers.
     """
-    ranked = points.withColumn("r", F.row_number().over(Window.partitionBy("frame_id").orderBy(F.xxhash64(F.lit(seed), "x", "y", "z"))))
-    sample = ranked.where("r <= 30").groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("r", "x", "y", "z"))).alias("s"))
-
-    @F.pandas_udf("array<struct<a:double,b:double,c:double,d:double>>")
+    finite = F.lit(True)
+    for c in "xyz":
+        finite = finite & (F.abs(F.col(c).cast("double")) < float("inf"))  # NaN is greater
+    single = points.where(finite).groupBy("frame_id", *(F.col(c).cast("double").alias(c) for c in "xyz")).agg(F.count(F.lit(1)).alias("n"))
+    single = materialize(single, "distinct_points")
+    order = F.xxhash64(F.lit(seed), "x", "y", "z")
+    ranked = single.withColumn("r", F.row_number().over(Window.partitionBy("frame_id").orderBy(order, "x", "y", "z"))).where(F.col("r") <= 3 * rounds)
+    sample = ranked.groupBy("frame_id").agg(F.array_sort(F.collect_list(F.struct("r", "x", "y", "z"))).alias("s"))
+
+    @F.pandas_udf("array<struct<a:double,b:double,c:double,d:double,px:double,py:double,pz:double>>")
     def planes(s: pd.Series) -> pd.Series:
         out = []
         for rows in s:
             p = np.array([(q["x"], q["y"], q["z"]) for q in rows], float)
             rng = np.random.default_rng(seed)
+            triples = np.arange(3 * rounds).reshape(-1, 3) if len(p) == 3 * rounds else np.zeros((0, 3), int)
             found = []
-            for _ in range(rounds if len(p) >= 3 else 0):
-                i, j, k = rng.choice(len(p), 3, replace=False)
-                n = np.cross(p[j] - p[i], p[k] - p[i])
-                size = np.linalg.norm(n)
-                if size:
-                    n = n / size * (1 if n[2] >= 0 else -1)
-                    found.append((float(n[0]), float(n[1]), float(n[2]), float(-n @ p[i])))
-            out.append([dict(zip("abcd", f)) for f in sorted(set(found))])
+            for _ in range(20 if len(p) >= 3 else 0):  # degenerate rounds are drawn again so often
+                i, j, k = (p[triples[:, c]] for c in range(3))
+                n = np.cross(j - i, k - i)
+                size = np.linalg.norm(n, axis=1)
+                good = size > 1e-9 * np.linalg.norm(j - i, axis=1) * np.linalg.norm(k - i, axis=1)
+                n = n[good] / size[good, None] * np.where(n[good, 2:] >= 0, 1, -1)
+                found += [(*m, -m @ q, *q) for m, q in zip(n, i[good])]
+                if len(found) >= rounds:
+                    break
+                triples = rng.integers(0, len(p), (rounds - len(found), 3))
+            if len(p) >= 3 and not found:  # all but a few on one line: through the line's ends and the point farthest from it
+                away = np.linalg.norm(p - p[0], axis=1)
+                j = p[away.argmax()]
+                side = np.cross(j - p[0], p - p[0])
+                far = np.linalg.norm(side, axis=1)
+                k = far.argmax()
+                if far[k] > 1e-9 * away.max() * away[k]:
+                    m = side[k] / far[k] * (1 if side[k][2] >= 0 else -1)
+                    found.append((*m, -m @ p[0], *p[0]))
+            out.append([dict(zip(("a", "b", "c", "d", "px", "py", "pz"), map(float, f))) for f in sorted(set(found))])
         return pd.Series(out)
 
-    models = sample.select("frame_id", F.explode(planes("s")).alias("m")).select("frame_id", "m.*")
-    fits = points.join(F.broadcast(sample.select("frame_id", planes("s").alias("m"))), "frame_id")
-    inside = F.transform("m", lambda m: (F.abs(m["a"] * F.col("x") + m["b"] * F.col("y") + m["c"] * F.col("z") + m["d"]) <= threshold).cast("long"))
-    votes = fits.select("frame_id", F.posexplode(inside).alias("k", "v")).groupBy("frame_id", "k").agg(F.sum("v").alias("inliers"))
-    placed = models.withColumn("k", F.row_number().over(Window.partitionBy("frame_id").orderBy("a", "b", "c", "d")) - 1)
-    best = votes.groupBy("frame_id").agg(F.max_by("k", F.struct("inliers", -F.col("k"))).alias("k"), F.max("inliers").alias("inliers"))
-    return best.join(placed, ["frame_id", "k"]).select("frame_id", "a", "b", "c", "d", "inliers")
+    models = materialize(sample.select("frame_id", planes("s").alias("m")), "planes")
+
+    def count(key: tuple, own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        m = np.array([[q[c] for c in "abcd"] for q in model["m"].iloc[0]], float).reshape(-1, 4) if len(model) else np.zeros((0, 4))
+        votes = np.zeros(len(m), np.int64)
+        xyz, n = own[["x", "y", "z"]].to_numpy(float), own["n"].to_numpy()
+        for at in range(0, len(xyz), 2000):
+            votes += (np.abs(xyz[at : at + 2000] @ m[:, :3].T + m[:, 3]) <= threshold).T @ n[at : at + 2000]
+        return pd.DataFrame({"frame_id": key[0], "k": np.arange(len(m)), "votes": votes})
+
+    blocks = single.groupBy("frame_id").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("blocks"))
+    dealt = single.join(blocks, "frame_id").withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "x", "y", "z"), F.col("blocks")))
+    sent = models.join(blocks, "frame_id").select("frame_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "m")
+    votes = dealt.select("frame_id", "block", "x", "y", "z", "n").groupBy("frame_id", "block").cogroup(sent.groupBy("frame_id", "block")).applyInPandas(count, "frame_id bigint, k bigint, votes bigint")
+    best = votes.groupBy("frame_id", "k").agg(F.sum("votes").alias("votes")).groupBy("frame_id").agg(F.max_by("k", F.struct("votes", -F.col("k"))).alias("k"))
+    drawn = materialize(models.join(best, "frame_id").select("frame_id", F.expr("m[int(k)]").alias("m")).select("frame_id", "m.*"), "best_planes")
+
+    # The fit: sums of the inliers' coordinates from a point of the plane, and the direction in which they spread least.
+    inside = F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z") + F.col("d")) <= threshold
+    u = {c: F.col(c) - F.col(f"p{c}") for c in "xyz"}
+    n = F.col("n")
+    near = single.join(drawn, "frame_id").where(inside)
+    sums = near.groupBy("frame_id").agg(F.array(F.sum(n).cast("double"), *(F.sum(n * u[c]) for c in "xyz"), *(F.sum(n * u[c] * u[e]) for c in "xyz" for e in "xyz")).alias("s"))
+
+    @F.pandas_udf("struct<a:double,b:double,c:double,d:double>")
+    def refit(s: pd.Series, px: pd.Series, py: pd.Series, pz: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+        out = []
+        for q, *rest in zip(s, px, py, pz, a, b, c, d):
+            q, at = np.array(q, float), np.array(rest[:3], float)
+            mean = q[1:4] / q[0]
+            value, vector = np.linalg.eigh(q[4:].reshape(3, 3) / q[0] - np.outer(mean, mean))
+            m = vector[:, 0] * (1 if vector[2, 0] >= 0 else -1)
+            # Three points, or points on a line, do not fix another plane.
+            out.append((*m, -m @ (at + mean)) if q[0] > 3 and value[1] > 1e-12 * max(value[2], 1e-300) else tuple(rest[3:]))
+        return pd.DataFrame(out, columns=list("abcd"))
+
+    fitted = materialize(drawn.join(sums, "frame_id").select("frame_id", refit("s", "px", "py", "pz", "a", "b", "c", "d").alias("m")).select("frame_id", "m.*"), "fitted_planes")
+    inliers = single.join(fitted, "frame_id").where(inside).groupBy("frame_id").agg(F.sum("n").alias("inliers"))
+    frames = points.select("frame_id").distinct()
+    return frames.join(fitted, "frame_id", "left").join(inliers, "frame_id", "left").select("frame_id", "a", "b", "c", "d", F.coalesce("inliers", F.lit(0).cast("long")).alias("inliers"))
 
 
 def morphological_ground(points: DataFrame, cell: float, windows: tuple[int, ...] = (1, 2, 4), slope: float = 1.0, initial: float = 0.15, most: float = 2.5) -> DataFrame:

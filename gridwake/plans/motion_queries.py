@@ -492,7 +492,7 @@ def c01(spark, sf):
 
 @query("c02_plane_ransac")
 def c02(spark, sf):
-    return lines.plane_ransac(fixtures.points(spark, sf), 60.0, 200)
+    return lines.plane_ransac(fixtures.points(spark, sf), 60.0, 800)
 
 
 # --- tracks -------------------------------------------------------------------------------------------------------

@@ -380,6 +380,21 @@ def test_planes_and_morphology(spark):
     assert [r.z for r in tall] == [900.0]
 
 
+def test_planes_of_frames_with_repeats_and_without_any(spark):
+    rng = np.random.default_rng(1)
+    ground = [(1, float(x), float(y), float(0.1 * x + 3.0 + e)) for x, y, e in zip(rng.uniform(0, 900, 300), rng.uniform(0, 900, 300), rng.uniform(-1, 1, 300))]
+    zero = [(1, 0.0, 0.0, 0.0)] * 150 + [(1, float("nan"), 0.0, 0.0)]
+    line = [(2, float(k), 2.0 * k, 0.0) for k in range(50)]
+    few = [(3, 1.0, 1.0, 1.0)] * 40 + [(3, 2.0, 1.0, 1.0)]
+    df = spark.createDataFrame(ground + zero + line + few, "frame_id long, x double, y double, z double")
+    one, two, three = lines.plane_ransac(df, 2.0).orderBy("frame_id").collect()
+    xyz, normal = np.array([g[1:] for g in ground]), np.array([one.a, one.b, one.c])
+    assert one.inliers == (np.abs(xyz @ normal + one.d) <= 2.0).sum() + 150 * (abs(one.d) <= 2.0) and one.inliers >= 300
+    centred = xyz - xyz.mean(axis=0)
+    assert abs(normal @ np.linalg.svd(centred)[2][2]) > 0.99999
+    assert [tuple(two), tuple(three)] == [(2, None, None, None, None, 0), (3, None, None, None, None, 0)]
+
+
 def test_outliers_are_judged_by_the_nearest_at_any_distance(spark):
     line = [(1, k, 1000.0 * k, 0.0, 0.0) for k in range(20)] + [(1, 99, 90_000.0, 0.0, 0.0), (2, 1, 5.0, 5.0, 5.0), (3, 1, 0.0, 0.0, 0.0), (3, 2, 500.0, 0.0, 0.0), (1, 98, float("nan"), 0.0, 0.0)]
     df = spark.createDataFrame(line, "frame_id long, point_id long, x double, y double, z double")

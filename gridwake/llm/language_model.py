@@ -14,8 +14,9 @@ over the estimates' sizes (powers of STEP), bounded by the number of cells; that
 The texts are read twice, and a block is told by its place and a checksum of its tokens; the documents must therefore
 come from a table, whose reading deals them alike each time. If they don't, the operator stops with an error.
 
-Defined results: a null or empty text is one end; a null id trains the model and is never held out; repeated rows count
-repeatedly and are scored alike; an empty table gives no rows.
+Defined results: a null or empty text is one end; a text of any length lies whole in one block; a null id trains the
+model and is never held out; repeated rows count repeatedly and are scored alike; ids keep their type; other columns are
+not read, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -99,6 +100,10 @@ def block_grams(tokens: np.ndarray, n: np.ndarray, order: int) -> tuple[np.ndarr
     return np.unique(flat, return_inverse=True)
 
 
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def _tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """(key, rows, tokens, tokens of each text, held) of each block; the key tells blocks apart and says what they hold."""
     part = TaskContext.get().partitionId()
@@ -161,14 +166,14 @@ def _documents(texts: DataFrame) -> DataFrame:
         for key, rows, tokens, n, held in _tokenised(batches):
             words, places = np.unique(tokens, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([key]), pa.array([rows["id"].to_pylist()], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([n.astype(np.int32)], pa.list_(pa.int32())), pa.array([_packed_hashes(words)], pa.binary()), pa.array([_pack(places.astype(np.int32))], pa.binary())],
+                [pa.array([key]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows["id"]), pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([n.astype(np.int32)], pa.list_(pa.int32())), pa.array([_packed_hashes(words)], pa.binary()), pa.array([_pack(places.astype(np.int32))], pa.binary())],
                 names=["block", "ids", "held", "sizes", "words", "places"],
             )
 
-    return texts.mapInArrow(run, "block string, ids array<bigint>, held array<boolean>, sizes array<int>, words binary, places binary")
+    return texts.mapInArrow(run, f"block string, ids array<{_kind(texts, 'id')}>, held array<boolean>, sizes array<int>, words binary, places binary")
 
 
-_MODEL = "ids array<bigint>, held array<boolean>, sizes array<int>, counts array<binary>, begins bigint, trained bigint, types double"
+_MODEL = "ids array<{}>, held array<boolean>, sizes array<int>, counts array<binary>, begins bigint, trained bigint, types double"
 
 
 def _resolved(documents: DataFrame, answers: DataFrame, order: int) -> DataFrame:
@@ -193,7 +198,7 @@ def _resolved(documents: DataFrame, answers: DataFrame, order: int) -> DataFrame
         row |= {"begins": pa.array([int(count[-1])], pa.int64()), "trained": pa.array([int(trains.sum())], pa.int64()), "types": pa.array([float((local[seen] / totals[seen]).sum())])}
         return pa.table(row)
 
-    return documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(whole, _MODEL)
+    return documents.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(whole, _MODEL.format(_kind(documents, "ids").removeprefix("array<")[:-1]))
 
 
 def _cell(p: np.ndarray) -> np.ndarray:
@@ -249,7 +254,7 @@ def _histogram(model: DataFrame, order: int, total: int) -> DataFrame:
                     found[c] = found.get(c, 0) + m
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["code", "n"])
 
-    return model.mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    return model.mapInArrow(tb.tidy(run), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def learn_weights(histogram: list[tuple[int, int]], order: int, vocabulary: int, rounds: int = 100) -> np.ndarray:
@@ -280,11 +285,12 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
     """
     spark = docs.sparkSession
     held_out = F.crc32(F.col("id").cast("string").cast("binary")) % 7 == 2 if held_out is None else held_out
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"id {_kind(texts, 'id')}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     texts = texts.withColumn("held", F.coalesce(held_out, F.lit(False)))
     size = texts.agg(F.sum(F.octet_length("text").cast("long")), F.count(F.lit(1))).first()
     if not size[1]:
-        return spark.createDataFrame([], "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+        return spark.createDataFrame([], schema)
     # A word of text has 5 bytes or more, as a rule; more n-grams than expected make larger ranges, not lost ones.
     expected = order * ((size[0] or 0) // 5 + size[1])
     answers = _answers(_requests(texts, order, max(1, -(-expected // RANGE))))
@@ -305,11 +311,11 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", orde
                 first = np.cumsum(block.sizes) - block.sizes
                 base = np.log10((block.count[0] + 1) / (total + types + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(batch["ids"][k].as_py(), pa.int64()), pa.array(block.held), pa.array(block.sizes), pa.array(np.add.reduceat((block.count[0] > 0).astype(np.int64), first)), pa.array(np.full(len(first), total)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(np.log10(p), first))],
+                    [batch["ids"][k].values, pa.array(block.held), pa.array(block.sizes), pa.array(np.add.reduceat((block.count[0] > 0).astype(np.int64), first)), pa.array(np.full(len(first), total)), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(np.log10(p), first))],
                     names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return model.mapInArrow(run, "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return model.mapInArrow(tb.tidy(run), schema)
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

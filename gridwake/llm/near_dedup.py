@@ -6,14 +6,17 @@ as soon as every slot holds a rank below j + 1, which for all but short texts is
 rows make buckets. In a bucket every node is compared with one pivot, on full sets. Further pairs of a bucket are
 compared only where they can still matter: two nodes that links to pivots connect already need no link of their own,
 and of the others two can be linked only if they share one of their rarest shingles, early enough for the shared rest to
-suffice (prefix and positional filter of exact set joins, which lose nothing). No bucket is capped. Links go to connected components by alternating large-star and small-star
-steps on tables in the shared folder.
+suffice (prefix and positional filter of exact set joins, which lose nothing). No bucket is capped. Grouping is
+union-find in its distributed form: no task holds a forest; alternating large-star and small-star steps, on tables in the
+shared folder, unite the trees of linked nodes and hang every node on the root of its tree.
 
 With 32 bands of 4 rows a pair at similarity 0.75 shares no bucket with probability 5e-6.
 
-Defined results: an empty or null text, or one without words, has an empty set and is linked with nothing. Rows with
-the same text are one node, so all rows of the smallest id are kept. A null id never names a group unless all its
-members' ids are null; then the component is null and all are kept. An empty table gives no rows.
+Defined results: an empty or null text, or one without words, has an empty set and is linked with nothing; a text of any
+length is one set. Rows with the same set are one node, so all rows of the smallest id with that text are kept, and rows
+of one id with different texts are judged each by its own text. Ids keep their type and are compared by it. A null id
+never names a group unless all its members' ids are null; then the component is null and all are kept. Other columns are
+not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwake.llm import textbuf as tb
@@ -77,8 +80,7 @@ def super_minhash(elements: np.ndarray, off: np.ndarray, slots: int) -> np.ndarr
             keep = on[own]
             seed, own = seed[keep], own[keep]
             perm = perm[keep] if perm is not None else None
-            swapped = swapped[keep]
-        n_rows = len(alive)
+            swapped, n_rows = swapped[keep], len(alive)
         if not len(alive):
             break
         mixed = tb.mix(seed + U((j + 1) * 0x9E3779B97F4A7C15 % 2**64))
@@ -111,26 +113,26 @@ def band_keys(rank: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _set_table(docs: DataFrame, words_each: int, bands: int, rows: int) -> DataFrame:
-    """(id, fp, n, bands): fp identifies the set, null for an empty one."""
+    """(id, key, fp, n, bands): fp identifies the set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tb.slices(batches, "text", tb.SLICE):
+        for part in tb.slices(batches, "text", tb.SLICE // 2):
             sets, off = shingle_sets(*tb.utf8(part["text"]), words_each)
             n = np.diff(off)
             raw = sets.tobytes()
             fp = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
             keys = band_keys(super_minhash(sets, off, bands * rows), bands, rows).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part["id"], pa.array(fp, pa.binary()), pa.array(n), lists], names=["id", "fp", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([part["id"], part["key"], pa.array(fp, pa.binary()), pa.array(n), lists], names=["id", "key", "fp", "n", "bands"])
 
-    return docs.mapInArrow(run, "id bigint, fp binary, n bigint, bands array<bigint>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, key bigint, fp binary, n bigint, bands array<bigint>")
 
 
 def _wanted_sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
     """(fp, shingles) of the texts whose id is in wanted (fp, id), read again from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in tb.slices(batches, "text", tb.SLICE):
+        for part in tb.slices(batches, "text", tb.SLICE // 2):
             sets, off = shingle_sets(*tb.utf8(part["text"]), words_each)
             raw = sets.tobytes()
             cut = [raw[8 * a : 8 * b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
@@ -160,7 +162,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(shared, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "shared", "total"])
 
     full = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "sa", "sb")
-    return full.mapInArrow(run, "a binary, b binary, shared bigint, total bigint")
+    return full.mapInArrow(tb.tidy(run), "a binary, b binary, shared bigint, total bigint")
 
 
 def _exact_candidates(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -187,7 +189,7 @@ def _exact_candidates(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(x[k : k + (1 << 19)]) for x in columns], names=["token", "node", "n", "root"])
 
     sized = nodes.join(nodes.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
-    rows = sets.join(sized, "fp").select("fp", "n", "root", "size", "shingles").mapInArrow(run, "token bigint, node bigint, n bigint, root bigint")
+    rows = sets.join(sized, "fp").select("fp", "n", "root", "size", "shingles").mapInArrow(tb.tidy(run), "token bigint, node bigint, n bigint, root bigint")
     rows = materialize(rows, "open_shingles")
     known = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max("root").alias("major"), F.min("root").alias("least"))
     known = known.where("least <> major").select("token", "df", "major")
@@ -195,14 +197,14 @@ def _exact_candidates(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFr
     ranked = rows.join(known, "token").withColumn("k", F.count(F.lit(1)).over(own)).withColumn("i", F.row_number().over(own.orderBy("df", "token")))
     ranked = ranked.withColumn("i", F.col("n") - F.col("k") + F.col("i"))
     prefix = ranked.where(f"i <= n - ceil({percent} * n / 100) + 1").select("token", "node", "n", "root", "i", "major")
-    parity = sets.join(nodes.select("fp"), "fp", "left_semi").mapInArrow(_parities, "node bigint, h array<bigint>")
+    parity = sets.join(nodes.select("fp"), "fp", "left_semi").mapInArrow(tb.tidy(_parities), "node bigint, h array<bigint>")
     prefix = materialize(prefix.join(materialize(parity, "parities"), "node"), "prefixes")
     x = prefix.where("root <> major").select("token", F.col("node").alias("a"), "n", F.col("root").alias("root_a"), "i", F.col("h").alias("g"))
     y = prefix.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"), F.col("i").alias("j"), "major", "h")
     differ = sum((F.bit_count(F.col("g")[w].bitwiseXOR(F.col("h")[w])) for w in range(4)), F.lit(0))
     fits = F.expr(f"({100 + percent}) * (1 + least(n - i, m - j)) >= {percent} * (n + m)") & ((100 + percent) * (F.col("n") + F.col("m") - differ) >= 2 * percent * (F.col("n") + F.col("m")))
     met = x.join(y, "token").where((F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("major")) | (F.col("a") < F.col("b"))) & fits)
-    names = nodes.mapInArrow(_keys, "fp binary, key bigint")
+    names = nodes.mapInArrow(tb.tidy(_keys), "fp binary, key bigint")
     pairs = met.select("a", "b").distinct()
     pairs = pairs.join(names.select(F.col("fp").alias("fa"), F.col("key").alias("a")), "a").join(names.select(F.col("fp").alias("fb"), F.col("key").alias("b")), "b")
     return pairs.select(F.col("fa").alias("a"), F.col("fb").alias("b"))
@@ -258,9 +260,15 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
+def text_key(text_col: str) -> Column:
+    """A 64-bit hash that tells the texts of one id apart."""
+    return F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_each: int = 5, percent: int = 75, bands: int = 32, rows: int = 4) -> DataFrame:
-    """(id, n_shingles, component): a row for each row of docs; component is the smallest id of the group."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    """(id, key, n_shingles, component): a row for each row of docs; component is the smallest id of the group, key the text_key."""
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), text_key(text_col).alias("key"))
+    named = F.lit("0").cast(texts.schema["id"].dataType)
     table = materialize(_set_table(texts, words_each, bands, rows), "sets")
     nodes = table.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     member = materialize(nodes.select("fp", "id", "n", F.explode("bands").alias("bucket")), "members")
@@ -271,7 +279,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = materialize(member.select("fp", "id", "n").distinct(), "candidates")
     sets = materialize(_wanted_sets(texts.where("id IS NOT NULL"), wanted, words_each), "candidate_sets")
     if wanted.where("id IS NULL").count():
-        sets = materialize(sets.unionByName(_wanted_sets(texts.where("id IS NULL").withColumn("id", F.lit(0).cast("long")), wanted.where("id IS NULL").withColumn("id", F.lit(0).cast("long")), words_each)), "candidate_sets")
+        sets = materialize(sets.unionByName(_wanted_sets(texts.where("id IS NULL").withColumn("id", named), wanted.where("id IS NULL").withColumn("id", named), words_each)), "candidate_sets")
 
     first = member.where("fp <> pivot").select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct()
     first = materialize(_verified(first, sets), "first_pairs")
@@ -290,19 +298,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label = components(links)
 
     ids = nodes.select(F.col("fp").alias("node"), "id")
-    named = materialize(label.join(wanted.select(F.col("fp").alias("node"), "id"), "node"), "roots")
-    names = named.groupBy("root").agg(F.min("id").alias("component"))
-    grouped = named.join(names, "root").select(F.col("node").alias("fp"), "component")
+    rooted = materialize(label.join(wanted.select(F.col("fp").alias("node"), "id"), "node"), "roots")
+    names = rooted.groupBy("root").agg(F.min("id").alias("component"))
+    grouped = rooted.join(names, "root").select(F.col("node").alias("fp"), "component")
     alone = ids.join(grouped.select(F.col("fp").alias("node")), "node", "left_anti").select(F.col("node").alias("fp"), F.col("id").alias("component"))
-    named = materialize(grouped.unionByName(alone), "components")
-    out = table.select("id", "n", "fp").join(named, "fp", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+    whole = materialize(grouped.unionByName(alone), "components")
+    out = table.select("id", "key", "n", "fp").join(whole, "fp", "left")
+    return out.select("id", "key", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """The rows of docs whose id is the smallest of their group, with the columns of docs; rows without an id stay."""
-    gone = near_groups(docs, id_col, text_col, **options).where("component <> id").select(F.col("id").alias("_gone_id")).distinct()
-    return join_checked(docs, materialize(gone, "gone"), F.col(id_col).cast("long") == F.col("_gone_id"), "left_anti", max_rows=200_000)
+    stem = "_gone_"
+    while any(c.lower().startswith(stem) for c in docs.columns):
+        stem += "_"
+    own, text = f"{stem}id", f"{stem}key"
+    gone = near_groups(docs, id_col, text_col, **options).where("component <> id").select(F.col("id").alias(own), F.col("key").alias(text)).distinct()
+    keyed = docs.withColumn(own, F.col(f"`{id_col}`")).withColumn(text, text_key(text_col))
+    return join_checked(keyed, materialize(gone, "gone"), [own, text], "left_anti", max_rows=200_000).drop(own, text)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,8 +38,10 @@ _CLASS[[0xC3, *range(0x80, 0xC0)]] = 1
 #: Second bytes of the Latin-1 letters U+00C0 to U+00FF (without the signs for times and divided by).
 _LATIN = np.zeros(256, bool)
 _LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
+MARKS = 20
+_MASK = U((1 << MARKS) - 1)
 #: Texts of this many bytes share one table of distinct words.
-PART = 2 << 20
+PART = 1 << 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -49,6 +51,37 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+class Cache:
+    """Tokens of pre-tokens that a worker has met, by hash. Beyond `most` of them it starts anew, which costs time only."""
+
+    def __init__(self, most: int = 400_000):
+        self.most = most
+        self.key, self.at, self.n, self.ids = np.zeros(0, U), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def holds(self, key: np.ndarray) -> np.ndarray:
+        """Which of the keys are held. If the others would be too many, none is held from now on."""
+        if len(self.key):
+            place = np.searchsorted(self.key, key)
+            place[place == len(self.key)] = 0
+            held = self.key[place] == key
+            if len(self.key) + np.count_nonzero(~held) <= self.most:
+                return held
+            self.__init__(self.most)
+        return np.zeros(len(key), bool)
+
+    def add(self, key: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        if len(key):
+            at = len(self.ids) + np.cumsum(n) - n
+            order = np.argsort(np.concatenate([self.key, key]), kind="stable")
+            self.key, self.at, self.n = (np.concatenate([a, b.astype(a.dtype)])[order] for a, b in ((self.key, key), (self.at, at), (self.n, n)))
+            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all that are held, where those of each key begin, how many they are)."""
+        place = np.searchsorted(self.key, key)
+        return self.ids, self.at[place].astype(np.int64), self.n[place].astype(np.int64)
+
+
 class Vocabulary:
     """Tables of a byte-level BPE file with an end-of-word suffix."""
 
@@ -102,13 +135,16 @@ class Vocabulary:
         key = span_keys(_prefix(raw), ends - sizes, ends, np.array([texts[k][1] for k in offered]))
         order = np.argsort(key)
         self.keys, self.tokens = key[order], np.array(offered, np.int64)[order]
+        self.marks = np.zeros(1 << MARKS, bool)  # of the keys' low bits: most spans asked for are no token
+        self.marks[(self.keys & _MASK).view(np.int64)] = True
         self.longest = int(sizes.max())
         self.strings = [""] * self.size
         for token, k in vocab.items():
             self.strings[k] = token
         for t in spec["added_tokens"]:
             self.strings[t["id"]] = t["content"]
-        self.numbers = [str(k) for k in range(self.size)]
+        self.strings, self.numbers = pa.array(self.strings, pa.string()), pa.array([str(k) for k in range(self.size)], pa.string())
+        self.cached = Cache()
         self.known = np.zeros(0, np.int64)  # pairs that have been checked, and what was found
         self.holds = np.zeros(0, bool)
         del model, vocab, spec, texts, merges
@@ -161,10 +197,13 @@ class Vocabulary:
                 if len(here):
                     a = at[here]
                     key = span_keys(prefix, a, a + size, rest[here] == size)
+                    some = np.flatnonzero(self.marks[(key & _MASK).view(np.int64)])
+                    key = key[some]
                     k = np.searchsorted(self.keys, key)
                     k[k == len(self.keys)] = 0
                     hit = self.keys[k] == key
-                    token[here[hit]], took[here[hit]] = self.tokens[k[hit]], size
+                    here = here[some[hit]]
+                    token[here], took[here] = self.tokens[k[hit]], size
                     open_ = open_[token[open_] < 0]
             found_at.append(at), found.append(token)
             at, left = at + took, rest > took
@@ -238,10 +277,11 @@ class Vocabulary:
         p_at = np.cumsum(p_size) - p_size
         ids, n = np.zeros(0, np.int64), np.zeros(len(size), np.int64)
         if len(p_size):
-            _, first, which = np.unique(tb.hash_spans(body, p_at, p_at + p_size), return_index=True, return_inverse=True)
-            d, d_at, d_size = _cut(body, p_at, p_size, first)
-            got, got_n = self.encode_words(d, d_at, d_at + d_size)
-            got_at = np.cumsum(got_n) - got_n
+            key, first, which = np.unique(tb.hash_spans(body, p_at, p_at + p_size), return_index=True, return_inverse=True)
+            known = self.cached.holds(key)
+            d, d_at, d_size = _cut(body, p_at, p_size, first[~known])
+            self.cached.add(key[~known], *self.encode_words(d, d_at, d_at + d_size))
+            got, got_at, got_n = self.cached.find(key)
             which = which[np.argsort(p_word, kind="stable")]  # pre-tokens in the order of their words
             m = got_n[which]
             ids = got[np.arange(int(m.sum())) + np.repeat(got_at[which] - (np.cumsum(m) - m), m)]
@@ -295,9 +335,13 @@ class Vocabulary:
                 bodies.append(body), sizes.append(len(body)), words.append(k)
         return np.frombuffer(b"".join(bodies), np.uint8), np.array(sizes, np.int64), np.array(words, np.int64)
 
+    def joined(self, ids: np.ndarray, n: np.ndarray, names: pa.Array) -> pa.Array:
+        """For each text the names of its ids with a space between them; as strings, decoded: the file names no decoder."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), names.take(pa.array(ids))), " ")
+
     def decode(self, ids: np.ndarray) -> str:
-        """The tokens' strings with a space between them: the file names no decoder."""
-        return " ".join(map(self.strings.__getitem__, ids.tolist()))
+        """The text that ids decode to; an id outside the vocabulary is an error."""
+        return self.joined(ids, np.array([len(ids)]), self.strings)[0].as_py()
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
@@ -372,7 +416,7 @@ def decode_column(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "
             texts = [None if x.as_py() is None else vocab.decode(np.array(x.as_py(), np.int64)) for x in part.column(at)]
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in rest), pa.array(texts, pa.string())], names=[*(part.schema.names[k] for k in rest), out])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema.fields[k] for k in rest] + [T.StructField(out, T.StringType())]))
+    return docs.mapInArrow(tb.tidy(run), T.StructType([docs.schema.fields[k] for k in rest] + [T.StructField(out, T.StringType())]))
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -382,14 +426,8 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         vocab = vocabulary(path)
         for part in tb.slices(batches, "text", PART):
             ids, n = vocab.encode(part["text"])
-            ends = np.cumsum(n).tolist()
-            ids, begin, a, b = ids.tolist(), 0, [], []
-            for end in ends:
-                own = ids[begin:end]
-                a.append(hashlib.sha256(" ".join(map(vocab.numbers.__getitem__, own)).encode()).hexdigest())
-                b.append(hashlib.sha256(" ".join(map(vocab.strings.__getitem__, own)).encode()).hexdigest())
-                begin = end
-            yield pa.RecordBatch.from_arrays([part["id"], pa.array(n), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            sums = [[hashlib.sha256(x.as_buffer()).hexdigest() for x in vocab.joined(ids, n, names)] for names in (vocab.numbers, vocab.strings)]
+            yield pa.RecordBatch.from_arrays([part["id"], pa.array(n), *(pa.array(x, pa.string()) for x in sums)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

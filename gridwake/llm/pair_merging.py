@@ -9,6 +9,11 @@ from __future__ import annotations
 import numpy as np
 
 NONE = np.iinfo(np.int64).max
+MARKS = 20
+
+
+def _mark(key: np.ndarray) -> np.ndarray:
+    return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - MARKS)).view(np.int64)
 
 
 class PairTable:
@@ -19,15 +24,23 @@ class PairTable:
         key = left.astype(np.int64) << 32 | right.astype(np.int64)
         order = np.argsort(key)
         self.key, self.rank, self.result = key[order], rank[order].astype(np.int64), result[order].astype(np.int64)
+        #: Marks of the pairs that exist, by a hash of MARKS bits: most pairs asked for don't.
+        self.marks = np.zeros(1 << MARKS, bool)
+        self.marks[_mark(self.key)] = True
         #: Whether merging can make a pair of lower rank than its own; then the occurrences behind it must wait.
         self.can_fall = bool(((formed[left] > rank) | (formed[right] > rank)).any())
 
     def find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, place) of pairs; rank is NONE where there is no merge."""
         want = left << 32 | right
-        at = np.searchsorted(self.key, want)
-        at[at == len(self.key)] = 0
-        return np.where(self.key[at] == want, self.rank[at], NONE), at
+        rank, at = np.full(len(want), NONE), np.zeros(len(want), np.int64)
+        some = np.flatnonzero(self.marks[_mark(want)])
+        want = want[some]
+        place = np.searchsorted(self.key, want)
+        place[place == len(self.key)] = 0
+        real = self.key[place] == want
+        rank[some[real]], at[some[real]] = self.rank[place[real]], place[real]
+        return rank, at
 
 
 def merge_all(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tuple[np.ndarray, np.ndarray]:

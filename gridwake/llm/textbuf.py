@@ -7,7 +7,7 @@ bytes of longer characters always belong to words. Words, lines and n-grams are
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,8 @@ from pyspark.sql import SparkSession
 U = np.uint64
 #: Bytes of text handled at once in a task; one longer text is still handled whole.
 SLICE = 1 << 20
+#: Bytes that are hashed at once.
+CHUNK = 1 << 17
 #: Bytes of rows that a batch may hold on its way to a task's Python; Spark's own limit is 64 MB.
 BATCH = 4 << 20
 _STEP = U(0x9E3779B97F4A7C15)
@@ -69,6 +71,16 @@ def release() -> None:
         trim(0)
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with freed memory handed back at its end."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return tidied
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Parts of the batches with at most about `limit` bytes of text, so that memory is bounded by text and not by rows."""
     for batch in batches:
@@ -129,14 +141,18 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """A 64-bit hash of the bytes of each span; 0 bytes are allowed."""
     lens = ends - starts
     out = np.zeros(len(starts), U)
-    some = lens > 0
-    if some.any():
-        s, n = starts[some], lens[some]
-        at = np.cumsum(n) - n
-        inner = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(at, n)
-        values = _BYTE[data[inner + np.repeat(s, n)]]
-        values *= _powers(int(n.max()))[inner]
-        out[some] = np.add.reduceat(values, at)
+    some = np.flatnonzero(lens)
+    s, n = starts[some], lens[some]
+    done, k = np.cumsum(n), 0
+    while k < len(some):  # CHUNK bytes at a time, as eight bytes or more stand for each
+        to = max(k + 1, int(np.searchsorted(done, (done[k - 1] if k else 0) + CHUNK, "right")))
+        m = n[k:to]
+        at = np.cumsum(m) - m
+        inner = np.arange(int(m.sum()), dtype=np.int64) - np.repeat(at, m)
+        values = _BYTE[data[inner + np.repeat(s[k:to], m)]]
+        values *= _powers(int(m.max()))[inner]
+        out[some[k:to]] = np.add.reduceat(values, at)
+        k = to
     return mix(out + (lens.astype(U) + U(1)) * _STEP)
 
 

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwake.llm import textbuf as tb
 from gridwake.plans.materialize import join_checked, materialize, new_path
 
 #: Fixed values of the format.
@@ -152,7 +153,7 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
                 columns = zip(*rows) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content").mapInArrow(find, _CANDIDATE)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content").mapInArrow(tb.tidy(find), _CANDIDATE)
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:

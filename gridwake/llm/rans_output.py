@@ -1,8 +1,8 @@
 """Operator 3: token ids as binary output, coded by a static range asymmetric numeral system.
 
 A data set is a folder with `frequencies` (one shared table for all files: symbol, frequency, of 2**SCALE slots) and
-`frames`, Parquet files whose rows stand in ascending order of the documents' ids. A frame holds some documents whole:
-their ids and lengths, and their symbols in independent blocks of BLOCK symbols. A block is LANES interleaved coders
+`frames`, Parquet files whose rows, file by file in the order of their names, stand in ascending order of the documents'
+ids. A frame holds some documents whole: their ids and lengths, and their symbols in independent blocks of BLOCK symbols. A block is LANES interleaved coders
 over one stream of 32-bit words; symbol k belongs to lane k mod LANES. Each block has a checkpoint, the lanes' states
 and the place of its words in the frame's stream, and a CRC-32 of its symbols, so any block is decoded and proven by
 itself. The coder's state is 64 bits wide, between 2**31 and 2**63, and renormalises by one word.
@@ -11,8 +11,9 @@ The ids are made once, after the texts have been dealt out by ranges of the docu
 folder, since the table needs the counts of all of them before the first one is coded. The table has a row for each
 symbol of the vocabulary at most.
 
-Defined results: a null or empty text is the end id alone; rows with equal ids follow one another in the order of a
-hash of their texts; null ids come first; an empty table gives an empty data set.
+Defined results: a null or empty text is the end id alone; a text of any length lies whole in one frame; rows with equal
+ids (ties and repeated rows) follow one another in the order of a hash of their texts; null ids come first; ids keep
+their type; other columns are not read, whatever their names; an empty table gives an empty data set.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridwake.llm import textbuf as tb
 from gridwake.llm.bpe_codec import default_path, vocabulary
-from gridwake.plans.materialize import materialize, new_path
+from gridwake.plans.materialize import join_checked, materialize, new_path
 
 U = np.uint64
 SCALE = 20
@@ -128,25 +129,26 @@ class Coder:
         return np.concatenate([ids[b, : own[b]] for b in range(blocks)])
 
 
-_TOKENS = "part int, seq int, ids array<bigint>, sizes array<int>, tokens binary"
-_FRAMES = "part int, seq int, start bigint, ids array<bigint>, sizes array<int>, words binary, lengths array<int>, states binary, sums array<bigint>"
+_FRAMES = "start bigint, ids array<{}>, sizes array<int>, words binary, lengths array<int>, states binary, sums array<bigint>"
 
 
 def tokenised(docs: DataFrame, path: str, id_col: str, text_col: str) -> DataFrame:
-    """Token ids of the documents in ascending order of the document id; (part, seq) orders the rows."""
+    """Token ids of the documents in ascending order of the document id. A row is a frame; part and inner, the ids before it in its part, order the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, part = vocabulary(path), TaskContext.get().partitionId()
-        for seq, rows in enumerate(tb.slices(batches, "text", PART)):
+        vocab, part, inner = vocabulary(path), TaskContext.get().partitionId(), 0
+        for rows in tb.slices(batches, "text", PART):
             ids, n = vocab.encode(rows["text"])
-            ends = np.cumsum(n)
-            ids = np.insert(ids, ends, END)
+            ids = np.insert(ids, np.cumsum(n), END)
             blob = zstandard.ZstdCompressor(level=1).compress(ids.astype(np.uint16 if vocab.size <= 65536 else np.uint32).tobytes())
-            lists = [pa.array([rows["id"].to_pylist()], pa.list_(pa.int64())), pa.array([(n + 1).astype(np.int32)], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), *lists, pa.array([blob], pa.binary())], names=["part", "seq", "ids", "sizes", "tokens"])
+            ends = pa.array([0, len(rows)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (rows["id"], pa.array((n + 1).astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([inner]), pa.array([len(ids)]), *lists, pa.array([blob], pa.binary())], names=["part", "inner", "n", "ids", "sizes", "tokens"])
+            inner += len(ids)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    return texts.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text").mapInArrow(run, _TOKENS)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text").mapInArrow(run, f"part int, inner bigint, n bigint, ids array<{kind}>, sizes array<int>, tokens binary")
 
 
 def _tokens(blob: pa.Scalar, n: int) -> np.ndarray:
@@ -160,52 +162,45 @@ def token_frequencies(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for sizes, blob in zip(batch["sizes"], batch["tokens"]):
-                n = np.bincount(_tokens(blob, sum(sizes.as_py())))
+            for size, blob in zip(batch["n"].to_pylist(), batch["tokens"]):
+                n = np.bincount(_tokens(blob, size))
                 long, short = (n, total) if len(n) > len(total) else (total, n)
                 total = long.copy()
                 total[: len(short)] += short
         symbols = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(symbols), pa.array(total[symbols])], names=["symbol", "n"])
 
-    return tokens.select("sizes", "tokens").mapInArrow(run, "symbol bigint, n bigint").groupBy("symbol").agg(F.sum("n").alias("n"))
+    return tokens.select("n", "tokens").mapInArrow(tb.tidy(run), "symbol bigint, n bigint").groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
 def write_ids(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the token ids of docs, each document with the end id behind it, as a data set in folder."""
     spark = docs.sparkSession
     tokens = materialize(tokenised(docs, path, id_col, text_col), "tokens")
+    frames = _FRAMES.format(tokens.schema["ids"].dataType.elementType.simpleString())
     counts = {r["symbol"]: r["n"] for r in token_frequencies(tokens).collect()}  # the vocabulary's size at most
     if not counts:
-        spark.createDataFrame([], _FRAMES).write.parquet(f"{folder}/frames")
+        spark.createDataFrame([], frames).write.parquet(f"{folder}/frames")
         spark.createDataFrame([], "symbol bigint, frequency bigint").write.parquet(f"{folder}/frequencies")
         return
     symbols, f = normalised(counts)
     spark.createDataFrame(list(zip(symbols.tolist(), f.tolist())), "symbol bigint, frequency bigint").coalesce(1).write.parquet(f"{folder}/frequencies")
-    # A row for each task that made ids, so the ids before a part are known.
-    sums = sorted((r["part"], r["n"]) for r in tokens.groupBy("part").agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)")).alias("n")).collect())
-    before, total = {}, 0
-    for part, n in sums:
-        before[part], total = total, total + n
     sent = spark.sparkContext.broadcast((symbols, f))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(*sent.value)
         for batch in batches:
             for k in range(batch.num_rows):
-                ids = _tokens(batch["tokens"][k], sum(batch["sizes"][k].as_py()))
+                ids = _tokens(batch["tokens"][k], batch["n"][k].as_py())
                 words, lengths, state, checks = coder.encode(ids)
                 coded = [pa.array([words.astype("<u4").tobytes()], pa.binary()), pa.array([lengths.astype(np.int32)], pa.list_(pa.int32())), pa.array([state.astype("<u8").tobytes()], pa.binary()), pa.array([checks], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*(batch[c].slice(k, 1) for c in ("part", "seq", "start", "ids", "sizes")), *coded], names=["part", "seq", "start", "ids", "sizes", "words", "lengths", "states", "sums"])
+                yield pa.RecordBatch.from_arrays([*(batch[c].slice(k, 1) for c in ("start", "ids", "sizes")), *coded], names=["start", "ids", "sizes", "words", "lengths", "states", "sums"])
 
-    size = F.expr("aggregate(sizes, 0L, (a, x) -> a + x)")
-    own = tokens.select("part", "seq", size.alias("n"))
-    rows = own.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("seq", "n"))).alias("rows"))  # the frames of one task
-    starts = rows.select("part", F.explode(F.expr("transform(rows, (r, k) -> struct(r.seq AS seq, aggregate(slice(rows, 1, k), 0L, (a, x) -> a + x.n) AS inner))")).alias("s")).select("part", "s.seq", "s.inner")
-    known = spark.createDataFrame([(p, n) for p, n in before.items()], "part int, before bigint")
-    starts = starts.join(F.broadcast(known), "part").select("part", "seq", (F.col("before") + F.col("inner")).alias("start"))
-    placed = tokens.join(F.broadcast(materialize(starts, "starts")), ["part", "seq"])  # a row for each frame of some MB
-    placed.mapInArrow(run, _FRAMES).write.option("compression", "none").parquet(f"{folder}/frames")
+    # The ids before each part: a row for each task that made ids, few enough for one running sum.
+    parts = tokens.groupBy("part").agg(F.sum("n").alias("own"))
+    before = parts.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("before"))
+    placed = join_checked(tokens, materialize(before, "before"), "part", "inner").select((F.col("before") + F.col("inner")).alias("start"), "n", "ids", "sizes", "tokens")
+    placed.repartitionByRange("start").sortWithinPartitions("start").mapInArrow(tb.tidy(run), frames).write.option("compression", "none").parquet(f"{folder}/frames")
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -226,9 +221,10 @@ def read_ids(spark: SparkSession, folder: str) -> DataFrame:
                 ends = np.cumsum(sizes)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 start = batch["start"][k].as_py() + ends - sizes
-                yield pa.RecordBatch.from_arrays([pa.array(batch["ids"][k].as_py(), pa.int64()), pa.array(start), pa.array(sizes), lists], names=["id", "start", "n_tokens", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch["ids"][k].values, pa.array(start), pa.array(sizes), lists], names=["id", "start", "n_tokens", "tokens"])
 
-    return spark.read.parquet(f"{folder}/frames").mapInArrow(run, "id bigint, start bigint, n_tokens bigint, tokens array<int>")
+    frames = spark.read.parquet(f"{folder}/frames")
+    return frames.mapInArrow(tb.tidy(run), f"id {frames.schema['ids'].dataType.elementType.simpleString()}, start bigint, n_tokens bigint, tokens array<int>")
 
 
 def checksums(ids: DataFrame) -> DataFrame:
@@ -242,7 +238,7 @@ def checksums(ids: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[a:b]) for a, b in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays([batch["id"], batch["start"], batch["n_tokens"], pa.array(crc, pa.int64())], names=["id", "start", "n_tokens", "crc"])
 
-    return ids.mapInArrow(run, "id bigint, start bigint, n_tokens bigint, crc bigint")
+    return ids.mapInArrow(tb.tidy(run), f"id {ids.schema['id'].dataType.simpleString()}, start bigint, n_tokens bigint, crc bigint")
 
 
 def op3_rans_output(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -159,11 +159,20 @@ def boxes_overlap(a: tuple, b: tuple) -> Column:
 
 
 def polar_line(k: Column, b: Column) -> tuple[Column, Column]:
-    """y = k x + b as (theta in [0, 2 pi), d >= 0) with x cos theta + y sin theta = d."""
-    n = F.sqrt(k * k + 1)
-    sign = F.when(b < 0, -1.0).otherwise(1.0)
-    theta = F.atan2(sign / n, -sign * k / n)
-    return F.when(theta < 0, theta + 2 * math.pi).otherwise(theta), F.abs(b) / n
+    """y = k x + b as (theta in [0, pi), d >= 0): the direction of the normal and the distance from the origin, without its side."""
+    return F.atan(k) + math.pi / 2, F.abs(b) / F.sqrt(k * k + 1)
+
+
+def normal_polar(theta: Column, d: Column) -> tuple[Column, Column]:
+    """Theta brought to [0, pi), d without its sign."""
+    return F.pmod(theta, F.lit(math.pi)), F.abs(d)
+
+
+def polar_to_slope(theta: Column, d: Column, steepest: float = 10_000.0) -> tuple[Column, Column]:
+    """(k, b) of x cos theta + y sin theta = d; a normal along y gives the steepest slope, one along x nulls."""
+    flat = F.abs(F.cos(theta)) < 1e-10
+    k = F.when(flat, F.lit(steepest)).otherwise(F.try_divide(-F.cos(theta), F.sin(theta)))
+    return k, F.when(flat, d).otherwise(F.try_divide(d, F.sin(theta)))
 
 
 def register(spark: SparkSession) -> None:

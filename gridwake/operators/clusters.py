@@ -56,6 +56,8 @@ def connect_rounds(cells: DataFrame, cfg: GridConfig = GridConfig(), max_rounds:
         if new.join(own, [*KEY, "label"], "left_anti").isEmpty():
             break
         own = new
+    else:
+        raise RuntimeError(f"labels still spread after {max_rounds} rounds")
     frame = Window.partitionBy("frame_id")
     named = own.withColumn("cluster_id", F.dense_rank().over(frame.orderBy("label")) - 1).withColumn("cells", F.count(F.lit(1)).over(Window.partitionBy("frame_id", "label")))
     return cells.join(named.where(F.col("cells") >= cfg.min_cluster_cells).select(*KEY, "cluster_id"), KEY)

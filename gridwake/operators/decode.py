@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridwake.plans.materialize import join_checked
+
 # --- field readers ----------------------------------------------------------------------------------------------
 
 
@@ -71,8 +73,8 @@ def split_feature(raw: Column) -> tuple[Column, Column]:
 
 #: First bytes of the packet kinds; fixed values of the wire format.
 KINDS = {"55AA": "msop", "A5FF": "difop", "AA55": "imu"}
-#: Reject reasons; the first that applies is given.
-REASONS = ("overflow", "no_calibration", "wrong_length", "wrong_id", "wrong_crc")
+#: Reject reasons of packets; the first that applies is given.
+REASONS = ("no_calibration", "wrong_length", "wrong_id", "wrong_crc")
 
 
 def route(packets: DataFrame) -> DataFrame:
@@ -159,7 +161,13 @@ def block_steps(blocks: DataFrame, mode: str = "single", nominal: int = 20, dura
 
 @dataclass(frozen=True)
 class PacketSpec:
-    """Layout of a model's point packet. Offsets are of bytes; a block has a header, an azimuth and channels."""
+    """Layout of a model's point packet, in bytes from 0.
+
+    Behind the header lie blocks, each with a header of its own and channels. A channel begins with a distance of two bytes in
+    steps of `step` metres; what else it has, it has at the offsets given. Polar blocks have an azimuth, and begin with
+    block_id: a packet's blocks end at the first one that doesn't. A column is one block of pixels for each channel,
+    under the yaw and surface in the packet's header.
+    """
 
     name: str
     length: int
@@ -169,11 +177,21 @@ class PacketSpec:
     min_range: float
     max_range: float
     step: float = 0.005
-    geometry: str = "polar"  # polar, yaw_pitch or vector
+    geometry: str = "polar"  # polar, yaw_pitch, vector or column
     ident: str = "55AA"
     header: int = 42
     block_header: int = 4
+    block_id: str = ""
+    azimuth_at: int | None = 2
     channel_size: int = 3
+    intensity_at: int = 2
+    second_at: tuple[int, int] | None = None  # distance and intensity of a second return in the same channel
+    angles_at: tuple[int, int] | None = None  # pitch and yaw, from 32768 in hundredths of a degree
+    vector_at: int | None = None  # three signed numbers of length 32768
+    seq_at: int = 4
+    yaw_at: int = 24
+    surface_at: int = 27
+    yaw_scale: float = 1.0
     radius: float = 0.0  # of the optical centre around the axis, with its height
     lift: float = 0.0
     has_imu: bool = False
@@ -183,41 +201,71 @@ class PacketSpec:
         return self.block_header + self.channels * self.channel_size
 
 
-def _spec(name, length, lasers, blocks, channels, low, high, **more) -> PacketSpec:
-    return PacketSpec(name, length, lasers, blocks, channels, low, high, **more)
+def _turning(name: str, lasers: int, blocks: int, channels: int, low: float, high: float, length: int = 1248, **more) -> PacketSpec:
+    return PacketSpec(name, length, lasers, blocks, channels, low, high, **({"block_id": "FFEE"} | more))
+
 
+def _fixed(name: str, length: int, lasers: int, blocks: int, channels: int, low: float, high: float, **more) -> PacketSpec:
+    return PacketSpec(name, length, lasers, blocks, channels, low, high, header=32, azimuth_at=None, **more)
 
-#: Known layouts by name. Fixed values of the wire formats: packet bytes, lasers, blocks, channels and range in metres.
+
+_FINE = {"header": 80, "block_id": "FE"}
+_ANGLES = {"geometry": "yaw_pitch", "block_header": 2, "channel_size": 9, "intensity_at": 6, "angles_at": (2, 4)}
+_VECTOR = {"geometry": "vector", "block_header": 2, "channel_size": 10, "intensity_at": 8, "vector_at": 2}
+_COLUMN = {"geometry": "column", "block_header": 0, "channel_size": 4}
+#: Layouts by their physical form. Fixed values of the wire formats: lasers, blocks, channels, range in metres, packet bytes and offsets.
 MODELS = {
     s.name: s
     for s in (
-        _spec("polar16", 1248, 16, 12, 32, 0.4, 230), _spec("polar32", 1248, 32, 12, 32, 0.4, 230), _spec("polar32_near", 1248, 32, 12, 32, 0.1, 150),
-        _spec("polar32_fine", 1248, 32, 12, 32, 0.1, 180, step=0.0025), _spec("polar16_fine", 1248, 16, 12, 32, 0.1, 180, step=0.0025),
-        _spec("polar48", 1268, 48, 8, 48, 0.4, 250), _spec("polar80", 1248, 80, 4, 80, 0.4, 250), _spec("polar128", 1248, 128, 3, 128, 0.4, 250),
-        _spec("polar48_p", 1268, 48, 8, 48, 0.4, 250), _spec("polar80_p", 1248, 80, 4, 80, 0.4, 250), _spec("polar128_p", 1248, 128, 3, 128, 0.4, 250),
-        _spec("polar96_imu", 1248, 96, 8, 48, 0.1, 60, has_imu=True), _spec("polar48_imu", 1248, 48, 8, 48, 0.1, 150, has_imu=True),
-        _spec("mirror5", 1210, 5, 25, 5, 0.2, 200, geometry="yaw_pitch", channel_size=7), _spec("mirror5_jumbo", 62152, 5, 25, 5, 0.2, 200, geometry="yaw_pitch", channel_size=7),
-        _spec("vector5", 1342, 5, 25, 5, 0.2, 250, geometry="vector", channel_size=9), _spec("vector28", 1448, 28, 5, 28, 0.1, 300, geometry="vector", channel_size=9),
-        _spec("vector1", 1200, 1, 96, 1, 0, 200, geometry="vector", channel_size=9), _spec("vector2", 1404, 2, 50, 2, 0.2, 200, geometry="vector", channel_size=9),
-        _spec("flash1", 1084, 1, 260, 1, 0.5, 350, geometry="yaw_pitch", channel_size=3), _spec("flash1_columns", 812, 1, 192, 1, 0.2, 300, geometry="yaw_pitch", channel_size=3),
+        # Spinning, header of 42 bytes.
+        _turning("spin16", 16, 12, 32, 0.4, 230, radius=0.03825), _turning("spin32", 32, 12, 32, 0.4, 230, radius=0.03997), _turning("spin32_hemisphere", 32, 12, 32, 0.1, 150, radius=0.01473, lift=0.09427),
+        _turning("spin32_fine", 32, 12, 32, 0.1, 180, step=0.0025, radius=0.03498), _turning("spin16_fine", 16, 12, 32, 0.1, 180, step=0.0025, radius=0.03498),
+        _turning("dome96", 96, 8, 48, 0.1, 60, has_imu=True), _turning("dome48", 48, 8, 48, 0.1, 150, radius=0.01952, lift=0.045, has_imu=True),
+        # Spinning, header of 80 bytes.
+        _turning("spin48", 48, 8, 48, 0.4, 250, 1268, **_FINE), _turning("spin80", 80, 4, 80, 0.4, 250, radius=0.03615, **_FINE), _turning("spin128", 128, 3, 128, 0.4, 250, radius=0.03615, **_FINE),
+        _turning("spin48_plus", 48, 8, 48, 0.4, 250, 1268, **_FINE), _turning("spin80_plus", 80, 4, 80, 0.4, 250, radius=0.02892, **_FINE), _turning("spin128_plus", 128, 3, 128, 0.4, 250, radius=0.02892, **_FINE),
+        # Without a spinning head, header of 32 bytes.
+        _fixed("mirror5_angles", 1210, 5, 25, 5, 0.2, 200, **_ANGLES), _fixed("mirror5_angles_jumbo", 62152, 5, 25, 5, 0.2, 200, **_ANGLES),
+        _fixed("mirror5_vectors", 1342, 5, 25, 5, 0.2, 250, **_VECTOR), _fixed("mirror28_vectors", 1448, 28, 5, 28, 0.1, 300, **_VECTOR), _fixed("flash1_vectors", 1200, 1, 96, 1, 0, 200, **_VECTOR),
+        _fixed("mirror2_vectors", 1404, 2, 50, 2, 0.2, 200, geometry="vector", block_header=1, channel_size=13, intensity_at=10, second_at=(2, 11), vector_at=4),
+        _fixed("column260", 1084, 260, 1, 260, 0.5, 350, **_COLUMN), _fixed("column192", 812, 192, 1, 192, 0.2, 300, yaw_scale=1 / 5.12, **_COLUMN),
     )
 }
 
 
 def unpack(packets: DataFrame, spec: PacketSpec) -> DataFrame:
-    """(packets' columns without payload, blk, azimuth, channel, raw, intensity): a row for each channel of each block."""
+    """(packets' columns without payload, blk, azimuth, channel, echo, raw, intensity and what the layout has): a row for each return of each channel."""
     keep = [c for c in packets.columns if c != "payload"]
-    blk = packets.select(*keep, "payload", F.explode(F.sequence(F.lit(0), F.lit(spec.blocks - 1))).alias("blk"))
+    head, steps = [], F.sequence(F.lit(0), F.lit(spec.blocks - 1))
+    if spec.geometry == "column":
+        p = F.col("payload")
+        head = [(unsigned(p, spec.seq_at, 2) - 1).alias("column_seq"), signed(p, spec.yaw_at, 2).alias("yaw_base"), unsigned(p, spec.surface_at, 1).cast("int").alias("surface")]
+    size = len(spec.block_id) // 2
+    if size:
+        ident = lambda k: F.hex(F.substr("payload", F.lit(spec.header + 1) + k * spec.block_size, F.lit(size)))
+        good = F.aggregate(steps, F.lit(0), lambda n, k: F.when((n == k) & (ident(k) == spec.block_id), n + 1).otherwise(n))
+        steps = F.slice(steps, F.lit(1), good)
+    blk = packets.select(*keep, *head, "payload", F.explode(steps).alias("blk"))
+    names = [*keep, *(c for c in ("column_seq", "yaw_base", "surface") if head), "blk"]
     at = F.lit(spec.header) + F.col("blk") * spec.block_size
-    blk = blk.select(*keep, "blk", unsigned(F.col("payload"), at + spec.block_header - 2, 2).alias("azimuth"), F.substr("payload", at + spec.block_header + 1, F.lit(spec.channels * spec.channel_size)).alias("body"))
-    each = blk.select(*keep, "blk", "azimuth", "body", F.explode(F.sequence(F.lit(0), F.lit(spec.channels - 1))).alias("channel"))
-    at = F.col("channel") * spec.channel_size
-    fields = [unsigned(F.col("body"), at, 2).alias("raw"), unsigned(F.col("body"), at + spec.channel_size - 1, 1).alias("intensity")]
-    if spec.geometry == "yaw_pitch" and spec.channel_size >= 7:
-        fields += [(unsigned(F.col("body"), at + 2, 2) - 32768).alias("pitch"), (unsigned(F.col("body"), at + 4, 2) - 32768).alias("yaw")]
-    if spec.geometry == "vector":
-        fields += [signed(F.col("body"), at + 2 + 2 * k, 2).alias(f"v{c}") for k, c in enumerate("xyz")]
-    return each.select(*keep, "blk", "azimuth", "channel", *fields)
+    azimuth = F.lit(None).cast("bigint") if spec.azimuth_at is None else unsigned(F.col("payload"), at + spec.azimuth_at, 2)
+    blk = blk.select(*names, azimuth.alias("azimuth"), F.substr("payload", at + spec.block_header + 1, F.lit(spec.channels * spec.channel_size)).alias("body"))
+    each = blk.select(*names, "azimuth", "body", F.explode(F.sequence(F.lit(0), F.lit(spec.channels - 1))).alias("channel"))
+    at, body = F.col("channel") * spec.channel_size, F.col("body")
+    # `echo` is a struct until the returns of a channel have rows of their own.
+    returns = [(0, spec.intensity_at)] + ([spec.second_at] if spec.second_at else [])
+    echo = F.explode(F.array(*(F.struct(F.lit(k + 1).alias("echo"), unsigned(body, at + d, 2).alias("raw"), unsigned(body, at + i, 1).alias("intensity")) for k, (d, i) in enumerate(returns)))).alias("e")
+    fields = []
+    if spec.angles_at:
+        fields += [(unsigned(body, at + k, 2) - 32768).alias(n) for n, k in zip(("pitch", "yaw"), spec.angles_at)]
+    if spec.vector_at is not None:
+        fields += [signed(body, at + spec.vector_at + 2 * k, 2).alias(f"v{c}") for k, c in enumerate("xyz")]
+    return each.select(*names, "azimuth", "channel", *fields, echo).select(*names, "azimuth", "channel", "e.*", *(c for c, has in (("pitch", spec.angles_at), ("yaw", spec.angles_at), ("vx", spec.vector_at), ("vy", spec.vector_at), ("vz", spec.vector_at)) if has is not None))
+
+
+def column_pixel(channel: Column, seq: Column, pixels: int, parts: int = 1) -> Column:
+    """The pixel of a column that is sent in parts, each packet (counted from 0) having the next part; a dual return sends two."""
+    return channel + F.pmod(seq, F.lit(parts)) * pixels
 
 
 def polar_xyz(d: Column, vert: Column, azimuth: Column, turned: Column, radius: float = 0.0, lift: float = 0.0) -> tuple[Column, Column, Column]:
@@ -237,30 +285,53 @@ def vector_xyz(d: Column, vx: Column, vy: Column, vz: Column, base: float = 3276
     return vx * d / base, vy * d / base, vz * d / base
 
 
-def decode(packets: DataFrame, spec: PacketSpec, calibration: DataFrame | None = None, start_deg: float = 0, end_deg: float = 360, min_range: float = 0, max_range: float = 0, dense: bool = False, nominal: int = 20) -> DataFrame:
-    """Points of packets (stream_id, seq, payload) of one model, in metres.
+def decode(packets: DataFrame, spec: PacketSpec, calibration: DataFrame | None = None, start_deg: float = 0, end_deg: float = 360, min_range: float = 0, max_range: float = 0, dense: bool = False, nominal: int = 20, surfaces: tuple[int, ...] = (0,), parts: int = 1) -> DataFrame:
+    """(stream_id, seq, blk, channel, echo, x, y, z, intensity) of packets (stream_id, seq, payload) of one model, in metres.
 
-    calibration has (channel, vert, horiz) in hundredths of a degree for polar models. Returns outside the section or
-    range are null points, or left out if dense.
+    calibration has (channel, vert, horiz) in hundredths of a degree: for polar models a row for each laser, channels beyond
+    the lasers beginning anew; for columns a row for each pixel. surfaces are the pitches that a column's mirror
+    surfaces add. Returns outside the section or range are null points, or left out if dense.
     """
     rows = unpack(packets, spec)
     d = F.col("raw") * spec.step
+    ok = in_range(d, spec.min_range, spec.max_range, min_range, max_range)
+    if spec.geometry in ("polar", "column"):
+        laser = F.col("channel") % spec.lasers if spec.geometry == "polar" else column_pixel(F.col("channel"), F.col("column_seq"), spec.channels, parts)
+        rows = rows.withColumn("laser", laser)
+        if calibration is not None:
+            own = calibration.select(F.col("channel").alias("laser"), "vert", "horiz")
+            rows = join_checked(rows, own, "laser", "inner")
+        else:
+            rows = rows.withColumn("vert", F.lit(0)).withColumn("horiz", F.lit(0))
     if spec.geometry == "polar":
         steps = block_steps(rows.select("stream_id", "seq", "blk", "azimuth").distinct(), nominal=nominal)
         rows = rows.join(steps.select("stream_id", "seq", "blk", "az_step"), ["stream_id", "seq", "blk"])
-        cal = calibration if calibration is not None else rows.select("channel").distinct().select("channel", F.lit(0).alias("vert"), F.lit(0).alias("horiz"))
-        rows = rows.join(F.broadcast(cal), "channel")  # a row for each laser of the model
         az = F.col("azimuth") + F.floor(F.col("az_step") * F.col("channel") / spec.channels)
         turned = az + F.col("horiz")
-        ok = in_range(d, spec.min_range, spec.max_range, min_range, max_range) & in_section(turned, round(start_deg * 100), round(end_deg * 100))
+        ok = ok & in_section(F.pmod(turned, F.lit(36000)), round(start_deg * 100), round(end_deg * 100))
         xyz = polar_xyz(d, F.col("vert"), az, turned, spec.radius, spec.lift)
+    elif spec.geometry == "column":
+        turned = ((F.col("yaw_base") + F.col("horiz")) * spec.yaw_scale).cast("int")
+        surface = F.element_at(F.array(*(F.lit(v) for v in surfaces)), F.least(F.col("surface"), F.lit(len(surfaces) - 1)) + 1)
+        xyz = yaw_pitch_xyz(d, turned, F.col("vert") + surface)
+    elif spec.geometry == "yaw_pitch":
+        xyz = yaw_pitch_xyz(d, F.col("yaw"), F.col("pitch"))
     else:
-        ok = in_range(d, spec.min_range, spec.max_range, min_range, max_range)
-        xyz = yaw_pitch_xyz(d, F.col("yaw"), F.col("pitch")) if "yaw" in rows.columns else vector_xyz(d, *(F.col(f"v{c}") for c in "xyz")) if spec.geometry == "vector" else yaw_pitch_xyz(d, F.col("azimuth"), F.lit(0))
-    out = rows.select("stream_id", "seq", "blk", "channel", F.when(ok, xyz[0]).alias("x"), F.when(ok, xyz[1]).alias("y"), F.when(ok, xyz[2]).alias("z"), F.col("intensity").cast("smallint").alias("intensity"))
+        xyz = vector_xyz(d, *(F.col(f"v{c}") for c in "xyz"))
+    out = rows.select("stream_id", "seq", "blk", "channel", "echo", F.when(ok, xyz[0]).alias("x"), F.when(ok, xyz[1]).alias("y"), F.when(ok, xyz[2]).alias("z"), F.when(ok, F.col("intensity")).otherwise(0).cast("smallint").alias("intensity"))
     return out.where("x IS NOT NULL") if dense else out
 
 
+def device_info(packets: DataFrame, serial_at: tuple[int, int], mac_at: tuple[int, int], version_at: tuple[int, int], voltage_at: int | None = None, temperature_at: int | None = None) -> DataFrame:
+    """(stream_id, seq, serial, mac, version, volts, celsius): what a stream's last device packet (stream_id, seq, payload) says, from places (offset, bytes) of its layout."""
+    last = packets.groupBy("stream_id").agg(F.max_by("payload", "seq").alias("payload"), F.max("seq").alias("seq"))
+    part = lambda at: F.hex(F.substr("payload", F.lit(at[0] + 1), F.lit(at[1])))
+    p = F.col("payload")
+    volts = F.lit(None).cast("double") if voltage_at is None else unsigned(p, voltage_at, 2) / 100.0
+    celsius = F.lit(None).cast("double") if temperature_at is None else temperature(unsigned(p, temperature_at, 1), unsigned(p, temperature_at + 1, 1)).cast("double")
+    return last.select("stream_id", "seq", part(serial_at).alias("serial"), part(mac_at).alias("mac"), part(version_at).alias("version"), volts.alias("volts"), celsius.alias("celsius"))
+
+
 def jumbo_parts(packets: DataFrame, parts: int = 63, size: int = 984, header: int = 160) -> DataFrame:
     """The sub-packets of a jumbo datagram whose id fits."""
     each = packets.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwake.config import GridConfig
-from gridwake.plans.materialize import materialize
+from gridwake.plans.materialize import join_checked, materialize
 
 KEY = ["frame_id", "row", "col"]
 _OFFSETS = [(r, c) for r in (-1, 0, 1) for c in (-1, 0, 1) if r or c]
@@ -120,6 +120,8 @@ def grow_ground_rounds(cells: DataFrame, cfg: GridConfig = GridConfig(), max_rou
         if front.isEmpty():
             break
         seen = materialize(seen.union(front), "seen")
+    else:
+        raise RuntimeError(f"the ground still grows after {max_rounds} rounds")
     return cells.join(seen.withColumn("is_ground", F.lit(True)), KEY, "left").withColumn("is_ground", F.coalesce("is_ground", F.lit(False)))
 
 
@@ -184,18 +186,20 @@ def candidates(cells: DataFrame, cfg: GridConfig = GridConfig()) -> DataFrame:
 
 def ground_split(points: DataFrame, ground: DataFrame) -> DataFrame:
     """Placed points with label 1 in a ground cell and 0 elsewhere; ground holds the keys of the ground cells."""
-    return points.join(ground.select(*KEY, F.lit(1).alias("g")), KEY, "left").withColumn("label", F.coalesce("g", F.lit(0))).drop("g")
+    return join_checked(points, ground.select(*KEY, F.lit(1).alias("g")), KEY).withColumn("label", F.coalesce("g", F.lit(0))).drop("g")
 
 
 def reclassify(points: DataFrame, cells: DataFrame, cfg: GridConfig = GridConfig()) -> DataFrame:
-    """Every finite point with is_obstacle; ground is what lies in a ground cell no more than a layer above the reference."""
+    """Every finite point with row, col and is_obstacle; ground is what lies in a ground cell no more than a layer above the reference. Points outside the grid look nothing up."""
     x, y = F.col("x"), F.col("y")
     row = F.when((y >= cfg.y_min) & (y < cfg.y_max), F.least(F.floor((y - cfg.y_min) / cfg.resolution).cast("int"), F.lit(cfg.rows - 1)))
     col = F.when((x >= cfg.x_min) & (x < cfg.x_max), F.least(F.floor((x - cfg.x_min) / cfg.resolution).cast("int"), F.lit(cfg.cols - 1)))
     placed = finite(points).withColumn("row", row).withColumn("col", col)
     ground = cells.where("is_ground").select(*KEY, F.col("ground_reference_z").alias("ref"))
-    out = placed.join(ground, KEY, "left")
-    return out.withColumn("is_obstacle", F.col("ref").isNull() | (F.col("z") > F.col("ref") + cfg.layer)).drop("ref")
+    inside = join_checked(placed.where("row IS NOT NULL AND col IS NOT NULL"), ground, KEY)
+    inside = inside.withColumn("is_obstacle", F.col("ref").isNull() | (F.col("z") > F.col("ref") + cfg.layer)).drop("ref")
+    outside = placed.where("row IS NULL OR col IS NULL").withColumn("is_obstacle", F.lit(True))
+    return inside.unionByName(outside)
 
 
 def ground(points: DataFrame, cfg: GridConfig = GridConfig()) -> DataFrame:

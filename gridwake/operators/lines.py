@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwake.functions import geometry as geo
-from gridwake.plans.materialize import materialize
+from gridwake.plans.materialize import join_checked, materialize
 
 
 def raster(points: DataFrame, scale: float, off_x: int, off_y: int) -> DataFrame:
@@ -102,7 +102,15 @@ def orthogonal_fit(points: DataFrame, keys: list[str]) -> DataFrame:
     s = s.withColumn("theta", 0.5 * F.atan2(2.0 * F.col("vxy"), F.col("vx") - F.col("vy")))
     upright = F.abs(F.cos("theta")) < 1e-12
     k = F.when(~upright, F.tan("theta"))
-    return s.withColumn("k", k).withColumn("b", F.col("sy").cast("double") / F.col("n") - F.col("k") * F.col("sx").cast("double") / F.col("n")).select(*keys, "n", "theta", "k", "b")
+    mx, my = (F.col(c).cast("double") / F.col("n") for c in ("sx", "sy"))
+    return s.withColumn("k", k).withColumn("b", my - F.col("k") * mx).select(*keys, "n", "theta", "k", "b", mx.alias("mean_x"))
+
+
+def line_ends(fits: DataFrame, start: float = 0.0, stop: float = 30.0, step: float = 0.1) -> DataFrame:
+    """Fits (k, b, mean_x) with the first and last of the points that y in steps from start to stop gives: x0, y0, x1, y1. An upright line has x = mean_x, a level one no ends."""
+    last = start + math.floor((stop - start) / step + 1e-9) * step
+    x = lambda y: F.when(F.col("k").isNull(), F.col("mean_x")).otherwise(F.try_divide(F.lit(y) - F.col("b"), F.col("k")))
+    return fits.withColumns({"x0": x(start), "y0": F.lit(start), "x1": x(last), "y1": F.lit(last)})
 
 
 def linear_fit(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -123,16 +131,34 @@ def polynomial_fit(points: DataFrame, keys: list[str], order: int) -> DataFrame:
 
 
 def sample_curve(fits: DataFrame, start: float, stop: float, step: float) -> DataFrame:
-    """Fits (k, b) evaluated along x."""
+    """Fits evaluated along x: lines (k, b), or polynomials (coefficients, lowest power first)."""
     n = int(math.floor((stop - start) / step + 1e-9))
     xs = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.lit(start) + i * step)).alias("x")
-    return fits.select("*", xs).withColumn("y", F.col("k") * F.col("x") + F.col("b"))
+    y = F.col("k") * F.col("x") + F.col("b")
+    if "coefficients" in fits.columns:
+        y = F.aggregate(F.reverse("coefficients"), F.lit(0.0), lambda a, c: a * F.col("x") + c)
+    return fits.select("*", xs).withColumn("y", y)
+
+
+def numbered(rows: DataFrame, key: str, order: str, out: str, ranges: int = 64) -> DataFrame:
+    """rows with their place, from 0, in the order of a numeric column within each key.
+
+    A key is cut into ranges of the order's span; rows are counted by range, a running sum over the few ranges gives where
+    each begins, and only a range is sorted by one task. Rows with equal order stand in any order among themselves.
+    """
+    span = rows.groupBy(key).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
+    cut = F.least(F.lit(ranges - 1), F.floor((F.col(order) - F.col("_low")) * ranges / F.greatest(F.lit(1), F.col("_high") - F.col("_low")))).cast("int")
+    dealt = join_checked(rows, span, key, "inner").withColumn("_range", cut).drop("_low", "_high")
+    counts = dealt.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    begin = counts.select(key, "_range", (F.sum("_n").over(Window.partitionBy(key).orderBy("_range")) - F.col("_n")).alias("_begin"))
+    inside = F.row_number().over(Window.partitionBy(key, "_range").orderBy(order)) - 1
+    return join_checked(dealt.withColumn(out, inside), begin, [key, "_range"], "inner").withColumn(out, F.col(out) + F.col("_begin")).drop("_range", "_begin")
 
 
 def sliding_average(lines: DataFrame, every: int) -> DataFrame:
     """For each full window of `every` frames the means of the first and last x of its valid lines, zeros without any."""
-    run = F.floor((F.row_number().over(Window.partitionBy("side").orderBy("frame_id")) - 1) / every)
-    out = lines.withColumn("run", run).groupBy("side", "run").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("valid"), F.col("x0"))).alias("x0"), F.avg(F.when(F.col("valid"), F.col("x1"))).alias("x1")).where(F.col("n") == every)
+    placed = numbered(lines.select("side", "frame_id", "valid", "x0", "x1"), "side", "frame_id", "place")
+    out = placed.withColumn("run", F.floor(F.col("place") / every)).groupBy("side", "run").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("valid"), F.col("x0"))).alias("x0"), F.avg(F.when(F.col("valid"), F.col("x1"))).alias("x1")).where(F.col("n") == every)
     return out.select("side", "run", F.coalesce("x0", F.lit(0.0)).alias("x0"), F.coalesce("x1", F.lit(0.0)).alias("x1"))
 
 

@@ -28,6 +28,12 @@ def section_roads(sections: DataFrame) -> DataFrame:
     return sections.groupBy("section_id").agg(F.max("road_id").alias("road_id"))
 
 
+def road_junctions(roads: DataFrame, junctions: DataFrame) -> DataFrame:
+    """(road_id, junction_id): the last junction, in the order of ids, that names the road among its connections; 0 is none."""
+    named = junctions.select("junction_id", F.explode("connect").alias("road_id")).groupBy("road_id").agg(F.max("junction_id").alias("junction_id"))
+    return roads.select("road_id").join(named, "road_id", "left").select("road_id", F.coalesce("junction_id", F.lit(0)).alias("junction_id"))
+
+
 def current_section(near: DataFrame, sections: DataFrame, key: str = "pose_id") -> DataFrame:
     """The section of the first near lane that has one; lanes in the order of their ids."""
     return near.join(lane_sections(sections), "lane_id").where("section_id > 0").groupBy(key).agg(F.min_by("section_id", "lane_id").alias("section_id"))

@@ -58,9 +58,34 @@ def _near(points: DataFrame, radius: float, key: str, some: DataFrame | None = N
     return left.join(right, ["frame_id", "qx", "qy", "qz"]).where((F.col(key) != F.col("other")) & (d2 <= radius * radius)).select("frame_id", key, "other", d2.alias("d2"))
 
 
+_AHEAD = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) > (0, 0, 0)]
+
+
+def _pairs(points: DataFrame, radius: float, key: str, least: int = 1) -> DataFrame:
+    """(frame_id, a, b) once for each two points within the radius: a point meets its own cube and the 13 ahead of it.
+
+    With a least number of others asked for, only cubes count whose 27 cubes hold enough, or that touch such a one: cubes are
+    counted first, and only their counts travel to their neighbours.
+    """
+    cube = ["frame_id", "qx", "qy", "qz"]
+    placed = points.select("frame_id", key, "x", "y", "z").withColumns({f"q{c}": F.floor(F.col(c) / radius) for c in "xyz"})
+    moves = lambda some: F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(m, "ijk"))) for m in some)))
+    moved = [(F.col(f"q{c}") + F.col(f"m.{m}")).alias(f"q{c}") for c, m in zip("xyz", "ijk")]
+    if least > 1:
+        counts = placed.groupBy(*cube).agg(F.count(F.lit(1)).alias("n"))
+        every = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+        full = counts.withColumn("m", moves(every)).select("frame_id", *moved, "n").groupBy(*cube).agg(F.sum("n").alias("n")).where(F.col("n") > least)
+        near = full.select(*cube).withColumn("m", moves(every)).select("frame_id", *moved).distinct()
+        placed = placed.join(near, cube, "left_semi")
+    left = placed.withColumn("m", moves([(0, 0, 0), *_AHEAD])).select("frame_id", F.col(key).alias("a"), *(F.col(c).alias(f"o{c}") for c in "xyz"), *moved, (F.struct("m.i", "m.j", "m.k") == F.struct(F.lit(0), F.lit(0), F.lit(0))).alias("own"))
+    d2 = sum(((F.col(c) - F.col(f"o{c}")) * (F.col(c) - F.col(f"o{c}")) for c in "xyz"), F.lit(0))
+    return left.join(placed.withColumnRenamed(key, "b"), cube).where((~F.col("own") | (F.col("a") < F.col("b"))) & (d2 <= radius * radius)).select("frame_id", "a", "b")
+
+
 def radius_outliers(points: DataFrame, radius: float, least: int, key: str = "point_id") -> DataFrame:
-    """Points with at least so many others within the radius."""
-    enough = _near(points, radius, key).groupBy("frame_id", key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    """Points with at least so many others within the radius; keys tell the points of a frame apart."""
+    both = _pairs(points, radius, key, least).select("frame_id", F.explode(F.array("a", "b")).alias(key))
+    enough = both.groupBy("frame_id", key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return points.join(enough.select("frame_id", key), ["frame_id", key], "left_semi")
 
 
@@ -96,8 +121,37 @@ def statistical_outliers(points: DataFrame, edge: float, k: int, factor: float,
 
 
 def euclidean_links(points: DataFrame, tolerance: float, key: str = "point_id") -> DataFrame:
-    """C4: (frame_id, a, b) pairs of points that touch."""
-    return _near(points, tolerance, key).where(F.col(key) < F.col("other")).select("frame_id", F.col(key).alias("a"), F.col("other").alias("b"))
+    """C4: (frame_id, a, b) pairs of points that touch, a < b."""
+    return _pairs(points, tolerance, key).select("frame_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def euclidean_clusters(points: DataFrame, tolerance: float, least: int = 1, most: int | None = None, key: str = "point_id", max_rounds: int = 100) -> DataFrame:
+    """C4: points with cluster_id, the smallest key of those that chains of touching points reach; clusters of fewer than least or more than most points are left out.
+
+    Labels spread by joins: a point takes the smallest label of those that it touches, then the label of that label's
+    point, so chains shorten by half each round.
+    """
+    links = materialize(euclidean_links(points, tolerance, key), "touching")
+    both = links.select("frame_id", F.col("a").alias(key), F.col("b").alias("other")).unionByName(links.select("frame_id", F.col("b").alias(key), F.col("a").alias("other")))
+    own = materialize(points.select("frame_id", key, F.col(key).alias("label")), "labels")
+    for _ in range(max_rounds):
+        met = both.join(own.withColumnRenamed(key, "other"), ["frame_id", "other"]).select("frame_id", key, "label")
+        low = own.unionByName(met).groupBy("frame_id", key).agg(F.min("label").alias("label"))
+        jump = low.select("frame_id", F.col("label").alias("further"), F.col(key).alias("label"))
+        new = materialize(low.join(jump, ["frame_id", "label"]).select("frame_id", key, F.least("label", "further").alias("label")), "labels")
+        if new.join(own, ["frame_id", key, "label"], "left_anti").isEmpty():
+            break
+        own = new
+    else:
+        raise RuntimeError(f"clusters still grow after {max_rounds} rounds")
+    sizes = own.groupBy("frame_id", "label").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & (F.col("n") <= most if most else F.lit(True)))
+    named = own.join(sizes.select("frame_id", "label"), ["frame_id", "label"], "left_semi").withColumnRenamed("label", "cluster_id")
+    return points.join(named, ["frame_id", key])
+
+
+def extract(points: DataFrame, indices: DataFrame, negative: bool = False, keys: tuple[str, ...] = ("frame_id", "point_id")) -> DataFrame:
+    """The points that indices name, or with negative all others."""
+    return points.join(indices.select(*keys).distinct(), list(keys), "left_anti" if negative else "left_semi")
 
 
 def ring_id(elevation_deg: Column, lower: float, factor: float, rings: int) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from gridwake.plans import grid_queries, motion_queries
+from gridwake.plans import device_queries, grid_queries, motion_queries
 from gridwake.plans.grid_queries import flagship
 
-_MODULES = (grid_queries, motion_queries)
+_MODULES = (grid_queries, motion_queries, device_queries)
 __all__ = ["flagship", "oracle_sql", "queries"]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,17 +11,32 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where none is set (tests, a laptop), a new local one."""
+    """The folder in spark.checkpoint.dir; where none is set, a new local one if the session runs in one process, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="gridwake-")
-        spark.sparkContext.setCheckpointDir(folder)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="gridwake-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/gridwake-{uuid.uuid4().hex}/{tag}"
+    folder = f"{shared_dir(spark)}/gridwake-{uuid.uuid4().hex}"
+    _written.append(folder)
+    return f"{folder}/{tag}"
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove the tables that this driver has written so far, and return how many folders that were; what reads them must be done."""
+    n = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 #: Write options for rows of some MB that are compressed already: a page is closed by its size and not after 100 rows.

@@ -119,10 +119,10 @@ def t11(spark, sf):
     return fixtures.points(spark, sf).groupBy("frame_id", F.coalesce(T.ring_id(F.col("intensity"), 10, 0.5, 16), F.lit(-1)).alias("ring_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("t12_range_image", f"WITH {P} SELECT frame_id, ring, greatest(0, least(floor(((x + y) % 360) / 0.5)::INT, 699)) AS col, count(*) AS n FROM pts WHERE x + y >= 0 GROUP BY 1, 2, 3")
+@query("t12_range_image", f"WITH {P} SELECT frame_id, ring, greatest(0, least(floor((((x + y) % 360 + 360) % 360) / 0.5)::INT, 699)) AS col, count(*) AS n FROM pts GROUP BY 1, 2, 3")
 def t12(spark, sf):
-    p = fixtures.points(spark, sf).where("x + y >= 0")
-    return p.groupBy("frame_id", "ring", T.image_column(F.expr("(x + y) % 360"), 0.5, 700).alias("col")).agg(F.count(F.lit(1)).alias("n"))
+    p = fixtures.points(spark, sf)
+    return p.groupBy("frame_id", "ring", T.image_column(F.expr("pmod(x + y, 360)"), 0.5, 700).alias("col")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("t13_bright_low", f"WITH {P} SELECT frame_id, {_S} FROM pts WHERE intensity > 30 AND z < 0 GROUP BY 1")
@@ -426,7 +426,7 @@ def l01(spark, sf):
 
 @query("l02_hough")
 def l02(spark, sf):
-    return lines.hough(lines.raster(fixtures.points(spark, sf).where("z > -1200"), 0.02, 300, 5), 12, 8, 4)
+    return lines.hough(lines.raster(fixtures.points(spark, sf), 0.02, 300, 5), 12, 20, 12)
 
 
 @query("l03_line_struct", f'WITH {DESC} SELECT line_id, ax, ay, bx, by_ AS "by", round(angle, 6) AS angle, round(length, 6) AS length, least(17, floor(angle / 10))::INT AS "range" FROM an')
@@ -516,7 +516,7 @@ def k12(spark, sf):
 
 @query("k14_frame_intervals", f"WITH {POSES_SQL}, f AS (SELECT DISTINCT stream_id, (ts_ms // 600000) * 600000 AS ts_ms FROM poses) SELECT stream_id, ts_ms, coalesce(ts_ms - lag(ts_ms) OVER (PARTITION BY stream_id ORDER BY ts_ms), 0) AS dt FROM f")
 def k14(spark, sf):
-    return _frames(spark, sf).selectExpr("stream_id", "ts_ms", "coalesce(ts_ms - lag(ts_ms) OVER (PARTITION BY stream_id ORDER BY ts_ms), 0) AS dt")
+    return tracking.frame_intervals(_frames(spark, sf)).drop("first")
 
 
 @query("g18_track_records")
@@ -531,7 +531,7 @@ def g20(spark, sf):
 
 @query("k06_latest_frame", f"WITH {BLOCKS_SQL} SELECT stream_id, max(ts_ms) AS ts_ms, arg_max(azimuth, ts_ms::HUGEINT * 10000000 + seq) AS azimuth FROM blocks GROUP BY 1")
 def k06(spark, sf):
-    return fixtures.blocks(spark, sf).groupBy("stream_id").agg(F.max("ts_ms").alias("ts_ms"), F.max_by("azimuth", F.struct("ts_ms", "seq")).alias("azimuth"))
+    return tracking.latest(fixtures.blocks(spark, sf), "azimuth")
 
 
 # --- layers -------------------------------------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gridwake.config import TrackConfig
 from gridwake.operators.framing import SequenceSplitter
-from gridwake.operators.tracking import OUT, Track, Tracker, rows_of
+from gridwake.operators.tracking import BOX, COLUMNS, OUT, Track, Tracker, found_in, rows_of
 
 
 def split_by_sequence(packets: DataFrame, order: str = "arrival", band: int = 10) -> DataFrame:
@@ -63,24 +63,27 @@ def track(frames: DataFrame, method: str = "greedy", cfg: TrackConfig = TrackCon
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in OUT.split(", ")]
+        sizes = {c: float for c in BOX[1:]}
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame([], columns=columns)
+            yield pd.DataFrame([], columns=COLUMNS).astype(sizes)
             return
         tracker = Tracker(cfg, method)
         if state.exists:
-            previous, tracker.next_id, *arrays = state.get
+            previous, tracker.next_id, *arrays, boxes = state.get
             tracker.previous_ms = None if previous < 0 else previous
-            tracker.tracks = [Track(*row) for row in zip(*arrays)]
+            for row, box in zip(zip(*arrays), boxes):  # a box is its size and then its corners, one number behind another
+                size = tuple(None if v is None or v != v else v for v in box[:3])
+                tracker.tracks.append(Track(*row, corners=list(zip(box[3::2], box[4::2])) or None, size=size))
         out = []
         for row in pd.concat(list(batches)).sort_values("ts_ms", kind="stable").itertuples():
-            out += rows_of(key[0], row.ts_ms, tracker.step(int(row.ts_ms), [(d["x"], d["y"]) for d in row.detections]))
+            out += rows_of(key[0], row.ts_ms, tracker.step(int(row.ts_ms), found_in(row.detections)))
         live = tracker.tracks
-        state.update((-1 if tracker.previous_ms is None else tracker.previous_ms, tracker.next_id, *([getattr(t, c) for t in live] for c in ("track_id", "x", "y", "vx", "vy", "age", "last_seen"))))
+        boxes = [[*(float("nan") if v is None else float(v) for v in t.size), *(v for c in t.corners or [] for v in c)] for t in live]
+        state.update((-1 if tracker.previous_ms is None else tracker.previous_ms, tracker.next_id, *([getattr(t, c) for t in live] for c in ("track_id", "x", "y", "vx", "vy", "age", "last_seen")), boxes))
         if keep_ms:
             state.setTimeoutDuration(keep_ms)
-        yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(out, columns=COLUMNS).astype(sizes)
 
-    kept = "previous bigint, next_id bigint, track_id array<bigint>, x array<double>, y array<double>, vx array<double>, vy array<double>, age array<int>, last_seen array<int>"
+    kept = "previous bigint, next_id bigint, track_id array<bigint>, x array<double>, y array<double>, vx array<double>, vy array<double>, age array<int>, last_seen array<int>, boxes array<array<double>>"
     return frames.select("stream_id", "ts_ms", "detections").groupBy("stream_id").applyInPandasWithState(run, OUT, kept, "append", GroupStateTimeout.ProcessingTimeTimeout if keep_ms else GroupStateTimeout.NoTimeout)

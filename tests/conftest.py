@@ -4,6 +4,8 @@ import tempfile
 import pytest
 from pyspark.sql import SparkSession
 
+from gridwake.plans.materialize import clear
+
 os.environ.setdefault("TZ", "UTC")
 
 
@@ -20,6 +22,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear(session)
     session.stop()
 
 

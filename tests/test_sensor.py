@@ -177,10 +177,10 @@ def test_greedy_is_not_optimal():
     for method, ages in (("greedy", [1, 0, 0]), ("optimal", [1, 1])):
         t = tracking.Tracker(method=method)
         t.step(0, found)
-        t.step(1000, [(0.21, 0.0), (-0.2, 0.0)])
-        assert sorted(x.age for x in t.tracks) == sorted(ages) or method == "greedy"
-        if method == "optimal":
-            assert t.tracks[0].x == -0.2 and t.tracks[1].x == 0.21
+        t.step(1000, [(0.25, 0.0), (-0.45, 0.0)])
+        assert [x.age for x in t.tracks] == ages
+        # Greedy gives the first track what is nearest to it; then nothing is left for the second.
+        assert [x.x for x in t.tracks] == ([0.25, 0.4, -0.45] if method == "greedy" else [-0.45, 0.25])
 
 
 def test_assignment_is_cheapest():
@@ -194,11 +194,99 @@ def test_assignment_is_cheapest():
             assert sorted(got) == list(range(n)) and c[np.arange(n), got].sum() == min(sum(c[k, p[k]] for k in range(n)) for p in permutations(range(n)))
 
 
-def test_velocity_filter_follows():
+def test_velocity_filter_step_by_step():
+    """Worked by hand: variances 1 and 10, noises 0.01 and 0.1, measurements 0.5; the velocity takes the residual left."""
     f = tracking.VelocityFilter(0.0)
-    for k in range(1, 60):
-        p, _ = f.step(0.5 * k, 1.0)
-    assert abs(p - 29.5) < 0.5
+    p, v = f.step(1.0, 1.0)
+    gain = 1.01 / 1.51
+    assert p == pytest.approx(gain) and v == pytest.approx(gain * (1 - gain) / 1.01) and f.pp == pytest.approx((1 - gain) * 1.01) and f.pv == pytest.approx(10.1)
+    p2, _ = f.step(p + v, 1.0)
+    assert p2 == pytest.approx(p + v)
+
+
+def test_smoothing_starts_anew_for_each_track(spark):
+    rows = [(1, 1, 1000 * k, float(k), 0.0) for k in range(5)] + [(1, 2, 1000 * k, 9.0, -1.0) for k in range(5)] + [(1, 2, 9000, None, 0.0)]
+    got = tracking.smooth(spark.createDataFrame(rows, "stream_id long, track_id long, ts_ms long, x double, y double")).orderBy("track_id", "ts_ms").collect()
+    f = tracking.VelocityFilter(0.0)
+    want = [0.0] + [f.step(float(k), 1.0)[0] for k in range(1, 5)]
+    assert [r.fx for r in got[:5]] == pytest.approx(want) and [r.fx for r in got[5:]] == [9.0] * 5 and [r.fy for r in got[5:]] == [-1.0] * 5
+
+
+def _brute_tracks(frames, method):
+    """Tracks by plain loops: (ts, id, x, y, age, missed) after each frame."""
+    live, fresh, before, out = [], 9999, None, []
+
+    def cheapest(cost, rows, columns):
+        """The cheapest way to give each row a column of the square of rows and columns, those beyond either costing 0.5: by sets of columns taken."""
+        n = max(rows, columns)
+        price = lambda k, d: 0.5 if k >= rows else (cost[k][d] if cost[k][d] < 0.5 else 1e6)
+        states = {(0, n - columns): (0.0, ())}  # columns taken, columns beyond that are left
+        for k in range(n):
+            after = {}
+            for (taken, spare), (total, way) in states.items():
+                steps = [((taken | 1 << d, spare), total + price(k, d), (*way, d)) for d in range(columns) if not taken >> d & 1]
+                steps += [((taken, spare - 1), total + 0.5, (*way, None))] if spare else []
+                for state, c, w in steps:
+                    if state not in after or c < after[state][0]:
+                        after[state] = (c, w)
+            states = after
+        return min(states.values())[1]
+    for ts, found in frames:
+        dt = 0.0 if before is None else (ts - before) / 1000.0
+        before = ts
+        cost = [[math.hypot(t["x"] + t["vx"] * dt - x, t["y"] + t["vy"] * dt - y) for x, y in found] for t in live]
+        match = {}
+        if method == "greedy":
+            for k in range(len(live)):
+                free = [d for d in range(len(found)) if d not in match.values() and cost[k][d] < 0.5]
+                if free:
+                    match[k] = min(free, key=lambda d: cost[k][d])
+        else:
+            match = {k: d for k, d in enumerate(cheapest(cost, len(live), len(found))) if k < len(live) and d is not None and cost[k][d] < 0.5}
+        for k, t in enumerate(live):
+            if k in match:
+                x, y = found[match[k]]
+                t["vx"], t["vy"] = ((x - t["x"]) / dt, (y - t["y"]) / dt) if dt else (0.0, 0.0)
+                t.update(x=x, y=y, age=t["age"] + 1, missed=0)
+            else:
+                t["missed"] += 1
+                if not found or method == "optimal":
+                    t["x"], t["y"] = t["x"] + t["vx"] * dt, t["y"] + t["vy"] * dt
+        for d, (x, y) in enumerate(found):
+            if d not in match.values():
+                live.append(dict(id=fresh, x=x, y=y, vx=0.0, vy=0.0, age=0, missed=0))
+                fresh += 1
+        live = [t for t in live if t["missed"] <= 10]
+        out += [(ts, t["id"], round(t["x"], 9), round(t["y"], 9), t["age"], t["missed"]) for t in live]
+    return out
+
+
+@pytest.mark.parametrize("method", ["greedy", "optimal"])
+def test_trackers_against_plain_loops(spark, method):
+    rng = np.random.default_rng(5)
+    rows, want = [], []
+    for stream in range(4):
+        spots, frames = rng.uniform(0, 3, (4, 2)), []
+        for k in range(25):
+            spots = spots + rng.uniform(-0.3, 0.3, spots.shape)
+            found = [(float(x), float(y)) for x, y in spots[rng.random(4) < 0.8]] if k % 9 else []
+            frames.append((1000 * k, found))
+            rows.append((stream, 1000 * k, [{"x": x, "y": y} for x, y in found]))
+        want += [(stream, *r) for r in _brute_tracks(frames, method)]
+    got = tracking.track(spark.createDataFrame(rows, "stream_id long, ts_ms long, detections array<struct<x:double,y:double>>"), method).collect()
+    assert sorted((r.stream_id, r.ts_ms, r.track_id, round(r.x, 9), round(r.y, 9), r.age, r.last_seen) for r in got) == sorted(want)
+
+
+def test_tracks_carry_boxes(spark):
+    box = lambda x: [{"x": x + dx, "y": dy} for dx, dy in ((0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0))]
+    rows = [(1, 1000 * k, 0, 0.1 * k, 0.0, box(0.1 * k), 2.0, 1.0, 0.5) for k in range(5)]
+    found = spark.createDataFrame(rows, "stream_id long, ts_ms long, cluster_id long, x double, y double, corners array<struct<x:double,y:double>>, depth double, width double, height double")
+    frames = tracking.frames_of(found).unionByName(spark.createDataFrame([(1, 5000, [])], tracking.frames_of(found).schema))
+    got = tracking.track(frames).orderBy("ts_ms").collect()
+    assert (got[-2].depth, got[-2].width, got[-2].height) == (2.0, 1.0, 0.5)
+    assert got[-1].corners[0].x == pytest.approx(0.5) and got[-1].x == pytest.approx(0.5)  # without a detection box and track move on
+    old = tracking.confirmed(tracking.track(frames)).orderBy("ts_ms").first()
+    assert old.age == 3 and (old.min_x, old.max_x, old.size_x, old.size_y) == pytest.approx((0.3, 2.3, 2.0, 1.0))
 
 
 def test_tracks_are_alike_in_a_stream(spark, sf, tmp_path):
@@ -274,9 +362,128 @@ def test_captures(spark, tmp_path):
 def test_fragments(spark, tmp_path):
     body = bytes(range(48))
     parts = [_frame(0, b"", ident=7, off=24, raw=body[24:]), _frame(0, b"", ident=7, off=0, more=True, raw=body[:24]), _frame(0, b"", ident=8, off=8, raw=body[8:])]
+    order = [parts[1], parts[0], parts[2]]
+    _capture(tmp_path / "o.pcap", order)
+    got = packets.reassemble(packets.read_pcap(spark, str(tmp_path / "o.pcap"))).collect()
+    assert [(r.ip_id, bytes(r.datagram)) for r in got] == [(7, body)]
     _capture(tmp_path / "j.pcap", parts)
     got = packets.reassemble(packets.read_pcap(spark, str(tmp_path / "j.pcap"))).collect()
-    assert [(r.ip_id, bytes(r.datagram)) for r in got] == [(7, body)]
+    assert [(r.ip_id, bytes(r.datagram)) for r in got] == []  # the fragment behind came first
+
+
+def test_datagrams_whose_ids_come_again(spark, tmp_path):
+    a, b, c = (bytes([k]) * 48 for k in (1, 2, 3))
+    first = lambda body, ident=7: _frame(0, b"", ident=ident, off=0, more=True, raw=body[:24])
+    rest = lambda body, ident=7: _frame(0, b"", ident=ident, off=24, raw=body[24:])
+    whole = [_frame(5, b"x", ident=5), _frame(5, b"y", ident=5), _frame(5, b"z", ident=6, vlan=True)]
+    other = bytearray(_frame(5, b"tcp", ident=5))
+    other[23] = 6
+    frames = [*whole, bytes(other), first(a), rest(a), first(b), first(c, 8), rest(b), rest(b), rest(c, 8), first(a)]
+    _capture(tmp_path / "j.pcap", frames)
+    rows = packets.read_pcap(spark, str(tmp_path / "j.pcap"), rows_each=2)
+    got = packets.reassemble(rows).orderBy("number").collect()
+    assert [(r.number, r.ip_id, bytes(r.datagram)[-1:]) for r in got] == [(0, 5, b"x"), (1, 5, b"y"), (2, 6, b"z"), (4, 7, b"\1"), (6, 7, b"\2"), (7, 8, b"\3")]
+    assert [bytes(r.datagram) for r in got[3:]] == [a, b, c]
+
+
+def test_packets_by_format(spark, tmp_path):
+    body = struct.pack(">HHHH", 1, 6699, 48, 0) + bytes(range(40))
+    _capture(tmp_path / "p.pcap", [_frame(6699, b"one"), _frame(0, b"", ident=9, off=0, more=True, raw=body[:24]), _frame(0, b"", ident=9, off=24, raw=body[24:]), _frame(7, b"no")])
+    path = str(tmp_path / "p.pcap")
+    got = lambda *a: [(r.port, bytes(r.payload)) for r in packets.read_packets(spark, *a, ports=[6699]).orderBy("number").collect()]
+    assert got(path, "jumbo") == [(6699, b"one"), (6699, bytes(range(40)))]
+    assert (6699, b"one") in got(path, "pcap")
+    packets.read_pcap(spark, path).write.parquet(str(tmp_path / "raw"))
+    assert (6699, b"one") in got(str(tmp_path / "raw"), "raw")
+    with pytest.raises(ValueError):
+        packets.read_packets(spark, path, "tape")
+
+
+def test_pose_feed(spark):
+    good = struct.pack("<BBH4s", 10, 0, 120, b"") + struct.pack("<Qiii", 1_700_000_000_123, 1500, -2500, 9010).ljust(120, b"\0")
+    rows = [("f", 0, bytearray(good)), ("f", 1, bytearray(b"\x0b" + good[1:])), ("f", 2, bytearray(good[:100])), ("f", 3, bytearray(good[:2] + b"\x05\0" + good[4:]))]
+    got = packets.pose_feed(spark.createDataFrame(rows, "file string, number long, payload binary")).collect()
+    assert [(r.number, r.ts_ms, r.x, r.y, r.heading_deg) for r in got] == [(0, 1_700_000_000_123, 1.5, -2.5, 90.1)]
+
+
+def test_road_maps(spark, tmp_path):
+    from gridwake.sources import roadmap
+
+    i, f = (lambda *v: struct.pack(f"<{len(v)}i", *v)), (lambda *v: struct.pack(f"<{len(v)}f", *v))
+    ids = lambda *v: i(len(v), *v)
+    body = b"v1.0\0\0" + struct.pack("<dd", 114.5, 22.25)
+    body += i(1) + i(3) + f(1, 2) + i(3) + f(0, 0, 1, 0, 1, 1) + i(1) + f(0.5) + f(*range(8))
+    body += i(2) + b"".join(i(n, 2) + f(0, 0, 0, 90, 0, 5, 0, 5, 90, 0) + f(5, 3.5) + i(1, 2, 3, 40, 0, 0, 0, 0) + ids(*back) + ids(*on) for n, back, on in ((1, [], [2]), (2, [1], [])))
+    body += i(1) + i(1) + f(0, 0, 1, 1) + i(0) + i(1) + i(4) + f(1, 2, 3) + i(1) + i(1, 2) + i(0) + i(1) + i(6) + f(1, 2, 3) + ids(7, 8)
+    section = lambda n, lane, back, on: i(n) + ids(lane) + i(2) + f(0, 0, 5, 0) + f(0, 4, 5, 4) + i(*range(9)) + ids(6) + ids(*back) + ids(*on)
+    body += i(2) + section(11, 1, [], [12]) + section(12, 2, [11], [])
+    body += i(1) + i(21, 0) + ids(11, 12) + ids() + ids() + i(31)
+    body += i(1) + i(31) + i(3) + f(0, 0, 1, 0, 1, 1) + ids(21) + ids() + ids(21)
+    (tmp_path / "m.bin").write_bytes(body)
+    t = roadmap.read_map(spark, str(tmp_path / "m.bin"))
+    head = t["head"].first()
+    assert (head.version, head.lon, head.lat) == ("v1.0", 114.5, 22.25)
+    assert {k: df.count() for k, df in t.items()} == {"head": 1, "stations": 1, "lanes": 2, "stop_lines": 1, "crosswalks": 0, "signals": 1, "clear_areas": 0, "traffic_signs": 1, "sections": 2, "roads": 1, "junctions": 1}
+    assert t["stations"].first().spaces[0].corners[3].y == 7 and t["lanes"].orderBy("id").first().centre[1].x == 5 and list(t["traffic_signs"].first().types) == [7, 8]
+    m = roadmap.map_tables(t)
+    assert [tuple(r) for r in m["edges"].collect()] == [(11, 12)] and {r.road_id for r in m["sections"].collect()} == {21}
+    near = mapjoin.lanes_near(spark.createDataFrame([(1, 1.0, 1.0)], "pose_id long, x double, y double"), m["lane_points"])
+    current = mapjoin.current_section(near, m["sections"])
+    assert current.first().section_id == 11 and sorted(r.section_id for r in mapjoin.drivable_sections(current, m["edges"]).collect()) == [11, 12]
+    assert [tuple(r) for r in mapjoin.road_junctions(m["roads"], m["junctions"]).collect()] == [(21, 31)]
+    (tmp_path / "short.bin").write_bytes(body[:-2])
+    with pytest.raises(Exception, match="ends within a record"):
+        roadmap.read_map(spark, str(tmp_path / "short.bin"))["roads"].count()
+
+
+def test_settings(spark, tmp_path):
+    from gridwake.sources import settings
+
+    text = """%YAML:1.0
+---
+Lidar:
+  type: "spin16"   # a comment
+  msopPort: 6699
+  difopPort: 7788
+MapGroundFilter:
+  roi_x_min: 0.5
+  grid_resolution: 0.2
+Localization:
+  timeout_ms: 500
+"""
+    path = tmp_path / "c.yaml"
+    path.write_text(text)
+    got = settings.read_settings(spark, str(path))
+    assert got["sensor"].msop_port == 6699 and got["sensor"].rings == 16 and got["grid"].resolution == 0.2 and got["poses"].timeout_ms == 500 and got["map"] == settings.MapConfig()
+    for wrong, code in (("type", -3), ("Lidar:", -2), ("MapGroundFilter:", -2)):
+        path.write_text(text.replace(wrong, "other" + wrong))
+        with pytest.raises(settings.ConfigError) as e:
+            settings.read_settings(spark, str(path))
+        assert e.value.code == code, wrong
+    for old, new in (("6699", "66990"), ("6699", "x"), ('"spin16"', '""')):
+        path.write_text(text.replace(old, new))
+        with pytest.raises(settings.ConfigError) as e:
+            settings.read_settings(spark, str(path))
+        assert e.value.code == -3
+    with pytest.raises(settings.ConfigError) as e:
+        settings.read_settings(spark, str(tmp_path / "none.yaml"))
+    assert e.value.code == -1
+
+
+def test_calibration_files(spark, tmp_path):
+    from gridwake.sources import settings
+
+    path = tmp_path / "c.cfg"
+    path.write_text("application : { // top\n lidar : { fComBinePara = [1.0, 0, 0, 0.5, 0, 1, 0, 0, 0, 0, 1, 2]; fLidar2Vehicle_Heading = 90.0; iInstallType = -3L; name = \"a;b\"; };\n other = 0x10; };")
+    got = settings.read_calibration(spark, str(path))
+    assert got.rows[2] == [0, 0, 1, 2] and (got.yaw_deg, got.install_type, got.offset_x) == (90.0, -3, 0.0)
+    with pytest.raises(settings.ConfigError) as e:
+        settings.read_calibration(spark, str(path), "radar")
+    assert e.value.code == -2
+    path.write_text("application : { lidar : { fComBinePara = [1.0]; }; };")
+    with pytest.raises(settings.ConfigError) as e:
+        settings.read_calibration(spark, str(path))
+    assert e.value.code == -3
 
 
 def test_clouds_round_trip(spark, tmp_path):
@@ -284,6 +491,9 @@ def test_clouds_round_trip(spark, tmp_path):
     packets.write_pcd(df, str(tmp_path / "pcd"))
     got = packets.read_pcd(spark, str(tmp_path / "pcd/*/part-*"))
     assert sorted((r.x, r.y, r.z) for r in got.collect()) == sorted((r.x, r.y, r.z) for r in df.collect())
+    many = spark.createDataFrame([(1, k, float(k * 37 % 101), 0.0, 0.0, 1.0) for k in range(60)], "frame_id long, n long, x double, y double, z double, intensity double")
+    packets.write_pcd(many.orderBy("x"), str(tmp_path / "kept"), order="n")
+    assert [r.x for r in packets.read_pcd(spark, str(tmp_path / "kept/*/part-*")).collect()] == [float(k * 37 % 101) for k in range(60)]
     head = b"FIELDS x y z intensity\nSIZE 4 4 4 1\nTYPE F F F U\nCOUNT 1 1 1 1\nPOINTS 2\nDATA binary\n"
     (tmp_path / "b.pcd").write_bytes(head + struct.pack("<fffB", 1, 2, 3, 200) + struct.pack("<fffB", 4, 5, 6, 1))
     assert [tuple(r)[1:] for r in packets.read_pcd(spark, str(tmp_path / "b.pcd")).orderBy("x").collect()] == [(1.0, 2.0, 3.0, 200.0), (4.0, 5.0, 6.0, 1.0)]
@@ -320,7 +530,8 @@ def test_crc_and_calendar(spark):
 
 
 def test_models_and_device_values(spark):
-    assert len(decode.MODELS) == 21 and decode.MODELS["polar16"].blocks * decode.MODELS["polar16"].block_size == 1200
+    assert len(decode.MODELS) == 21 and decode.MODELS["spin16"].blocks * decode.MODELS["spin16"].block_size == 1200
+    assert all(m.header + m.blocks * m.block_size <= m.length for m in decode.MODELS.values())
     row = spark.range(1).select(*(c.alias(n) for n, c in decode.difop_common(F.lit(600), 55.56).items())).first()
     assert (row.rps, row.blocks_per_frame, row.az_step, row.blind_us) == (10, 1799, 20, 0)
     raw = struct.pack(">hhhhhh", 16384, -16384, 0, 32767, 0, -32768)
@@ -366,9 +577,12 @@ def test_fits(spark):
     assert got[1].k == pytest.approx(2) and got[1].b == pytest.approx(3) and got[2].k is None
     c = lines.polynomial_fit(spark.createDataFrame([(1, float(x), float(1 - 2 * x + x * x)) for x in range(6)], "g long, x double, y double"), ["g"], 2).first().coefficients
     assert c == pytest.approx([1, -2, 1], abs=1e-6)
+    # An angle in [0, pi) and a distance without a side.
     theta, d = geo.polar_line(F.lit(0.0), F.lit(-2.0))
-    r = spark.range(1).select(theta.alias("t"), d.alias("d")).first()
-    assert r.d == 2 and r.t == pytest.approx(3 * math.pi / 2)
+    again, _ = geo.normal_polar(F.lit(3 * math.pi / 2), F.lit(-2.0))
+    k, b = geo.polar_to_slope(F.lit(math.pi / 4), F.lit(1.0))
+    r = spark.range(1).select(theta.alias("t"), d.alias("d"), again.alias("a"), k.alias("k"), b.alias("b")).first()
+    assert r.d == 2 and r.t == pytest.approx(math.pi / 2) and r.a == pytest.approx(math.pi / 2) and (r.k, r.b) == pytest.approx((-1, math.sqrt(2)))
 
 
 def test_planes_and_morphology(spark):
@@ -414,3 +628,161 @@ def test_sql_functions(spark):
     geo.register(spark)
     r = spark.sql("SELECT vehicle_to_map_x(1D, 0D, 0D, 0D, 90D) AS x, point_segment_distance(0D, 3D, -1D, 0D, 1D, 0D) AS d, line_angle_deg(0D, 0D, -1D, 0D) AS a").first()
     assert (r.x, r.d, r.a) == pytest.approx((1, 3, 0))
+
+
+# --- curbs, clusters, scanners -------------------------------------------------------------------------------------
+
+
+def _segments(spark, rows):
+    df = spark.createDataFrame([(f, k, *map(float, xy)) for f, k, xy in rows], "frame_id long, line_id long, x0 double, y0 double, x1 double, y1 double")
+    return lines.describe(df)
+
+
+def test_first_fit_against_a_loop(spark, sf):
+    from gridwake.operators import curbs
+    from gridwake.plans.motion_queries import _seg
+
+    d = lines.describe(_seg(spark, sf))
+    got = {(r.frame_id, r.line_id): r.cluster_id for r in curbs.first_fit(d, "angle", 8.0, least_angle=60.0, middle=40.0).collect()}
+    heads, want = {}, {}
+    for r in sorted(d.collect(), key=lambda r: (r.frame_id, r.line_id)):
+        if r.angle < 60:
+            continue
+        own = heads.setdefault(r.frame_id, [])
+        m = (r.ax + r.bx) / 2
+        k = next((k for k, (a, n) in enumerate(own) if abs(a - r.angle) < 8 and abs(n - m) < 40), len(own))
+        if k == len(own):
+            own.append((r.angle, m))
+        want[r.frame_id, r.line_id] = k
+    assert got == want and len(want) > 50
+
+
+def test_lines_are_chosen_along_time(spark):
+    from gridwake.operators import curbs
+
+    rows = [(1, 1, (10, 0, 10, 100)), (1, 2, (10, 110, 10, 200)), (1, 3, (200, 0, 200, 150)), (2, 4, (11, 0, 11, 100)), (2, 5, (100, 0, 190, 90)), (3, 6, (100, 5, 190, 95)), (3, 7, (150, 3, 240, 93))]
+    d = _segments(spark, rows).withColumn("stream_id", F.lit(1)).withColumn("side", F.lit("left"))
+    merged = curbs.merge_lines(d)
+    pairs = {(r.cluster_id, r.line_id) for r in merged.where("cluster_id <> line_id").collect()}
+    assert pairs == {(1, 2), (2, 1)}
+    got = curbs.choose_lines(d, merged).orderBy("frame_id").collect()
+    # The longest cluster first; then its continuation, smoothed; then, as none goes on, the one that starts lowest.
+    assert [(r.frame_id, round(r.ax, 6), round(r.bx, 6)) for r in got] == [(1, 10.0, 10.0), (2, 10.3, 10.3), (3, 150.0, 240.0)]
+    ranges = spark.createDataFrame([(1, 4)], "frame_id long, last_range int")
+    assert curbs.merge_lines(d, last_range=ranges).where("frame_id = 1").count() == 0
+
+
+def test_ransac_lines(spark):
+    from gridwake.operators import curbs
+
+    rng = np.random.default_rng(3)
+    steep = [(1, 2.0 * k + float(e), 5.0 * k) for k, e in zip(range(80), rng.uniform(-0.2, 0.2, 80))] + [(1, float(x), float(y)) for x, y in rng.uniform(0, 400, (20, 2))]
+    flat = [(2, float(k), 1.0) for k in range(50)]
+    got = curbs.ransac_line(spark.createDataFrame(steep + flat + [(3, 1.0, 1.0)], "frame_id long, x double, y double"), 2.0).collect()
+    assert [r.frame_id for r in got] == [1] and abs(got[0].vy / got[0].vx) == pytest.approx(2.5, abs=0.1)
+    xy = np.array([p[1:] for p in steep])
+    assert got[0].inliers == (np.abs(got[0].vx * (xy[:, 1] - got[0].y0) - got[0].vy * (xy[:, 0] - got[0].x0)) < 2.0).sum() >= 75
+
+
+def test_edges_find_planted_curbs(spark):
+    from gridwake.operators import curbs
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for frame in (1, 2):
+        for x0, k in ((2000.0, 0.02), (-3000.0, -0.05)):
+            y = rng.uniform(0, 6000, 3000)
+            rows += [(7, frame, float(x0 + k * v), float(v)) for v in y]
+    cfg = curbs.EdgeConfig(-4000, 4000, 7000, 7000, 0.05, 350, 250, 40, 40, 15, 40.0, (0.0, 6000.0))
+    got = curbs.edges(spark.createDataFrame(rows, "stream_id long, frame_id long, x double, y double"), cfg).orderBy("frame_id", "side").collect()
+    assert [(r.frame_id, r.side) for r in got] == [(1, "left"), (1, "right"), (2, "left"), (2, "right")]
+    for r in got:
+        x0, x1 = (-3000, -3300) if r.side == "left" else (2000, 2120)
+        assert abs(r.x0 - x0) < 60 and abs(r.x1 - x1) < 60
+
+
+def test_numbering_in_ranges(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k % 3, int(v)) for k, v in enumerate(rng.permutation(600))] + [(9, 5)]
+    got = lines.numbered(spark.createDataFrame(rows, "side long, frame_id long"), "side", "frame_id", "place", 7).collect()
+    for side in (0, 1, 2, 9):
+        own = sorted((r.place, r.frame_id) for r in got if r.side == side)
+        assert [p for p, _ in own] == list(range(len(own))) and [f for _, f in own] == sorted(f for _, f in own)
+
+
+def test_clusters_of_touching_points(spark):
+    rows = [(1, k, 3.0 * k, 0.0, 0.0) for k in range(40)] + [(1, 100 + k, 0.0, 50.0 + 10 * k, 0.0) for k in range(5)] + [(2, 1, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "frame_id long, point_id long, x double, y double, z double")
+    got = {(r.frame_id, r.point_id): r.cluster_id for r in transform.euclidean_clusters(df, 4.0).collect()}
+    assert {got[1, k] for k in range(40)} == {0} and [got[1, 100 + k] for k in range(5)] == [100 + k for k in range(5)] and len(got) == 46
+    assert {r.point_id for r in transform.euclidean_clusters(df, 4.0, 2).collect()} == set(range(40)) and transform.euclidean_clusters(df, 4.0, 2, 39).count() == 0
+
+
+def test_radius_outliers_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    xyz = rng.uniform(0, 40, (400, 3))
+    rows = [(k % 2, k, *map(float, p)) for k, p in enumerate(xyz)]
+    got = {r.point_id for r in transform.radius_outliers(spark.createDataFrame(rows, "frame_id long, point_id long, x double, y double, z double"), 6.0, 4).collect()}
+    near = (np.linalg.norm(xyz[:, None] - xyz[None], axis=2) <= 6.0) & (np.arange(400)[:, None] % 2 == np.arange(400)[None] % 2)
+    assert got == set(np.flatnonzero(near.sum(axis=1) - 1 >= 4).tolist()) and 0 < len(got) < 400
+
+
+def test_rounds_that_do_not_end_are_an_error(spark):
+    df = spark.createDataFrame([(1, k, 3.0 * k, 0.0, 0.0) for k in range(40)], "frame_id long, point_id long, x double, y double, z double")
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        transform.euclidean_clusters(df, 4.0, max_rounds=1)
+    cells = spark.createDataFrame([(1, 0, c, 0.0, 1, 0.0, True) for c in range(30)], "frame_id long, row int, col int, min_z double, point_num long, slope double, is_obstacle_candidate boolean")
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        grid.grow_ground_rounds(cells, max_rounds=1)
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        clusters.connect_rounds(cells, max_rounds=1)
+
+
+def test_nearest_vertex_at_any_distance(spark):
+    rng = np.random.default_rng(7)
+    p, v = rng.uniform(-50, 50, (60, 2)), np.concatenate([rng.uniform(-50, 50, (15, 2)), [[900.0, 0.0]]])
+    points = spark.createDataFrame([(k, *map(float, q)) for k, q in enumerate(p)] + [(98, 5000.0, 0.0), (99, float("nan"), 0.0)], "k long, x double, y double")
+    vertices = spark.createDataFrame([(k, *map(float, q)) for k, q in enumerate(v)], "vertex_id long, x double, y double")
+    from gridwake.operators import layers
+
+    want = {k: int(np.linalg.norm(v - q, axis=1).argmin()) for k, q in enumerate(p)} | {98: 15}
+    for cell in (1.0, 300.0):
+        got = layers.nearest_vertex(points, vertices, cell, "k").collect()
+        assert {r.k: r.vertex_id for r in got} == want and all(r.distance == pytest.approx(np.linalg.norm(v[r.vertex_id] - p[r.k])) for r in got if r.k < 60)
+    assert layers.nearest_vertex(points, vertices.where("false"), 1.0, "k").count() == 0
+
+
+def test_frames_of_a_turning_scanner(spark):
+    """A frame closes with the packet that passes the first azimuth after more than a hundred blocks; what lies beyond opens the next."""
+    from gridwake.operators import sweeps
+
+    def packet(first):
+        return b"".join(b"\xff\xee" + struct.pack("<H", (first + 200 * k) % 36000) + b"\x10\x27\x09" * 32 for k in range(12)).ljust(1206, b"\0")
+
+    rows = [("s", n, bytearray(packet(9000 + 2400 * n))) for n in range(34)] + [("s", 99, bytearray(b"\0" * 1206))]
+    tilts = spark.createDataFrame([(c, 0.0) for c in range(16)], "channel int, vert_deg double")
+    got = sweeps.turn_points(spark.createDataFrame(rows, "stream_id string, seq long, payload binary"), tilts).collect()
+    assert len(got) == 34 * 12 * 32
+    first, frame, blocks, want = 90.0, 0, 0, {}
+    for n in range(34):
+        az = [(9000 + 2400 * n + 200 * k) % 36000 / 100 for k in range(12)]
+        opens, closes = {}, False
+        for k in range(12):
+            for c in range(32):
+                a = (az[k] + 2.0 / 32 * c) % 360
+                opens[k, c] = blocks + min(k + 2, 12) > 100 and 0 < a - first < 10
+                closes = closes or opens[k, c]
+        want.update({(n, k, c): frame + opens[k, c] for k, c in opens})
+        frame, blocks = (frame + 1, 0) if closes else (frame, blocks + 12)
+    assert {(r.seq, r.blk, r.channel): r.frame for r in got} == want and frame == 2
+
+
+def test_reflection_is_the_mirror_law(spark):
+    from gridwake.operators import sweeps
+
+    x, y, z = sweeps.reflected(F.lit(0.3), F.lit(0.5), F.lit(0.2), F.lit(1.1))
+    r = spark.range(1).select(x.alias("x"), y.alias("y"), z.alias("z")).first()
+    i = np.array([math.cos(0.3) * math.cos(0.5), math.cos(0.3) * math.sin(0.5), math.sin(0.3)])
+    n = np.array([math.cos(0.2) * math.cos(1.1), math.cos(0.2) * math.sin(1.1), -math.sin(0.2)])
+    out = 2 * (i @ n) * n - i
+    assert (r.x, r.y, -r.z) == pytest.approx(tuple(out)) and np.hypot(np.hypot(r.x, r.y), r.z) == pytest.approx(1)

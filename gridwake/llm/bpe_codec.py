@@ -41,7 +41,7 @@ _LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
 MARKS = 20
 _MASK = U((1 << MARKS) - 1)
 #: Texts of this many bytes share one table of distinct words.
-PART = 1 << 20
+PART = 1 << 19
 
 
 def _byte_letters() -> dict[str, int]:

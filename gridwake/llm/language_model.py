@@ -9,7 +9,8 @@ N-gram counts are too many to travel as rows and too many to broadcast. A block
 distinct n-gram hashes, sorted and packed, to the hash ranges that own them; a range adds up the counts of all blocks and
 answers each block with the counts in the order asked, without the hashes. A block then has the part of the model that
 it needs and no more. Ranges are as many as the distinct n-grams of all blocks ask for. What EM needs is a histogram
-over the estimates' sizes (powers of STEP), bounded by the number of cells; that alone comes to the driver.
+over the estimates' sizes (powers of STEP), bounded by the number of cells; that alone comes to the driver. Scores are
+made of the estimates themselves; only the weights come from rounded ones.
 
 The texts are read twice, and a block is told by its place and a checksum of its tokens; the documents must therefore
 come from a table, whose reading deals them alike each time. If they don't, the operator stops with an error.
@@ -39,9 +40,9 @@ U = np.uint64
 PART = 8 << 20
 #: N-grams, over all blocks, that one range is to take.
 RANGE = 8_000_000
-#: Estimates are told apart by this factor when weights are learned.
-STEP = 2.0
-CELLS = 40
+#: Estimates are told apart by this factor when weights are learned, down to 2**-40; one that stands for a cell is off by 9 % at most.
+STEP = 2**0.25
+CELLS = 160
 BUCKETS = 20
 _END, _BEGIN = U(1), U(2)
 

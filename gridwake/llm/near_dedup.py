@@ -238,8 +238,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        met = both.join(least, "a")
+        # Written, so that a hub's edges meet it in a join of its own, by broadcast or split by adaptive execution.
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        met = join_checked(both, least, "a", "inner")
         if large:
             return met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         return met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()

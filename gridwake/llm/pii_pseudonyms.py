@@ -2,14 +2,23 @@
 
 A text is cut once by one pattern into plain stretches and candidates. A candidate is validated: a card number by its
 Luhn digit and its length, an IPv4 address by its parts, a calendar date by the calendar, a phone number by its form, a
-social security number by its ranges. Valid ones are replaced by a keyed permutation within their format: their digits
-go through a Feistel network whose round function is SHA-256 over key, kind, length, round and half. Signs, spaces and
-lengths stay. Card numbers keep their first six digits and get a fitting Luhn digit; addresses are permuted over all
-2^32 addresses, dates over the 400 years from 1800 on. E-mail names are replaced by a keyed digest of the same length, which is
-one way and not a permutation. Equal values get equal pseudonyms in every document under one key.
-
-Defined results: a null text stays null, an empty one empty; what does not validate stays as it is; ids may be null or
-repeated; a row for each row of docs, with their columns.
+social security number by its ranges. Valid ones are replaced by a keyed permutation within their format, so pseudonyms
+are valid again: their digits go through a Feistel network whose round function is SHA-256 over key, kind, length, round
+and half. Signs, spaces and lengths stay. Card numbers keep their first six digits and get a fitting Luhn digit;
+addresses are permuted over all 2^32 addresses, social security numbers over the 898 * 99 * 9999 valid ones, dates over
+the 400 years from 1800 on, whichever way they are written, so that one day has one pseudonym in all forms. E-mail names
+are replaced by a keyed digest of the same length, which is one way and not a permutation. Equal values get equal
+pseudonyms in every document under one key. The key is a literal of the plan: who may read plans or event logs can undo
+the permutations.
+
+Covered forms: dates as 1999-12-31, 1999/12/31, 1999.12.31, 31.12.1999, 12/31/1999 (month first), 31 December 1999,
+31 Dec 1999 and December 31, 1999; cards in groups of four, as 4-6-5, or without a break; phones with a country code, an area code in
+brackets, or as 3-3-4 digits with dashes or dots. A candidate begins at the text's begin or behind anything but letters,
+digits, "_" and "+", and behind "." and "-" only if no digit stands before those.
+
+Defined results: a null text stays null, an empty one empty; texts of any length are read whole; what does not validate
+stays as it is; ids may be null or repeated; a row for each row of docs, with their columns, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,16 +27,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 6
+_YEAR, _MONTH, _DAY = r"(?:1[89]|2[01])\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
+_LONG = "(?:January|February|March|April|May|June|July|August|September|October|November|December)"
+_SHORT = "(?:Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+_PLAIN_DAY = r"(?:[1-9]|[12]\d|3[01])"
+#: Forms of dates, with Spark's format for each.
+DATES = (
+    (f"{_YEAR}-{_MONTH}-{_DAY}", "yyyy-MM-dd"), (f"{_YEAR}/{_MONTH}/{_DAY}", "yyyy/MM/dd"), (rf"{_YEAR}\.{_MONTH}\.{_DAY}", "yyyy.MM.dd"),
+    (rf"{_DAY}\.{_MONTH}\.{_YEAR}", "dd.MM.yyyy"), (f"{_MONTH}/{_DAY}/{_YEAR}", "MM/dd/yyyy"),
+    (f"{_PLAIN_DAY} {_LONG} {_YEAR}", "d MMMM yyyy"), (f"{_PLAIN_DAY} {_SHORT} {_YEAR}", "d MMM yyyy"), (f"{_LONG} {_PLAIN_DAY}, {_YEAR}", "MMMM d, yyyy"),
+)
 #: Candidates by kind, in order of precedence; a candidate has no digit or letter at either side.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}",
-    "date": r"(?:1[89]|2[01])\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])",
+    "date": "|".join(p for p, _ in DATES),
     "ip": r"\d{1,3}(?:\.\d{1,3}){3}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
-    "phone": r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}|\(\d{3}\) \d{3}-\d{4}|\+\d{1,3}(?:[ -]\d{2,4}){2,5}|\d{3}-\d{3}-\d{4}",
-    "card": r"\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{13,19}",
+    "phone": r"\+\d{1,3} \(\d{3}\) \d{3}-\d{4}|\(\d{3}\) \d{3}-\d{4}|\+\d{1,3}(?:[ -]\d{2,4}){2,5}|(?:1-)?\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}",
+    "card": r"\d{4}[ -]\d{6}[ -]\d{5}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?|\d{13,19}",
 }
-ANY = "(?<![A-Za-z0-9_.+-])(?:" + "|".join(PATTERNS.values()) + ")(?![A-Za-z0-9_@]|[.-][A-Za-z0-9])"
+ANY = r"(?<![A-Za-z0-9_+])(?<![0-9][.-])(?:" + "|".join(PATTERNS.values()) + r")(?![A-Za-z0-9_@]|[.-][A-Za-z0-9])"
 _BY_KIND = {k: f"^(?:{p})$" for k, p in PATTERNS.items()}
 
 
@@ -88,16 +107,26 @@ def pseudonym(value: Column, key: str, back: bool = False) -> Column:
     ip = F.concat_ws(".", *(x.cast("int").cast("string") for x in (F.floor(l / 256), l % 256, F.floor(r / 256), r % 256)))
     # Dates: 146097 days are 189 times 773.
     first = F.lit("1800-01-01").cast("date")
-    day = F.datediff(F.try_to_timestamp(value, F.lit("yyyy-MM-dd")).cast("date"), first)
+    form = lambda pattern: value.rlike(f"^(?:{pattern})$")
+    day, written = F.lit(None).cast("int"), F.lit(None).cast("string")
+    for pattern, fmt in reversed(DATES):
+        day = F.when(form(pattern), F.datediff(F.try_to_timestamp(value, F.lit(fmt)).cast("date"), first)).otherwise(day)
     date_ok = day.isNotNull()
     a, b = _network(F.floor(day / 773), day % 773, F.lit(189), F.lit(773), key, "date", F.lit(1), back)
-    date = F.date_format(F.date_add(first, (a * 773 + b).cast("int")), "yyyy-MM-dd")
+    new_day = F.date_add(first, (a * 773 + b).cast("int"))
+    for pattern, fmt in reversed(DATES):
+        written = F.when(form(pattern), F.date_format(new_day, fmt)).otherwise(written)
+    date = written
     # Phone numbers: the digits behind a country code.
     code = F.when(value.startswith("+"), F.length(F.regexp_extract(value, r"^\+(\d{1,3})", 1))).otherwise(F.lit(0))
     phone_ok = (n - code).between(7, 14)
     phone = _refilled(value, F.concat(F.substr(digits, F.lit(1), code), permuted_digits(F.substr(digits, code + 1, n - code), key, "phone", back)))
-    ssn_ok = ~F.substring(digits, 1, 3).isin("000", "666") & (F.substring(digits, 1, 1) != "9") & (F.substring(digits, 4, 2) != "00") & (F.substring(digits, 6, 4) != "0000")
-    ssn = _refilled(value, permuted_digits(digits, key, "ssn", back))
+    area, group, serial = (F.substring(digits, p, n).cast("int") for p, n in ((1, 3), (4, 2), (6, 4)))
+    ssn_ok = ~area.isin(0, 666) & (area < 900) & (group > 0) & (serial > 0)
+    # Valid areas are numbered without a gap, and so are pairs of group and serial.
+    l, r = _network(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, "ssn", F.lit(9), back)
+    parts = (l + F.when(l >= 665, 2).otherwise(1), F.floor(r / 9999) + 1, r % 9999 + 1)
+    ssn = F.concat_ws("-", *(F.lpad(p.cast("long").cast("string"), w, "0") for p, w in zip(parts, (3, 2, 4))))
     name = F.substring_index(value, "@", 1)
     mail = F.concat(F.substr(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(value)), 256), F.lit(1), F.length(name)), F.lit("@"), F.substring_index(value, "@", -1))
     out = F.when(value.rlike(_BY_KIND["email"]), mail)
@@ -113,8 +142,10 @@ def kind_of(value: Column) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = "gridwake", found: str | None = None) -> DataFrame:
-    """docs with pseudonyms in the text; found names a column to add, of (kind, value, pseudonym) structs in text order."""
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found: str | None = None) -> DataFrame:
+    """docs with pseudonyms under the key in the text; found names a column to add, of (kind, value, pseudonym) structs in text order."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     value = F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0))
     stem = "_pii"
     while any(c.lower().startswith(stem) for c in docs.columns):
@@ -129,9 +160,9 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = "gridwake",
     return out.drop(old, new)
 
 
-def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str, key: str = "the query's own key, known to all") -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = pseudonymise(docs, found="found")
+    out = pseudonymise(docs, key, found="found")
     changed = F.filter("found", lambda f: f["value"] != f["pseudonym"])
     return out.select("doc_id", F.size(changed).cast("long").alias("n_replaced"), F.array_join(F.transform(changed, lambda f: f["kind"]), ",").alias("kinds"), F.coalesce("text", F.lit("")).alias("text"))
 

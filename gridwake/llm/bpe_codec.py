@@ -8,8 +8,10 @@ distinct pairs at once; only words with a failing pair are merged exactly, all o
 Words are cut from bytes by the file's own rules: words of ASCII and Latin-1 letters by byte classes, other words by
 the library's normaliser and pre-tokenizer, and words that hold a special token's string by the library itself.
 
-Defined results: a null or empty text has no tokens and decodes to an empty text; ids may be null or repeated; a row
-for each row.
+Defined results: a null or empty text has no tokens and decodes to an empty text; texts of any length are encoded whole;
+ids of rows may be null or repeated and keep their type; a row for each row, repeated ones included; a column of the name
+of the result gives way to it, others pass through; an empty table gives no rows. A token id outside the vocabulary is
+an error. Of pairs of one rank in a word, the left one is merged first.
 """
 
 from __future__ import annotations

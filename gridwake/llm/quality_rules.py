@@ -5,8 +5,10 @@ shrunk towards the rate of all hosts by a beta prior fitted to the hosts themsel
 verdict of the host goes back to its documents: on a good host a document is rejected for a gross failure only, on a
 bad host for any failure. A document without failures is kept on every host.
 
-Defined results: a null or empty text has no words (and so fails `short`); a null host is a host of its own; a null or
-repeated id is kept as it is, one result row per input row; an empty table gives no rows and a prior of Beta(1, 1).
+Defined results: a null or empty text has no words (and so fails `base`); texts of any length are measured whole; a null
+host is a host of its own; a null or repeated id is kept as it is, one result row per input row, repeated rows included;
+of equal lines or windows all but the first line, and all words of the windows, count; columns of docs may have any
+names; an empty table gives no rows, and its hosts' prior is that of hosts all alike.
 """
 
 from __future__ import annotations

@@ -5,8 +5,13 @@ name with a word such as "key" or "credential" before it) is a candidate, or the
 and of the text around it; what it costs on top of an empty input are its marginal bytes. Names, paths and repeated
 strings cost little; a string that costs nearly its own entropy is new to its surroundings and reported.
 
-Defined results: a null or empty text has no findings; ids may be null or repeated; a row for each row of docs. Spans
-are code points, the end exclusive.
+The identifiers are a fixed list and not learned from the corpus: strings that copies of one text repeat would get into
+a learned one, and secrets are among them.
+
+Defined results: a null or empty text has no findings; texts of any length are read whole, one at a time; ids may be null
+or repeated and keep their type; a row for each row of docs, repeated ones included; other columns are not read, whatever
+their names, or pass through (without_secrets); an empty table gives no rows. Spans are code points, the end exclusive;
+spans that begin together stand in the order of KINDS.
 """
 
 from __future__ import annotations

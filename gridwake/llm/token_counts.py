@@ -6,7 +6,9 @@ character symbols and merged round by round; the symbols that survive are the to
 counts its UTF-8 bytes, as the model's byte fallback does. Long pre-tokens are cut further between characters that stand
 side by side in no piece.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens; ids may be null or repeated; a row for each row.
+Defined results: a null or empty text has 0 bytes and 0 tokens; texts of any length are counted whole; ids may be null or
+repeated and keep their type; a row for each row, repeated ones included; other columns are not read, whatever their
+names; an empty table gives no rows. Of pairs of one rank in a sequence, the left one is merged first.
 """
 
 from __future__ import annotations

@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents; the last one returns
 the encoded texts. The driver, or run(), writes each result as Parquet and reads it again for the next stage. Stages keep
-their Arrow batches small, since a session that runs them all has a full heap beside the batches.
+their Arrow batches small, since a session that runs them all has a full heap beside the batches; this setting of the
+session stays lowered.
+
+Rows are judged one by one: a null text is an empty one (too short for the quality rules); a null or repeated id makes no
+difference to a row's own verdicts, but rows without an id are never the copies that go; texts of any length are read
+whole; of equal rows all go or stay, but for copies under other ids, of which the smallest id stays; further columns pass
+through up to the last stage, whatever their names; an empty table gives empty results.
 """
 
 from __future__ import annotations

@@ -98,6 +98,34 @@ def gate(packets: DataFrame, length: int, ident: str, check_crc: bool = False, w
     return packets.withColumn("reject_reason", reason)
 
 
+#: What can go wrong, by code: below 64 information, below 128 warnings, above errors. Fixed values.
+CODES = {
+    "success": 0x00, "file_repeats": 0x01, "file_ends": 0x02, "no_packets": 0x40, "no_calibration": 0x41, "wrong_msop_length": 0x42, "wrong_msop_id": 0x43, "wrong_block_id": 0x44,
+    "wrong_difop_length": 0x45, "wrong_difop_id": 0x46, "no_points": 0x47, "packet_overflow": 0x48, "cloud_overflow": 0x49, "wrong_crc": 0x4A, "wrong_imu_length": 0x4B, "wrong_imu_id": 0x4C,
+    "msop_not_parsed": 0x4D, "difop_not_parsed": 0x4E, "imu_not_parsed": 0x4F, "started_early": 0x80, "no_file": 0x81, "no_cloud": 0x82, "no_imu": 0x83,
+}
+
+
+def level(code: Column) -> Column:
+    """D24: 'info', 'warning' or 'error'."""
+    return F.when(code < 0x40, "info").when(code < 0x80, "warning").otherwise("error")
+
+
+def faults(packets: DataFrame, lengths: dict[str, int], idents: dict[str, str], block: tuple[int, str] | None = None, check_crc: bool = False) -> DataFrame:
+    """Packets with kind, fault (a name of CODES, null for those that pass) and code, by the length and id of each kind; block is the offset and id of a point packet's first block. Packets of no kind pass no gate and are left out."""
+    p, fault = F.col("payload"), F.lit(None).cast("string")
+    for kind in lengths:
+        own = F.col("kind") == kind
+        here = F.when(F.length(p) != lengths[kind], f"wrong_{kind}_length").when(F.hex(F.substr(p, F.lit(1), F.lit(len(idents[kind]) // 2))) != idents[kind], f"wrong_{kind}_id")
+        if kind == "msop" and block:
+            here = here.when(F.hex(F.substr(p, F.lit(block[0] + 1), F.lit(len(block[1]) // 2))) != block[1], "wrong_block_id")
+        if kind == "msop" and check_crc:
+            here = here.when(~crc32_holds(p), "wrong_crc")
+        fault = F.when(own, here).otherwise(fault)
+    out = route(packets).where(F.col("kind").isin(list(lengths))).withColumn("fault", fault)
+    return out.withColumn("code", F.coalesce(F.create_map(*(F.lit(v) for pair in CODES.items() for v in pair))[F.col("fault")], F.lit(0)))
+
+
 # --- sections and angles ----------------------------------------------------------------------------------------
 
 
@@ -126,16 +154,19 @@ def channel_rank(angles: DataFrame) -> DataFrame:
     return angles.withColumn("user_channel", F.rank().over(Window.partitionBy("sensor_id").orderBy("vert")) - 1)
 
 
-#: Block iterators: how many blocks a firing group has and whether its members share an azimuth.
-GROUPS = {"single": 1, "dual": 2, "two_in_one": 2, "four_in_one": 4}
+#: Block iterators: how many blocks make a firing group.
+GROUPS = {"single": 1, "dual": 2, "two_in_one": 2, "four_in_one": 4, "two_firings": 1, "two_firings_dual": 1}
 
 
 def block_steps(blocks: DataFrame, mode: str = "single", nominal: int = 20, duration: float = 55.5, blind: float = 0.0, max_step: int = 100) -> DataFrame:
     """Blocks (packet, blk, azimuth) with az_step, the azimuth to the next group, and offset, the time since the packet's first block.
 
     Steps wrap at 36000; a step over max_step is a blind zone, which counts as the nominal step and takes the blind time;
-    a packet's last group has the nominal step. ab_dual groups by two or three as its first two blocks tell.
+    a packet's last group has the nominal step. ab_dual groups by two or three as its first two blocks tell; a block of
+    two_firings has two of them, so nominal step and duration count twice.
     """
+    if mode == "two_firings":
+        nominal, duration = 2 * nominal, 2 * duration
     packet = Window.partitionBy("stream_id", "seq")
     if mode == "ab_dual":
         first = lambda k: F.max(F.when(F.col("blk") == k, F.col("azimuth"))).over(packet)
@@ -285,12 +316,12 @@ def vector_xyz(d: Column, vx: Column, vy: Column, vz: Column, base: float = 3276
     return vx * d / base, vy * d / base, vz * d / base
 
 
-def decode(packets: DataFrame, spec: PacketSpec, calibration: DataFrame | None = None, start_deg: float = 0, end_deg: float = 360, min_range: float = 0, max_range: float = 0, dense: bool = False, nominal: int = 20, surfaces: tuple[int, ...] = (0,), parts: int = 1) -> DataFrame:
+def decode(packets: DataFrame, spec: PacketSpec, calibration: DataFrame | None = None, start_deg: float = 0, end_deg: float = 360, min_range: float = 0, max_range: float = 0, dense: bool = False, nominal: int = 20, mode: str = "single", shares: tuple[float, ...] | None = None, surfaces: tuple[int, ...] = (0,), parts: int = 1) -> DataFrame:
     """(stream_id, seq, blk, channel, echo, x, y, z, intensity) of packets (stream_id, seq, payload) of one model, in metres.
 
     calibration has (channel, vert, horiz) in hundredths of a degree: for polar models a row for each laser, channels beyond
-    the lasers beginning anew; for columns a row for each pixel. surfaces are the pitches that a column's mirror
-    surfaces add. Returns outside the section or range are null points, or left out if dense.
+    the lasers beginning anew; for columns a row for each pixel. mode is that of block_steps, and shares say which part of a block's step each channel has behind it, evenly if not given.
+    surfaces are the pitches that a column's mirror surfaces add. Returns outside the section or range are null points, or left out if dense.
     """
     rows = unpack(packets, spec)
     d = F.col("raw") * spec.step
@@ -304,9 +335,10 @@ def decode(packets: DataFrame, spec: PacketSpec, calibration: DataFrame | None =
         else:
             rows = rows.withColumn("vert", F.lit(0)).withColumn("horiz", F.lit(0))
     if spec.geometry == "polar":
-        steps = block_steps(rows.select("stream_id", "seq", "blk", "azimuth").distinct(), nominal=nominal)
+        steps = block_steps(rows.select("stream_id", "seq", "blk", "azimuth").distinct(), mode, nominal)
         rows = rows.join(steps.select("stream_id", "seq", "blk", "az_step"), ["stream_id", "seq", "blk"])
-        az = F.col("azimuth") + F.floor(F.col("az_step") * F.col("channel") / spec.channels)
+        share = F.col("channel") / spec.channels if shares is None else F.element_at(F.array(*(F.lit(v) for v in shares)), F.col("channel") + 1)
+        az = F.col("azimuth") + F.floor(F.col("az_step") * share)
         turned = az + F.col("horiz")
         ok = ok & in_section(F.pmod(turned, F.lit(36000)), round(start_deg * 100), round(end_deg * 100))
         xyz = polar_xyz(d, F.col("vert"), az, turned, spec.radius, spec.lift)

@@ -5,32 +5,33 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridwake.operators import ranges
+
 
 def by_angle(blocks: DataFrame, split: int = 0, order: str = "seq") -> DataFrame:
     """blocks with frame, the number of times that the stream's azimuth has passed the split angle so far.
 
     An azimuth below the one before has gone round, so the one before counts 36000 less; the first is compared with the split.
     """
-    along = Window.partitionBy("stream_id").orderBy(order)
-    before = F.lag("azimuth", 1, split).over(along)
+    own = ranges.with_previous(blocks, "stream_id", order, "azimuth", "_previous_azimuth")
+    before = F.coalesce("_previous_azimuth", F.lit(split))
     before = F.when(F.col("azimuth") < before, before - 36000).otherwise(before)
     cut = ((before < split) & (split <= F.col("azimuth"))).cast("int")
-    return blocks.withColumn("cut", cut).withColumn("frame", F.sum("cut").over(along.rowsBetween(Window.unboundedPreceding, 0))).drop("cut")
+    return ranges.running_sum(own, "stream_id", order, cut, "frame").drop("_previous_azimuth")
 
 
 def by_count(blocks: DataFrame, most: int, order: str = "seq") -> DataFrame:
     """every most-th block begins a frame and belongs to it."""
-    return blocks.withColumn("frame", F.floor(F.row_number().over(Window.partitionBy("stream_id").orderBy(order)) / most))
+    return ranges.numbered(blocks, "stream_id", order, "frame").withColumn("frame", F.floor((F.col("frame") + 1) / most))
 
 
 def by_marker(rows: DataFrame, marker: str = "marker", order: str = "seq") -> DataFrame:
     """a marker closes a frame; markers themselves are left out."""
-    along = Window.partitionBy("stream_id").orderBy(order)
-    return rows.withColumn("frame", F.sum(F.col(marker).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0))).where(~F.col(marker))
+    return ranges.running_sum(rows, "stream_id", order, F.col(marker).cast("int"), "frame").where(~F.col(marker))
 
 
 class SequenceSplitter:
@@ -52,31 +53,36 @@ class SequenceSplitter:
 
 
 def by_sequence(packets: DataFrame, order: str = "arrival", band: int = 10) -> DataFrame:
-    """packets with frame; late packets stay in the current one. A stream's packets are read in order, batch by batch.
+    """packets with frame, and complete, which marks those with which a frame can be sent at once: the largest number so far, after the first turn. Late packets stay in the current frame.
+
+    A stream's packets are read in order, batch by batch.
 
     The streams are dealt to tasks and sorted there, so that a task holds a batch and a few numbers and no whole stream.
     """
-    schema = T.StructType([*packets.schema.fields, T.StructField("frame", T.IntegerType())])
+    schema = T.StructType([*packets.schema.fields, T.StructField("frame", T.IntegerType()), T.StructField("complete", T.BooleanType())])
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stream, splitter, frame = object(), None, 0
         for batch in batches:
-            frames = []
+            frames, complete = [], []
             for s, q in zip(batch["stream_id"], batch["seq"]):
                 if s != stream:
                     stream, splitter, frame = s, SequenceSplitter(band=band), 0
-                frame += splitter.take(int(q))[0]
+                begins, whole = splitter.take(int(q))
+                frame += begins
                 frames.append(frame)
-            yield batch.assign(frame=pd.Series(frames, index=batch.index, dtype="int32"))
+                complete.append(whole)
+            yield batch.assign(frame=pd.Series(frames, index=batch.index, dtype="int32"), complete=pd.Series(complete, index=batch.index, dtype="bool"))
 
     return packets.repartition("stream_id").sortWithinPartitions("stream_id", order).mapInPandas(split, schema)
 
 
 def emit(framed: DataFrame, ts: str = "ts_ms") -> DataFrame:
-    """one row for each non-empty frame: first and last time and number of rows."""
-    return framed.groupBy("stream_id", "frame").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("width"))
+    """one row for each non-empty frame: its number in the stream, first and last time, width and height; a dense frame is one row high."""
+    rows = framed.groupBy("stream_id", "frame").agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count(F.lit(1)).alias("width"))
+    return ranges.numbered(rows, "stream_id", "frame", "number").withColumn("height", F.lit(1))
 
 
 def count_windows(rows: DataFrame, every: int, order: str = "seq") -> DataFrame:
     """Rows with run, the number of the tumbling window of `every` rows of a stream."""
-    return rows.withColumn("run", F.floor((F.row_number().over(Window.partitionBy("stream_id").orderBy(order)) - 1) / every))
+    return ranges.numbered(rows, "stream_id", order, "run").withColumn("run", F.floor(F.col("run") / every))

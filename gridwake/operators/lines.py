@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridwake.functions import geometry as geo
-from gridwake.plans.materialize import join_checked, materialize
+from gridwake.operators import ranges
+from gridwake.plans.materialize import materialize
 
 
 def raster(points: DataFrame, scale: float, off_x: int, off_y: int) -> DataFrame:
@@ -140,24 +141,9 @@ def sample_curve(fits: DataFrame, start: float, stop: float, step: float) -> Dat
     return fits.select("*", xs).withColumn("y", y)
 
 
-def numbered(rows: DataFrame, key: str, order: str, out: str, ranges: int = 64) -> DataFrame:
-    """rows with their place, from 0, in the order of a numeric column within each key.
-
-    A key is cut into ranges of the order's span; rows are counted by range, a running sum over the few ranges gives where
-    each begins, and only a range is sorted by one task. Rows with equal order stand in any order among themselves.
-    """
-    span = rows.groupBy(key).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
-    cut = F.least(F.lit(ranges - 1), F.floor((F.col(order) - F.col("_low")) * ranges / F.greatest(F.lit(1), F.col("_high") - F.col("_low")))).cast("int")
-    dealt = join_checked(rows, span, key, "inner").withColumn("_range", cut).drop("_low", "_high")
-    counts = dealt.groupBy(key, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    begin = counts.select(key, "_range", (F.sum("_n").over(Window.partitionBy(key).orderBy("_range")) - F.col("_n")).alias("_begin"))
-    inside = F.row_number().over(Window.partitionBy(key, "_range").orderBy(order)) - 1
-    return join_checked(dealt.withColumn(out, inside), begin, [key, "_range"], "inner").withColumn(out, F.col(out) + F.col("_begin")).drop("_range", "_begin")
-
-
 def sliding_average(lines: DataFrame, every: int) -> DataFrame:
     """For each full window of `every` frames the means of the first and last x of its valid lines, zeros without any."""
-    placed = numbered(lines.select("side", "frame_id", "valid", "x0", "x1"), "side", "frame_id", "place")
+    placed = ranges.numbered(lines.select("side", "frame_id", "valid", "x0", "x1"), "side", "frame_id", "place")
     out = placed.withColumn("run", F.floor(F.col("place") / every)).groupBy("side", "run").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("valid"), F.col("x0"))).alias("x0"), F.avg(F.when(F.col("valid"), F.col("x1"))).alias("x1")).where(F.col("n") == every)
     return out.select("side", "run", F.coalesce("x0", F.lit(0.0)).alias("x0"), F.coalesce("x1", F.lit(0.0)).alias("x1"))
 

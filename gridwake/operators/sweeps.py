@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridwake.operators import framing, ranges
 from gridwake.operators.decode import signed, unsigned
 
 #: First bytes of a record that closes a frame, and of a block; fixed values of the wire formats.
@@ -26,8 +27,6 @@ def records(packets: DataFrame, size: int, count: int) -> DataFrame:
 
 def marked_frames(rows: DataFrame) -> DataFrame:
     """Records with frame, by F6: a marker closes a frame, in the order of seq and record; markers are left out."""
-    from gridwake.operators import framing
-
     placed = rows.withColumn("place", F.col("seq") * 1024 + F.col("record"))
     return framing.by_marker(placed, "marker", "place").drop("place", "marker")
 
@@ -196,13 +195,10 @@ def flat_scan(packets: DataFrame, header: int = 6, points: int = 42, spread_deg:
 
     A frame begins where the azimuth falls by more than the spread from one packet to the next.
     """
-    from pyspark.sql import Window
-
     p = F.col("payload")
-    start = unsigned(p, header - 2, 2) / 100.0
-    before = F.lag("start").over(Window.partitionBy("stream_id").orderBy("seq"))
-    rows = packets.withColumn("start", start).withColumn("cut", F.coalesce((before - F.col("start") > spread_deg).cast("int"), F.lit(0)))
-    rows = rows.withColumn("frame", F.sum("cut").over(Window.partitionBy("stream_id").orderBy("seq")))
+    rows = packets.withColumn("start", unsigned(p, header - 2, 2) / 100.0)
+    rows = ranges.with_previous(rows, "stream_id", "seq", "start", "before")
+    rows = ranges.running_sum(rows, "stream_id", "seq", (F.col("before") - F.col("start") > spread_deg).cast("int"), "frame")
     each = rows.select("stream_id", "frame", "seq", "start", "payload", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     raw, azimuth = unsigned(F.col("payload"), F.col("point") * 3 + header, 2), F.pmod(F.col("start") + F.col("point") * spread_deg / points, F.lit(360.0))
     each = each.select("stream_id", "frame", "seq", "point", azimuth.alias("azimuth_deg"), raw.alias("raw"), unsigned(F.col("payload"), F.col("point") * 3 + header + 2, 1).cast("smallint").alias("intensity"))

@@ -142,6 +142,21 @@ def d22(spark, sf):
     return D.device_info(rows, (2, 6), (8, 6), (14, 5), voltage_at=19).drop("celsius")
 
 
+@query("d10_two_firings", f"""WITH {BLK}, d AS (SELECT *, lead(azimuth) OVER (PARTITION BY stream_id, seq ORDER BY blk) - azimuth AS q FROM blk), e AS (SELECT *, CASE WHEN q < 0 THEN q + 36000 ELSE q END AS raw FROM d),
+s AS (SELECT *, CASE WHEN raw IS NULL OR raw > 10000 THEN 40 ELSE raw END AS az_step, coalesce(sum(CASE WHEN raw > 10000 THEN 7.5::DOUBLE ELSE 111::DOUBLE END) OVER (PARTITION BY stream_id, seq ORDER BY blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS off FROM e) SELECT stream_id, seq, blk, azimuth, az_step, round(off, 3) AS "offset" FROM s""")
+def d10(spark, sf):
+    return D.block_steps(_blk(spark, sf), "two_firings", 20, 55.5, 7.5, 10000).select("stream_id", "seq", "blk", "azimuth", F.col("az_step").cast("long").alias("az_step"), F.round("offset", 3).alias("offset"))
+
+
+@query("d24_faults", "SELECT code, CASE WHEN code < 64 THEN 'info' ELSE 'warning' END AS level, count(*) AS n FROM (SELECT CASE event_id % 9 WHEN 1 THEN 66 WHEN 2 THEN 67 WHEN 3 THEN 68 WHEN 5 THEN 69 WHEN 6 THEN 76 ELSE 0 END AS code FROM events WHERE event_id % 9 <> 8) GROUP BY 1")
+def d24(spark, sf):
+    kinds = ("55AA01FFEE", "55AA01", "55AA02FFEE", "55AA01FFEF", "A5FF01", "A5FF0101", "AA5502", "AA5501", "0000")
+    payload = F.unhex(F.element_at(F.array(*(F.lit(k) for k in kinds)), (F.col("event_id") % 9 + 1).cast("int")))
+    packets_ = spark.read.parquet(f"{sf}/events.parquet").select(payload.alias("payload"))
+    got = D.faults(packets_, {"msop": 5, "difop": 3, "imu": 3}, {"msop": "55AA01", "difop": "A5FF01", "imu": "AA5501"}, (3, "FFEE"))
+    return got.groupBy("code", D.level(F.col("code")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- scanners with mirrors ----------------------------------------------------------------------------------------
 
 _FRAMED = "sum(CASE WHEN mark THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY seq, rec)::BIGINT"
@@ -209,7 +224,7 @@ def d29(spark, sf):
 SEQ = "ranked AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS arrival FROM events), pk AS (SELECT stream_id, arrival, 1 + (CASE WHEN arrival % 10 = 3 THEN arrival + 1 WHEN arrival % 10 = 4 THEN arrival - 1 ELSE arrival END) % 60 AS seq FROM ranked)"
 SQL["f03_split_by_sequence"] = f"""WITH RECURSIVE {SEQ}, run AS (SELECT stream_id, arrival, seq, CASE WHEN seq > 0 THEN seq ELSE 0 END AS prev, 0 AS frame FROM pk WHERE arrival = 1
 UNION ALL SELECT p.stream_id, p.arrival, p.seq, CASE WHEN p.seq < greatest(0, r.prev - 10) OR p.seq BETWEEN r.prev AND r.prev + 10 OR (r.prev = 0 AND p.seq > 0) THEN p.seq ELSE r.prev END, r.frame + CASE WHEN p.seq < greatest(0, r.prev - 10) THEN 1 ELSE 0 END
-FROM run r JOIN pk p ON p.stream_id = r.stream_id AND p.arrival = r.arrival + 1) SELECT stream_id, arrival, seq, frame FROM run"""
+FROM run r JOIN pk p ON p.stream_id = r.stream_id AND p.arrival = r.arrival + 1) SELECT stream_id, arrival, seq, frame, frame > 0 AND seq = max(seq) OVER (PARTITION BY stream_id ORDER BY arrival) AS complete FROM run"""
 
 
 # --- ground, clusters, indices ------------------------------------------------------------------------------------

@@ -274,7 +274,7 @@ def f03(spark, sf):
     return framing.by_sequence(fixtures.packet_sequence(spark, sf))
 
 
-@query("f05_frame_emit", f"WITH {F1} SELECT stream_id, frame, min(ts_ms) AS first_ts, max(ts_ms) AS last_ts, count(*) AS width FROM framed GROUP BY 1, 2")
+@query("f05_frame_emit", f"WITH {F1} SELECT stream_id, frame, min(ts_ms) AS first_ts, max(ts_ms) AS last_ts, count(*) AS width, row_number() OVER (PARTITION BY stream_id ORDER BY frame) - 1 AS number, 1 AS height FROM framed GROUP BY 1, 2")
 def f05(spark, sf):
     return framing.emit(framing.by_angle(fixtures.blocks(spark, sf), 9000))
 

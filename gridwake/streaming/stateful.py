@@ -18,22 +18,24 @@ from gridwake.operators.tracking import BOX, COLUMNS, OUT, Track, Tracker, found
 
 
 def split_by_sequence(packets: DataFrame, order: str = "arrival", band: int = 10) -> DataFrame:
-    """F3 over a stream of (stream_id, arrival, seq): the same rows with frame."""
+    """F3, F4 over a stream of (stream_id, arrival, seq): the same rows with frame and complete."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         previous, largest, looped, frame = state.get if state.exists else (0, 0, False, 0)
         splitter = SequenceSplitter(previous, largest, looped, band)
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
-        frames = []
+        frames, complete = [], []
         for q in rows["seq"]:
-            frame += splitter.take(int(q))[0]
+            begins, whole = splitter.take(int(q))
+            frame += begins
             frames.append(frame)
+            complete.append(whole)
         state.update((splitter.previous, splitter.largest, splitter.looped, frame))
-        yield rows.assign(frame=pd.Series(frames, index=rows.index, dtype="int32"))[["stream_id", order, "seq", "frame"]]
+        yield rows.assign(frame=pd.Series(frames, index=rows.index, dtype="int32"), complete=pd.Series(complete, index=rows.index, dtype="bool"))[["stream_id", order, "seq", "frame", "complete"]]
 
     narrow = packets.select("stream_id", order, "seq")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields)
-    return narrow.groupBy("stream_id").applyInPandasWithState(run, f"{fields}, frame int", "previous int, largest int, looped boolean, frame int", "append", GroupStateTimeout.NoTimeout)
+    return narrow.groupBy("stream_id").applyInPandasWithState(run, f"{fields}, frame int, complete boolean", "previous int, largest int, looped boolean, frame int", "append", GroupStateTimeout.NoTimeout)
 
 
 def split_by_angle(blocks: DataFrame, split: int = 0, order: str = "seq") -> DataFrame:

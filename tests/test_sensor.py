@@ -701,13 +701,22 @@ def test_edges_find_planted_curbs(spark):
         assert abs(r.x0 - x0) < 60 and abs(r.x1 - x1) < 60
 
 
-def test_numbering_in_ranges(spark):
+def test_running_sums_in_ranges(spark):
+    """A stream with most of the rows, a null one, one of one row, and orders that lie close together and far apart."""
+    from gridwake.operators import ranges
+
     rng = np.random.default_rng(5)
-    rows = [(k % 3, int(v)) for k, v in enumerate(rng.permutation(600))] + [(9, 5)]
-    got = lines.numbered(spark.createDataFrame(rows, "side long, frame_id long"), "side", "frame_id", "place", 7).collect()
-    for side in (0, 1, 2, 9):
-        own = sorted((r.place, r.frame_id) for r in got if r.side == side)
-        assert [p for p, _ in own] == list(range(len(own))) and [f for _, f in own] == sorted(f for _, f in own)
+    rows = [(1, int(v), int(v) % 7) for v in rng.permutation(600)] + [(2, 10**15 * k, k) for k in range(5)] + [(9, 5, 1)] + [(None, k, 1) for k in range(4)]
+    df = spark.createDataFrame(rows, "s long, o long, v long")
+    for n in (1, 7, 64):
+        out = ranges.with_previous(ranges.running_sum(ranges.numbered(df, "s", "o", "place", n), "s", "o", F.col("v"), "total", n), "s", "o", "v", "before", n).collect()
+        assert len(out) == len(rows)
+        for s in (1, 2, 9, None):
+            own = sorted((r.o, r.place, r.v, r.total, r.before) for r in out if r.s == s)
+            assert [p for _, p, *_ in own] == list(range(len(own)))
+            assert [t for *_, t, _ in own] == np.cumsum([v for _, _, v, *_ in own]).tolist()
+            assert [b for *_, b in own] == [None, *(v for _, _, v, *_ in own[:-1])]
+    assert ranges.numbered(df.where("false"), "s", "o", "place").count() == 0
 
 
 def test_clusters_of_touching_points(spark):

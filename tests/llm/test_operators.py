@@ -347,7 +347,8 @@ def test_language_model_probabilities_add_up():
     w = language_model.learn_weights(hist, 2, 1000)
     assert np.allclose(w.sum(axis=1), 1) and (w > 0).all()
     few = language_model.learn_weights(hist, 2, 1000, rounds=1)
-    p = lambda x: 40 * math.log(x[0] / 1001 + x[1] * 0.25 + x[2]) + 60 * math.log(x[0] / 1001 + x[1] * 2.0**-5)
+    size = lambda cell: language_model.STEP ** -(cell - 1)
+    p = lambda x: 40 * math.log(x[0] / 1001 + x[1] * size(3) + x[2] * size(1)) + 60 * math.log(x[0] / 1001 + x[1] * size(6))
     assert p(w[5]) >= p(few[5]) - 1e-9
 
 

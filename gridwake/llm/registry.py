@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridwake.llm import bpe_codec, centroid_clustering, decontamination, language_model, merkle_manifest, near_dedup, pii_pseudonyms, quality_rules, rans_output, secret_scan, token_counts, warc_files
+from gridwake.llm import bpe_codec, byte_bpe, centroid_clustering, decontamination, language_model, merkle_manifest, near_dedup, pii_pseudonyms, quality_rules, rans_output, secret_scan, token_counts, warc_files
 
-_MODULES = (quality_rules, secret_scan, rans_output, warc_files, token_counts, language_model, decontamination, pii_pseudonyms, bpe_codec, near_dedup, centroid_clustering, merkle_manifest)
+_MODULES = (quality_rules, secret_scan, rans_output, warc_files, token_counts, language_model, decontamination, pii_pseudonyms, bpe_codec, near_dedup, byte_bpe, centroid_clustering, merkle_manifest)
 
 
 def queries() -> dict:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,9 +93,11 @@ def gate(packets: DataFrame, length: int, ident: str, check_crc: bool = False, w
     if check_crc:
         reason = reason.when(~crc32_holds(F.col("payload")), "wrong_crc")
     if wait_for_difop:
-        before = Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-        packets = route(packets).withColumn("calibrated", F.max((F.col("kind") == "difop").cast("int")).over(before))
-        reason = F.when((F.col("kind") == "msop") & (F.coalesce("calibrated", F.lit(0)) == 0), "no_calibration").otherwise(reason)
+        packets = route(packets)
+        first = packets.where("kind = 'difop'").groupBy(F.col("stream_id").alias("_stream")).agg(F.min("seq").alias("_first"))
+        packets = join_checked(packets, first, F.col("stream_id").eqNullSafe(F.col("_stream"))).drop("_stream")
+        reason = F.when((F.col("kind") == "msop") & ~F.coalesce(F.col("seq") >= F.col("_first"), F.lit(False)), "no_calibration").otherwise(reason)
+        return packets.withColumn("reject_reason", reason).drop("_first")
     return packets.withColumn("reject_reason", reason)
 
 
@@ -187,6 +190,41 @@ def block_steps(blocks: DataFrame, mode: str = "single", nominal: int = 20, dura
     return blocks.join(steps.select("stream_id", "seq", "grp", "az_step", "offset"), ["stream_id", "seq", "grp"]).drop("grp")
 
 
+def _groups(mode: str, blocks: int, doubled_first: bool = True) -> list[tuple[int, int, int]]:
+    """Of each block: the first one of its firing group, the one whose azimuth ends the group's step, and its place in the group."""
+    if mode == "ab_dual":
+        heads = (0, 0, 2) if doubled_first else (0, 1, 1)
+        nexts = (2, 2, 3) if doubled_first else (2, 3, 3)
+        return [(k - k % 3 + heads[k % 3], k - k % 3 + nexts[k % 3], k % 3 - heads[k % 3]) for k in range(blocks)]
+    size = GROUPS[mode]
+    return [(k - k % size, k - k % size + size, k % size) for k in range(blocks)]
+
+
+def block_plan(azimuths: Column, blocks: int, mode: str, nominal: Column, duration: float, blind: Column, max_step: int = 100) -> Column:
+    """D10 inside a packet's row: an array with (azimuth, az_step, offset, place) of each block, from the array of azimuths; place counts the returns of a firing group.
+
+    The rules are those of block_steps, but that a step may end at a block with another id, and that of ab_dual at the last of three blocks.
+    """
+    if mode == "two_firings":
+        nominal, duration = nominal * 2, duration * 2
+
+    def planned(groups: list[tuple[int, int, int]]) -> Column:
+        ends = sorted({(head, after) for head, after, _ in groups})
+        of = {head: k for k, (head, _) in enumerate(ends)}
+        ints = lambda values: F.array(*(F.lit(v) for v in values))
+        apart = F.zip_with(ints(h for h, _ in ends), ints(a for _, a in ends), lambda h, a: F.get(azimuths, a) - F.get(azimuths, h))
+        raw = F.transform(apart, lambda d: F.when(d < 0, d + 36000).otherwise(d))
+        steps = F.transform(raw, lambda r: F.when(r <= max_step, r).otherwise(nominal.cast("bigint")))
+        took = F.transform(raw, lambda r: F.when(r > max_step, blind.cast("double")).otherwise(F.lit(float(duration))))
+        offsets = F.transform(ints(range(len(ends))), lambda k: F.aggregate(F.slice(took, 1, k), F.lit(0.0), lambda x, y: x + y))
+        rows = F.arrays_zip(azimuths.alias("azimuth"), ints(of[head] for head, _, _ in groups).alias("group"), ints(place for *_, place in groups).alias("place"))
+        return F.transform(rows, lambda x: F.struct(x["azimuth"].alias("azimuth"), F.get(steps, x["group"]).alias("az_step"), F.get(offsets, x["group"]).alias("offset"), x["place"].alias("place")))
+
+    if mode == "ab_dual":
+        return F.when(azimuths[0] == azimuths[1], planned(_groups(mode, blocks))).otherwise(planned(_groups(mode, blocks, False)))
+    return planned(_groups(mode, blocks))
+
+
 # --- sensor models ----------------------------------------------------------------------------------------------
 
 
@@ -226,6 +264,8 @@ class PacketSpec:
     radius: float = 0.0  # of the optical centre around the axis, with its height
     lift: float = 0.0
     has_imu: bool = False
+    halves: bool = False  # odd blocks have the second half of the lasers
+    feature: bool = False  # a distance of 14 bits below two of a feature
 
     @property
     def block_size(self) -> int:
@@ -251,7 +291,7 @@ MODELS = {
         # Spinning, header of 42 bytes.
         _turning("spin16", 16, 12, 32, 0.4, 230, radius=0.03825), _turning("spin32", 32, 12, 32, 0.4, 230, radius=0.03997), _turning("spin32_hemisphere", 32, 12, 32, 0.1, 150, radius=0.01473, lift=0.09427),
         _turning("spin32_fine", 32, 12, 32, 0.1, 180, step=0.0025, radius=0.03498), _turning("spin16_fine", 16, 12, 32, 0.1, 180, step=0.0025, radius=0.03498),
-        _turning("dome96", 96, 8, 48, 0.1, 60, has_imu=True), _turning("dome48", 48, 8, 48, 0.1, 150, radius=0.01952, lift=0.045, has_imu=True),
+        _turning("dome96", 96, 8, 48, 0.1, 60, has_imu=True, halves=True, feature=True), _turning("dome48", 48, 8, 48, 0.1, 150, radius=0.01952, lift=0.045, has_imu=True),
         # Spinning, header of 80 bytes.
         _turning("spin48", 48, 8, 48, 0.4, 250, 1268, **_FINE), _turning("spin80", 80, 4, 80, 0.4, 250, radius=0.03615, **_FINE), _turning("spin128", 128, 3, 128, 0.4, 250, radius=0.03615, **_FINE),
         _turning("spin48_plus", 48, 8, 48, 0.4, 250, 1268, **_FINE), _turning("spin80_plus", 80, 4, 80, 0.4, 250, radius=0.02892, **_FINE), _turning("spin128_plus", 128, 3, 128, 0.4, 250, radius=0.02892, **_FINE),
@@ -264,9 +304,14 @@ MODELS = {
 }
 
 
-def unpack(packets: DataFrame, spec: PacketSpec) -> DataFrame:
-    """(packets' columns without payload, blk, azimuth, channel, echo, raw, intensity and what the layout has): a row for each return of each channel."""
-    keep = [c for c in packets.columns if c != "payload"]
+def azimuths(spec: PacketSpec) -> Column:
+    """The azimuths of a payload's blocks."""
+    return F.transform(F.sequence(F.lit(0), F.lit(spec.blocks - 1)), lambda k: unsigned(F.col("payload"), k * spec.block_size + (spec.header + spec.azimuth_at), 2))
+
+
+def unpack(packets: DataFrame, spec: PacketSpec, plan: str | None = None) -> DataFrame:
+    """(packets' columns without payload, blk, azimuth, channel, echo, raw, intensity and what the layout has): a row for each return of each channel. plan is a column of block_plan, whose fields the rows of its blocks get."""
+    keep = [c for c in packets.columns if c not in ("payload", plan)]
     head, steps = [], F.sequence(F.lit(0), F.lit(spec.blocks - 1))
     if spec.geometry == "column":
         p = F.col("payload")
@@ -276,8 +321,12 @@ def unpack(packets: DataFrame, spec: PacketSpec) -> DataFrame:
         ident = lambda k: F.hex(F.substr("payload", F.lit(spec.header + 1) + k * spec.block_size, F.lit(size)))
         good = F.aggregate(steps, F.lit(0), lambda n, k: F.when((n == k) & (ident(k) == spec.block_id), n + 1).otherwise(n))
         steps = F.slice(steps, F.lit(1), good)
-    blk = packets.select(*keep, *head, "payload", F.explode(steps).alias("blk"))
+    planned = [plan] if plan else []
+    blk = packets.select(*keep, *head, "payload", *planned, F.explode(steps).alias("blk"))
     names = [*keep, *(c for c in ("column_seq", "yaw_base", "surface") if head), "blk"]
+    if plan:
+        blk = blk.select(*names, "payload", F.col(plan)[F.col("blk")].alias(plan)).select(*names, "payload", *(f"{plan}.{c}" for c in ("az_step", "offset", "place")))
+        names += ["az_step", "offset", "place"]
     at = F.lit(spec.header) + F.col("blk") * spec.block_size
     azimuth = F.lit(None).cast("bigint") if spec.azimuth_at is None else unsigned(F.col("payload"), at + spec.azimuth_at, 2)
     blk = blk.select(*names, azimuth.alias("azimuth"), F.substr("payload", at + spec.block_header + 1, F.lit(spec.channels * spec.channel_size)).alias("body"))
@@ -316,42 +365,89 @@ def vector_xyz(d: Column, vx: Column, vy: Column, vz: Column, base: float = 3276
     return vx * d / base, vy * d / base, vz * d / base
 
 
-def decode(packets: DataFrame, spec: PacketSpec, calibration: DataFrame | None = None, start_deg: float = 0, end_deg: float = 360, min_range: float = 0, max_range: float = 0, dense: bool = False, nominal: int = 20, mode: str = "single", shares: tuple[float, ...] | None = None, surfaces: tuple[int, ...] = (0,), parts: int = 1) -> DataFrame:
-    """(stream_id, seq, blk, channel, echo, x, y, z, intensity) of packets (stream_id, seq, payload) of one model, in metres.
+#: Rows of a static table of angles at most; it becomes part of the plan.
+MOST_LASERS = 4096
+
+
+def rings(verts: Column) -> Column:
+    """Of each laser how many lie lower; null where the angle is."""
+    return F.transform(verts, lambda v: F.when(v.isNotNull(), F.size(F.filter(verts, lambda w: w < v))))
+
 
-    calibration has (channel, vert, horiz) in hundredths of a degree: for polar models a row for each laser, channels beyond
-    the lasers beginning anew; for columns a row for each pixel. mode is that of block_steps, and shares say which part of a block's step each channel has behind it, evenly if not given.
-    surfaces are the pitches that a column's mirror surfaces add. Returns outside the section or range are null points, or left out if dense.
+def _angle_arrays(calibration: DataFrame) -> tuple[Column, Column, Column]:
+    """Arrays of vertical and horizontal angles and of rings by laser, null for those without a row, of a table (channel, vert, horiz)."""
+    rows = calibration.select("channel", "vert", "horiz").limit(MOST_LASERS + 1).collect()
+    if len(rows) > MOST_LASERS:
+        raise ValueError(f"a table of angles has more than {MOST_LASERS} rows")
+    by = {r["channel"]: r for r in rows}
+    size, known = max(by, default=-1) + 1, [r["vert"] for r in by.values() if r["vert"] is not None]
+    of = {c: [by[k][c] if k in by else None for k in range(size)] for c in ("vert", "horiz")}
+    of["ring"] = [None if v is None else sum(w < v for w in known) for v in of["vert"]]
+    return tuple(F.array(*map(F.lit, of[c])).cast("array<int>") for c in ("vert", "horiz", "ring"))
+
+
+def decode(packets: DataFrame, spec: PacketSpec, calibration: DataFrame | tuple[Column, Column, Column] | None = None, start_deg: float = 0, end_deg: float = 360, min_range: float = 0, max_range: float = 0, dense: bool = False, nominal: int | Column = 20, mode: str = "single", shares: tuple[float, ...] | None = None, surfaces: tuple[int, ...] = (0,), parts: int = 1, duration: float = 55.5, blind: float | Column = 0.0, dual: tuple[Column, str, tuple[float, ...] | None] | None = None) -> DataFrame:
+    """(stream_id, seq, blk, channel, echo, x, y, z, intensity, ring, offset_us, feature, fault) of packets (stream_id, seq, payload) of one model, in metres.
+
+    calibration is a table (channel, vert, horiz) in hundredths of a degree or three array columns of the packets (vert, horiz, ring), by laser: for polar models an
+    angle for each laser, channels beyond the lasers beginning anew; for columns one for each pixel. A laser without angles has null points with
+    the fault 'no_calibration', also where null points are left out. mode is that of block_steps, nominal, duration and blind are its parameters,
+    the first and last also as columns of the packets; shares say which part of a block's step each channel has behind it, evenly if not given.
+    dual (a condition, mode, shares) tells packets whose blocks hold two returns; those count as echoes 1 and 2.
+    surfaces are the pitches that a column's mirror surfaces add. Returns outside the section or range are null points, or left out if dense. ring is the
+    laser's place by vertical angle, offset_us the time since the packet's first block. Everything is computed inside a packet's row: no exchange.
     """
-    rows = unpack(packets, spec)
-    d = F.col("raw") * spec.step
+    polar = spec.geometry == "polar"
+    arrays = (F.array().cast("array<int>"),) * 3 if calibration is None else calibration if isinstance(calibration, tuple) else _angle_arrays(calibration)
+    plain = calibration is None
+    own = ["stream_id", "seq", "payload", *(c.alias(n) for n, c in zip(("_verts", "_horizs", "_rings"), arrays)), (F.coalesce(dual[0], F.lit(False)) if dual else F.lit(False)).alias("_dual")]
+    if polar:
+        nominal, blind = (v if isinstance(v, Column) else F.lit(v) for v in (nominal, blind))
+        packets = packets.select(*own, azimuths(spec).alias("_az"), nominal.alias("_nominal"), blind.alias("_blind"))
+        plan = lambda m: block_plan(F.col("_az"), spec.blocks, m, F.col("_nominal"), duration, F.col("_blind"))
+        packets = packets.withColumn("_plan", F.when(F.col("_dual"), plan(dual[1])).otherwise(plan(mode)) if dual else plan(mode)).drop("_az", "_nominal", "_blind")
+    else:
+        packets = packets.select(*own)
+    rows = unpack(packets, spec, "_plan" if polar else None)
+    raw = F.col("raw")
+    distance, feature = split_feature(raw) if spec.feature else (raw, F.lit(None).cast("int"))
+    d = distance * spec.step
     ok = in_range(d, spec.min_range, spec.max_range, min_range, max_range)
+    vert = horiz = ring = fault = F.lit(None).cast("int")
     if spec.geometry in ("polar", "column"):
-        laser = F.col("channel") % spec.lasers if spec.geometry == "polar" else column_pixel(F.col("channel"), F.col("column_seq"), spec.channels, parts)
-        rows = rows.withColumn("laser", laser)
-        if calibration is not None:
-            own = calibration.select(F.col("channel").alias("laser"), "vert", "horiz")
-            rows = join_checked(rows, own, "laser", "inner")
-        else:
-            rows = rows.withColumn("vert", F.lit(0)).withColumn("horiz", F.lit(0))
-    if spec.geometry == "polar":
-        steps = block_steps(rows.select("stream_id", "seq", "blk", "azimuth").distinct(), mode, nominal)
-        rows = rows.join(steps.select("stream_id", "seq", "blk", "az_step"), ["stream_id", "seq", "blk"])
-        share = F.col("channel") / spec.channels if shares is None else F.element_at(F.array(*(F.lit(v) for v in shares)), F.col("channel") + 1)
-        az = F.col("azimuth") + F.floor(F.col("az_step") * share)
-        turned = az + F.col("horiz")
+        laser = column_pixel(F.col("channel"), F.col("column_seq"), spec.channels, parts) if not polar else F.col("channel") + F.col("blk") % 2 * spec.channels if spec.halves else F.col("channel") % spec.lasers
+        laser = laser.cast("int")
+        vert, horiz = (F.lit(0), F.lit(0)) if plain else (F.get("_verts", laser), F.get("_horizs", laser))
+        ring = F.get("_rings", laser)
+        fault = F.when(vert.isNull() | horiz.isNull(), "no_calibration")
+    offset = F.lit(None).cast("double")
+    if polar:
+        def share(own):
+            return F.col("channel") / spec.channels if own is None else F.element_at(F.array(*(F.lit(float(np.float32(v))).cast("float") for v in own)), F.col("channel") + 1)
+
+        turn = lambda own: F.floor((F.col("az_step") if own is None else F.col("az_step").cast("float")) * share(own))
+        az = F.col("azimuth") + (F.when(F.col("_dual"), turn(dual[2])).otherwise(turn(shares)) if dual else turn(shares))
+        turned = az + horiz
+        fired = lambda own, times: share(own).cast("double") * duration * times
+        twice = lambda m: 2 if m == "two_firings" else 1
+        offset = F.col("offset") + (F.when(F.col("_dual"), fired(dual[2], twice(dual[1]))).otherwise(fired(shares, twice(mode))) if dual else fired(shares, twice(mode)))
         ok = ok & in_section(F.pmod(turned, F.lit(36000)), round(start_deg * 100), round(end_deg * 100))
-        xyz = polar_xyz(d, F.col("vert"), az, turned, spec.radius, spec.lift)
+        xyz = polar_xyz(d, vert, az, turned, spec.radius, spec.lift)
+        rows = rows.withColumn("echo", F.when(F.col("_dual"), F.col("place") + 1).otherwise(F.col("echo")) if dual else F.col("echo"))
     elif spec.geometry == "column":
-        turned = ((F.col("yaw_base") + F.col("horiz")) * spec.yaw_scale).cast("int")
+        turned = ((F.col("yaw_base") + horiz) * spec.yaw_scale).cast("int")
         surface = F.element_at(F.array(*(F.lit(v) for v in surfaces)), F.least(F.col("surface"), F.lit(len(surfaces) - 1)) + 1)
-        xyz = yaw_pitch_xyz(d, turned, F.col("vert") + surface)
+        xyz = yaw_pitch_xyz(d, turned, vert + surface)
     elif spec.geometry == "yaw_pitch":
         xyz = yaw_pitch_xyz(d, F.col("yaw"), F.col("pitch"))
     else:
         xyz = vector_xyz(d, *(F.col(f"v{c}") for c in "xyz"))
-    out = rows.select("stream_id", "seq", "blk", "channel", "echo", F.when(ok, xyz[0]).alias("x"), F.when(ok, xyz[1]).alias("y"), F.when(ok, xyz[2]).alias("z"), F.when(ok, F.col("intensity")).otherwise(0).cast("smallint").alias("intensity"))
-    return out.where("x IS NOT NULL") if dense else out
+    ok = ok & fault.isNull()
+    out = rows.select(
+        "stream_id", "seq", "blk", "channel", "echo", *(F.when(ok, v).alias(c) for v, c in zip(xyz, "xyz")), F.when(ok, F.col("intensity")).otherwise(0).cast("smallint").alias("intensity"),
+        ring.alias("ring"), offset.alias("offset_us"), feature.alias("feature"), fault.cast("string").alias("fault"),
+    )
+    return out.where("x IS NOT NULL OR fault IS NOT NULL") if dense else out
 
 
 def device_info(packets: DataFrame, serial_at: tuple[int, int], mac_at: tuple[int, int], version_at: tuple[int, int], voltage_at: int | None = None, temperature_at: int | None = None) -> DataFrame:
@@ -372,9 +468,10 @@ def jumbo_parts(packets: DataFrame, parts: int = 63, size: int = 984, header: in
 
 def difop_common(rpm: Column, block_us: float, blocks_per_frame_hint: int = 0, fov_start: Column | None = None, fov_end: Column | None = None) -> dict[str, Column]:
     """Rps, blocks of a turn, nominal azimuth step and the time that the blind part of a turn takes."""
-    rps = F.when(rpm.cast("int") == 0, 10).otherwise(F.floor(rpm / 60)).cast("int")
+    rps = F.floor(rpm / 60).cast("int")
+    rps = F.when(rps == 0, 10).otherwise(rps)
     blocks = F.floor(1_000_000.0 / (rps * block_us)).cast("int")
-    step = F.round(36000.0 / blocks).cast("int")
+    step = F.round(rps * (36000.0 * block_us / 1_000_000.0)).cast("int")
     start, end = fov_start if fov_start is not None else F.lit(0), fov_end if fov_end is not None else F.lit(36000)
     seen = F.when(start < end, end - start).otherwise(end + 36000 - start)
     return {"rps": rps, "blocks_per_frame": blocks, "az_step": step, "blind_us": (36000 - seen) / 36000.0 * 1_000_000.0 / rps}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,13 +16,15 @@ from gridwake.operators import ranges
 def by_angle(blocks: DataFrame, split: int = 0, order: str = "seq") -> DataFrame:
     """blocks with frame, the number of times that the stream's azimuth has passed the split angle so far.
 
-    An azimuth below the one before has gone round, so the one before counts 36000 less; the first is compared with the split.
+    An azimuth below the one before has gone round, so the one before counts 36000 less; the first is compared with the split. Azimuths must not be null.
     """
-    own = ranges.with_previous(blocks, "stream_id", order, "azimuth", "_previous_azimuth")
-    before = F.coalesce("_previous_azimuth", F.lit(split))
-    before = F.when(F.col("azimuth") < before, before - 36000).otherwise(before)
-    cut = ((before < split) & (split <= F.col("azimuth"))).cast("int")
-    return ranges.running_sum(own, "stream_id", order, cut, "frame").drop("_previous_azimuth")
+
+    def passed(now: np.ndarray, before: np.ndarray, first: np.ndarray) -> np.ndarray:
+        low = np.where(first, split, before)
+        low = np.where(now < low, low - 36000, low)
+        return (low < split) & (split <= now)
+
+    return ranges.scan(blocks, "stream_id", order, F.col("azimuth").cast("bigint"), "frame", passed)
 
 
 def by_count(blocks: DataFrame, most: int, order: str = "seq") -> DataFrame:

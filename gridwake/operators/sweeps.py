@@ -197,8 +197,7 @@ def flat_scan(packets: DataFrame, header: int = 6, points: int = 42, spread_deg:
     """
     p = F.col("payload")
     rows = packets.withColumn("start", unsigned(p, header - 2, 2) / 100.0)
-    rows = ranges.with_previous(rows, "stream_id", "seq", "start", "before")
-    rows = ranges.running_sum(rows, "stream_id", "seq", (F.col("before") - F.col("start") > spread_deg).cast("int"), "frame")
+    rows = ranges.scan(rows, "stream_id", "seq", F.coalesce("start", F.lit(0.0)), "frame", lambda now, before, first: ~first & (before - now > spread_deg))
     each = rows.select("stream_id", "frame", "seq", "start", "payload", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
     raw, azimuth = unsigned(F.col("payload"), F.col("point") * 3 + header, 2), F.pmod(F.col("start") + F.col("point") * spread_deg / points, F.lit(360.0))
     each = each.select("stream_id", "frame", "seq", "point", azimuth.alias("azimuth_deg"), raw.alias("raw"), unsigned(F.col("payload"), F.col("point") * 3 + header + 2, 1).cast("smallint").alias("intensity"))

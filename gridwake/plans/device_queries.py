@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwake.operators import calibration, curbs, lines, mapjoin, sweeps, tracking
 from gridwake.operators import clusters as C
-from gridwake.operators import curbs, lines, mapjoin, sweeps, tracking
 from gridwake.operators import decode as D
 from gridwake.operators import layers as V
 from gridwake.operators import transform as T
@@ -73,9 +73,8 @@ def _lasers(spark: SparkSession) -> DataFrame:
     return spark.range(16).selectExpr("CAST(id AS INT) AS channel", "CAST(id * 200 - 1500 AS INT) AS vert", "CAST(id * 10 - 75 AS INT) AS horiz")
 
 
-POLAR = f"""WITH {FULL}, good AS (SELECT * FROM full_ WHERE NOT (seq % 5 = 0 AND blk >= 7)),
-nx AS (SELECT *, lead(azimuth) OVER (PARTITION BY stream_id, seq ORDER BY blk) - azimuth AS q FROM good), d AS (SELECT *, CASE WHEN q < 0 THEN q + 36000 ELSE q END AS raw FROM nx),
-s AS (SELECT *, CASE WHEN raw IS NULL OR raw > 100 THEN 20 ELSE raw END AS st FROM d),
+POLAR = f"""WITH {FULL}, nx AS (SELECT *, lead(azimuth) OVER (PARTITION BY stream_id, seq ORDER BY blk) - azimuth AS q FROM full_), d AS (SELECT *, CASE WHEN q < 0 THEN q + 36000 ELSE q END AS raw FROM nx),
+s AS (SELECT *, CASE WHEN raw IS NULL OR raw > 100 THEN 20 ELSE raw END AS st FROM d WHERE NOT (seq % 5 = 0 AND blk >= 7)),
 c AS (SELECT stream_id, seq, blk, ch, azimuth + (st * ch) // 32 AS az, {RAW} * 0.005::DOUBLE AS d, (blk + ch) % 256 AS i, (ch % 16) * 200 - 1500 AS v, (ch % 16) * 10 - 75 AS h FROM s, (SELECT unnest(range(0, 32)) AS ch)),
 a AS (SELECT *, d BETWEEN 0.4 AND 230 AND (az + h + 36000) % 36000 < 27000 AND (az + h + 36000) % 36000 >= 1000 AS ok, cos(radians(v / 100.0)) AS cv, sin(radians(v / 100.0)) AS sv, radians((az + h) / 100.0) AS t, radians(az / 100.0) AS u FROM c)"""
 
@@ -88,9 +87,71 @@ def d17(spark, sf):
     return _r(got, ("stream_id", "seq", "blk", "channel", "intensity"), ("x", "y", "z"))
 
 
-@query("d23_model_lengths", "SELECT * FROM (VALUES ('column192', 812), ('column260', 1084), ('dome48', 1248), ('dome96', 1248), ('flash1_vectors', 1200), ('mirror28_vectors', 1448), ('mirror2_vectors', 1404), ('mirror5_angles', 1210), ('mirror5_angles_jumbo', 62152), ('mirror5_vectors', 1342), ('spin128', 1248), ('spin128_plus', 1248), ('spin16', 1248), ('spin16_fine', 1248), ('spin32', 1248), ('spin32_fine', 1248), ('spin32_hemisphere', 1248), ('spin48', 1268), ('spin48_plus', 1268), ('spin80', 1248), ('spin80_plus', 1248)) AS t(model, length)")
-def d23(spark, sf):
-    return spark.createDataFrame([(m.name, m.length) for m in D.MODELS.values()], "model string, length int")
+# --- calibration by stream and time -------------------------------------------------------------------------------
+
+
+def _device_payload(packed: bool) -> Column:
+    """A device packet of the version v: speed, field of view, echo mode and angles change with it, and every fourth one's angles are not ready."""
+    c, v = F.col, F.col("seq").cast("long") - 1
+    v = F.floor(v / 3)
+    head = F.concat(F.lit("A5FF" + "00" * 6), _bytes(F.when(v % 2 == 0, 600).otherwise(1200), 2), F.lit("00" * 22 + "0000"), _bytes(F.when(v % 3 == 0, 36000).otherwise(27000), 2), F.lit("00" * 264), _bytes((c("stream_id") + v) % 2, 1), F.lit("00" * 167))
+    if packed:
+        return F.unhex(F.concat(head, F.lit("00" * (1165 - 468)), _each(16, lambda i: _bytes(i * 20000 + v * 777 + 55, 3)), F.lit("00" * 35)))
+    sign = lambda i: F.when((i == 0) & ((c("stream_id") + v) % 4 == 0), "FF").when(i < 16, "01").otherwise("00")
+    vert = _each(32, lambda i: F.concat(sign(i), _bytes(i * 1000 + v * 37 + 4, 2)))
+    horiz = _each(32, lambda i: F.concat(_bytes(i % 2, 1), _bytes(i * 70 + v * 13, 2)))
+    return F.unhex(F.concat(head, vert, horiz, F.lit("00" * 588)))
+
+
+def _streams(spark: SparkSession, sf: str, packed: bool) -> DataFrame:
+    """Point packets at odd places of their streams and a device packet before every third one."""
+    points = _polar_packets(spark, sf)
+    devices = points.where("seq % 3 = 1").select("stream_id", F.col("seq") * 2, _device_payload(packed))
+    return points.select("stream_id", F.col("seq") * 2 + 1, "payload").union(devices).toDF("stream_id", "seq", "payload")
+
+
+def _streams_sql(model: str, which: str, dual: str, times: int) -> str:
+    """Points of _streams: versions by joins on order, steps and offsets by windows."""
+    own = calibration.DEVICES[model]
+    lasers, block = own.lasers, own.block_us
+    ready = "TRUE" if own.packed else "(stream_id + v) % 4 <> 0"
+    if own.packed:
+        vert, horiz = f"CASE WHEN l < 8 THEN -1 ELSE 1 END * ((l * 20000 + a * 777 + 55) // 100)", "0"
+    else:
+        vert, horiz = "CASE WHEN l < 16 THEN -1 ELSE 1 END * ((l * 1000 + a * 37 + 9) // 10)", "CASE WHEN l % 2 = 1 THEN -1 ELSE 1 END * ((l * 70 + a * 13 + 5) // 10)"
+    fire = "[" + ", ".join(map(str, own.firings)) + "]"
+    half = len(own.firings) // 2
+    share = f"CASE WHEN dual THEN {fire}[{f'ch % {half}' if dual == 'two_firings_dual' else 'ch'} + 1]::FLOAT / {block}::FLOAT ELSE {fire}[ch + 1]::FLOAT / ({block}::FLOAT * {times}::FLOAT) END"
+    size = "CASE WHEN dual THEN 2 ELSE 1 END" if dual == "dual" else "1"
+    return f"""WITH {FULL}, dif AS (SELECT *, {ready} AS ready FROM (SELECT DISTINCT stream_id, seq AS k, (seq - 1) // 3 AS v FROM full_ WHERE seq % 3 = 1)),
+pk AS (SELECT p.stream_id, p.seq, max(d.v) AS s, {'min' if which == 'first' else 'max'}(CASE WHEN ready THEN d.v END) AS a FROM (SELECT DISTINCT stream_id, seq FROM full_) p LEFT JOIN dif d ON d.stream_id = p.stream_id AND d.k <= p.seq GROUP BY 1, 2),
+m AS (SELECT *, coalesce((stream_id + s) % 2 = 0, FALSE) AS dual, CASE WHEN s % 2 = 1 THEN 20 ELSE 10 END AS rps, CASE WHEN s % 3 <> 0 THEN 250000.0::DOUBLE ELSE 0.0::DOUBLE END AS gap FROM pk),
+g AS (SELECT f.*, m.* EXCLUDE (stream_id, seq), CASE WHEN dual THEN 1 ELSE {times} END AS times, {size} AS size, blk // {size} AS grp, CASE WHEN s IS NULL THEN 20 ELSE round(rps * {36000 * block / 1e6}) END AS nom FROM full_ f JOIN m USING (stream_id, seq)),
+h AS (SELECT stream_id, seq, grp, arg_min(azimuth, blk) AS az, any_value(nom) AS nom, any_value(times) AS times, any_value(gap / rps) AS blind FROM g GROUP BY 1, 2, 3),
+d AS (SELECT *, lead(az) OVER (PARTITION BY stream_id, seq ORDER BY grp) - az AS q FROM h), r AS (SELECT *, CASE WHEN q < 0 THEN q + 36000 ELSE q END AS raw FROM d),
+st AS (SELECT stream_id, seq, grp, CASE WHEN raw <= 100 THEN raw ELSE nom * times END AS st, coalesce(sum(CASE WHEN raw > 100 THEN blind ELSE {block}::DOUBLE * times END) OVER (PARTITION BY stream_id, seq ORDER BY grp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM r),
+c AS (SELECT g.*, st.st, st.off, ch, ch % {lasers} AS l, {share} AS sh, {RAW} * 0.005::DOUBLE AS dist, (blk + ch) % 256 AS i FROM g JOIN st USING (stream_id, seq, grp), (SELECT unnest(range(0, 32)) AS ch) WHERE NOT (seq % 5 = 0 AND blk >= 7)),
+e AS (SELECT *, azimuth + floor(st::FLOAT * sh)::BIGINT AS az, {vert} AS v, {horiz} AS h FROM c), o AS (SELECT *, a IS NOT NULL AND dist BETWEEN 0.4 AND 230 AS ok, radians((az + h) / 100.0) AS t, radians(az / 100.0) AS u, radians(v / 100.0) AS w FROM e)
+SELECT stream_id, 2 * seq + 1 AS seq, blk, ch AS channel, CASE WHEN dual THEN 1 + blk % size ELSE 1 END AS echo, CASE WHEN a IS NULL THEN 'no_calibration' END AS fault, round(off + sh::DOUBLE * {block} * times, 3) AS offset_us,
+(CASE WHEN a IS NOT NULL THEN (SELECT count(*) FROM (SELECT l AS l2, a AS a2 FROM (SELECT unnest(range(0, {lasers})) AS l)) q WHERE {vert.replace('l ', 'l2 ').replace('(l2', '(l2')} < v) END)::INT AS ring,
+CASE WHEN ok THEN round(dist * cos(w) * cos(t) + {{radius}} * cos(u), 4) + 0.0 END AS x, CASE WHEN ok THEN round(-(dist * cos(w) * sin(t) + {{radius}} * sin(u)), 4) + 0.0 END AS y, CASE WHEN ok THEN round(dist * sin(w), 4) + 0.0 END AS z, CASE WHEN ok THEN i ELSE 0 END AS intensity FROM o""".replace("{radius}", str(D.MODELS[model].radius))
+
+
+def _stream_points(spark: SparkSession, sf: str, model: str, which: str) -> DataFrame:
+    got = calibration.decode_streams(_streams(spark, sf, calibration.DEVICES[model].packed), model, which)
+    return _r(got.withColumn("offset_us", F.round("offset_us", 3)), ("stream_id", "seq", "blk", "channel", "echo", "fault", "offset_us", "ring", "intensity"), ("x", "y", "z"))
+
+
+@query("d07_first_angles", _streams_sql("spin32", "first", "dual", 1))
+def d07(spark, sf):
+    """Streams whose speed, field of view and echo mode change on the way, read with their first good angles; points before them have a fault."""
+    return _stream_points(spark, sf, "spin32", "first")
+
+
+@query("d19_latest_angles", _streams_sql("spin16", "latest", "two_firings_dual", 2))
+def d19_latest(spark, sf):
+    """The same for two firings in a block and packed angles that change on the way."""
+    return _stream_points(spark, sf, "spin16", "latest")
 
 
 def _suppliers(spark: SparkSession, sf: str) -> DataFrame:

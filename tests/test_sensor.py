@@ -701,24 +701,6 @@ def test_edges_find_planted_curbs(spark):
         assert abs(r.x0 - x0) < 60 and abs(r.x1 - x1) < 60
 
 
-def test_running_sums_in_ranges(spark):
-    """A stream with most of the rows, a null one, one of one row, and orders that lie close together and far apart."""
-    from gridwake.operators import ranges
-
-    rng = np.random.default_rng(5)
-    rows = [(1, int(v), int(v) % 7) for v in rng.permutation(600)] + [(2, 10**15 * k, k) for k in range(5)] + [(9, 5, 1)] + [(None, k, 1) for k in range(4)]
-    df = spark.createDataFrame(rows, "s long, o long, v long")
-    for n in (1, 7, 64):
-        out = ranges.with_previous(ranges.running_sum(ranges.numbered(df, "s", "o", "place", n), "s", "o", F.col("v"), "total", n), "s", "o", "v", "before", n).collect()
-        assert len(out) == len(rows)
-        for s in (1, 2, 9, None):
-            own = sorted((r.o, r.place, r.v, r.total, r.before) for r in out if r.s == s)
-            assert [p for _, p, *_ in own] == list(range(len(own)))
-            assert [t for *_, t, _ in own] == np.cumsum([v for _, _, v, *_ in own]).tolist()
-            assert [b for *_, b in own] == [None, *(v for _, _, v, *_ in own[:-1])]
-    assert ranges.numbered(df.where("false"), "s", "o", "place").count() == 0
-
-
 def test_clusters_of_touching_points(spark):
     rows = [(1, k, 3.0 * k, 0.0, 0.0) for k in range(40)] + [(1, 100 + k, 0.0, 50.0 + 10 * k, 0.0) for k in range(5)] + [(2, 1, 0.0, 0.0, 0.0)]
     df = spark.createDataFrame(rows, "frame_id long, point_id long, x double, y double, z double")
@@ -795,3 +777,131 @@ def test_reflection_is_the_mirror_law(spark):
     n = np.array([math.cos(0.2) * math.cos(1.1), math.cos(0.2) * math.sin(1.1), -math.sin(0.2)])
     out = 2 * (i @ n) * n - i
     assert (r.x, r.y, -r.z) == pytest.approx(tuple(out)) and np.hypot(np.hypot(r.x, r.y), r.z) == pytest.approx(1)
+
+
+# --- calibration by stream and time, ranges -----------------------------------------------------------------------
+
+
+def test_running_sums_over_ranges(spark):
+    """A hot stream, a null one, one of one row, orders close together and far apart, and ties, over few and many partitions."""
+    from gridwake.operators import ranges
+
+    rng = np.random.default_rng(5)
+    rows = [(1, int(v), int(v) % 7) for v in rng.permutation(600)] + [(2, 10**15 * k, k) for k in range(5)] + [(9, 5, 1)] + [(None, k, 1) for k in range(4)]
+    df = spark.createDataFrame(rows, "s long, o long, v long")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n in (1, 7, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            out = ranges.with_previous(ranges.running_sum(ranges.numbered(df, "s", "o", "place"), "s", "o", F.col("v"), "total"), "s", "o", "v", "before").collect()
+            assert len(out) == len(rows)
+            for s in (1, 2, 9, None):
+                own = sorted((r.o, r.place, r.v, r.total, r.before) for r in out if r.s == s)
+                assert [p for _, p, *_ in own] == list(range(len(own)))
+                assert [t for *_, t, _ in own] == np.cumsum([v for _, _, v, *_ in own]).tolist()
+                assert [b for *_, b in own] == [None, *(v for _, _, v, *_ in own[:-1])]
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        hot = spark.range(20_000).selectExpr("1L AS s", "id AS o", "1L AS v").unionByName(spark.range(10).selectExpr("2L AS s", "id * 1000000000 AS o", "1L AS v"))
+        spread = ranges.numbered(hot, "s", "o", "place").withColumn("file", F.input_file_name())
+        sizes = sorted(r["count"] for r in spread.where("s = 1").groupBy("file").count().collect())
+        assert len(sizes) >= 6 and sizes[-1] < 8_000  # a hot stream in a narrow span spreads over the tasks
+        ties = spark.range(1000).selectExpr("1L AS s", "7L AS o")
+        assert sorted(r.place for r in ranges.numbered(ties, "s", "o", "place").collect()) == list(range(1000))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert ranges.numbered(df.where("false"), "s", "o", "place").count() == 0
+    kept = ranges.changes(spark.createDataFrame([(1, 1, None), (1, 2, None), (1, 3, 5), (1, 4, 5), (1, 5, None), (2, 1, 5)], "s long, o long, v long"), "s", "o", ["v"])
+    assert sorted((r.s, r.o) for r in kept.collect()) == [(1, 1), (1, 3), (1, 5), (2, 1)]
+
+
+def _device(spec, rpm, mode, verts, horizs, fov=(0, 36000)):
+    body = bytearray(spec.length)
+    body[:2] = b"\xa5\xff"
+    struct.pack_into(">H", body, spec.rpm_at, rpm)
+    struct.pack_into(">HH", body, spec.fov_at, *fov)
+    body[spec.mode_at] = mode
+    for at, values in ((spec.vert_at, verts), (spec.vert_at + 3 * spec.slots, horizs)):
+        for k, v in enumerate(values):
+            struct.pack_into(">BH", body, at + 3 * k, 255 if v is None else int(v < 0), 0 if v is None else abs(v))
+    return body
+
+
+def _points(spec, azimuths, raw=2000):
+    body = bytearray(spec.length)
+    body[:2] = b"\x55\xaa"
+    for k, a in enumerate(azimuths):
+        at = spec.header + k * spec.block_size
+        ident = bytes.fromhex(spec.block_id)
+        body[at : at + len(ident)] = ident
+        struct.pack_into(">H", body, at + 2, a)
+        for c in range(spec.channels):
+            struct.pack_into(">HB", body, at + spec.block_header + c * spec.channel_size, raw, 9)
+    return body
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_calibration_changes_along_streams(spark, most):
+    """Three streams with versions of their own, looked up in the packet's row or by an as-of join; nothing is lost."""
+    from gridwake.operators import calibration as K
+
+    model = "spin32_fine"
+    spec, dev = decode.MODELS[model], K.DEVICES[model]
+    verts = lambda v: [100 * k + v for k in range(32)]
+    rows = []
+    for stream in (1, 2, None):
+        shift = stream or 0
+        rows += [(stream, 0, _points(spec, range(0, 240, 20)))]  # before any device packet
+        rows += [(stream, 1, _device(dev, 600, 4, [None, *verts(0)[1:]], [0] * 32))]  # angles not ready, speed known
+        rows += [(stream, 2, _points(spec, range(0, 240, 20)))]
+        rows += [(stream, 3, _device(dev, 1200, 4, verts(shift), [shift] * 32))]
+        rows += [(stream, 4, _points(spec, range(0, 240, 20)))]
+        rows += [(stream, 5, _device(dev, 1200, 0, verts(50), [7] * 32))]
+        rows += [(stream, 6, _points(spec, [a for a in range(0, 240, 40) for _ in (1, 2)]))]
+    df = spark.createDataFrame(rows, "stream_id long, seq long, payload binary")
+    for which, horiz in (("first", None), ("latest", 7)):
+        got = K.decode_streams(df, model, which, most=most).collect()
+        assert len(got) == 3 * 4 * 12 * 32
+        for r in got:
+            assert (r.fault == "no_calibration") == (r.seq < 3) and (r.x is None) == (r.seq < 3)
+            assert r.echo == (1 + r.blk % 2 if r.seq == 6 else 1)
+        for stream in (1, 2, None):
+            last = {(r.blk, r.channel): r for r in got if r.stream_id == stream and r.seq == 6}
+            own = horiz if horiz is not None else stream or 0
+            share = np.float32(np.float32(1.73 * 5) / np.float32(55.56))
+            az = 40 + math.floor(np.float32(40) * share)  # two returns: a step from group to group
+            v = math.radians((500 + (50 if which == "latest" else stream or 0)) / 100)
+            r = last[2, 5]
+            d = 2000 * 0.0025
+            assert r.x == pytest.approx(d * math.cos(v) * math.cos(math.radians((az + own) / 100)) + spec.radius * math.cos(math.radians(az / 100)), abs=1e-9)
+            assert r.ring == 5 and r.offset_us == pytest.approx(55.56 + 55.56 * float(share), abs=1e-6)
+    free = K.decode_streams(df, model, wait=False, most=most)
+    assert free.where("fault IS NOT NULL OR x IS NULL").count() == 0
+
+
+def test_a_laser_without_angles_is_a_fault_and_not_a_loss(spark):
+    spec = decode.MODELS["spin16"]
+    df = spark.createDataFrame([(1, 1, _points(spec, range(0, 240, 20)))], "stream_id long, seq long, payload binary")
+    lasers = spark.range(15).selectExpr("CAST(id AS INT) AS channel", "CAST(id * 100 AS INT) AS vert", "0 AS horiz")
+    got = decode.decode(df, spec, lasers).collect()
+    assert len(got) == 384 and {r.channel % 16 for r in got if r.fault == "no_calibration" and r.x is None} == {15}
+    assert sum(r.fault is not None for r in got) == 24 == decode.decode(df, spec, lasers, dense=True).where("fault IS NOT NULL").count()
+    assert "Exchange" not in decode.decode(df, spec, lasers)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_steps_inside_a_packet_are_those_of_blocks(spark):
+    """block_plan against block_steps for every way of firing, with wraps and blind zones."""
+    for mode, n in (("single", 12), ("dual", 12), ("two_in_one", 8), ("four_in_one", 8), ("two_firings", 12), ("two_firings_dual", 12), ("ab_dual", 3)):
+        rows = []
+        for p in range(6):
+            az = [(35_900 + p * 7 + 20 * (k // 2 if p % 2 else k) + (3000 if p == 4 and k > 5 else 0)) % 36000 for k in range(n)]
+            if mode == "ab_dual":
+                az = [az[0], az[0] if p % 2 else az[2], az[2]]
+            rows += [(1, p, k, a) for k, a in enumerate(az)]
+        df = spark.createDataFrame(rows, "stream_id long, seq long, blk int, azimuth long")
+        want = {(r.seq, r.blk): (r.az_step, r.offset) for r in decode.block_steps(df, mode, 20, 55.5, 7.5).collect()}
+        packets = df.groupBy("stream_id", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("blk", "azimuth"))), lambda x: x["azimuth"]).alias("az"))
+        plan = packets.select("seq", F.posexplode(decode.block_plan(F.col("az"), n, mode, F.lit(20), 55.5, F.lit(7.5))).alias("blk", "p")).select("seq", "blk", "p.*").collect()
+        for r in plan:
+            assert (r.az_step, pytest.approx(r.offset)) == want[r.seq, r.blk], (mode, r)

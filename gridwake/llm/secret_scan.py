@@ -1,9 +1,12 @@
 """Operator 2: secrets by known forms and by dictionary-primed novelty.
 
-Three known forms are found by their patterns. Beyond them, a string of 8 or more characters in a sensitive context (a
-name with a word such as "key" or "credential" before it) is a candidate, or the part of it that no known form covers. It is compressed with zstandard, primed with a dictionary of identifiers
-and of the text around it; what it costs on top of an empty input are its marginal bytes. Names, paths and repeated
-strings cost little; a string that costs nearly its own entropy is new to its surroundings and reported.
+Three known forms are found by their patterns. Beyond them, a string of 8 or more characters in a sensitive context is a
+candidate: one behind a name, of any length, with a word such as "key" or "credential" in it, and an operator (=, :, ->, is, was, ...)
+that stands at most REACH characters behind the name in the same sentence, the value on the same line or the next; or one right behind the name.
+A value goes up to its closing quote or, without quotes, to a blank, bracket, comma or semicolon. A candidate is compressed with
+zstandard, primed with a dictionary of identifiers and of the text around it; what it costs on top of an empty input are its
+marginal bytes. Names, paths and repeated strings cost little; a string that costs nearly its own entropy is new to its
+surroundings and reported, or what known forms leave of it. The values of known forms are measured as well.
 
 The identifiers are a fixed list and not learned from the corpus: strings that copies of one text repeat would get into
 a learned one, and secrets are among them.
@@ -37,19 +40,23 @@ KINDS = (
 )
 NOVEL = "novel"
 _NAMES = (*(k[0] for k in KINDS), NOVEL)
-#: Strings that can be a secret, and names that hold a sensitive word: key, pass and pwd count at the start of a part of a name
-#: (API_KEY, encryptionKey) and, before an operator, anywhere (sshkey=). Patterns are tried where one of the stems stands.
+#: Characters between a name and its operator at most.
+REACH = 96
+#: Names that hold a sensitive word: key, pass and pwd count at the start of a part of a name (API_KEY, encryptionKey) and, right
+#: before an operator, anywhere (sshkey=). Patterns are tried where one of the stems stands.
 _STEMS = "credential pass private auth bearer access signing session cookie secret token api key pwd".split()
-_STRING = "[A-Za-z0-9+/_.=-]{8,}"
-_BEHIND = r"""["'`\])}>]{0,2}(?:\x20[a-z0-9]{1,12}){0,2}[ \t]*"""
-_BEFORE = r"""[ \t]*["'`(\[{<]{0,2}(?:(?:basic|bearer|digest|token)\x20+)?"""
-_LONG = "credential|passphrase|passwd|password|private|auth|bearer|access|signing|session|cookie|secret|token|api_?key"
-_CONTEXTS = (
-    re.compile(rf"""(?:{_LONG}|(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:key|pass|pwd))[a-z0-9_-]{{0,32}}(?:{_BEHIND}(?:=>|:=|->|==|[:=]|\b(?:is|was)\b)|["'`\])}}>]{{1,2}}|[ \t]){_BEFORE}({_STRING})""", re.IGNORECASE | re.ASCII),
-    re.compile(rf"""(?:key|pass|pwd){_BEHIND}(?:=>|:=|->|==|[:=]){_BEFORE}({_STRING})""", re.IGNORECASE | re.ASCII),
-    # Longer strings that follow a word without a break.
-    re.compile(r"(?:credential|passphrase|private|auth|bearer|access|signing|session|cookie|\bkey|\bpwd|\bpass)[A-Za-z_]{0,16}([A-Za-z0-9+/_.=-]{20,})", re.IGNORECASE | re.ASCII),
-)
+_WORD = re.compile(r"(?:credential|passphrase|passwd|password|private|auth|bearer|access|signing|session|cookie|secret|token|api_?key)|(?:(?<![a-z])|(?-i:(?<=[a-z])(?=[A-Z])))(?:key|pass|pwd)", re.IGNORECASE | re.ASCII)
+_SHORT_WORD = re.compile("key|pass|pwd", re.IGNORECASE | re.ASCII)
+_REST_OF_NAME = re.compile(r"[A-Za-z0-9_-]*+")
+_OPERATOR = r"(?:=>|:=|->|==|[:=]|\b(?:is|was)\b)"
+_BEFORE = r"""[ \t]*(?:\r?\n[ \t]*)?(?:(?:basic|bearer|digest|token)\x20+)?"""
+_VALUE = r"""(?:"([^"\s]{8,})"|'([^'\s]{8,})'|`([^`\s]{8,})`|["'`(\[{<]{0,2}(?:(?:basic|bearer|digest|token)\x20+)?([A-Za-z0-9+/_.=!@#$%^&*~?|:-]{8,}))"""
+_ASSIGNED = re.compile(_OPERATOR + _BEFORE + _VALUE, re.IGNORECASE | re.ASCII)
+_AT_ONCE = re.compile(r"""["'`\])}>]{0,2}[ \t]*""" + _OPERATOR + _BEFORE + _VALUE, re.IGNORECASE | re.ASCII)
+_NEXT = re.compile(r"""(?:["'`\])}>]{1,2}|[ \t])""" + _BEFORE + _VALUE, re.IGNORECASE | re.ASCII)
+#: Longer strings that follow a word without a break.
+_UNBROKEN = re.compile(r"(?:credential|passphrase|private|auth|bearer|access|signing|session|cookie|\bkey|\bpwd|\bpass)[A-Za-z_]{0,16}([A-Za-z0-9+/_.=-]{20,})", re.IGNORECASE | re.ASCII)
+_SENTENCE = re.compile(r"[.!?;](?=\s)|\n[ \t]*\n")
 #: Identifiers that code is made of; the dictionary of the novelty test begins with them.
 IDENTIFIERS = (
     "abstract access account action address admin algorithm allow api app application args array assert async auth author "
@@ -121,19 +128,39 @@ def known_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _value(m: re.Match) -> tuple[int, int]:
+    """Where a match's value stands; one without quotes ends without a sentence's stop."""
+    k = m.lastindex
+    start, end = m.span(k)
+    return (start, start + len(m[k].rstrip(".?:"))) if k == m.re.groups else (start, end)
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Distinct (start, end) of the strings in a sensitive context, without a sentence's stop."""
+    """Distinct (start, end) of the strings in a sensitive context. A name is looked at once, however many words it holds."""
     low = text.replace("İ", "i").lower()  # the one letter that grows
-    found = set()
+    found, names = set(), {}
     for stem in _STEMS:
-        at = low.find(stem)
+        at, end = low.find(stem), -1
         while at >= 0:
-            for m in filter(None, (p.match(text, at) for p in _CONTEXTS)):
-                a, b = m.start(1), m.start(1) + len(m[1].rstrip("."))
-                if b - a >= 8:
-                    found.add((a, b))
+            if m := _UNBROKEN.match(text, at):
+                found.add((m.start(1), m.start(1) + len(m[1].rstrip("."))))
+            strong = _WORD.match(text, at) is not None
+            if strong or _SHORT_WORD.match(text, at):
+                if at >= end:
+                    end = _REST_OF_NAME.match(text, at).end()
+                names[end] = names.get(end, False) or strong
             at = low.find(stem, at + 1)
-    return sorted(found)
+    for end, strong in names.items():
+        found.update(map(_value, filter(None, (p.match(text, end) for p in ((_AT_ONCE, _NEXT) if strong else (_AT_ONCE,))))))
+        if strong:
+            stop = _SENTENCE.search(text, end, end + REACH)
+            last, at = stop.start() if stop else end + REACH, end
+            while (m := _ASSIGNED.search(text, at)) if at <= last else None:
+                if m.start() > last:
+                    break
+                found.add(_value(m))
+                at = m.start() + 1
+    return sorted((a, b) for a, b in found if b - a >= 8)
 
 
 def _uncovered(start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
@@ -154,12 +181,22 @@ def scan(text: str, novelty: Novelty | None = None) -> tuple[list[tuple[int, int
     more: list[tuple[int, int, int]] = []
     for a, b in candidates(text):
         rest = _uncovered(a, b, base + more)
-        # What stands in one string with a known form belongs to it.
-        if rest and (any(s < b and a < e for s, _, e in base) or novelty.is_new(text, a, b)):
+        # What stands in one string with a known form belongs to it if the string or the rest is new.
+        if rest and (novelty.is_new(text, a, b) or any(y - x >= 8 and novelty.is_new(text, x, y) for x, y in rest)):
             more += [(x, len(KINDS), y) for x, y in rest]
     return base, sorted(base + more) if more else base
 
 
+def costs(text: str, spans: list[tuple[int, int, int]], novelty: Novelty | None = None) -> list[int]:
+    """Marginal bytes of each span; of an assignment, of its value."""
+    novelty, out = novelty or Novelty(), []
+    for s, k, e in spans:
+        if k < len(KINDS) and KINDS[k][2]:
+            s = KINDS[k][1].match(text, s).start(KINDS[k][2])
+        out.append(novelty.cost(text[s:e], text[max(0, s - novelty.around) : s] + text[e : e + novelty.around]))
+    return out
+
+
 def shown(spans: list[tuple[int, int, int]]) -> str:
     """kind:start:end, joined by commas."""
     return ",".join(f"{_NAMES[k]}:{s}:{e}" for s, k, e in spans)
@@ -176,20 +213,20 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str = "[secret]
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, findings, base): findings are (kind, start, end, value) structs of all spans; base is how they are shown without the novel ones."""
+    """(id, findings, base): findings are (kind, start, end, value, cost) structs of all spans, cost being the marginal bytes; base is how they are shown without the novel ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("cost", pa.int32())]))
         for part in tb.slices(batches, "text"):
             found, base = [], []
             for text in part["text"].to_pylist():
                 own, spans = scan(text or "")
                 base.append(shown(own))
-                found.append([{"kind": _NAMES[k], "start": s, "end": e, "value": text[s:e]} for s, k, e in spans])
+                found.append([{"kind": _NAMES[k], "start": s, "end": e, "value": text[s:e], "cost": c} for (s, k, e), c in zip(spans, costs(text, spans) if spans else ())])
             yield pa.RecordBatch.from_arrays([part["id"], pa.array(found, kind), pa.array(base, pa.string())], names=["id", "findings", "base"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, findings array<struct<kind:string,start:bigint,end:bigint,value:string>>, base string")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, findings array<struct<kind:string,start:bigint,end:bigint,value:string,cost:int>>, base string")
 
 
 def without_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
@@ -216,7 +253,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     of = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
     spans = F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
-    return got.select(F.col("id").alias("doc_id"), of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"))
+    return got.select(F.col("id").alias("doc_id"), of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"), F.sha2("base", 256).alias("base_sha256"), spans.alias("spans"), F.array_join(F.transform("findings", lambda f: f["cost"].cast("string")), ",").alias("marginal_bytes"))
 
 
 QUERIES = {"op2_secret_scan": op2_secret_scan}

@@ -177,7 +177,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     write_warc(pages, folder)
-    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(.*)>$', 1) AS bigint)")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    page = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(.*)>$', 1) AS {kind})")
     return read_warc(spark, folder).select(page("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), page("refers_to").alias("refers_to"))
 
 

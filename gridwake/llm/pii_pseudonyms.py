@@ -6,9 +6,9 @@ social security number by its ranges. Valid ones are replaced by a keyed permuta
 are valid again: their digits go through a Feistel network whose round function is SHA-256 over key, kind, length, round
 and half. Signs, spaces and lengths stay. Card numbers keep their first six digits and get a fitting Luhn digit;
 addresses are permuted over all 2^32 addresses, social security numbers over the 898 * 99 * 9999 valid ones, dates over
-the 400 years from 1800 on, whichever way they are written, so that one day has one pseudonym in all forms. E-mail names
-are replaced by a keyed digest of the same length, which is one way and not a permutation. Equal values get equal
-pseudonyms in every document under one key. The key is a literal of the plan: who may read plans or event logs can undo
+the 400 years from 1800 on, whichever way they are written, so that one day has one pseudonym in all forms. Letters and
+digits of e-mail names, small and capital letters being the same, are permuted among all of their number at their domain,
+which stays. Equal values get equal pseudonyms in every document under one key. The key is a literal of the plan: who may read plans or event logs can undo
 the permutations.
 
 Covered forms: dates as 1999-12-31, 1999/12/31, 1999.12.31, 31.12.1999, 12/31/1999 (month first), 31 December 1999,
@@ -78,21 +78,50 @@ def permuted_digits(digits: Column, key: str, kind: str, back: bool = False) ->
     return F.concat(F.lpad(left.cast("string"), h, "0"), F.lpad(right.cast("string"), n - h, "0"))
 
 
+#: Letters and digits of e-mail names.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def permuted_name(name: Column, key: str, tweak: Column, back: bool = False) -> Column:
+    """A permutation of the strings of ALPHABET of each length from 1 to 64: a Feistel network whose halves are shifted letter by letter, by two hex digits each of a hash of the other half."""
+    n = F.length(name)
+    steps = range(ROUNDS - 1, -1, -1) if back else range(ROUNDS)
+    sign = -1 if back else 1
+
+    def shifted(half: Column, h: Column) -> Column:
+        def letter(c: Column, i: Column) -> Column:
+            by = F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+            return F.substr(F.lit(ALPHABET), F.pmod(F.instr(F.lit(ALPHABET), c) - 1 + sign * by, F.lit(36)) + 1, F.lit(1))
+
+        return F.array_join(F.transform(F.filter(F.split(half, ""), lambda c: c != ""), letter), "")
+
+    def turn(s: Column, k: Column) -> Column:
+        even = k % 2 == 0
+        half = F.when(even, s["r"]).otherwise(s["l"])
+        h = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), tweak, n.cast("string"), k.cast("string"), half), 256)
+        return F.struct(F.when(even, shifted(s["l"], h)).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(shifted(s["r"], h)).alias("r"))
+
+    cut = F.floor(n / 2).cast("int")
+    start = F.struct(F.substr(name, F.lit(1), cut).alias("l"), F.substr(name, cut + 1, n - cut).alias("r"))
+    out = F.aggregate(F.array(*(F.lit(k) for k in steps)), start, turn)
+    return F.concat(out["l"], out["r"])
+
+
 def luhn_sum(digits: Column, doubled_from_right: int) -> Column:
     """Luhn sum; doubled_from_right is 1 if the last digit counts twice, else 0."""
     each = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.when(i % 2 == 1 - doubled_from_right, F.floor(d.cast("int") * 2 / 10).cast("int") + d.cast("int") * 2 % 10).otherwise(d.cast("int")))
     return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
 
-def _refilled(value: Column, digits: Column) -> Column:
-    """value with its digits replaced, in order, by digits."""
+def _refilled(value: Column, digits: Column, kept: str = "[^0-9]") -> Column:
+    """value with its digits replaced, in order, by digits; kept is the pattern of characters that stay instead."""
     chars = F.split(value, "")
-    place = lambda i: F.length(F.regexp_replace(F.substr(value, F.lit(1), i + 1), "[^0-9]", ""))
-    return F.array_join(F.transform(chars, lambda c, i: F.when(c.between("0", "9"), F.substr(digits, place(i), F.lit(1))).otherwise(c)), "")
+    place = lambda i: F.length(F.regexp_replace(F.substr(value, F.lit(1), i + 1), kept, ""))
+    return F.array_join(F.transform(chars, lambda c, i: F.when(~c.rlike(kept), F.substr(digits, place(i), F.lit(1))).otherwise(c)), "")
 
 
 def pseudonym(value: Column, key: str, back: bool = False) -> Column:
-    """The pseudonym of a candidate, or the candidate itself if it is not valid. back gives the original again (not for e-mail)."""
+    """The pseudonym of a candidate, or the candidate itself if it is not valid. back gives the original again (of an e-mail name in small letters)."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     n = F.length(digits)
     # Cards: the first six digits stay, the rest but the last is permuted, the last fits.
@@ -127,8 +156,9 @@ def pseudonym(value: Column, key: str, back: bool = False) -> Column:
     l, r = _network(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, "ssn", F.lit(9), back)
     parts = (l + F.when(l >= 665, 2).otherwise(1), F.floor(r / 9999) + 1, r % 9999 + 1)
     ssn = F.concat_ws("-", *(F.lpad(p.cast("long").cast("string"), w, "0") for p, w in zip(parts, (3, 2, 4))))
-    name = F.substring_index(value, "@", 1)
-    mail = F.concat(F.substr(F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(value)), 256), F.lit(1), F.length(name)), F.lit("@"), F.substring_index(value, "@", -1))
+    name, domain = F.lower(F.substring_index(value, "@", 1)), F.substring_index(value, "@", -1)
+    mixed = permuted_name(F.regexp_replace(name, "[^a-z0-9]", ""), key, F.lower(domain), back)
+    mail = F.concat(_refilled(name, mixed, "[^a-z0-9]"), F.lit("@"), domain)
     out = F.when(value.rlike(_BY_KIND["email"]), mail)
     for kind, ok, new in (("date", date_ok, date), ("ip", ip_ok, ip), ("ssn", ssn_ok, ssn), ("phone", phone_ok, phone), ("card", card_ok, card)):
         out = out.when(value.rlike(_BY_KIND[kind]), F.when(ok, new).otherwise(value))

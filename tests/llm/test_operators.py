@@ -199,6 +199,12 @@ def test_secrets_behind_names_and_short_ones():
         assert secret_scan.scan(f"é {head}{value}. ")[1] == [(2 + len(head), 3, 2 + len(head) + len(value))], head
     part = "key: " + "0f" * 16 + ".zQ8rT5wLm2"
     assert secret_scan.redacted(part, secret_scan.scan(part)[1]) == "key: [secret][secret]"
+    for text, value in (
+        ('db_password_for_the_production_environment_of_customer_seven = "Zx9Qw8Er7Ty6"', "Zx9Qw8Er7Ty6"), ("secret phrase for the administrators account is kX8vP2qL9d", "kX8vP2qL9d"), ("API token (prod): kX8vP2qL9d", "kX8vP2qL9d"),
+        ("The passphrase is Tr0ub4dor&3x", "Tr0ub4dor&3x"), ("password: Zx9#Qw8!Er7$Ty6", "Zx9#Qw8!Er7$Ty6"), ("the access key:\n  kX8vP2qL9d", "kX8vP2qL9d"), ("secret = 'a8(Kd)93{x}Lq'", "a8(Kd)93{x}Lq"),
+    ):
+        assert value not in secret_scan.redacted(text, secret_scan.scan(text)[1]) and not set(secret_scan.redacted(text, secret_scan.scan(text)[1])) & set("&$#!{}"), text
+    assert secret_scan.scan("key" * 200_000 + " = q9ZxT7LmPw3R")[1][0][1] == 3  # a name is looked at once
     for plain in ("the password is incorrect and the access control was enabled", "monkey bananas12", "session = configuration", "private information"):
         assert not secret_scan.scan(plain)[1], plain
 
@@ -301,6 +307,13 @@ def test_warc_round_trip(spark):
     assert all(r["digest"] == r["digest_said"] for r in records.collect())
 
 
+def test_warc_pages_with_other_ids(spark, tmp_path):
+    rows = [("b", "u", "same"), ("a", "u", "same"), ("c", "u", None)]
+    spark.createDataFrame(rows, "page_id string, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc_files.op4_warc(spark, f"file://{tmp_path}").collect()}
+    assert got == {"a": ("response", None), "b": ("revisit", "a"), "c": ("response", None)}
+
+
 def test_warc_long_urls_and_broken_chains(spark):
     rows = [(1, "data:" + "x" * 200_000, "a"), (2, "u", "b"), (3, " " * 70_000, None), (4, "u/WARC/1.1", "c\r\n\r\nWARC/1.1\r\n"), (5, "v", "d")]
     folder = new_path(spark, "warc")
@@ -368,6 +381,9 @@ def test_pseudonyms(spark, docs, none):
     out = pii_pseudonyms.pseudonymise(spark.createDataFrame([(1, "mail a.b@c.org, twice a.b@c.org; 10.0.0.1."), (2, None), (3, ""), (4, "no 1.2.3 data")], "doc_id long, text string"), "k", found="f").collect()
     assert "a.b@" not in out[0]["text"] and len({f["pseudonym"] for f in out[0]["f"]}) == 2
     assert out[1]["text"] is None and out[2]["text"] == "" and out[3]["text"] == "no 1.2.3 data"
+    # Names of one and of two letters and digits keep their number apart.
+    short = spark.createDataFrame([(f"{a}{b}@x.org",) for a in pii_pseudonyms.ALPHABET for b in ("", *pii_pseudonyms.ALPHABET)], "v string").withColumn("p", pii_pseudonyms.pseudonym(F.col("v"), "k")).withColumn("back", pii_pseudonyms.pseudonym(F.col("p"), "k", True)).collect()
+    assert len({r["p"] for r in short}) == len(short) == 36 * 37 and all(r["back"] == r["v"] for r in short)
     same = pii_pseudonyms.pseudonymise(docs, "k")
     assert same.columns == docs.columns and same.count() == docs.count() and pii_pseudonyms.pseudonymise(none, "k").count() == 0
 
@@ -378,5 +394,5 @@ def test_digit_permutation_is_one(spark):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(q.split("_")[0][2:]) for q in registry.queries()) == list(range(1, 11))
+    assert sorted(int(q.split("_")[0][2:]) for q in registry.queries()) == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(registry.queries())

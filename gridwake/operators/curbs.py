@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gridwake.operators import lines as L
 from gridwake.operators import transform as T
+from gridwake.plans.materialize import materialize
 
 
 def _joint(points: list[tuple[Column, Column]]) -> tuple[Column, Column]:
@@ -78,12 +79,13 @@ class ChosenLine:
     """The curb line of one side from frame to frame.
 
     A frame's clusters are lists of lines (ax, ay, bx, by, angle, range), the main line first. The first frame takes the
-    longest cluster. Later frames take, of the clusters in the order of their main line's start, the one whose main line
-    and the line before fit one line best: angles apart by less than 2 degrees, the joint line by less than 1, with a mean
-    distance below 1. Its ends are smoothed with those before by `share`. Without such a cluster the first one is taken as it is.
+    longest cluster. In later frames lines more than two ranges of direction away from the line before take no part. They
+    take, of the clusters in the order of their main line's start, the one whose main line and the line before fit one line
+    best: angles apart by less than 2 degrees, the joint line by less than 1, with a mean distance below 1; without such a
+    cluster the first one. Its ends are mixed with those before by `share`; at 1, as the sensors' own program has it, they stay.
     """
 
-    share: float = 0.3
+    share: float = 1.0
     last: tuple | None = None
 
     @staticmethod
@@ -104,6 +106,9 @@ class ChosenLine:
 
     def step(self, clusters: list[list[tuple]]) -> tuple | None:
         """The main line of this frame; None, and nothing changes, without clusters."""
+        if self.last is not None:
+            near = lambda line: abs(line[5] - self.last[5]) <= 2
+            clusters = [[line for line in c if near(line)] for c in clusters if near(c[0])]
         if not clusters:
             return None
         clusters = sorted(clusters, key=lambda c: (c[0][1], c[0][3], c[0][0]))
@@ -124,30 +129,32 @@ class ChosenLine:
         return self.last
 
 
-def choose_lines(lines: DataFrame, merged: DataFrame, share: float = 0.3, key: str = "line_id", keys: tuple[str, ...] = ("stream_id", "side")) -> DataFrame:
-    """(keys, frame_id, ax, ay, bx, by, angle, range) of each frame's main line along each side's frames.
+def choose_lines(lines: DataFrame, merged: DataFrame, share: float = 1.0, key: str = "line_id", keys: tuple[str, ...] = ("stream_id", "side"), at: str = "frame_id") -> DataFrame:
+    """(keys, at, ax, ay, bx, by, angle, range) of each frame's main line along each side's frames, which stand in the order of `at`; frames without a line have no row.
 
-    lines are L3's with keys, merged is L4's. A frame's lines travel as one row; keys are dealt to tasks and sorted there.
+    lines are L3's with keys and `at`, merged is L4's. A frame's lines travel as one row; keys are dealt to tasks and sorted there.
     """
     own = ["ax", "ay", "bx", "by", "angle", "range"]
-    rows = merged.join(lines.select(*keys, "frame_id", F.col(key).alias("line_id"), *own), ["frame_id", "line_id"])
+    rows = merged.join(lines.select(*dict.fromkeys([*keys, "frame_id", at]), F.col(key).alias("line_id"), *own), ["frame_id", "line_id"])
     line = F.struct((F.col("cluster_id") != F.col("line_id")).alias("rest"), "line_id", *own)
-    clusters = rows.groupBy(*keys, "frame_id", "cluster_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    frames = clusters.groupBy(*keys, "frame_id").agg(F.array_sort(F.collect_list(F.struct("cluster_id", "lines"))).alias("clusters"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.select(*keys, "frame_id").schema.fields)
-    names = [*keys, "frame_id", *own]
+    clusters = rows.groupBy(*keys, at, "cluster_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    frames = clusters.groupBy(*keys, at).agg(F.array_sort(F.collect_list(F.struct("cluster_id", "lines"))).alias("clusters"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.select(*keys, at).schema.fields)
+    names = [*keys, at, *own]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, chooser = object(), None
+        before, chooser = object(), None
         for batch in batches:
             out = []
             for *k, frame, found in batch.itertuples(index=False):
-                if k != at:
-                    at, chooser = k, ChosenLine(share)
-                out.append((*k, frame, *chooser.step([[tuple(x[c] for c in own) for x in c["lines"]] for c in found])))
+                k = [None if x != x else x for x in k]  # a null key is not a number
+                if k != before:
+                    before, chooser = k, ChosenLine(share)
+                if chosen := chooser.step([[tuple(x[c] for c in own) for x in c["lines"]] for c in found]):
+                    out.append((*k, frame, *chosen))
             yield pd.DataFrame(out, columns=names)
 
-    dealt = frames.select(*keys, "frame_id", "clusters").repartition(*keys).sortWithinPartitions(*keys, "frame_id")
+    dealt = frames.select(*keys, at, "clusters").repartition(*keys).sortWithinPartitions(*keys, at)
     return dealt.mapInPandas(run, f"{kinds}, ax double, ay double, bx double, by double, angle double, range int")
 
 
@@ -250,28 +257,59 @@ class EdgeConfig:
     most_gap: int = 15
     long: float = 63.0
     ahead: tuple[float, float] = (0.0, 30_000.0)
-    share: float = 0.3
+    share: float = 1.0
+    size: tuple[int, int] | None = None  # height and width of the image; pixels outside are left out
+
+
+def _image(stream: Column, frame: Column, side: Column) -> Column:
+    """The key of an image: a frame's side of a stream."""
+    return F.concat(frame.cast("string"), F.lit("/"), side, F.lit("/"), F.coalesce(F.concat(F.lit("="), stream.cast("string")), F.lit("")))
+
+
+def _sides(points: DataFrame, cfg: EdgeConfig) -> DataFrame:
+    """Points with the key of their image as frame_id."""
+    sided = T.sides(points, cfg.x_min, cfg.x_max, cfg.y_left, cfg.y_right)
+    return sided.select(_image(F.col("stream_id"), F.col("frame_id"), F.col("side")).alias("frame_id"), "x", "y")
 
 
 def edges(points: DataFrame, cfg: EdgeConfig = EdgeConfig()) -> DataFrame:
     """(stream_id, side, frame_id, k, b, x0, y0, x1, y1): the curb line of each side and frame of points (stream_id, frame_id, x, y), y ahead.
 
-    Sides (T7), raster (L1), segments (L2, L3), merging (L4), choice over time (L6), line (L12): the chosen pixels' line in
-    points' units as x = k y + b, with its ends at the two distances ahead. A side without a segment has no row in a frame.
+    Sides (T7), raster (L1), segments (L2, L3), merging (L4), choice over time (L6), line (L12): the chosen main line in
+    points' units as x = k y + b, with its ends at the two distances ahead. A side without a segment has no row in a frame. Every
+    stream's frames are images of their own; a null stream is one of them.
     """
-    sided = T.sides(points, cfg.x_min, cfg.x_max, cfg.y_left, cfg.y_right)
-    # A frame's side is one image; its key is made of both.
-    named = sided.select("stream_id", "side", F.col("frame_id").alias("frame"), (F.col("frame_id") * 2 + (F.col("side") == "left").cast("int")).alias("frame_id"), "x", "y")
-    images = named.select("frame_id", "stream_id", "side", "frame").distinct()
-    segments = L.describe(L.hough(L.raster(named, cfg.scale, cfg.off_x, cfg.off_y), cfg.votes, cfg.least_length, cfg.most_gap))
-    segments = segments.withColumn("line_id", F.xxhash64("frame_id", "ax", "ay", "bx", "by")).join(images, "frame_id")
-    merged = merge_lines(segments, least_length=cfg.long)
-    chosen = choose_lines(segments, merged, cfg.share)
+    kinds = {c: points.schema[c].dataType for c in ("stream_id", "frame_id")}
+    pixels = L.raster(_sides(points, cfg), cfg.scale, cfg.off_x, cfg.off_y)
+    if cfg.size:
+        pixels = pixels.where((F.col("v") >= 0) & (F.col("v") < cfg.size[0]) & (F.col("u") >= 0) & (F.col("u") < cfg.size[1]))
+    segments = L.describe(L.hough(pixels, cfg.votes, cfg.least_length, cfg.most_gap))
+    part = lambda k: F.split_part(F.col("frame_id"), F.lit("/"), F.lit(k))
+    stream = F.regexp_extract("frame_id", "(?s)^[^/]*/[^/]*/(?:=(.*))?$", 1)
+    named = F.regexp_like("frame_id", F.lit("^[^/]*/[^/]*/="))
+    segments = segments.select("*", F.xxhash64("frame_id", "ax", "ay", "bx", "by").alias("line_id"), F.when(named, stream).cast(kinds["stream_id"]).alias("stream_id"), part(2).alias("side"), part(1).cast(kinds["frame_id"]).alias("frame"))
+    segments = materialize(segments, "segments")
+    chosen = choose_lines(segments, merge_lines(segments, least_length=cfg.long), cfg.share, at="frame")
     # Pixels back to points: v = off_x - scale y, u = off_y + scale x, and segments are (u, v).
     place = lambda u, v: ((F.col(u) - cfg.off_y) / cfg.scale, (cfg.off_x - F.col(v)) / cfg.scale)
     (xa, ya), (xb, yb) = place("ax", "ay"), place("bx", "by")
-    k = F.try_divide(xb - xa, yb - ya)
     near, far = cfg.ahead
-    out = chosen.join(images.select("frame_id", "frame"), "frame_id").withColumn("k", k).withColumn("b", xa - F.col("k") * ya)
+    out = chosen.withColumn("k", F.try_divide(xb - xa, yb - ya)).withColumn("b", xa - F.col("k") * ya)
     at = lambda y: F.col("k") * y + F.col("b")
     return out.select("stream_id", "side", F.col("frame").alias("frame_id"), "k", "b", at(near).alias("x0"), F.lit(near).alias("y0"), at(far).alias("x1"), F.lit(far).alias("y1"))
+
+
+def edge_averages(points: DataFrame, every: int, cfg: EdgeConfig = EdgeConfig()) -> DataFrame:
+    """(stream_id, side, ts, x0, y0, x1, y1): the mean curb line of every `every` frames in which a side has points, at the last of them; a frame without a line counts as one that is not valid, a window without any gives zeros.
+
+    packets.curb_messages makes the messages of these rows, or of those of edges() with frame_id as ts.
+    """
+    kinds = {c: points.schema[c].dataType for c in ("stream_id", "frame_id")}
+    sided = T.sides(points, cfg.x_min, cfg.x_max, cfg.y_left, cfg.y_right)
+    frames = sided.select("stream_id", "side", "frame_id").distinct()
+    lines = edges(points, cfg).select(F.col("stream_id").alias("_s"), F.col("side").alias("_side"), F.col("frame_id").alias("_f"), "x0", "x1")
+    met = frames.join(lines, F.col("stream_id").eqNullSafe(F.col("_s")) & (F.col("side") == F.col("_side")) & (F.col("frame_id") == F.col("_f")), "left")
+    keyed = met.select(F.concat(F.col("side"), F.lit("/"), F.coalesce(F.concat(F.lit("="), F.col("stream_id").cast("string")), F.lit(""))).alias("key"), "frame_id", F.col("x0").isNotNull().alias("valid"), "x0", "x1")
+    out = L.sliding_average(keyed, every, "key")
+    stream = F.when(F.regexp_like("key", F.lit("^[^/]*/=")), F.regexp_extract("key", "(?s)^[^/]*/=(.*)$", 1)).cast(kinds["stream_id"])
+    return out.select(stream.alias("stream_id"), F.split_part("key", F.lit("/"), F.lit(1)).alias("side"), F.col("last_frame").alias("ts"), "x0", F.lit(cfg.ahead[0]).alias("y0"), "x1", F.lit(cfg.ahead[1]).alias("y1"))

@@ -56,7 +56,7 @@ def hough(pixels: DataFrame, votes: int = 50, least_length: int = 50, most_gap:
         rows.insert(0, "frame_id", frame["frame_id"].iloc[0])
         return rows
 
-    return pixels.groupBy("frame_id").applyInPandas(find, "frame_id bigint, x0 double, y0 double, x1 double, y1 double")
+    return pixels.groupBy("frame_id").applyInPandas(find, f"frame_id {pixels.schema['frame_id'].dataType.simpleString()}, x0 double, y0 double, x1 double, y1 double")
 
 
 def describe(segments: DataFrame, snap: float = 1e-3) -> DataFrame:
@@ -94,9 +94,12 @@ def closest_side(clusters: DataFrame, share: float = 0.25) -> DataFrame:
     return two.select("frame_id", F.when(F.col("n2").isNull() | (F.col("n") >= share * F.col("n2")), F.col("cluster_id")).otherwise(F.col("c2")).alias("cluster_id"))
 
 
-def orthogonal_fit(points: DataFrame, keys: list[str]) -> DataFrame:
-    """y = k x + b of least orthogonal distances for each group, from sums of whole coordinates; k is null for an upright line."""
-    x, y = F.col("x").cast("decimal(38,0)"), F.col("y").cast("decimal(38,0)")
+def orthogonal_fit(points: DataFrame, keys: list[str], unit: float = 1.0) -> DataFrame:
+    """y = k x + b of least orthogonal distances for each group, from exact sums of coordinates in whole units; k is null for an upright line.
+
+    Coordinates that are no multiples of the unit (0.001 for metres in millimetres) are rounded to it.
+    """
+    x, y = ((F.col(c) if unit == 1.0 else F.round(F.col(c) / unit)).cast("decimal(38,0)") for c in "xy")
     s = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
     d = lambda e: F.expr(e).cast("double")
     s = s.select(*keys, "n", "sx", "sy", d("n * sxx - sx * sx").alias("vx"), d("n * syy - sy * sy").alias("vy"), d("n * sxy - sx * sy").alias("vxy"))
@@ -104,6 +107,7 @@ def orthogonal_fit(points: DataFrame, keys: list[str]) -> DataFrame:
     upright = F.abs(F.cos("theta")) < 1e-12
     k = F.when(~upright, F.tan("theta"))
     mx, my = (F.col(c).cast("double") / F.col("n") for c in ("sx", "sy"))
+    mx, my = (mx, my) if unit == 1.0 else (mx * unit, my * unit)
     return s.withColumn("k", k).withColumn("b", my - F.col("k") * mx).select(*keys, "n", "theta", "k", "b", mx.alias("mean_x"))
 
 
@@ -120,15 +124,30 @@ def linear_fit(points: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def polynomial_fit(points: DataFrame, keys: list[str], order: int) -> DataFrame:
-    """Coefficients, lowest power first, from sums of powers; only the sums of a group meet."""
-    sums = [F.sum(F.pow(F.col("x").cast("double"), F.lit(k))).alias(f"p{k}") for k in range(2 * order + 1)] + [F.sum(F.pow(F.col("x").cast("double"), F.lit(k)) * F.col("y")).alias(f"q{k}") for k in range(order + 1)]
+    """Coefficients, lowest power first, of least squares.
+
+    x is moved to the group's mean and scaled by its spread, so that the powers' sums keep their digits; the coefficients are turned back to x itself. Only sums of a group meet.
+    """
+    own = points.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    middle = own.groupBy(*keys).agg(F.avg("x").alias("_m"), F.greatest(F.stddev_pop("x"), F.lit(1e-300)).alias("_s"))
+    own = own.join(middle, keys) if keys else own.withColumns({"_m": F.lit(0.0), "_s": F.lit(1.0)})
+    t = (F.col("x") - F.col("_m")) / F.col("_s")
+    sums = [F.sum(F.pow(t, F.lit(k))).alias(f"p{k}") for k in range(2 * order + 1)] + [F.sum(F.pow(t, F.lit(k)) * F.col("y")).alias(f"q{k}") for k in range(order + 1)]
 
     @F.pandas_udf("array<double>")
-    def solve(p: pd.Series, q: pd.Series) -> pd.Series:
-        return pd.Series([np.linalg.lstsq(np.array([[a[i + j] for j in range(order + 1)] for i in range(order + 1)]), np.array(b), rcond=None)[0].tolist() for a, b in zip(p, q)])
+    def solve(p: pd.Series, q: pd.Series, m: pd.Series, s: pd.Series) -> pd.Series:
+        out = []
+        for a, b, mean, spread in zip(p, q, m, s):
+            own = np.linalg.lstsq(np.array([[a[i + j] for j in range(order + 1)] for i in range(order + 1)]), np.array(b), rcond=None)[0]
+            back, power = np.zeros(order + 1), np.array([1.0])
+            for c in own:
+                back[: len(power)] += c * power
+                power = np.convolve(power, [-mean / spread, 1 / spread])
+            out.append(back.tolist())
+        return pd.Series(out)
 
-    s = points.groupBy(*keys).agg(*sums)
-    return s.select(*keys, solve(F.array(*(f"p{k}" for k in range(2 * order + 1))), F.array(*(f"q{k}" for k in range(order + 1)))).alias("coefficients"))
+    s = own.groupBy(*keys).agg(F.max("_m").alias("_m"), F.max("_s").alias("_s"), *sums)
+    return s.select(*keys, solve(F.array(*(f"p{k}" for k in range(2 * order + 1))), F.array(*(f"q{k}" for k in range(order + 1))), F.col("_m"), F.col("_s")).alias("coefficients"))
 
 
 def sample_curve(fits: DataFrame, start: float, stop: float, step: float) -> DataFrame:
@@ -141,11 +160,12 @@ def sample_curve(fits: DataFrame, start: float, stop: float, step: float) -> Dat
     return fits.select("*", xs).withColumn("y", y)
 
 
-def sliding_average(lines: DataFrame, every: int) -> DataFrame:
-    """For each full window of `every` frames the means of the first and last x of its valid lines, zeros without any."""
-    placed = ranges.numbered(lines.select("side", "frame_id", "valid", "x0", "x1"), "side", "frame_id", "place")
-    out = placed.withColumn("run", F.floor(F.col("place") / every)).groupBy("side", "run").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("valid"), F.col("x0"))).alias("x0"), F.avg(F.when(F.col("valid"), F.col("x1"))).alias("x1")).where(F.col("n") == every)
-    return out.select("side", "run", F.coalesce("x0", F.lit(0.0)).alias("x0"), F.coalesce("x1", F.lit(0.0)).alias("x1"))
+def sliding_average(lines: DataFrame, every: int, key: str = "side") -> DataFrame:
+    """For each full window of `every` frames of a key the means of the first and last x of its valid lines, zeros without any, and the window's last frame."""
+    placed = ranges.numbered(lines.select(key, "frame_id", "valid", "x0", "x1"), key, "frame_id", "place")
+    mean = lambda c: F.avg(F.when(F.col("valid"), F.col(c))).alias(c)
+    out = placed.withColumn("run", F.floor(F.col("place") / every)).groupBy(key, "run").agg(F.count(F.lit(1)).alias("n"), F.max("frame_id").alias("last_frame"), mean("x0"), mean("x1")).where(F.col("n") == every)
+    return out.select(key, "run", "last_frame", F.coalesce("x0", F.lit(0.0)).alias("x0"), F.coalesce("x1", F.lit(0.0)).alias("x1"))
 
 
 _BLOCK = 20_000

@@ -366,7 +366,7 @@ def l12(spark, sf):
     return fit.select("frame_id", "ring", (F.round(F.col("b") / 100, 3) + 0.0).alias("b"), *((F.round(F.col(c) / 1000, 3) + 0.0).alias(c) for c in ("x0", "x1")))
 
 
-@query("l14_polar_lines", f"WITH {DESC}, k AS (SELECT line_id, (by_ - ay) / (bx - ax) AS k, ay - (by_ - ay) / (bx - ax) * ax AS b FROM an WHERE bx <> ax), p AS (SELECT *, atan(k) + pi() / 2 AS theta, abs(b) / sqrt(k * k + 1) AS d FROM k) SELECT line_id, round(theta, 6) AS theta, round(d, 4) AS d, round(CASE WHEN abs(cos(theta)) < 1e-10 THEN 10000 ELSE -cos(theta) / sin(theta) END, 3) + 0.0 AS k FROM p")
+@query("l14_polar_lines", f"WITH {DESC}, k AS (SELECT line_id, (by_ - ay) / (bx - ax) AS k, ay - (by_ - ay) / (bx - ax) * ax AS b FROM an WHERE bx <> ax), p AS (SELECT *, atan(k) + pi() / 2 AS theta, abs(b) / sqrt(k * k + 1) AS d FROM k) SELECT line_id, round(theta, 6) AS theta, round(d, 4) AS d, round(CASE WHEN abs(cos(theta)) < 1e-10 THEN 10000 ELSE -cos(theta) / sin(theta) END, 9) + 0.0 AS k FROM p")
 def l14(spark, sf):
     from gridwake.functions import geometry as geo
 
@@ -374,7 +374,7 @@ def l14(spark, sf):
     k, b = geo.slope_intercept(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     theta, d = geo.polar_line(k, b)
     back, _ = geo.polar_to_slope(F.col("theta"), F.col("d"))
-    return s.select("line_id", theta.alias("theta"), d.alias("d")).select("line_id", F.round("theta", 6).alias("theta"), F.round("d", 4).alias("d"), (F.round(back, 3) + 0.0).alias("k"))
+    return s.select("line_id", theta.alias("theta"), d.alias("d")).select("line_id", F.round("theta", 6).alias("theta"), F.round("d", 4).alias("d"), (F.round(back, 9) + 0.0).alias("k"))
 
 
 def _orders(spark: SparkSession, sf: str, *more: str) -> DataFrame:
@@ -395,17 +395,37 @@ def l15(spark, sf):
     return got.select("stream_id", F.expr("ts_ms div 100").alias("step"), (F.round("fk", 4) + 0.0).alias("fk"), (F.round("fb", 3) + 0.0).alias("fb"))
 
 
+_EDGES = curbs.EdgeConfig(-4000, 4000, 7000, 7000, 0.02, 200, 100, 12, 20, 12, 20.0, (0.0, 6000.0))
+
+
+def _edge_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Three streams of frames whose x lies around 0, y ahead."""
+    return fixtures.points(spark, sf).select((F.col("ring") % 3).alias("stream_id"), "frame_id", (F.col("x") - 4500).alias("x"), (F.col("y") + 3000).alias("y"))
+
+
 @query("l17_edges")
 def l17(spark, sf):
-    """Both sides of frames whose x lies around 0, y ahead."""
-    p = fixtures.points(spark, sf).select(F.lit(1).alias("stream_id"), "frame_id", (F.col("x") - 4500).alias("x"), (F.col("y") + 3000).alias("y"))
-    return curbs.edges(p, curbs.EdgeConfig(-4000, 4000, 7000, 7000, 0.02, 200, 100, 12, 20, 12, 20.0, (0.0, 6000.0)))
+    """Both sides of each stream's frames."""
+    return curbs.edges(_edge_points(spark, sf), _EDGES)
+
+
+@query("l17_edge_messages")
+def l17_messages(spark, sf):
+    """Messages of the mean lines of every second frame."""
+    return packets.curb_messages(curbs.edge_averages(_edge_points(spark, sf), 2, _EDGES))
 
 
-@query("l18_polynomials", f"WITH {FIT}, x AS (SELECT unnest(range(0, 11)) * 0.5::DOUBLE AS x) SELECT DISTINCT frame_id, x, round(1 + 2 * x - 0.5 * x * x + frame_id * x * x * x, 6) + 0.0 AS y FROM v, x")
+@query("l18_polynomials", f"""WITH {P}, s AS (SELECT frame_id, ring, (x - 4500) / 1000.0::DOUBLE AS t, y / 1000.0::DOUBLE AS y FROM pts),
+m AS (SELECT frame_id, ring, sum(1.0::DOUBLE) AS p0, sum(t) AS p1, sum(t * t) AS p2, sum(t * t * t) AS p3, sum(t * t * t * t) AS p4, sum(y) AS q0, sum(y * t) AS q1, sum(y * t * t) AS q2 FROM s GROUP BY 1, 2 HAVING count(DISTINCT t) > 2),
+d AS (SELECT *, p0 * (p2 * p4 - p3 * p3) - p1 * (p1 * p4 - p3 * p2) + p2 * (p1 * p3 - p2 * p2) AS det FROM m),
+c AS (SELECT frame_id, ring, (q0 * (p2 * p4 - p3 * p3) - p1 * (q1 * p4 - p3 * q2) + p2 * (q1 * p3 - p2 * q2)) / det AS c0, (p0 * (q1 * p4 - q2 * p3) - q0 * (p1 * p4 - p3 * p2) + p2 * (p1 * q2 - q1 * p2)) / det AS c1, (p0 * (p2 * q2 - p3 * q1) - p1 * (p1 * q2 - q1 * p2) + q0 * (p1 * p3 - p2 * p2)) / det AS c2 FROM d)
+SELECT frame_id, ring, x, round(c0 + c1 * (x - 4500) / 1000 + c2 * (x - 4500) / 1000 * (x - 4500) / 1000, 5) + 0.0 AS y FROM c, (SELECT unnest(range(0, 8)) * 1000.0::DOUBLE + 1000 AS x)""")
 def l18(spark, sf):
-    fit = fixtures.points(spark, sf).select("frame_id").distinct().select("frame_id", F.array(F.lit(1.0), F.lit(2.0), F.lit(-0.5), F.col("frame_id").cast("double")).alias("coefficients"), F.lit(0.0).alias("k"), F.lit(0.0).alias("b"))
-    return lines.sample_curve(fit, 0.0, 5.0, 0.5).select("frame_id", "x", (F.round("y", 6) + 0.0).alias("y"))
+    """Parabolas fitted to each ring's points, whose x lies far from 0, and sampled along it."""
+    pts = fixtures.points(spark, sf).select("frame_id", "ring", "x", (F.col("y") / 1000.0).alias("y"))
+    enough = pts.groupBy("frame_id", "ring").agg(F.count_distinct("x").alias("n")).where("n > 2").select("frame_id", "ring")
+    fit = lines.polynomial_fit(pts.join(enough, ["frame_id", "ring"], "left_semi"), ["frame_id", "ring"], 2).withColumns({"k": F.lit(0.0), "b": F.lit(0.0)})
+    return lines.sample_curve(fit, 1000.0, 8000.0, 1000.0).select("frame_id", "ring", "x", (F.round("y", 5) + 0.0).alias("y"))
 
 
 @query("k05_curb_messages", "WITH m AS (SELECT DISTINCT o_custkey AS stream_id, o_orderkey // 8 AS ts FROM orders), n AS (SELECT o_custkey AS stream_id, o_orderkey // 8 AS ts, count(*) AS lanes FROM orders GROUP BY 1, 2) SELECT stream_id, ts, row_number() OVER (PARTITION BY stream_id ORDER BY ts) - 1 AS counter, lanes::INT AS lanes FROM m JOIN n USING (stream_id, ts)")

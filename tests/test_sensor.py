@@ -665,9 +665,10 @@ def test_lines_are_chosen_along_time(spark):
     merged = curbs.merge_lines(d)
     pairs = {(r.cluster_id, r.line_id) for r in merged.where("cluster_id <> line_id").collect()}
     assert pairs == {(1, 2), (2, 1)}
-    got = curbs.choose_lines(d, merged).orderBy("frame_id").collect()
-    # The longest cluster first; then its continuation, smoothed; then, as none goes on, the one that starts lowest.
-    assert [(r.frame_id, round(r.ax, 6), round(r.bx, 6)) for r in got] == [(1, 10.0, 10.0), (2, 10.3, 10.3), (3, 150.0, 240.0)]
+    # The longest cluster first; then its continuation, smoothed if asked for; the third frame has only lines of quite another direction.
+    for share, x in ((1.0, 11.0), (0.3, 10.3)):
+        got = curbs.choose_lines(d, merged, share).orderBy("frame_id").collect()
+        assert [(r.frame_id, round(r.ax, 6), round(r.bx, 6)) for r in got] == [(1, 10.0, 10.0), (2, x, x)]
     ranges = spark.createDataFrame([(1, 4)], "frame_id long, last_range int")
     assert curbs.merge_lines(d, last_range=ranges).where("frame_id = 1").count() == 0
 
@@ -701,6 +702,60 @@ def test_edges_find_planted_curbs(spark):
         assert abs(r.x0 - x0) < 60 and abs(r.x1 - x1) < 60
 
 
+def test_edges_of_two_streams_stay_apart(spark):
+    """Curbs at other places in frames of one number, and a null stream; alone and together each stream has its own."""
+    from gridwake.operators import curbs
+
+    rng = np.random.default_rng(9)
+    cfg = curbs.EdgeConfig(-10_000, 10_000, 7000, 7000, 0.05, 350, 550, 40, 40, 15, 40.0, (0.0, 6000.0))
+    schema = "stream_id long, frame_id long, x double, y double"
+    place = {1: (3000.0, -2000.0), 2: (9000.0, -6000.0), None: (5000.0, -8000.0)}
+    rows = [(s, f, x0, float(v)) for s, (right, left) in place.items() for f in (9, 10, 100) for x0 in (right, left) for v in rng.uniform(0, 6000, 1500)]
+    df = spark.createDataFrame(rows, schema)
+    got = curbs.edges(df, cfg).collect()
+    assert sorted((r.stream_id or 0, r.frame_id, r.side) for r in got) == sorted((s or 0, f, side) for s in place for f in (9, 10, 100) for side in ("left", "right"))
+    for r in got:
+        assert abs(r.x0 - place[r.stream_id][r.side == "left"]) < 30 and abs(r.x1 - place[r.stream_id][r.side == "left"]) < 30
+    alone = [tuple(r) for s in (1, 2) for r in curbs.edges(df.where(f"stream_id = {s}"), cfg).collect()]
+    assert sorted(alone) == sorted(tuple(r) for r in got if r.stream_id is not None)
+    averages = {(r.stream_id, r.side): r for r in curbs.edge_averages(df, 3, cfg).collect()}
+    assert len(averages) == 6 and all(r.ts == 100 for r in averages.values())
+    for (s, side), r in averages.items():
+        own = [g.x0 for g in got if (g.stream_id, g.side) == (s, side)]
+        assert r.x0 == pytest.approx(np.mean(own)) and (r.y0, r.y1) == (0.0, 6000.0)
+    messages = packets.curb_messages(curbs.edge_averages(df, 1, cfg)).collect()
+    assert len(messages) == 9 and all(len(m.lanes) == 2 and m.lanes[0].points[1].y == 6000.0 for m in messages)
+
+
+def test_a_line_follows_the_one_before():
+    """Lines more than two ranges away take no part, a frame without others changes nothing, and ends are not smoothed unless asked for."""
+    from gridwake.operators.curbs import ChosenLine
+
+    line = lambda x, angle: (x, 0.0, x, 100.0, angle, int(angle / 10))
+    chooser = ChosenLine()
+    assert chooser.step([[line(5.0, 90.0)], [(9.0, 0.0, 9.0, 300.0, 90.0, 9)]])[0] == 9.0  # the longest
+    assert chooser.step([[line(9.5, 90.5)], [line(1.0, 90.0)]])[0] == 9.5  # the nearest, as it is
+    assert chooser.step([[line(9.5, 40.0)]]) is None and chooser.last[0] == 9.5
+    assert chooser.step([]) is None
+    assert chooser.step([[line(60.0, 75.0), line(9.5, 40.0)]])[0] == 60.0  # none fits, so the first one
+    smooth = ChosenLine(0.3)
+    smooth.step([[line(10.0, 90.0)]])
+    assert smooth.step([[line(11.0, 90.0)]])[0] == pytest.approx(10.3)
+
+
+def test_fits_far_from_zero(spark):
+    """A polynomial of order 5 at x of some thousands, and a line of metres by millimetres."""
+    x = np.linspace(5000, 5100, 400)
+    t = (x - 5050) / 50
+    y = 3 - t + 2 * t**2 + 0.5 * t**3 - t**4 + 0.25 * t**5
+    c = lines.polynomial_fit(spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(x, y)], "g long, x double, y double"), ["g"], 5)
+    got = lines.sample_curve(c.withColumns({"k": F.lit(0.0), "b": F.lit(0.0)}), 5000.0, 5100.0, 25.0).collect()
+    assert all(abs(r.y - np.interp(r.x, x, y)) < 0.05 for r in got)
+    metres = spark.createDataFrame([(1, 2.0 + 0.001 * k, 0.5 + 0.002 * k) for k in range(100)], "g long, x double, y double")
+    fit = lines.orthogonal_fit(metres, ["g"], 0.001).first()
+    assert fit.k == pytest.approx(2.0) and fit.b == pytest.approx(-3.5) and fit.mean_x == pytest.approx(2.0495)
+
+
 def test_clusters_of_touching_points(spark):
     rows = [(1, k, 3.0 * k, 0.0, 0.0) for k in range(40)] + [(1, 100 + k, 0.0, 50.0 + 10 * k, 0.0) for k in range(5)] + [(2, 1, 0.0, 0.0, 0.0)]
     df = spark.createDataFrame(rows, "frame_id long, point_id long, x double, y double, z double")

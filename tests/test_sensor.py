@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -960,3 +961,123 @@ def test_steps_inside_a_packet_are_those_of_blocks(spark):
         plan = packets.select("seq", F.posexplode(decode.block_plan(F.col("az"), n, mode, F.lit(20), 55.5, F.lit(7.5))).alias("blk", "p")).select("seq", "blk", "p.*").collect()
         for r in plan:
             assert (r.az_step, pytest.approx(r.offset)) == want[r.seq, r.blk], (mode, r)
+
+
+# --- captures in byte ranges, binary files --------------------------------------------------------------------------
+
+
+def _write_capture(path, frames, order="<", nano=False, tail=b"", first=1_600_000_000):
+    magic = {("<", False): b"\xd4\xc3\xb2\xa1", (">", False): b"\xa1\xb2\xc3\xd4", ("<", True): b"\x4d\x3c\xb2\xa1", (">", True): b"\xa1\xb2\x3c\x4d"}[order, nano]
+    body = [struct.pack(order + "IIII", first + k // 100, (k % 100) * (10_000_000 if nano else 10_000), len(f), len(f)) + f for k, f in enumerate(frames)]
+    path.write_bytes(magic + struct.pack(order + "HHIIII", 2, 4, 0, 0, 65535, 1) + b"".join(body) + tail)
+    return body
+
+
+@pytest.mark.parametrize("order,nano", [("<", False), (">", True)])
+def test_captures_in_ranges_equal_the_whole(spark, tmp_path, order, nano):
+    """Ranges shorter than some records, payloads that hold captures and records of their own, and a record cut off at the end."""
+    from gridwake.sources import captures
+
+    captures.register(spark)
+    rng = np.random.default_rng(3)
+    fake = lambda n: struct.pack(order + "IIII", 1_600_000_005, 5, n, n) + bytes(rng.integers(0, 256, n, np.uint8))
+    frames = []
+    for k in range(3000):
+        kind = k % 10
+        payload = b"\x55\xaa" + bytes(rng.integers(0, 256, int(rng.integers(0, 900)), np.uint8))
+        if kind == 3:
+            payload = b"".join(fake(int(rng.integers(0, 60))) for _ in range(8))  # ends with the frame, at the next record
+        if kind == 5:
+            payload = b"\0" * 700
+        frames.append(_frame(6699 if kind < 6 else 7788, payload, vlan=k % 4 == 0) if kind < 9 else bytes(rng.integers(0, 256, 40, np.uint8)))
+    _write_capture(tmp_path / "a.pcap", frames, order, nano, tail=b"\1" * 9)
+    _write_capture(tmp_path / "b.pcap", frames[:40], order, nano)
+    (tmp_path / "c.pcap").write_bytes(b"")
+    (tmp_path / "_d.pcap").write_bytes(b"no")
+    want = sorted((r.file.split("/")[-1], r.ts_us, bytes(r.frame)) for r in packets.read_pcap(spark, str(tmp_path / "[ab].pcap")).collect())
+    ports = sorted((r.file.split("/")[-1], r.ts_us, r.port) for r in packets.udp(packets.read_pcap(spark, str(tmp_path / "[ab].pcap"))).collect())
+    for size in (1_000, 20_000, 1 << 26):
+        df = spark.read.format("capture").option("range", size).option("longest", 2000).load(str(tmp_path))
+        got = df.collect()
+        assert sorted((r.file.split("/")[-1], r.ts_us, bytes(r.frame)) for r in got) == want
+        assert sorted((r.file.split("/")[-1], r.ts_us, r.port) for r in got if r.port is not None) == ports
+        assert len({(r.file, r.offset) for r in got}) == len(want) and (size > 1 << 20 or df.rdd.getNumPartitions() > 30)
+    some = spark.read.format("capture").option("range", 20_000).option("longest", 2000).load(str(tmp_path)).where("port IN (7788) AND ts_us < 1600000009000000 AND length(frame) > 100")
+    assert sorted((r.ts_us, r.port) for r in some.collect()) == sorted((t, p) for (f, t, p), (_, _, frame) in zip(ports, [w for w in want if (w[0], w[1]) in {x[:2] for x in ports}]) if p == 7788 and t < 1600000009000000 and len(frame) > 100)
+    assert "7788" not in some._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0]  # the source has taken the port over
+
+
+def test_a_capture_whose_chains_break_is_an_error(spark, tmp_path):
+    from gridwake.sources import captures
+
+    captures.register(spark)
+    body = _write_capture(tmp_path / "a.pcap", [_frame(1, bytes([k % 251]) * 300) for k in range(500)])
+    data = bytearray((tmp_path / "a.pcap").read_bytes())
+    at = 24 + sum(map(len, body[:200])) + 8
+    struct.pack_into("<I", data, at, 999)  # a wrong length leads into the middle of a later record
+    (tmp_path / "a.pcap").write_bytes(data)
+    with pytest.raises(Exception, match="lead to byte|longer than"):
+        spark.read.format("capture").option("range", 10_000).option("longest", 2000).load(str(tmp_path / "a.pcap")).count()
+
+
+def test_a_replay_goes_on_where_it_stopped(spark, tmp_path):
+    """Two passes over two files in batches of a second of record time; stopped twice, no record is lost or comes again."""
+    from gridwake.sources import captures
+
+    captures.register(spark)
+    (tmp_path / "in").mkdir()
+    frames = [_frame(6699, struct.pack(">I", k)) for k in range(450)]
+    _write_capture(tmp_path / "in" / "a.pcap", frames[:250])
+    _write_capture(tmp_path / "in" / "b.pcap", frames[250:], first=1_600_000_100)
+    options = {"passes": 2, "seconds": 1, "longest": 2000}
+    seen = []
+    for stop in (2, 3, None):
+        q = spark.readStream.format("capture").options(**options).load(str(tmp_path / "in")).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).option("path", str(tmp_path / "out"))
+        q = q.trigger(processingTime="0 seconds").start()
+        if stop is None:
+            q.processAllAvailable()
+        until = time.time() + 60
+        while stop and len(q.recentProgress) < stop and time.time() < until:
+            time.sleep(0.1)
+        seen += [p["numInputRows"] for p in q.recentProgress]
+        q.stop()
+    got = [(r["pass"], r["file"].split("/")[-1], r["offset"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(got) == len(set(got)) == 900
+    assert max(seen) <= 100
+
+
+def test_packed_records_and_clouds_are_read_back(spark, tmp_path):
+    from gridwake.sources import binary_sinks
+
+    binary_sinks.register(spark)
+    corner = lambda x: [(x + 0.25 * k, -x - 0.5 * k) for k in range(4)]
+    rows = [(f, 1000 * f, k, 0.5 + k, 1.5, None if k == 3 else 2.25, 10.0 * k, -k * 1.0, 0.125, corner(float(k))) for f in range(6) for k in range(f * 5)]
+    boxes = spark.createDataFrame(rows, "frame_id long, ts_ms long, id int, depth double, width double, height double, x double, y double, z double, corners array<struct<x:double,y:double>>")
+    frames = spark.range(7).selectExpr("id AS frame_id", "id * 1000 AS ts_ms")
+    records = binary_sinks.obstacle_records(boxes, frames)
+    folder = str(tmp_path / "records")
+    records.orderBy("frame_id").coalesce(3).write.format("binary").mode("append").save(folder)
+    written = b"".join(f.read_bytes() for f in sorted((tmp_path / "records").iterdir()))
+    assert len(written) == 7 * 1216 and all(len(r.record) == 1216 for r in records.collect())
+    # By the wire's own layout, byte by byte.
+    by_ts = {struct.unpack_from("<Q", written, k)[0]: written[k : k + 1216] for k in range(0, len(written), 1216)}
+    for f in range(7):
+        own = [r for r in rows if r[0] == f][:20]
+        want = struct.pack("<Qii", 1000 * f, bool(own), len(own)) + b"".join(struct.pack("<i6f8f", r[2], *(v or 0.0 for v in r[3:9]), *(x for p in r[9] for x in p)) for r in own)
+        assert by_ts[1000 * f] == want.ljust(1216, b"\0")
+    back = {r.ts_ms: r for r in binary_sinks.unpacked_obstacles(packets.fixed_records(spark, folder, 1216)).collect()}
+    assert back[5000].obs_num == 20 == len(back[5000].obstacles) and back[2000].obstacles[3].corners[1].y == -3.5 and back[6000].return_val == 0
+    # Clouds.
+    points = spark.createDataFrame([(k % 3, k, k * 0.5, -k * 0.25, 1.0, float(k % 7)) for k in range(300)], "frame_id long, n long, x double, y double, z double, intensity double")
+    out = str(tmp_path / "clouds")
+    binary_sinks.cloud_files(points, "n").write.format("binary").option("each", "file").option("suffix", ".pcd").mode("append").save(out)
+    assert sorted(f.name for f in (tmp_path / "clouds").iterdir()) == ["frame-0.pcd", "frame-1.pcd", "frame-2.pcd"]
+    got = packets.read_pcd(spark, out).collect()
+    assert sorted((r.x, r.y, r.z, r.intensity) for r in got) == sorted((r.x, r.y, r.z, r.intensity) for r in points.collect())
+    # Overwriting replaces, and a job that fails leaves what was there and nothing else.
+    binary_sinks.cloud_files(points.where("frame_id = 1")).write.format("binary").option("each", "file").option("suffix", ".pcd").mode("overwrite").save(out)
+    assert [f.name for f in (tmp_path / "clouds").iterdir()] == ["frame-1.pcd"]
+    bad = spark.range(0, 100, 1, 4).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.when(F.col("id") == 99, F.raise_error(F.lit("stop"))).otherwise(F.lit("x")).cast("binary").alias("record"))
+    with pytest.raises(Exception, match="stop"):
+        bad.write.format("binary").option("each", "file").mode("append").save(out)
+    assert [f.name for f in (tmp_path / "clouds").iterdir()] == ["frame-1.pcd"]

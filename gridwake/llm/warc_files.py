@@ -39,9 +39,8 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 FILE_BYTES = 8 << 20
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1 of a binary column: 8 groups of 5 hex digits make 4 letters each."""
-    digest = F.sha1(payload)
+def base32(digest: Column) -> Column:
+    """Upper-case base32 of the hex digits of a SHA-1: 8 groups of 5 make 4 letters each."""
 
     def letters(k: Column) -> Column:
         bits = F.conv(F.substr(digest, 5 * k + 1, F.lit(5)), 16, 10).cast("int")
@@ -54,7 +53,8 @@ def base32_sha1(payload: Column) -> Column:
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> DataFrame:
     """(id, record): the text of each page's record, without the empty line behind it. Payloads under least_bytes are never revisits."""
     base = pages.select(F.col(id_col).cast("string").alias("id"), F.col(id_col).alias("order"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    own = base.select("*", base32_sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").cast("long").alias("size"))
+    # The digest has a step of its own: its letters are cut out of it one by one.
+    own = base.select("*", F.sha1(F.col("html").cast("binary")).alias("hex"), F.octet_length("html").cast("long").alias("size")).withColumn("digest", base32(F.col("hex"))).drop("hex")
     # Payloads that stand more than once; partial aggregation meets hot payloads before the shuffle.
     again = own.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.min("order").alias("response"), F.count(F.lit(1)).alias("n")).where("n > 1 AND response IS NOT NULL").select("digest", "response")
     # As a rule few payloads repeat, and then no page has to travel.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridwake.functions import geometry as geo
+from gridwake.functions import projection
 from gridwake.operators import calibration, curbs, lines, mapjoin, sweeps, tracking
 from gridwake.operators import clusters as C
 from gridwake.operators import decode as D
@@ -368,8 +370,6 @@ def l12(spark, sf):
 
 @query("l14_polar_lines", f"WITH {DESC}, k AS (SELECT line_id, (by_ - ay) / (bx - ax) AS k, ay - (by_ - ay) / (bx - ax) * ax AS b FROM an WHERE bx <> ax), p AS (SELECT *, atan(k) + pi() / 2 AS theta, abs(b) / sqrt(k * k + 1) AS d FROM k) SELECT line_id, round(theta, 6) AS theta, round(d, 4) AS d, round(CASE WHEN abs(cos(theta)) < 1e-10 THEN 10000 ELSE -cos(theta) / sin(theta) END, 9) + 0.0 AS k FROM p")
 def l14(spark, sf):
-    from gridwake.functions import geometry as geo
-
     s = lines.describe(_seg(spark, sf)).where("bx <> ax")
     k, b = geo.slope_intercept(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     theta, d = geo.polar_line(k, b)
@@ -455,6 +455,63 @@ def m10(spark, sf):
     return mapjoin.road_junctions(roads, junctions)
 
 
+# --- geodesy ------------------------------------------------------------------------------------------------------
+
+#: Places within three degrees of 13.5 E, 47.25 N, one for each event.
+_PLACES_SQL = "pl AS (SELECT event_id, 13.5 + (event_id * 37 % 6001 - 3000) / 1000.0::DOUBLE AS lon, 47.25 + (event_id * 53 % 6001 - 3000) / 1000.0::DOUBLE AS lat FROM events)"
+
+
+def _places(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/events.parquet").selectExpr("event_id", "13.5D + (event_id * 37 % 6001 - 3000) / 1000D AS lon", "47.25D + (event_id * 53 % 6001 - 3000) / 1000D AS lat")
+
+
+@query("m06_heading_offset", f"WITH {POSES_SQL} SELECT event_id, round(cos(radians(heading_deg + 93.5::DOUBLE)) * -1.5::DOUBLE + sin(radians(heading_deg + 93.5::DOUBLE)) * 4 + x, 6) + 0.0 AS mx, round(cos(radians(heading_deg + 93.5::DOUBLE)) * 4 - sin(radians(heading_deg + 93.5::DOUBLE)) * -1.5::DOUBLE + y, 6) + 0.0 AS my FROM poses")
+def m06(spark, sf):
+    """Vehicle to map with the offset between the sensor's heading and the pose's."""
+    mx, my = geo.vehicle_to_map(F.lit(4.0), F.lit(1.5), F.col("x"), F.col("y"), F.col("heading_deg"), 93.5)
+    return fixtures.poses(spark, sf).select("event_id", (F.round(mx, 6) + 0.0).alias("mx"), (F.round(my, 6) + 0.0).alias("my"))
+
+
+@query("m07_east_north", f"""WITH {_PLACES_SQL}, r AS (SELECT *, radians(lon) AS l, radians(lat) AS p, radians(13.5::DOUBLE) AS l0, radians(47.25::DOUBLE) AS p0, {geo.E2}::DOUBLE AS e2, {geo.A}::DOUBLE AS a FROM pl), n AS (SELECT *, a / sqrt(1 - e2 * sin(p) * sin(p)) AS nn, a / sqrt(1 - e2 * sin(p0) * sin(p0)) AS n0 FROM r),
+d AS (SELECT *, nn * cos(p) * cos(l) - n0 * cos(p0) * cos(l0) AS dx, nn * cos(p) * sin(l) - n0 * cos(p0) * sin(l0) AS dy, (1 - e2) * (nn * sin(p) - n0 * sin(p0)) AS dz FROM n)
+SELECT event_id, round(cos(l0) * dy - sin(l0) * dx, 3) + 0.0 AS east, round(cos(p0) * dz - sin(p0) * (cos(l0) * dx + sin(l0) * dy), 3) + 0.0 AS north FROM d""")
+def m07(spark, sf):
+    east, north = geo.lonlat_to_enu(F.col("lon"), F.col("lat"), 13.5, 47.25)
+    return _places(spark, sf).select("event_id", (F.round(east, 3) + 0.0).alias("east"), (F.round(north, 3) + 0.0).alias("north"))
+
+
+_KRUEGER = " + ".join("{a}::DOUBLE * {{f}}({k} * xi) * {{g}}({k} * eta)".format(a=repr(a), k=2 * j) for j, a in enumerate(projection.FORWARD, 1))
+
+
+@query("m08_transverse_mercator", f"""WITH {_PLACES_SQL}, r AS (SELECT *, sin(radians(lat)) AS s, radians(lon - 15) AS away, {repr(projection._ECC)}::DOUBLE AS e FROM pl), t AS (SELECT *, sinh(atanh(s) - e * atanh(e * s)) AS t FROM r),
+x AS (SELECT *, atan2(t, cos(away)) AS xi, atanh(sin(away) / sqrt(1 + t * t)) AS eta FROM t)
+SELECT event_id, round(500000 + {repr(0.9996 * projection._RADIUS)}::DOUBLE * (eta + {_KRUEGER.format(f='cos', g='sinh')}), 4) + 0.0 AS east, round({repr(0.9996 * projection._RADIUS)}::DOUBLE * (xi + {_KRUEGER.format(f='sin', g='cosh')}), 4) + 0.0 AS north, round(lon, 9) + 0.0 AS lon, round(lat, 9) + 0.0 AS lat FROM x""")
+def m08(spark, sf):
+    """Places to UTM and back again."""
+    grid = projection.utm(33)
+    east, north = projection.project(F.col("lon"), F.col("lat"), grid)
+    there = _places(spark, sf).select("event_id", east.alias("east"), north.alias("north"))
+    lon, lat = projection.unproject(F.col("east"), F.col("north"), grid)
+    return there.select("event_id", (F.round("east", 4) + 0.0).alias("east"), (F.round("north", 4) + 0.0).alias("north"), (F.round(lon, 9) + 0.0).alias("lon"), (F.round(lat, 9) + 0.0).alias("lat"))
+
+
+@query("d20_imu_samples", "SELECT event_id, round(((event_id * 131) % 65536 - CASE WHEN (event_id * 131) % 65536 >= 32768 THEN 65536 ELSE 0 END) / 32768.0::DOUBLE * 4, 6) + 0.0 AS ax, round(radians(((event_id * 977) % 65536 - CASE WHEN (event_id * 977) % 65536 >= 32768 THEN 65536 ELSE 0 END) / 32768.0::DOUBLE * 500), 6) + 0.0 AS gz FROM events")
+def d20(spark, sf):
+    payload = F.unhex(F.concat(F.lit("AA55"), _bytes(F.col("event_id") * 131 % 65536, 2), F.lit("0000" * 4), _bytes(F.col("event_id") * 977 % 65536, 2)))
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", payload.alias("payload"))
+    got = D.imu(F.col("payload"), 2)
+    return rows.select("event_id", (F.round(got["ax"], 6) + 0.0).alias("ax"), (F.round(got["gz"], 6) + 0.0).alias("gz"))
+
+
+@query("d31_jumbo_parts", "SELECT s_suppkey AS seq, part, (s_suppkey * 7 + part) % 65536 AS value FROM supplier, (SELECT unnest(range(0, 63)) AS part) WHERE (s_suppkey + part) % 9 <> 4")
+def d31(spark, sf):
+    """The 63 packets of a datagram, some with another id."""
+    s = F.col("seq")
+    part = lambda k: F.concat(F.when((s + k) % 9 == 4, "55AB").otherwise("55AA"), _bytes((s * 7 + k) % 65536, 2), F.lit("00" * 980))
+    rows = _suppliers(spark, sf).select("seq", F.unhex(F.concat(F.lit("00" * 160), _each(63, part), F.lit("00" * 10))).alias("payload"))
+    return D.jumbo_parts(rows).select("seq", "part", D.unsigned(F.col("payload"), 2, 2).alias("value"))
+
+
 # --- layers -------------------------------------------------------------------------------------------------------
 
 

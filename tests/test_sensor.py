@@ -1081,3 +1081,27 @@ def test_packed_records_and_clouds_are_read_back(spark, tmp_path):
     with pytest.raises(Exception, match="stop"):
         bad.write.format("binary").option("each", "file").mode("append").save(out)
     assert [f.name for f in (tmp_path / "clouds").iterdir()] == ["frame-1.pcd"]
+
+
+def test_transverse_mercator(spark):
+    """The meridian's arc by integration, a round trip within three degrees, and the southern hemisphere."""
+    from gridwake.functions import projection as pr
+
+    e2 = pr.FLATTENING * (2 - pr.FLATTENING)
+    arc = lambda lat: np.trapezoid(pr.A * (1 - e2) / (1 - e2 * np.sin(p := np.linspace(0, math.radians(lat), 200_001)) ** 2) ** 1.5, p)
+    rows = [(float(lon), float(lat)) for lon in np.linspace(12.0, 18.0, 25) for lat in np.linspace(-80, 84, 42)]
+    df = spark.createDataFrame(rows, "lon double, lat double")
+    for grid in (pr.utm(33), pr.utm(33, True), pr.Mercator(14.0, 47.0, 1.0, 7.0, 9.0)):
+        e, n = pr.project(F.col("lon"), F.col("lat"), grid)
+        there = df.select("lon", "lat", e.alias("e"), n.alias("n"))
+        lon, lat = pr.unproject(F.col("e"), F.col("n"), grid)
+        for r in there.withColumns({"lon2": lon, "lat2": lat}).collect():
+            assert abs(r.lon2 - r.lon) < 1e-9 and abs(r.lat2 - r.lat) < 1e-9  # a tenth of a millimetre
+            if r.lon == grid.lon0:
+                assert abs((r.n - grid.north0) / grid.scale - (arc(r.lat) - arc(grid.lat0))) < 1e-4 and abs(r.e - grid.east0) < 1e-6
+    # Lengths along a parallel near the central meridian are those of its radius.
+    e = [r.e for r in spark.createDataFrame([(15.0, 45.0), (15.001, 45.0)], "lon double, lat double").select(pr.project(F.col("lon"), F.col("lat"), pr.Mercator(15.0))[0].alias("e")).collect()]
+    assert abs(e[1] - e[0]) == pytest.approx(math.radians(0.001) * pr.A * math.cos(math.radians(45)) / math.sqrt(1 - e2 * 0.5), rel=1e-9)
+    m = pr.imu_to_map(1.0, 2.0, 3.0, 90.0, 0.0, 0.0)
+    assert m @ [0, 1, 0, 1] == pytest.approx([2.0, 2.0, 3.0, 1.0]) and m[:3, :3] @ m[:3, :3].T == pytest.approx(np.eye(3))
+    assert pr.imu_to_map(0, 0, 0, 0, 90.0, 0)[:3, :3] @ [0, 1, 0] == pytest.approx([0, 0, 1]) and pr.imu_to_map(0, 0, 0, 0, 0, 90.0)[:3, :3] @ [0, 0, 1] == pytest.approx([1, 0, 0])

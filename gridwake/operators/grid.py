@@ -189,6 +189,10 @@ def ground_split(points: DataFrame, ground: DataFrame) -> DataFrame:
     return join_checked(points, ground.select(*KEY, F.lit(1).alias("g")), KEY).withColumn("label", F.coalesce("g", F.lit(0))).drop("g")
 
 
+#: Ground cells that are broadcast at most.
+MOST_CELLS = 100_000
+
+
 def reclassify(points: DataFrame, cells: DataFrame, cfg: GridConfig = GridConfig()) -> DataFrame:
     """Every finite point with row, col and is_obstacle; ground is what lies in a ground cell no more than a layer above the reference. Points outside the grid look nothing up."""
     x, y = F.col("x"), F.col("y")
@@ -196,8 +200,10 @@ def reclassify(points: DataFrame, cells: DataFrame, cfg: GridConfig = GridConfig
     col = F.when((x >= cfg.x_min) & (x < cfg.x_max), F.least(F.floor((x - cfg.x_min) / cfg.resolution).cast("int"), F.lit(cfg.cols - 1)))
     placed = finite(points).withColumn("row", row).withColumn("col", col)
     ground = cells.where("is_ground").select(*KEY, F.col("ground_reference_z").alias("ref"))
-    inside = join_checked(placed.where("row IS NOT NULL AND col IS NOT NULL"), ground, KEY)
-    inside = inside.withColumn("is_obstacle", F.col("ref").isNull() | (F.col("z") > F.col("ref") + cfg.layer)).drop("ref")
+    obstacle = F.col("ref").isNull() | (F.col("z") > F.col("ref") + cfg.layer)
+    if ground.limit(MOST_CELLS + 1).count() <= MOST_CELLS:  # one scan; nothing outside the grid meets a cell
+        return placed.join(F.broadcast(ground), KEY, "left").withColumn("is_obstacle", obstacle).drop("ref")
+    inside = placed.where("row IS NOT NULL AND col IS NOT NULL").join(ground.hint("merge"), KEY, "left").withColumn("is_obstacle", obstacle).drop("ref")
     outside = placed.where("row IS NULL OR col IS NULL").withColumn("is_obstacle", F.lit(True))
     return inside.unionByName(outside)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridwake.functions import geometry as geo
 from gridwake.functions import projection
-from gridwake.operators import calibration, curbs, lines, mapjoin, sweeps, tracking
+from gridwake.operators import calibration, curbs, lines, mapjoin, rejects, sweeps, tracking
 from gridwake.operators import clusters as C
 from gridwake.operators import decode as D
 from gridwake.operators import layers as V
@@ -15,7 +15,7 @@ from gridwake.operators import transform as T
 from gridwake.plans.grid_queries import CAND_SQL, CFG, OBB_SQL, REF_SQL, _clustered, _detected, _with
 from gridwake.plans.motion_queries import BLK, DESC, FIT, NEAR, P, _blk, _numbered, _seg
 from gridwake.sources import fixtures, packets
-from gridwake.sources.fixtures import POSES_SQL
+from gridwake.sources.fixtures import BLOCKS_SQL, POSES_SQL
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -220,6 +220,20 @@ def d24(spark, sf):
     return got.groupBy("code", D.level(F.col("code")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("d24_silences", f"WITH {BLOCKS_SQL}, l AS (SELECT *, lag(ts_ms) OVER (PARTITION BY stream_id ORDER BY ts_ms) AS pv FROM blocks) SELECT stream_id, pv AS \"from\", ts_ms AS \"to\", 'no_packets' AS fault, 64 AS code FROM l WHERE ts_ms - pv > 3600000")
+def d24_silences(spark, sf):
+    """Hours in which a stream has no packet."""
+    return rejects.silences(fixtures.blocks(spark, sf), 3_600_000, "ts_ms")
+
+
+@query("d24_frame_faults", f"WITH {P}, f AS (SELECT range AS frame_id FROM range(0, 10)), n AS (SELECT frame_id, count(*) AS n FROM pts GROUP BY 1) SELECT frame_id, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'no_points' WHEN n > (SELECT avg(n) FROM n) THEN 'cloud_overflow' END AS fault, CASE WHEN n IS NULL THEN 71 WHEN n > (SELECT avg(n) FROM n) THEN 73 ELSE 0 END AS code FROM f LEFT JOIN n USING (frame_id)")
+def d24_frames(spark, sf):
+    """Ten frames, of which two have no points, against a limit at the mean."""
+    pts = fixtures.points(spark, sf)
+    mean = pts.count() / 8
+    return rejects.frame_faults(spark.range(10).withColumnRenamed("id", "frame_id"), pts, most=mean)
+
+
 # --- scanners with mirrors ----------------------------------------------------------------------------------------
 
 _FRAMED = "sum(CASE WHEN mark THEN 1 ELSE 0 END) OVER (PARTITION BY stream_id ORDER BY seq, rec)::BIGINT"

@@ -1105,3 +1105,32 @@ def test_transverse_mercator(spark):
     m = pr.imu_to_map(1.0, 2.0, 3.0, 90.0, 0.0, 0.0)
     assert m @ [0, 1, 0, 1] == pytest.approx([2.0, 2.0, 3.0, 1.0]) and m[:3, :3] @ m[:3, :3].T == pytest.approx(np.eye(3))
     assert pr.imu_to_map(0, 0, 0, 0, 90.0, 0)[:3, :3] @ [0, 1, 0] == pytest.approx([0, 0, 1]) and pr.imu_to_map(0, 0, 0, 0, 0, 90.0)[:3, :3] @ [0, 0, 1] == pytest.approx([1, 0, 0])
+
+
+def test_faults_are_counted_beside_the_data(spark):
+    """One action gives data and counts; each further code has its rows."""
+    from gridwake.operators import calibration as K
+    from gridwake.operators import rejects
+
+    rows = [b"\x55\xaa\x01\xff\xee", b"\x55\xaa\x01", b"\x55\xaa\x02\xff\xee", b"\x55\xaa\x01\xff\xef", b"\xa5\xff\x01", b"\xa5\xff\x01\x01", b"\xaa\x55\x02", b"\xaa\x55\x01"]
+    df = spark.createDataFrame([(bytearray(r),) for r in rows * 3], "payload binary")
+    faults = decode.faults(df, {"msop": 5, "difop": 3, "imu": 3}, {"msop": "55AA01", "difop": "A5FF01", "imu": "AA5501"}, (3, "FFEE"))
+    out, seen = rejects.counted(faults)
+    assert len(out.collect()) == 24
+    got = seen.get
+    assert got["rows"] == 24 and got["success"] == 9 and {k for k, v in got.items() if v == 3} == {"wrong_msop_length", "wrong_msop_id", "wrong_block_id", "wrong_difop_length", "wrong_imu_id"}
+    assert set(got) == {"rows", *decode.CODES}
+    packets_ = spark.createDataFrame([(1, 0), (1, 5), (1, 2_000_000), (2, 9), (None, 1), (None, 1_500_000)], "stream_id long, ts_us long")
+    assert sorted((r.stream_id or 0, r["from"], r["to"], r.code) for r in rejects.silences(packets_).collect()) == [(0, 1, 1_500_000, 0x40), (1, 5, 2_000_000, 0x40)]
+    points = spark.createDataFrame([(1, 0.0)] * 3 + [(2, 0.0)] * 2, "frame_id long, x double")
+    frames = spark.createDataFrame([(1,), (2,), (3,)], "frame_id long")
+    assert {r.frame_id: (r.n, r.fault) for r in rejects.frame_faults(frames, points, most=2).collect()} == {1: (3, "cloud_overflow"), 2: (2, None), 3: (0, "no_points")}
+    assert {r.frame_id for r in rejects.within_limit(points, most=2).collect()} == {2}
+    dev = K.DEVICES["spin32_fine"]
+    devices = spark.createDataFrame([(1, 1, _device(dev, 600, 4, [None] * 32, [0] * 32)), (1, 2, _device(dev, 600, 4, [5] * 32, [0] * 32))], "stream_id long, seq long, payload binary")
+    read = K.readings(devices, dev)
+    assert [(r.seq, r.code) for r in rejects.device_faults(read).collect()] == [(1, decode.CODES["difop_not_parsed"])]
+    early = spark.createDataFrame([(1, 0), (1, 3), (2, 7)], "stream_id long, seq long")
+    assert sorted((r.stream_id, r.seq) for r in rejects.starts_early(early, read).collect()) == [(1, 0), (2, 7)]
+    replayed = spark.createDataFrame([("a", 0), ("a", 0), ("a", 1), ("a", 2), ("b", 0)], "file string, pass int")
+    assert sorted((r.file, r["pass"], r.fault) for r in rejects.replay_events(replayed).collect()) == [("a", 1, "file_repeats"), ("a", 2, "file_ends"), ("a", 2, "file_repeats"), ("b", 0, "file_ends")]

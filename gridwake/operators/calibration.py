@@ -128,7 +128,7 @@ def speed_versions(found: DataFrame) -> DataFrame:
 
 
 def angle_versions(found: DataFrame, which: str = "first") -> DataFrame:
-    """(stream_id, seq, columns of ANGLES) of the readings with good angles: a stream's 'first' one, which holds from then on as the sensors' own driver has it, or all that say something new ('latest')."""
+    """(stream_id, seq, columns of ANGLES) of the readings with good angles: a stream's 'first' one, which holds from then on, or all that say something new ('latest')."""
     if which not in ("first", "latest"):
         raise ValueError("angles are those of the 'first' or the 'latest' device packet")
     good = found.where("ready").select("stream_id", "seq", *ANGLES)

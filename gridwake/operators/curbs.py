@@ -82,7 +82,7 @@ class ChosenLine:
     longest cluster. In later frames lines more than two ranges of direction away from the line before take no part. They
     take, of the clusters in the order of their main line's start, the one whose main line and the line before fit one line
     best: angles apart by less than 2 degrees, the joint line by less than 1, with a mean distance below 1; without such a
-    cluster the first one. Its ends are mixed with those before by `share`; at 1, as the sensors' own program has it, they stay.
+    cluster the first one. Its ends are mixed with those before by `share`; at 1 they stay.
     """
 
     share: float = 1.0

@@ -1,4 +1,4 @@
-"""What goes wrong beyond a packet's own bytes, and counters beside the data (the exception callbacks of the sensors' driver).
+"""What goes wrong beyond a packet's own bytes, and counters beside the data.
 
 `counted` puts a counter for each code of decode.CODES beside a DataFrame with a column `fault`: one action gives data and counts.
 The other functions give rows (keys, fault, code) of what decode.faults, which looks at single packets, can't see.
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gridwake.operators import ranges
 from gridwake.operators.decode import CODES
 
-#: Points of a cloud at most, beyond which the sensors' driver drops it.
+#: Points of a cloud at most.
 MOST_POINTS = 5_000_000
 
 
@@ -44,7 +44,7 @@ def frame_faults(frames: DataFrame, points: DataFrame, keys: tuple[str, ...] = (
 
 
 def within_limit(points: DataFrame, keys: tuple[str, ...] = ("frame_id",), most: int = MOST_POINTS) -> DataFrame:
-    """Points of frames that do not overflow, for those who want what the sensors' driver gives; frame_faults names the others."""
+    """Points of frames that do not overflow, if overflowing ones are to be dropped whole; frame_faults names those."""
     full = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
     return points.join(full.select(*keys), list(keys), "left_anti")
 

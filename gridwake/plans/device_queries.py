@@ -14,7 +14,7 @@ from gridwake.operators import layers as V
 from gridwake.operators import transform as T
 from gridwake.plans.grid_queries import CAND_SQL, CFG, OBB_SQL, REF_SQL, _clustered, _detected, _with
 from gridwake.plans.motion_queries import BLK, DESC, FIT, NEAR, P, _blk, _numbered, _seg
-from gridwake.sources import fixtures, packets
+from gridwake.sources import binary_sinks, fixtures, packets
 from gridwake.sources.fixtures import BLOCKS_SQL, POSES_SQL
 
 Q: dict = {}
@@ -448,6 +448,17 @@ def k05(spark, sf):
     return packets.curb_messages(rows).select("stream_id", "ts", "counter", F.size("lanes").alias("lanes"))
 
 
+@query("k01_packed_records", _with(OBB_SQL, "SELECT frame_id * 100 AS ts_ms, 1 AS return_val, least(n, 20)::INT AS obs_num, cluster_id::INT AS id, floor(x + 0.25)::BIGINT AS x, floor(y + 0.25)::BIGINT AS y, floor(depth + 0.25)::BIGINT AS depth, floor(height + 0.25)::BIGINT AS height FROM (SELECT a.frame_id, a.cluster_id, count(*) OVER (PARTITION BY a.frame_id) AS n, row_number() OVER (PARTITION BY a.frame_id ORDER BY a.cluster_id) AS r, coalesce(cx, centre_x) AS x, coalesce(cy, centre_y) AS y, coalesce(length, size_x) AS depth, size_z::DOUBLE AS height FROM aabb a LEFT JOIN obb b USING (frame_id, cluster_id)) WHERE r <= 20"))
+def k01(spark, sf):
+    """Detections packed into records of 1216 bytes and read back."""
+    clustered = _clustered(spark, sf)
+    found = C.detections(C.summarise(clustered, CFG), C.oriented_boxes(clustered, CFG))
+    boxes = found.select("frame_id", (F.col("frame_id") * 100).alias("ts_ms"), F.col("cluster_id").alias("id"), "depth", "width", "height", "x", "y", "z", F.lit(None).cast("array<struct<x:double,y:double>>").alias("corners"))
+    back = binary_sinks.unpacked_obstacles(binary_sinks.obstacle_records(boxes)).select("ts_ms", "return_val", "obs_num", F.explode("obstacles").alias("o"))
+    whole = lambda c: F.floor(F.col(f"o.{c}").cast("double") + 0.25).alias(c)
+    return back.select("ts_ms", "return_val", "obs_num", "o.id", *(whole(c) for c in ("x", "y", "depth", "height")))
+
+
 # --- tracks -------------------------------------------------------------------------------------------------------
 
 

@@ -4,8 +4,8 @@ The batch operators' step functions run here as well. `fold` keeps a small value
 their order; rows that come in later batches come later in that order. `asof` needs no order at all: rows and poses wait until the watermark has
 passed them, so a stream gives what the batch join gives, however its rows are dealt into batches, but for what comes behind the watermark.
 
-A session needs the RocksDB state store: spark.sql.streaming.stateStore.providerClass set to STORE, and 'state' as
-output mode is not used. State is forgotten `keep_ms` of processing time after a key's last row, if given.
+A session needs the RocksDB state store: spark.sql.streaming.stateStore.providerClass set to STORE. With `keep_ms` a key's state is
+forgotten so long, in processing time, after its last row.
 """
 
 from __future__ import annotations

@@ -550,26 +550,57 @@ def v04(spark, sf):
     return V.reference_ramp(_detected(spark, sf)).groupBy("frame_id", "ramp").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("v07_box_outlines", _with(OBB_SQL, "SELECT frame_id, cluster_id, 4 AS corners, round(cluster_id * 0.618033988749895::DOUBLE - floor(cluster_id * 0.618033988749895::DOUBLE), 6) AS hue, floor((cx + length / 2 * cos(angle) - width / 2 * sin(angle) - 900) / 25.0 + 0.001)::INT AS u FROM obb"))
+def _drawn(shapes: DataFrame) -> DataFrame:
+    """Shapes with their pixels written one behind another."""
+    return shapes.withColumn("outline", F.array_join(F.transform("outline", lambda p: F.concat_ws(":", p["u"].cast("string"), p["v"].cast("string"))), ","))
+
+
+def _corner_sql(s: int, t: int, per: float) -> str:
+    """A corner of an oriented box in pixels, moved by a thousandth of one so that corners on a pixel's edge fall to one side."""
+    x = f"cx + {s} * length / 2 * cos(angle) - {t} * width / 2 * sin(angle)"
+    y = f"cy + {s} * length / 2 * sin(angle) + {t} * width / 2 * cos(angle)"
+    return f"floor(({x} - 900) / {per} + 0.001)::INT || ':' || (239 - floor(({y} + 3000) / {per} + 0.001)::INT)"
+
+
+_BOX_SQL = " || ',' || ".join(_corner_sql(s, t, 25.0) for s, t in ((1, 1), (1, -1), (-1, -1), (-1, 1)))
+
+
+@query("v07_box_outlines", _with(OBB_SQL, f"SELECT frame_id, cluster_id, round(cluster_id * 0.618033988749895::DOUBLE - floor(cluster_id * 0.618033988749895::DOUBLE), 6) AS hue, {_BOX_SQL} AS outline FROM obb"))
 def v07(spark, sf):
-    boxes = C.oriented_boxes(_clustered(spark, sf), CFG)
-    out = V.box_outlines(boxes, 900 - 0.025, -3000, 25.0, 240)
-    return out.select("frame_id", F.col("id").alias("cluster_id"), F.size("outline").alias("corners"), F.round("hue", 6).alias("hue"), F.col("outline")[0]["u"].alias("u"))
+    """All four corners of each box."""
+    out = V.box_outlines(C.oriented_boxes(_clustered(spark, sf), CFG), 900 - 0.025, -3000 - 0.025, 25.0, 240)
+    return _drawn(out).select("frame_id", F.col("id").alias("cluster_id"), F.round("hue", 6).alias("hue"), "outline")
 
 
-@query("v08_cluster_overlay", _with(OBB_SQL, "SELECT frame_id, shape, count(*) AS n FROM (SELECT frame_id, CASE WHEN max(CASE WHEN z > -1200 THEN 1 ELSE 0 END) = 1 THEN 'obstacle' ELSE 'ground' END AS shape FROM pts GROUP BY frame_id, floor((x - 900) / 50.0), floor((y + 3000) / 50.0) UNION ALL SELECT frame_id, 'box' FROM obb) GROUP BY 1, 2"))
+@query("v08_cluster_overlay", _with(OBB_SQL, f"""SELECT frame_id, CASE WHEN max(CASE WHEN z > -1200 THEN 1 ELSE 0 END) = 1 THEN 'obstacle' ELSE 'ground' END AS shape, NULL::BIGINT AS id, u || ':' || v AS outline FROM (SELECT frame_id, z, floor((x - 900) / 25.0 + 0.001)::INT AS u, 239 - floor((y + 3000) / 25.0 + 0.001)::INT AS v FROM pts) GROUP BY frame_id, u, v
+UNION ALL SELECT frame_id, 'box', cluster_id, {_BOX_SQL} FROM obb
+UNION ALL SELECT frame_id, 'polygon', n_nationkey, floor((a - 900) / 25.0 + 0.001)::INT || ':' || 239 || ',' || floor((a + 250 - 900) / 25.0 + 0.001)::INT || ':' || 239 || ',' || floor((a + 250 - 900) / 25.0 + 0.001)::INT || ':' || 199 FROM (SELECT frame_id, n_nationkey, n_nationkey * 250 AS a FROM nation, (SELECT DISTINCT frame_id FROM pts))"""))
 def v08(spark, sf):
+    """Every pixel that points cover, every box and the sections of a road."""
     pts = fixtures.points(spark, sf).withColumn("is_obstacle", F.col("z") > -1200)
-    return V.cluster_overlay(pts, C.oriented_boxes(_clustered(spark, sf), CFG), 900, -3000, 50.0, 120).groupBy("frame_id", "shape").agg(F.count(F.lit(1)).alias("n"))
+    corner = lambda x, y: F.struct((F.col("n_nationkey") * 250 + x).cast("double").alias("x"), F.lit(float(y)).alias("y"))
+    frames = pts.select("frame_id").distinct()
+    sections = spark.read.parquet(f"{sf}/nation.parquet").withColumn("frame_id", F.explode(F.sequence(F.lit(0), F.lit(7)))).join(frames, "frame_id", "left_semi")
+    polygons = sections.select("frame_id", F.col("n_nationkey").alias("section_id"), F.array(corner(0, -3000), corner(250, -3000), corner(250, -2000)).alias("polygon"))
+    out = V.cluster_overlay(pts, C.oriented_boxes(_clustered(spark, sf), CFG), 900 - 0.025, -3000 - 0.025, 25.0, 240, polygons)
+    return _drawn(out).select("frame_id", "shape", "id", "outline")
+
 
+_AT = "floor(({x}) / 50.0)::INT || ':' || (239 - floor((({y}) + 3000) / 50.0)::INT)"
 
-@query("v09_track_overlay", f"WITH {POSES_SQL}, t AS (SELECT event_id % 8 AS frame_id, event_id AS track_id, x, y, heading_deg FROM poses) SELECT frame_id, track_id AS id, floor(x / 0.5)::INT AS u0, (239 - floor(y / 0.5))::INT AS v0, floor((x + 3) / 0.5)::INT AS u1, (239 - floor((y - 1) / 0.5))::INT AS v1 FROM t")
+
+@query("v09_track_overlay", f"""WITH {P}, {POSES_SQL}, t AS (SELECT event_id % 8 AS frame_id, event_id AS track_id, x * 80 AS x, y * 100 - 2500 AS y FROM poses)
+SELECT frame_id, CASE WHEN max(CASE WHEN z > -1200 THEN 1 ELSE 0 END) = 1 THEN 'obstacle' ELSE 'ground' END AS shape, NULL::BIGINT AS id, u || ':' || v AS outline FROM (SELECT frame_id, z, floor(x / 50.0)::INT AS u, 239 - floor((y + 3000) / 50.0)::INT AS v FROM pts) GROUP BY frame_id, u, v
+UNION ALL SELECT frame_id, 'arrow', track_id, {_AT.format(x='x', y='y')} || ',' || {_AT.format(x='x + 150', y='y - 70')} FROM t
+UNION ALL SELECT frame_id, 'track', track_id, {_AT.format(x='x - 200', y='y - 110')} || ',' || {_AT.format(x='x + 200', y='y - 110')} || ',' || {_AT.format(x='x + 200', y='y + 110')} || ',' || {_AT.format(x='x - 200', y='y + 110')} FROM t WHERE track_id % 3 <> 0""")
 def v09(spark, sf):
-    tracks = fixtures.poses(spark, sf).select((F.col("event_id") % 8).alias("frame_id"), F.col("event_id").alias("track_id"), "x", "y", F.lit(3.0).alias("vx"), F.lit(-1.0).alias("vy"), F.lit(None).cast("array<struct<x:double,y:double>>").alias("corners"))
-    none = fixtures.points(spark, sf).limit(0).withColumn("is_obstacle", F.lit(True))
-    out = V.track_overlay(none, tracks, 0, 0, 0.5, 240)
-    o = F.col("outline")
-    return out.select("frame_id", "id", o[0]["u"].alias("u0"), o[0]["v"].alias("v0"), o[1]["u"].alias("u1"), o[1]["v"].alias("v1"))
+    """Points, tracks with arrows, and the outlines of those that have corners."""
+    x, y = F.col("x"), F.col("y")
+    corners = F.array(*(F.struct((x + a).alias("x"), (y + b).alias("y")) for a, b in ((-200, -110), (200, -110), (200, 110), (-200, 110))))
+    tracks = fixtures.poses(spark, sf).select((F.col("event_id") % 8).alias("frame_id"), F.col("event_id").alias("track_id"), (x * 80).alias("x"), (y * 100 - 2500).alias("y"), F.lit(150.0).alias("vx"), F.lit(-70.0).alias("vy"))
+    tracks = tracks.withColumn("corners", F.when(F.col("track_id") % 3 != 0, corners))
+    pts = fixtures.points(spark, sf).withColumn("is_obstacle", F.col("z") > -1200)
+    return _drawn(V.track_overlay(pts, tracks, 0, -3000, 50.0, 240)).select("frame_id", "shape", "id", "outline")
 
 
 @query("v11_nearest_vertex", f"WITH {POSES_SQL}, l AS (SELECT n_nationkey * 11 + o AS vertex_id, (n_nationkey * 40 + 2)::DOUBLE AS vx, (o * 50)::DOUBLE AS vy FROM nation, (SELECT unnest(range(0, 11)) AS o)) SELECT event_id, arg_min(vertex_id, [((x - vx) * (x - vx) + (y - vy) * (y - vy)), vertex_id]) AS vertex_id, round(sqrt(min((x - vx) * (x - vx) + (y - vy) * (y - vy))), 6) AS distance FROM poses, l GROUP BY 1")

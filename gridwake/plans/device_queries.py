@@ -409,12 +409,12 @@ def l15(spark, sf):
     return got.select("stream_id", F.expr("ts_ms div 100").alias("step"), (F.round("fk", 4) + 0.0).alias("fk"), (F.round("fb", 3) + 0.0).alias("fb"))
 
 
-_EDGES = curbs.EdgeConfig(-4000, 4000, 7000, 7000, 0.02, 200, 100, 12, 20, 12, 20.0, (0.0, 6000.0))
+_EDGES = curbs.EdgeConfig(-4000, 4000, 7000, 7000, 0.02, 200, 100, 8, 20, 30, 20.0, (0.0, 6000.0))
 
 
 def _edge_points(spark: SparkSession, sf: str) -> DataFrame:
-    """Three streams of frames whose x lies around 0, y ahead."""
-    return fixtures.points(spark, sf).select((F.col("ring") % 3).alias("stream_id"), "frame_id", (F.col("x") - 4500).alias("x"), (F.col("y") + 3000).alias("y"))
+    """Two streams of frames whose x lies around 0, y ahead."""
+    return fixtures.points(spark, sf).select((F.col("ring") % 2).alias("stream_id"), "frame_id", (F.col("x") - 4500).alias("x"), (F.col("y") + 3000).alias("y"))
 
 
 @query("l17_edges")

@@ -170,7 +170,7 @@ class Vocabulary:
 
     def pairs_hold(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """border_holds for many repeated pairs; verdicts are kept up to 2 million pairs."""
-        pair, which = np.unique(a << 32 | b, return_inverse=True)
+        pair, _, which = tb.distinct(a << 32 | b)
         at = np.searchsorted(self.known, pair)
         at[at == len(self.known)] = 0
         seen = self.known[at] == pair if len(self.known) else np.zeros(len(pair), bool)
@@ -247,7 +247,7 @@ class Vocabulary:
         per_text = tb.per_text(starts, off)
         if not len(starts):
             return np.zeros(0, np.int64), per_text
-        _, first, which = np.unique(tb.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
+        _, first, which = tb.distinct(tb.hash_spans(data, starts, ends))
         ids, n = self._encode_distinct(data, starts[first], ends[first])
         begin = np.cumsum(n) - n
         size = n[which]
@@ -279,7 +279,7 @@ class Vocabulary:
         p_at = np.cumsum(p_size) - p_size
         ids, n = np.zeros(0, np.int64), np.zeros(len(size), np.int64)
         if len(p_size):
-            key, first, which = np.unique(tb.hash_spans(body, p_at, p_at + p_size), return_index=True, return_inverse=True)
+            key, first, which = tb.distinct(tb.hash_spans(body, p_at, p_at + p_size))
             known = self.cached.holds(key)
             d, d_at, d_size = _cut(body, p_at, p_size, first[~known])
             self.cached.add(key[~known], *self.encode_words(d, d_at, d_at + d_size))

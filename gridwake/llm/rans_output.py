@@ -38,7 +38,7 @@ LANES = 256
 BLOCK = 1 << 17
 LOW = U(1 << 31)
 #: Bytes of text in a frame.
-PART = 2 << 20
+PART = 4 << 20
 END = 2
 
 
@@ -72,26 +72,30 @@ class Coder:
         grid = np.zeros((blocks, steps * LANES), np.int64)
         grid.reshape(-1)[(np.arange(len(ids)) // BLOCK) * grid.shape[1] + np.arange(len(ids)) % BLOCK] = self.place[ids]
         grid = grid.reshape(blocks, steps, LANES)
-        state = np.full((blocks, LANES), LOW)
+        grid = np.ascontiguousarray(grid.transpose(1, 0, 2)).reshape(steps, -1)
+        state = np.full(blocks * LANES, LOW)
         whole = own // LANES  # steps in which all lanes have a symbol
         lane = np.arange(LANES)
+        top, wide = U(31 - SCALE + 32), U(1 << SCALE)
         chunks = []
         for t in range(steps - 1, -1, -1):
-            k = grid[:, t]
-            f, first = self.f[k], self.first[k]
-            on = None if t < whole.min() else lane < (own - t * LANES)[:, None]
-            out = state >= f << U(31 - SCALE + 32)
-            if on is not None:
-                out &= on
-            b, l = np.nonzero(out)
-            chunks.append((b, (state[b, l] & U(0xFFFFFFFF)).astype(np.uint32)))
-            x = np.where(out, state >> U(32), state)
-            q = x // f
-            x = (q << U(SCALE)) + (x - q * f) + first
+            f, first = self.f[grid[t]], self.first[grid[t]]
+            on = None if t < whole.min() else (lane < (own - t * LANES)[:, None]).reshape(-1)
+            full = state >= f << top
+            out = np.flatnonzero(full if on is None else full & on)
+            if len(out):
+                chunks.append((out // LANES, (state[out] & U(0xFFFFFFFF)).astype(np.uint32)))
+                state[out] >>= U(32)
+            # (q << SCALE) + (state - q f) + first, q being state over f.
+            x = state // f
+            x *= wide - f
+            x += state
+            x += first
             state = x if on is None else np.where(on, x, state)
         chunks.reverse()
-        owner = np.concatenate([b for b, _ in chunks])
-        words = np.concatenate([w for _, w in chunks])[np.argsort(owner, kind="stable")]
+        owner = np.concatenate([b for b, _ in chunks]) if chunks else np.zeros(0, np.int64)
+        words = np.concatenate([w for _, w in chunks])[np.argsort(owner, kind="stable")] if chunks else np.zeros(0, np.uint32)
+        state = state.reshape(blocks, LANES)
         sums = np.array([zlib.crc32(ids[b * BLOCK : (b + 1) * BLOCK].astype("<u4").tobytes()) for b in range(blocks)], np.int64)
         return words, np.bincount(owner, minlength=blocks), state, sums
 
@@ -100,28 +104,33 @@ class Coder:
         blocks = len(lengths)
         own = np.minimum(BLOCK, n - np.arange(blocks) * BLOCK)
         steps = -(-int(own.max()) // LANES)
-        out = np.zeros((blocks, steps, LANES), np.int32)
+        out = np.zeros((steps, blocks * LANES), np.int32)
         at = np.cumsum(lengths) - lengths
         whole = own // LANES
         lane = np.arange(LANES)
         mask = U((1 << SCALE) - 1)
-        state = state.copy()
+        state = state.reshape(-1).copy()
         for t in range(steps):
             low = state & mask
-            k = self.slot[low.astype(np.int64)]
-            out[:, t] = k
-            x = self.f[k] * (state >> U(SCALE)) + low - self.first[k]
+            k = self.slot[low.view(np.int64)]
+            out[t] = k
+            x = state >> U(SCALE)
+            x *= self.f[k]
+            x += low
+            x -= self.first[k]
             need = x < LOW
             if t >= whole.min():
-                on = lane < (own - t * LANES)[:, None]
+                on = (lane < (own - t * LANES)[:, None]).reshape(-1)
                 x, need = np.where(on, x, state), need & on
-            b, l = np.nonzero(need)
-            taken = need.sum(axis=1)
-            if len(b):
-                place = at[b] + np.arange(len(b)) - (np.cumsum(taken) - taken)[b]
-                x[b, l] = (x[b, l] << U(32)) | words[place].astype(U)
-            at = at + taken
+            need = np.flatnonzero(need)
+            if len(need):
+                block = need // LANES
+                taken = np.bincount(block, minlength=blocks)
+                place = (at - np.cumsum(taken) + taken)[block] + np.arange(len(need))
+                x[need] = (x[need] << U(32)) | words[place].astype(U)
+                at = at + taken
             state = x
+        out = out.reshape(steps, blocks, LANES).transpose(1, 0, 2)
         ids = self.symbols[out.reshape(blocks, -1)]
         for b in range(blocks):
             if zlib.crc32(ids[b, : own[b]].astype("<u4").tobytes()) != sums[b]:

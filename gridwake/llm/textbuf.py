@@ -10,6 +10,7 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
@@ -156,6 +157,17 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(out + (lens.astype(U) + U(1)) * _STEP)
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique with first places and inverse, of integers: by hashing, with a sort of the distinct ones alone."""
+    which, found = pd.factorize(values)
+    first = np.zeros(len(found), np.int64)
+    first[which[::-1]] = np.arange(len(which) - 1, -1, -1)
+    order = np.argsort(found)
+    place = np.empty(len(found), np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], first[order], place[which]
+
+
 def ngrams(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-grams that start at each word; those that reach over the end are left out."""
     if len(words) < n:

@@ -532,7 +532,17 @@ def test_operators_on_odd_rows_and_empty_tables(spark):
         n = docs.count()
         assert quality_rules.judge(docs).count() == n
         assert secret_scan.find_secrets(docs).count() == n and secret_scan.without_secrets(docs).columns == docs.columns
-        assert token_counts.token_counts(docs, model).count() == n
+        import sentencepiece
+
+        library, rows = sentencepiece.SentencePieceProcessor(model_file=model), docs.collect()
+        want = collections.Counter((r["doc_id"], len((r["text"] or "").encode()), len(library.encode(r["text"] or "", num_threads=1))) for r in rows)
+        assert collections.Counter((r["id"], r["n_bytes"], r["n_tokens"]) for r in token_counts.token_counts(docs, model).collect()) == want
+        known = docs.withColumn("text", F.when(F.col("doc_id") == 3, F.concat(F.lit("api_key = q9ZxT7LmPw3R "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+        spans = collections.Counter((r["doc_id"], secret_scan.shown(secret_scan.scan(r["text"] or "")[1])) for r in known.collect())
+        assert collections.Counter((r["id"], ",".join(f"{f['kind']}:{f['start']}:{f['end']}" for f in r["findings"])) for r in secret_scan.find_secrets(known).collect()) == spans
+        assert not n or any(s for _, s in spans)
+        clean = collections.Counter((r["doc_id"], None if r["text"] is None else secret_scan.redacted(r["text"], secret_scan.scan(r["text"])[1])) for r in known.collect())
+        assert collections.Counter((r["doc_id"], r["text"]) for r in secret_scan.without_secrets(known).collect()) == clean
         scored = language_model.scores(docs).collect()
         assert len(scored) == n and all(r["score"] < 0 for r in scored)
         assert len({(r["n_tokens"], r["score"]) for r in scored if r["n_tokens"] == 1}) <= 1

@@ -263,3 +263,12 @@ def test_sql(spark, sf, name):
     value = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v)
     want = collections.Counter(tuple(value(x[rel.columns.index(c)]) for c in columns) for x in rel.fetchall())
     assert collections.Counter(tuple(value(r[c]) for c in columns) for r in df.collect()) == want
+
+
+def test_distinct_is_unique():
+    from gridwake.llm import textbuf
+
+    rng = np.random.default_rng(7)
+    for values in (rng.integers(0, 50, 2000).astype(np.uint64) * np.uint64(2**58 + 12345), rng.integers(-9, 9, 300), np.zeros(0, np.uint64), np.zeros(5, np.int64)):
+        want = np.unique(values, return_index=True, return_inverse=True)
+        assert all(np.array_equal(a, b) for a, b in zip(textbuf.distinct(values), want))

@@ -8,7 +8,8 @@ session stays lowered.
 Rows are judged one by one: a null text is an empty one (too short for the quality rules); a null or repeated id makes no
 difference to a row's own verdicts, but rows without an id are never the copies that go; texts of any length are read
 whole; of equal rows all go or stay, but for copies under other ids, of which the smallest id stays; further columns pass
-through up to the last stage, whatever their names; an empty table gives empty results.
+through up to the last stage, whatever their names; an empty table gives empty results. The first stage needs the columns doc_id, text and source,
+the last one doc_id, text, lang and source; benchmark.parquet stands beside the documents.
 """
 
 from __future__ import annotations

@@ -369,11 +369,11 @@ def l09(spark, sf):
     return curbs.ransac_line(fixtures.points(spark, sf), 60.0, ("frame_id", "ring"))
 
 
-@query("l10_contours", f"WITH {FIT}, t AS (SELECT *, abs(degrees(0.5::DOUBLE * atan2(2 * vxy, vx - vy))) AS a, sx::DOUBLE / n AS cx FROM v), k AS (SELECT p.frame_id, p.ring, p.x, p.y FROM pts p JOIN t USING (frame_id, ring) WHERE t.n > 25 AND t.a >= 40 AND p.x < t.cx) SELECT frame_id, ring, count(*) AS n, sum(x)::BIGINT AS sx, sum(y)::BIGINT AS sy FROM k GROUP BY 1, 2")
+@query("l10_contours", f"WITH {FIT}, t AS (SELECT *, abs(degrees(0.5::DOUBLE * atan2(2 * vxy, vx - vy))) AS a, sx::DOUBLE / n AS cx FROM v) SELECT p.frame_id, p.ring, p.x, p.y FROM pts p JOIN t USING (frame_id, ring) WHERE t.n > 25 AND t.a >= 1 AND p.x < t.cx")
 def l10(spark, sf):
+    """The points left of the centroids of the rings that slope by a degree or more."""
     keys = ("frame_id", "ring")
-    kept = curbs.side_of_centroid(curbs.keep_contours(fixtures.points(spark, sf), keys=keys), "right", keys)
-    return kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    return curbs.side_of_centroid(curbs.keep_contours(fixtures.points(spark, sf), least_angle=1.0, keys=keys), "right", keys).select(*keys, "x", "y")
 
 
 @query("l12_line_ends", f"WITH {FIT}, t AS (SELECT *, tan(0.5::DOUBLE * atan2(2 * vxy, vx - vy)) AS k FROM v), b AS (SELECT *, sy::DOUBLE / n - k * (sx::DOUBLE / n) AS b FROM t) SELECT frame_id, ring, round(b / 100, 3) + 0.0 AS b, round((0 - b) / k / 1000, 3) + 0.0 AS x0, round((30 - b) / k / 1000, 3) + 0.0 AS x1 FROM b")

@@ -33,50 +33,51 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _sum(df: DataFrame, *by: str) -> DataFrame:
-    return df.groupBy("frame_id", *by).agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).cast("long").alias(f"sum_{c}") for c in "xyz"))
+def _each(df: DataFrame, *by: str) -> DataFrame:
+    """Every point, in whole millimetres."""
+    return df.select("frame_id", *by, *(F.col(c).cast("long").alias(c) for c in "xyz"))
 
 
-_S = "count(*) AS n, sum(x)::BIGINT AS sum_x, sum(y)::BIGINT AS sum_y, sum(z)::BIGINT AS sum_z"
+_S = "x::BIGINT AS x, y::BIGINT AS y, z::BIGINT AS z"
 P = POINTS_SQL
 
 
-@query("t01_rigid_transform", f"WITH {P}, m AS (SELECT frame_id, 150 - y AS x, x - 40 AS y, z + 7 AS z FROM pts) SELECT frame_id, {_S} FROM m GROUP BY 1")
+@query("t01_rigid_transform", f"WITH {P}, m AS (SELECT frame_id, 150 - y AS x, x - 40 AS y, z + 7 AS z FROM pts) SELECT frame_id, {_S} FROM m")
 def t01(spark: SparkSession, sf: str) -> DataFrame:
-    return _sum(T.rigid(fixtures.points(spark, sf), TURN))
+    return _each(T.rigid(fixtures.points(spark, sf), TURN))
 
 
-@query("t02_install_flip", f"WITH {P}, m AS (SELECT frame_id, CASE WHEN frame_id = 3 THEN z ELSE x END AS x, CASE WHEN frame_id % 2 = 0 THEN -y ELSE y END AS y, CASE WHEN frame_id % 2 = 0 THEN -z WHEN frame_id = 3 THEN -x ELSE z END AS z FROM pts) SELECT frame_id, {_S} FROM m GROUP BY 1")
+@query("t02_install_flip", f"WITH {P}, m AS (SELECT frame_id, CASE WHEN frame_id = 3 THEN z ELSE x END AS x, CASE WHEN frame_id % 2 = 0 THEN -y ELSE y END AS y, CASE WHEN frame_id % 2 = 0 THEN -z WHEN frame_id = 3 THEN -x ELSE z END AS z FROM pts) SELECT frame_id, {_S} FROM m")
 def t02(spark, sf):
     kind = F.when(F.col("frame_id") % 2 == 0, 1).when(F.col("frame_id") == 3, -3).otherwise(0)
-    return _sum(T.install(fixtures.points(spark, sf), kind))
+    return _each(T.install(fixtures.points(spark, sf), kind))
 
 
-@query("t03_composed_transform", f"WITH {P}, m AS (SELECT frame_id, y + 20 AS x, x + 10 AS y, -z AS z FROM pts) SELECT frame_id, {_S} FROM m GROUP BY 1")
+@query("t03_composed_transform", f"WITH {P}, m AS (SELECT frame_id, y + 20 AS x, x + 10 AS y, -z AS z FROM pts) SELECT frame_id, {_S} FROM m")
 def t03(spark, sf):
     identity = [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0]]
-    return _sum(T.rigid(fixtures.points(spark, sf), geo.compose(identity, 0.0, 10, 20)))
+    return _each(T.rigid(fixtures.points(spark, sf), geo.compose(identity, 0.0, 10, 20)))
 
 
-@query("t04_region_filter", f"WITH {P} SELECT frame_id, {_S} FROM pts WHERE x > 1200 AND x < 6000 AND y > -2000 AND y < 2000 GROUP BY 1")
+@query("t04_region_filter", f"WITH {P} SELECT frame_id, {_S} FROM pts WHERE x > 1200 AND x < 6000 AND y > -2000 AND y < 2000")
 def t04(spark, sf):
-    return _sum(T.region(fixtures.points(spark, sf), 1200, 6000, -2000, 2000))
+    return _each(T.region(fixtures.points(spark, sf), 1200, 6000, -2000, 2000))
 
 
-@query("t05_finite_filter", f"WITH {P} SELECT frame_id, {_S} FROM pts WHERE intensity <> 7 GROUP BY 1")
+@query("t05_finite_filter", f"WITH {P} SELECT frame_id, {_S} FROM pts WHERE intensity <> 7")
 def t05(spark, sf):
     p = fixtures.points(spark, sf).withColumn("w", F.when(F.col("intensity") == 7, F.lit(float("nan"))).otherwise(F.col("x").cast("double")))
-    return _sum(G.finite(p, "w", "y", "z"))
+    return _each(G.finite(p, "w", "y", "z"))
 
 
-@query("t06_height_band", f"WITH {P} SELECT frame_id, {_S} FROM pts WHERE z > -1380 AND z < -1200 GROUP BY 1")
+@query("t06_height_band", f"WITH {P} SELECT frame_id, {_S} FROM pts WHERE z > -1380 AND z < -1200")
 def t06(spark, sf):
-    return _sum(T.height_band(fixtures.points(spark, sf), -1380, -1200))
+    return _each(T.height_band(fixtures.points(spark, sf), -1380, -1200))
 
 
-@query("t07_sides", f"WITH {P}, m AS (SELECT frame_id, x - 4000 AS x, y, z FROM pts), s AS (SELECT *, CASE WHEN x >= 0 AND x <= 3000 AND abs(y) < 2000 THEN 'right' WHEN x >= -2500 AND x < 0 AND abs(y) < 2500 THEN 'left' END AS side FROM m) SELECT frame_id, side, {_S} FROM s WHERE side IS NOT NULL GROUP BY 1, 2")
+@query("t07_sides", f"WITH {P}, m AS (SELECT frame_id, x - 4000 AS x, y, z FROM pts), s AS (SELECT *, CASE WHEN x >= 0 AND x <= 3000 AND abs(y) < 2000 THEN 'right' WHEN x >= -2500 AND x < 0 AND abs(y) < 2500 THEN 'left' END AS side FROM m) SELECT frame_id, side, {_S} FROM s WHERE side IS NOT NULL")
 def t07(spark, sf):
-    return _sum(T.sides(fixtures.points(spark, sf).withColumn("x", F.col("x") - 4000), -2500, 3000, 2500, 2000), "side")
+    return _each(T.sides(fixtures.points(spark, sf).withColumn("x", F.col("x") - 4000), -2500, 3000, 2500, 2000), "side")
 
 
 @query("t08_voxels", f"WITH {P} SELECT frame_id, floor(x / 400.0)::BIGINT AS vx, floor(y / 400.0)::BIGINT AS vy, floor(z / 400.0)::BIGINT AS vz, count(*) AS n, round(sum(x) / count(*), 6) AS x, round(sum(y) / count(*), 6) AS y, round(sum(z) / count(*), 6) AS z FROM pts GROUP BY 1, 2, 3, 4")
@@ -125,14 +126,14 @@ def t12(spark, sf):
     return p.groupBy("frame_id", "ring", T.image_column(F.expr("pmod(x + y, 360)"), 0.5, 700).alias("col")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("t13_bright_low", f"WITH {P} SELECT frame_id, {_S} FROM pts WHERE intensity > 30 AND z < 0 GROUP BY 1")
+@query("t13_bright_low", f"WITH {P} SELECT frame_id, {_S} FROM pts WHERE intensity > 30 AND z < 0")
 def t13(spark, sf):
-    return _sum(T.bright_low(fixtures.points(spark, sf), 30))
+    return _each(T.bright_low(fixtures.points(spark, sf), 30))
 
 
-@query("t14_conditional", f"WITH {P} SELECT frame_id, {_S} FROM pts WHERE x < 1500 OR y > 2500 OR z > -1000 GROUP BY 1")
+@query("t14_conditional", f"WITH {P} SELECT frame_id, {_S} FROM pts WHERE x < 1500 OR y > 2500 OR z > -1000")
 def t14(spark, sf):
-    return _sum(T.conditional(fixtures.points(spark, sf), [F.col("x") < 1500, F.col("y") > 2500, F.col("z") > -1000]))
+    return _each(T.conditional(fixtures.points(spark, sf), [F.col("x") < 1500, F.col("y") > 2500, F.col("z") > -1000]))
 
 
 # --- decoding -----------------------------------------------------------------------------------------------------

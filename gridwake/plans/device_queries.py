@@ -442,10 +442,12 @@ def l18(spark, sf):
     return lines.sample_curve(fit, 1000.0, 8000.0, 1000.0).select("frame_id", "ring", "x", (F.round("y", 5) + 0.0).alias("y"))
 
 
-@query("k05_curb_messages", "WITH m AS (SELECT DISTINCT o_custkey AS stream_id, o_orderkey // 8 AS ts FROM orders), n AS (SELECT o_custkey AS stream_id, o_orderkey // 8 AS ts, count(*) AS lanes FROM orders GROUP BY 1, 2) SELECT stream_id, ts, row_number() OVER (PARTITION BY stream_id ORDER BY ts) - 1 AS counter, lanes::INT AS lanes FROM m JOIN n USING (stream_id, ts)")
+@query("k05_curb_messages", "WITH n AS (SELECT o_custkey AS stream_id, o_orderkey // 8 AS ts, string_agg(o_orderkey::VARCHAR || ':' || (o_custkey % 100) || ':' || (o_orderkey % 77), ',' ORDER BY o_orderkey::VARCHAR) AS lanes FROM orders GROUP BY 1, 2) SELECT stream_id, ts, row_number() OVER (PARTITION BY stream_id ORDER BY ts) - 1 AS counter, lanes FROM n")
 def k05(spark, sf):
-    rows = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_custkey AS stream_id", "CAST(o_orderkey AS STRING) AS side", "o_orderkey div 8 AS ts", "0D AS x0", "0D AS y0", "1D AS x1", "30D AS y1")
-    return packets.curb_messages(rows).select("stream_id", "ts", "counter", F.size("lanes").alias("lanes"))
+    """Messages with the two points of each of their lanes."""
+    rows = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_custkey AS stream_id", "CAST(o_orderkey AS STRING) AS side", "o_orderkey div 8 AS ts", "CAST(o_custkey % 100 AS DOUBLE) AS x0", "0D AS y0", "CAST(o_orderkey % 77 AS DOUBLE) AS x1", "30D AS y1")
+    lane = lambda l: F.concat_ws(":", l["side"], *(l["points"][k]["x"].cast("long").cast("string") for k in (0, 1)))
+    return packets.curb_messages(rows).select("stream_id", "ts", "counter", F.array_join(F.transform("lanes", lane), ",").alias("lanes"))
 
 
 @query("k01_packed_records", _with(OBB_SQL, "SELECT frame_id * 100 AS ts_ms, 1 AS return_val, least(n, 20)::INT AS obs_num, cluster_id::INT AS id, floor(x + 0.25)::BIGINT AS x, floor(y + 0.25)::BIGINT AS y, floor(depth + 0.25)::BIGINT AS depth, floor(height + 0.25)::BIGINT AS height FROM (SELECT a.frame_id, a.cluster_id, count(*) OVER (PARTITION BY a.frame_id) AS n, row_number() OVER (PARTITION BY a.frame_id ORDER BY a.cluster_id) AS r, coalesce(cx, centre_x) AS x, coalesce(cy, centre_y) AS y, coalesce(length, size_x) AS depth, size_z::DOUBLE AS height FROM aabb a LEFT JOIN obb b USING (frame_id, cluster_id)) WHERE r <= 20"))

@@ -353,7 +353,11 @@ def l04(spark, sf):
     return curbs.merge_lines(lines.describe(_seg(spark, sf)), 6.0, 4.0, 8.0)
 
 
-@query("l05_first_fit")
+@query("l05_first_fit", f"""WITH RECURSIVE {DESC}, nm AS (SELECT frame_id, line_id, angle::DOUBLE AS v, ((ax + bx) / 2)::DOUBLE AS m, row_number() OVER (PARTITION BY frame_id ORDER BY line_id) AS k FROM an WHERE angle >= 60),
+run AS (SELECT frame_id, line_id, k, [v] AS vs, [m] AS ms, 0::BIGINT AS cluster_id FROM nm WHERE k = 1
+UNION ALL SELECT frame_id, line_id, k, CASE WHEN hit > 0 THEN vs ELSE list_append(vs, v) END, CASE WHEN hit > 0 THEN ms ELSE list_append(ms, m) END, CASE WHEN hit > 0 THEN hit - 1 ELSE len(vs) END
+ FROM (SELECT n.*, r.vs, r.ms, coalesce(list_position(list_transform(list_zip(r.vs, r.ms), lambda h: abs(h[1] - n.v) < 8 AND abs(h[2] - n.m) < 40), TRUE), 0) AS hit FROM run r JOIN nm n ON n.frame_id = r.frame_id AND n.k = r.k + 1))
+SELECT frame_id, line_id, cluster_id FROM run""")
 def l05(spark, sf):
     return curbs.first_fit(lines.describe(_seg(spark, sf)), "angle", 8.0, least_angle=60.0, middle=40.0)
 

@@ -41,3 +41,16 @@ def test_bounded_outliers(spark):
         m = two[own].mean(1)
         want |= set(own[m <= m.mean() + m.std(ddof=1)].tolist())
     assert {r.point_id for r in transform.statistical_outliers_within(cloud, 60.0, 2, 1.0).collect()} == want and 0 < len(want) < full.sum()
+
+
+def test_outliers_at_any_distance(spark):
+    pts, n = _pile(spark)
+    count, rest = _ids(transform.statistical_outliers(pts, 60.0, 2, 1.0), n)
+    assert count == n and rest[:3] == [0, 1, 2] and 5 not in rest
+    cloud, d = _cloud(spark)
+    two = np.sort(d, 1)[:, :2].mean(1)
+    want = set()
+    for frame in (0, 1):
+        own = np.arange(frame, len(d), 2)
+        want |= set(own[two[own] <= two[own].mean() + two[own].std(ddof=1)].tolist())
+    assert {r.point_id for r in transform.statistical_outliers(cloud, 20.0, 2, 1.0).collect()} == want and 0 < len(want) < len(d)

@@ -54,3 +54,14 @@ def test_outliers_at_any_distance(spark):
         own = np.arange(frame, len(d), 2)
         want |= set(own[two[own] <= two[own].mean() + two[own].std(ddof=1)].tolist())
     assert {r.point_id for r in transform.statistical_outliers(cloud, 20.0, 2, 1.0).collect()} == want and 0 < len(want) < len(d)
+
+
+def test_links_are_all_made_once(spark):
+    cloud, d = _cloud(spark)
+    got = [(r.a, r.b) for r in transform.euclidean_links(cloud, 60.0).collect()]
+    want = {(int(a), int(b)) for a, b in np.argwhere(d <= 60) if a < b}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    # Points travel to the tiles around them, not to 14 cubes each.
+    dense = spark.range(20_000).selectExpr("0L AS frame_id", "id AS point_id", "id * 7919 % 480 + 0D AS x", "id * 104729 % 480 + 0D AS y", "id % 40 + 0D AS z")
+    plan = transform.euclidean_links(dense, 1.0)._jdf.queryExecution().toString()
+    assert "Join" not in plan.replace("LeftSemi", "").split("MapInArrow")[0]

@@ -65,3 +65,15 @@ def test_links_are_all_made_once(spark):
     dense = spark.range(20_000).selectExpr("0L AS frame_id", "id AS point_id", "id * 7919 % 480 + 0D AS x", "id * 104729 % 480 + 0D AS y", "id % 40 + 0D AS z")
     plan = transform.euclidean_links(dense, 1.0)._jdf.queryExecution().toString()
     assert "Join" not in plan.replace("LeftSemi", "").split("MapInArrow")[0]
+
+
+def test_clusters_of_many_touching_points(spark):
+    pts, n = _pile(spark)
+    got = transform.euclidean_clusters(pts, 60.0).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {r.cluster_id: r.n for r in got} == {0: n, n: 3, n + 3: 2, n + 5: 1}
+    cloud, d = _cloud(spark)
+    label, new = None, np.arange(len(d))
+    while label is None or (new != label).any():
+        label, new = new, np.minimum(new, np.where(d <= 60, new[None], len(d)).min(1))
+    got = {r.point_id: r.cluster_id for r in transform.euclidean_clusters(cloud, 60.0).collect()}
+    assert got == dict(enumerate(label.tolist())) | {len(d): len(d)}

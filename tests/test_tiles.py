@@ -77,3 +77,10 @@ def test_clusters_of_many_touching_points(spark):
         label, new = new, np.minimum(new, np.where(d <= 60, new[None], len(d)).min(1))
     got = {r.point_id: r.cluster_id for r in transform.euclidean_clusters(cloud, 60.0).collect()}
     assert got == dict(enumerate(label.tolist())) | {len(d): len(d)}
+
+
+def test_points_with_enough_others(spark):
+    pts, n = _pile(spark)
+    assert _ids(transform.radius_outliers(pts, 60.0, 2), n) == (n, [0, 1, 2])
+    cloud, d = _cloud(spark)
+    assert {r.point_id for r in transform.radius_outliers(cloud, 60.0, 3).collect()} == set(np.flatnonzero((d <= 60).sum(1) >= 3).tolist())

@@ -329,9 +329,7 @@ SELECT frame_id, is_ground, count(*) AS n, sum(z)::BIGINT AS sum_z FROM j GROUP
 def c03(spark, sf):
     """The points that touch no other one."""
     pts = _numbered(spark, sf)
-    links = T.euclidean_links(pts, 60)
-    touching = links.select("frame_id", F.col("a").alias("point_id")).unionByName(links.select("frame_id", F.col("b").alias("point_id")))
-    return T.extract(pts, touching, negative=True).select("frame_id", "point_id")
+    return T.extract(pts, T.radius_outliers(pts, 60, 1), negative=True).select("frame_id", "point_id")
 
 
 @query("c04_euclidean_clusters", f"""WITH RECURSIVE {NEAR}, reach AS (SELECT frame_id, point_id, point_id AS label FROM num UNION SELECT n.frame_id, n.other, r.label FROM reach r JOIN near n ON n.frame_id = r.frame_id AND n.point_id = r.point_id WHERE r.label < n.other),

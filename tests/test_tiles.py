@@ -84,3 +84,13 @@ def test_points_with_enough_others(spark):
     assert _ids(transform.radius_outliers(pts, 60.0, 2), n) == (n, [0, 1, 2])
     cloud, d = _cloud(spark)
     assert {r.point_id for r in transform.radius_outliers(cloud, 60.0, 3).collect()} == set(np.flatnonzero((d <= 60).sum(1) >= 3).tolist())
+
+
+def test_the_rest_of_a_dense_cloud(spark, tmp_path):
+    """Lines of 60,000 orders at one place and a lone one."""
+    from gridwake.plans import device_queries
+
+    every = spark.range(60_000).selectExpr("id * 8 * 7100 * 6000 AS l_orderkey", "1 AS l_linenumber", "40L AS l_partkey", "7L AS l_suppkey")
+    lone = spark.sql("SELECT 8L AS l_orderkey, 1 AS l_linenumber, 60L AS l_partkey, 9L AS l_suppkey")
+    every.union(lone).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in device_queries.Q["c03_extract_rest"](spark, str(tmp_path)).collect()] == [(0, 81)]

@@ -157,7 +157,9 @@ def d19_latest(spark, sf):
 
 
 def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("s_nationkey AS stream_id", "s_suppkey AS seq")
+    """A packet each, dealt over all cores: a file that is one task's becomes a thousand times as large as packets and points."""
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").selectExpr("s_nationkey AS stream_id", "s_suppkey AS seq")
+    return rows.repartition(4 * spark.sparkContext.defaultParallelism)
 
 
 @query("d15_angle_packets", f"""WITH c AS (SELECT s_nationkey AS stream_id, s_suppkey AS seq, blk, ch, (s_suppkey * 31 + blk * 997 + ch * 211) % 45000 * 0.005::DOUBLE AS d, (s_suppkey + blk * 13) % 2400 - 1200 AS p, (ch * 37 + blk * 101) % 12000 - 6000 AS w, (s_suppkey + ch) % 256 AS i FROM supplier, (SELECT unnest(range(0, 25)) AS blk), (SELECT unnest(range(0, 5)) AS ch)),

@@ -71,14 +71,39 @@ def describe(segments: DataFrame, snap: float = 1e-3) -> DataFrame:
     return a.select("*", angle.alias("angle"), F.hypot(dx, dy).alias("length"), la.alias("a"), lb.alias("b"), lc.alias("c")).withColumn("range", F.least(F.lit(17), F.floor(F.col("angle") / 10).cast("int")))
 
 
+def of_one_direction(long: DataFrame, angle: float, key: str, left: tuple[str, ...], right: tuple[str, ...], wrap: bool) -> DataFrame:
+    """(frame_id, p, q, angle and left columns of p, angle and right columns of q with p_ and q_ before their names) of a frame's lines whose angles differ by less than `angle`; p and q are arrays of the keys of lines that are equal in all those columns.
+
+    Equal lines meet others once, in slices of direction as wide as `angle`; across 180 degrees if wrap. A class meets itself too. As few
+    rows become many pairs, the slices are dealt over all tasks and not by their size.
+    """
+    width, beside = max(angle, 1e-3) * (1 + 1e-9), [-1, 0, 1]
+    if wrap:
+        n = max(1, int(180 // width))
+        width, beside = 180.0 / n, sorted({k % n for k in beside})
+    place = lambda k: F.floor(F.col("angle") / width) + k
+    slices = lambda k: F.pmod(place(k), F.lit(n)) if wrap else place(k)
+    classes = long.groupBy("frame_id", *dict.fromkeys(("angle", *left, *right))).agg(F.collect_list(key).alias("_keys"))
+    spark = long.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    ps = classes.select("frame_id", F.explode(F.array(*(slices(k) for k in beside))).alias("_slice"), F.col("_keys").alias("p"), *(F.col(c).alias(f"p_{c}") for c in ("angle", *left)))
+    qs = classes.select("frame_id", slices(0).alias("_slice"), F.col("_keys").alias("q"), *(F.col(c).alias(f"q_{c}") for c in ("angle", *right)))
+    met = ps.repartition(parts, "frame_id", "_slice").join(qs.repartition(parts, "frame_id", "_slice").hint("merge"), ["frame_id", "_slice"])
+    apart = geo.angle_between_deg(F.col("p_angle"), F.col("q_angle")) if wrap else F.abs(F.col("p_angle") - F.col("q_angle"))
+    return met.where(apart < angle).drop("_slice")
+
+
+def each_pair(classes: DataFrame, p: str, q: str) -> DataFrame:
+    """(frame_id, p, q) of the lines of classes (frame_id, p, q) that have met, equal keys included."""
+    return classes.select("frame_id", F.explode("p").alias(p), "q").select("frame_id", p, F.explode("q").alias(q))
+
+
 def collinear(lines: DataFrame, angle: float = 2.0, apart: float = 0.5, least_length: float = 63.0, key: str = "line_id") -> DataFrame:
-    """L4: (frame_id, a, b) pairs of long lines with nearly one direction and mean distance. Ranges of direction keep the join an equi-join."""
-    long = lines.where(F.col("length") > least_length)
-    left = long.select("frame_id", F.col(key).alias("p"), F.col("angle").alias("pa"), F.col("a"), F.col("b"), F.col("c"), F.explode(F.array(*(F.pmod(F.col("range") + k, F.lit(18)) for k in (-1, 0, 1)))).alias("range"))
-    right = long.select("frame_id", "range", F.col(key).alias("q"), F.col("angle").alias("qa"), "ax", "ay", "bx", "by")
-    met = left.join(right, ["frame_id", "range"]).where((F.col("p") < F.col("q")) & (geo.angle_between_deg(F.col("pa"), F.col("qa")) < angle))
-    mean = (geo.line_distance(F.col("a"), F.col("b"), F.col("c"), F.col("ax"), F.col("ay")) + geo.line_distance(F.col("a"), F.col("b"), F.col("c"), F.col("bx"), F.col("by"))) / 2
-    return met.where(mean < apart).select("frame_id", F.col("p").alias("a"), F.col("q").alias("b"))
+    """L4: (frame_id, a, b) pairs of long lines with nearly one direction and mean distance. Lines that are equal are compared once; slices of direction keep the join an equi-join."""
+    met = of_one_direction(lines.where(F.col("length") > least_length), angle, key, ("a", "b", "c"), ("ax", "ay", "bx", "by"), wrap=True)
+    far = lambda x, y: geo.line_distance(F.col("p_a"), F.col("p_b"), F.col("p_c"), F.col(x), F.col(y))
+    near = met.where((far("q_ax", "q_ay") + far("q_bx", "q_by")) / 2 < apart)
+    return each_pair(near, "a", "b").where(F.col("a") < F.col("b"))
 
 
 def longest_cluster(lines: DataFrame) -> DataFrame:

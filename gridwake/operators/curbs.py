@@ -14,21 +14,21 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from gridwake.operators import lines as L
 from gridwake.operators import transform as T
 from gridwake.plans.materialize import materialize
 
 
-def _joint(points: list[tuple[Column, Column]]) -> tuple[Column, Column]:
-    """(angle in [0, 180), mean distance) of the line of least orthogonal distances through the points."""
-    n = len(points)
-    mx, my = (sum((p[k] for p in points[1:]), points[0][k]) / n for k in (0, 1))
-    off = [(x - mx, y - my) for x, y in points]
-    sxx, syy, sxy = (sum((o[i] * o[j] for o in off[1:]), off[0][i] * off[0][j]) for i, j in ((0, 0), (1, 1), (0, 1)))
-    theta = 0.5 * F.atan2(2.0 * sxy, sxx - syy)
-    apart = sum((F.abs(F.sin(theta) * x - F.cos(theta) * y) for x, y in off[1:]), F.abs(F.sin(theta) * off[0][0] - F.cos(theta) * off[0][1])) / n
-    return F.pmod(F.degrees(theta), F.lit(180.0)), apart
+@F.pandas_udf(BooleanType())
+def _goes_on(angle: pd.Series, ends: pd.DataFrame, fit_angle: pd.Series, apart: pd.Series) -> pd.Series:
+    """Whether the line of least orthogonal distances through four ends (x, y, x, y, ...) turns by less than fit_angle from the angle, with a mean distance below apart."""
+    xy = ends.to_numpy(float).T
+    off_x, off_y = (p - (p[0] + p[1] + p[2] + p[3]) / 4 for p in (xy[0::2], xy[1::2]))
+    theta = 0.5 * np.arctan2(2.0 * (off_x * off_y).sum(0), (off_x * off_x).sum(0) - (off_y * off_y).sum(0))
+    mean = np.abs(np.sin(theta) * off_x - np.cos(theta) * off_y).sum(0) / 4
+    return pd.Series((np.abs(np.degrees(theta) % 180.0 - angle.to_numpy()) < fit_angle.to_numpy()) & (mean < apart.to_numpy()))
 
 
 def merge_lines(lines: DataFrame, angle: float = 2.0, fit_angle: float = 1.0, apart: float = 0.5, least_length: float = 63.0, key: str = "line_id", last_range: DataFrame | None = None) -> DataFrame:
@@ -36,18 +36,16 @@ def merge_lines(lines: DataFrame, angle: float = 2.0, fit_angle: float = 1.0, ap
 
     A line goes on in another if their angles differ by less than angle, and a line through all four ends by less than
     fit_angle from the first one's with a mean distance below apart. last_range (frame_id, last_range), if given, is the
-    direction that was chosen before; lines more than two ranges away take no part. Ranges keep the join an equi-join.
+    direction that was chosen before; lines more than two ranges away take no part. Lines that are equal are compared once.
     """
     long = lines.where(F.col("length") > least_length)
     if last_range is not None:
         long = long.join(last_range, "frame_id", "left").where(F.col("last_range").isNull() | (F.abs(F.col("range") - F.col("last_range")) <= 2)).drop("last_range")
-    steps = math.ceil(angle / 10)
     ends = ("ax", "ay", "bx", "by")
-    left = long.select("frame_id", F.col(key).alias("cluster_id"), F.col("angle").alias("pa"), *(F.col(c).alias(f"p{c}") for c in ends), F.explode(F.array(*(F.col("range") + k for k in range(-steps, steps + 1)))).alias("range"))
-    right = long.select("frame_id", "range", F.col(key).alias("line_id"), F.col("angle").alias("qa"), *ends)
-    met = left.join(right, ["frame_id", "range"]).where((F.col("cluster_id") != F.col("line_id")) & (F.abs(F.col("pa") - F.col("qa")) < angle))
-    fit, mean = _joint([(F.col("pax"), F.col("pay")), (F.col("pbx"), F.col("pby")), (F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by"))])
-    met = met.where((F.abs(fit - F.col("pa")) < fit_angle) & (mean < apart)).select("frame_id", "cluster_id", "line_id")
+    met = L.of_one_direction(long, angle, key, ends, ends, wrap=False)
+    four = F.struct(*(F.col(f"{line}_{c}").cast("double") for line in "pq" for c in ends))
+    met = met.where(_goes_on(F.col("p_angle").cast("double"), four, F.lit(float(fit_angle)), F.lit(float(apart))))
+    met = L.each_pair(met, "cluster_id", "line_id").where("cluster_id <> line_id")
     return long.select("frame_id", F.col(key).alias("cluster_id"), F.col(key).alias("line_id")).unionByName(met)
 
 

@@ -102,8 +102,12 @@ class ChosenLine:
         theta = 0.5 * math.atan2(2 * (off[:, 0] @ off[:, 1]), off[:, 0] @ off[:, 0] - off[:, 1] @ off[:, 1])
         return math.degrees(theta) % 180, float(np.abs(math.sin(theta) * off[:, 0] - math.cos(theta) * off[:, 1]).mean())
 
-    def step(self, clusters: list[list[tuple]]) -> tuple | None:
-        """The main line of this frame; None, and nothing changes, without clusters."""
+    def step(self, clusters: list[list[tuple]], extents: list[float] | None = None) -> tuple | None:
+        """The main line of this frame; None, and nothing changes, without clusters. Where the clusters' extents are given, main lines will do."""
+        if self.last is None and extents is not None and clusters:
+            at = min(range(len(clusters)), key=lambda k: (-extents[k], clusters[k][0][1], clusters[k][0][3], clusters[k][0][0]))
+            self.last = clusters[at][0]
+            return self.last
         if self.last is not None:
             near = lambda line: abs(line[5] - self.last[5]) <= 2
             clusters = [[line for line in c if near(line)] for c in clusters if near(c[0])]
@@ -130,16 +134,25 @@ class ChosenLine:
 def choose_lines(lines: DataFrame, merged: DataFrame, share: float = 1.0, key: str = "line_id", keys: tuple[str, ...] = ("stream_id", "side"), at: str = "frame_id") -> DataFrame:
     """(keys, at, ax, ay, bx, by, angle, range) of each frame's main line along each side's frames, which stand in the order of `at`; frames without a line have no row.
 
-    lines are L3's with keys and `at`, merged is L4's. A frame's lines travel as one row; keys are dealt to tasks and sorted there.
+    lines are L3's with keys and `at`, merged is L4's. Of a cluster only its main line and its extent travel: a frame's, a row for each cluster, are
+    one row; keys are dealt to tasks and sorted there.
     """
     own = ["ax", "ay", "bx", "by", "angle", "range"]
     rows = merged.join(lines.select(*dict.fromkeys([*keys, "frame_id", at]), F.col(key).alias("line_id"), *own), ["frame_id", "line_id"])
-    line = F.struct((F.col("cluster_id") != F.col("line_id")).alias("rest"), "line_id", *own)
-    clusters = rows.groupBy(*keys, at, "cluster_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
-    frames = clusters.groupBy(*keys, at).agg(F.array_sort(F.collect_list(F.struct("cluster_id", "lines"))).alias("clusters"))
+    rows = rows.withColumn("rest", F.col("cluster_id") != F.col("line_id"))
+    # The highest and lowest end, the first of equals: of the main line, then by line.
+    end = lambda y, x, k, sign: F.struct((sign * F.col(y)).alias("h"), "rest", "line_id", F.lit(k).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"))
+    ends = lambda sign: F.min(F.least(end("ay", "ax", 0, sign), end("by", "bx", 1, sign)))
+    clusters = rows.groupBy(*keys, at, "cluster_id").agg(
+        F.min(F.struct("rest", "line_id", *own)).alias("main"), ends(-1).alias("top"), ends(1).alias("low"), (F.max(F.greatest("ax", "bx")) - F.min(F.least("ax", "bx"))).alias("wide"),
+    )
+    frames = clusters.groupBy(*keys, at).agg(F.array_sort(F.collect_list(F.struct("cluster_id", "main", "top", "low", "wide"))).alias("clusters"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frames.select(*keys, at).schema.fields)
     names = [*keys, at, *own]
 
+    def extent(c) -> float:
+        return c["wide"] if abs(c["main"]["angle"] - 180) <= 1 else math.dist((c["top"]["x"], c["top"]["y"]), (c["low"]["x"], c["low"]["y"]))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before, chooser = object(), None
         for batch in batches:
@@ -148,7 +161,7 @@ def choose_lines(lines: DataFrame, merged: DataFrame, share: float = 1.0, key: s
                 k = [None if x != x else x for x in k]  # a null key is not a number
                 if k != before:
                     before, chooser = k, ChosenLine(share)
-                if chosen := chooser.step([[tuple(x[c] for c in own) for x in c["lines"]] for c in found]):
+                if chosen := chooser.step([[tuple(c["main"][x] for x in own)] for c in found], [extent(c) for c in found]):
                     out.append((*k, frame, *chosen))
             yield pd.DataFrame(out, columns=names)
 
@@ -156,6 +169,12 @@ def choose_lines(lines: DataFrame, merged: DataFrame, share: float = 1.0, key: s
     return dealt.mapInPandas(run, f"{kinds}, ax double, ay double, bx double, by double, angle double, range int")
 
 
+def one_of_equals(lines: DataFrame, key: str = "line_id", keys: tuple[str, ...] = ("stream_id", "side"), at: str = "frame_id") -> DataFrame:
+    """L3's lines without those that equal, in keys, `at`, ends, angle, length and range, one with a smaller id. L6 chooses the same from them: a copy adds a cluster of its original's extent, behind it."""
+    same = [*dict.fromkeys([*keys, "frame_id", at]), "ax", "ay", "bx", "by", "angle", "length", "range"]
+    return lines.groupBy(*same).agg(F.min(key).alias(key))
+
+
 def ransac_line(points: DataFrame, threshold: float, keys: tuple[str, ...] = ("frame_id",), rounds: int = 200, least_angle: float = 40.0, enough: float = 0.9, seed: int = 7) -> DataFrame:
     """(keys, vx, vy, x0, y0, inliers): of lines through two points drawn with a fixed seed, steeper than least_angle degrees, the one with the most points nearer than threshold; the search ends early when enough of them are.
 

@@ -365,7 +365,8 @@ def l05(spark, sf):
 @query("l06_chosen_lines")
 def l06(spark, sf):
     d = lines.describe(_seg(spark, sf)).withColumn("stream_id", F.lit(1)).withColumn("side", F.when(F.col("ax") < 200, "left").otherwise("right"))
-    return curbs.choose_lines(d, curbs.merge_lines(d, 6.0, 4.0, 8.0))
+    one = curbs.one_of_equals(d)
+    return curbs.choose_lines(one, curbs.merge_lines(one, 6.0, 4.0, 8.0))
 
 
 @query("l09_ransac_lines")

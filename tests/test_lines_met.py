@@ -61,3 +61,25 @@ def test_lines_are_merged_with_their_copies(spark):
             if p["frame_id"] == q["frame_id"] and abs(p["angle"] - q["angle"]) < 12 and abs(math.degrees(t) % 180 - p["angle"]) < 8 and np.abs(math.sin(t) * u - math.cos(t) * v).mean() < 8:
                 want.add((p["line_id"], q["line_id"]))
     assert _pairs(curbs.merge_lines(d, 12.0, 8.0, 8.0), "cluster_id", "line_id") == want and len(want) > len(rows)
+
+
+def test_lines_are_chosen_without_their_copies(spark):
+    """As the step function chooses from whole clusters of all lines, equal ones included; no cluster's lines travel."""
+    d = _lines(spark, _random(40, 3)).withColumn("stream_id", F.lit(1)).withColumn("side", F.when(F.col("ax") < 75, "left").otherwise("right"))
+    own = ["ax", "ay", "bx", "by", "angle", "range"]
+    rows = {r.line_id: r.asDict() for r in d.collect()}
+    members = {}
+    for r in curbs.merge_lines(d, 12.0, 8.0, 8.0).collect():
+        line = rows[r.line_id]
+        members.setdefault((line["side"], r.frame_id, r.cluster_id), []).append((r.cluster_id != r.line_id, r.line_id, tuple(line[c] for c in own)))
+    want = {}
+    for side in ("left", "right"):
+        chooser = curbs.ChosenLine()
+        for frame in (0, 1):
+            found = [[x[2] for x in sorted(members[k])] for k in sorted(members) if k[:2] == (side, frame)]
+            want[side, frame] = chooser.step(found)
+    one = curbs.one_of_equals(d)
+    assert one.count() < d.count()
+    for some in (d, one):
+        got = {(r.side, r.frame_id): tuple(r[c] for c in own) for r in curbs.choose_lines(some, curbs.merge_lines(some, 12.0, 8.0, 8.0)).collect()}
+        assert got == {k: v for k, v in want.items() if v}

@@ -6,9 +6,12 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridwake.operators import framing, ranges
 from gridwake.operators.decode import signed, unsigned
@@ -198,8 +201,33 @@ def flat_scan(packets: DataFrame, header: int = 6, points: int = 42, spread_deg:
     p = F.col("payload")
     rows = packets.withColumn("start", unsigned(p, header - 2, 2) / 100.0)
     rows = ranges.scan(rows, "stream_id", "seq", F.coalesce("start", F.lit(0.0)), "frame", lambda now, before, first: ~first & (before - now > spread_deg))
-    each = rows.select("stream_id", "frame", "seq", "start", "payload", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    raw, azimuth = unsigned(F.col("payload"), F.col("point") * 3 + header, 2), F.pmod(F.col("start") + F.col("point") * spread_deg / points, F.lit(360.0))
-    each = each.select("stream_id", "frame", "seq", "point", azimuth.alias("azimuth_deg"), raw.alias("raw"), unsigned(F.col("payload"), F.col("point") * 3 + header + 2, 1).cast("smallint").alias("intensity"))
-    d = F.when(F.col("raw") != 0xFFFF, F.col("raw") / 1000.0)
-    return each.select("stream_id", "frame", "seq", "point", "azimuth_deg", (d * F.sin(F.radians("azimuth_deg"))).alias("x"), (d * F.cos(F.radians("azimuth_deg"))).alias("y"), "intensity")
+    rows = rows.select("stream_id", "frame", "seq", "start", "payload")
+    size = 3 * points
+    kinds = [*(f for f in rows.schema.fields if f.name in ("stream_id", "frame", "seq")), T.StructField("point", T.IntegerType()), T.StructField("azimuth_deg", T.DoubleType())]
+    kinds += [T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("intensity", T.ShortType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 2000):
+                batch = whole.slice(first, 2000)
+                n = batch.num_rows
+                # Points that a packet has no bytes for are null, and the last one's intensity if only its distance is there.
+                bodies = [(v or b"")[header : header + size] for v in batch["payload"].to_pylist()]
+                length = np.array([len(v) for v in bodies])[:, None]
+                byte = np.frombuffer(b"".join(v.ljust(size, b"\0") for v in bodies), np.uint8).reshape(n, points, 3).astype(np.int64)
+                at = 3 * np.arange(points)
+                raw = np.where(length >= at + 2, byte[:, :, 0] * 256 + byte[:, :, 1], byte[:, :, 0])
+                start = batch["start"].to_numpy(zero_copy_only=False).astype(float)
+                azimuth = np.mod(start[:, None] + np.arange(points) * spread_deg / points, 360.0)
+                gone, none = np.isnan(azimuth), length <= at
+                d = raw / 1000.0
+                lost = (gone | none | (raw == 0xFFFF)).ravel()
+                turn = np.radians(azimuth)
+                back = pa.array(np.repeat(np.arange(n), points))
+                columns = [batch[c].take(back) for c in ("stream_id", "frame", "seq")]
+                columns += [pa.array(np.tile(np.arange(points, dtype=np.int32), n)), pa.array(azimuth.ravel(), mask=gone.ravel())]
+                columns += [pa.array((d * f(turn)).ravel(), mask=lost) for f in (np.sin, np.cos)]
+                columns.append(pa.array(byte[:, :, 2].ravel().astype(np.int16), mask=(length <= at + 2).ravel()))
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kinds])
+
+    return rows.mapInArrow(run, T.StructType(kinds))

@@ -13,6 +13,7 @@ from gridwake.operators import decode as D
 from gridwake.operators import layers as V
 from gridwake.operators import transform as T
 from gridwake.plans.grid_queries import CAND_SQL, CFG, OBB_SQL, REF_SQL, _clustered, _detected, _with
+from gridwake.plans.materialize import materialize
 from gridwake.plans.motion_queries import BLK, DESC, FIT, NEAR, P, _blk, _numbered, _seg
 from gridwake.sources import binary_sinks, fixtures, packets
 from gridwake.sources.fixtures import BLOCKS_SQL, POSES_SQL
@@ -294,8 +295,9 @@ SELECT stream_id, frame, seq, point, intensity, round(d * sin(radians(a)), 4) +
 def d29(spark, sf):
     s = F.col("seq")
     one = lambda k: F.concat(F.when((s + k) % 11 == 0, F.lit("FFFF")).otherwise(_bytes((s * 13 + k * 100) % 30000, 2)), _bytes((s + k) % 256, 1))
-    rows = fixtures.blocks(spark, sf).select("stream_id", "seq", F.unhex(F.concat(F.lit("00" * 4), _bytes(F.col("azimuth"), 2), _each(42, one))).alias("payload"))
-    return _r(sweeps.flat_scan(rows), ("stream_id", "frame", "seq", "point", "intensity"), ("x", "y"))
+    dealt = fixtures.blocks(spark, sf).repartition(4 * spark.sparkContext.defaultParallelism)  # a file that is one task's becomes packets
+    rows = dealt.select("stream_id", "seq", F.unhex(F.concat(F.lit("00" * 4), _bytes(F.col("azimuth"), 2), _each(42, one))).alias("payload"))
+    return _r(sweeps.flat_scan(materialize(rows, "packets")), ("stream_id", "frame", "seq", "point", "intensity"), ("x", "y"))
 
 
 # --- framing ------------------------------------------------------------------------------------------------------

@@ -108,7 +108,7 @@ def _device_payload(packed: bool) -> Column:
 
 def _streams(spark: SparkSession, sf: str, packed: bool) -> DataFrame:
     """Point packets at odd places of their streams and a device packet before every third one."""
-    points = _polar_packets(spark, sf)
+    points = materialize(_polar_packets(spark, sf), "packets").repartition(4 * spark.sparkContext.defaultParallelism)
     devices = points.where("seq % 3 = 1").select("stream_id", F.col("seq") * 2, _device_payload(packed))
     return points.select("stream_id", F.col("seq") * 2 + 1, "payload").union(devices).toDF("stream_id", "seq", "payload")
 

@@ -67,6 +67,34 @@ def test_links_are_all_made_once(spark):
     assert "Join" not in plan.replace("LeftSemi", "").split("MapInArrow")[0]
 
 
+def _crowd(spark, n, wide, high=40.0):
+    """n points at random around a corner of four tiles, as whole numbers, so that some are at one place; keys tell nothing of places."""
+    rng = np.random.default_rng(7)
+    xyz = np.floor(rng.uniform(0, 1, (n, 3)) * [wide, wide, high]) + [480 - wide / 2, 480 - wide / 2, 0]
+    rows = spark.createDataFrame([(0, k, *map(float, p)) for k, p in enumerate(xyz)], COLUMNS)
+    return rows, xyz
+
+
+def test_links_of_a_crowded_cloud(spark):
+    for wide, high in ((150, 40.0), (100, 100.0), (1, 1.0)):  # flat, as high as wide, at one place
+        cloud, xyz = _crowd(spark, 1000, wide, high)
+        cloud = cloud.unionByName(spark.createDataFrame([(0, 5000, 2000.0, 0.0, 0.0), (0, 1_000_000, 2060.0, 0.0, 0.0), (1, 0, 480.0, 480.0, 0.0)], COLUMNS))
+        got = [(r.frame_id, r.a, r.b) for r in transform.euclidean_links(cloud, 60.0).collect()]
+        d2 = ((xyz[:, None] - xyz[None]) ** 2).sum(2)
+        want = {(0, int(a), int(b)) for a, b in np.argwhere(np.triu(d2 <= 3600, 1))} | {(0, 5000, 1_000_000)}
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 100_000
+
+
+def test_links_are_written_in_little_room(spark, tmp_path):
+    """Neighbours have most others in common, and their pairs stand so that a file's bytes repeat."""
+    cloud, _ = _crowd(spark, 6000, 240)
+    pairs = transform.euclidean_links(cloud, 60.0)
+    pairs.write.parquet(f"{tmp_path}/pairs")
+    size = sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    rows = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert rows > 2_000_000 and size < 1.2 * rows
+
+
 def test_clusters_of_many_touching_points(spark):
     pts, n = _pile(spark)
     got = transform.euclidean_clusters(pts, 60.0).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).collect()
